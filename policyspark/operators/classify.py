@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from policyspark import vocabulary as V
 from policyspark.functions.taxonomy import baseline_member, members_or
 from policyspark.functions.terms import any_term, count_occurrences, literal_array, term_hits
-from policyspark.functions.text import col, ellipsis, first_filled, strip
+from policyspark.functions.text import col, ellipsis, first_filled, let, strip
 
 
 @dataclass(frozen=True)
@@ -57,70 +57,90 @@ OUTCOMES = {
 }
 
 
-def classify_documents(documents: DataFrame, config: FilterConfig = FilterConfig(), text: str = "text",
-                       title: Column | str = "title", url: Column | str = "url") -> DataFrame:
-    """Add doc_type, is_policy_relevant, reason and five hit counts.
+def classification(text: Column, title: Column, url: Column, config: FilterConfig = FilterConfig()) -> Column:
+    """struct of ``CLASS_COLUMNS`` for one document.
 
-    The cascade is staged over columns: each stage only evaluates its term
-    counts for rows that no earlier, cheaper stage has decided.
+    Every stage is bound once and only evaluates its term counts when no
+    earlier, cheaper stage has decided; the expression grows linearly with the
+    lists however it is filtered on later.
     """
-    staged = documents.withColumns({
-        "__text": F.lower(F.coalesce(F.col(text), F.lit(""))),
-        "__title": F.lower(F.coalesce(col(title), F.lit(""))),
-        "__url": F.lower(F.coalesce(col(url), F.lit(""))),
-    })
-    t, head, link = F.col("__text"), F.col("__title"), F.col("__url")
-
-    staged = staged.withColumn(
-        "__early",
-        F.when(t == "", "empty_text")
-        .when(F.length(t) < config.min_length, "too_short")
-        .when(any_term(head, config.imprint_title_terms) | any_term(link, config.imprint_url_fragments),
-              "imprint_or_dataprotection")
-        .when(any_term(head, config.navigation_title_terms) | any_term(link, config.navigation_url_fragments),
-              "navigation_page")
-        .when(any_term(head, config.news_title_terms) | any_term(link, config.news_url_fragments), "news_or_press")
-        .when(any_term(head, config.negative_title_terms), "negative_title_terms")
-        .when(any_term(link, config.negative_url_fragments), "negative_url_fragment"),
-    )
-    undecided = F.col("__early").isNull()
-    staged = staged.withColumns({
-        "strong_hits": F.when(undecided, count_occurrences(t, config.strong_terms)).otherwise(0),
-        "supporting_hits": F.when(undecided, count_occurrences(t, config.supporting_terms)).otherwise(0),
-    })
-    weak = (F.col("strong_hits") < config.min_strong_hits) | (
-        F.col("strong_hits") + F.col("supporting_hits") < config.min_total_hits)
-    middle = F.when(weak, "too_weak_climate_signal")
-    if config.require_funding_term:
-        funded = any_term(t, config.funding_terms) | any_term(head, config.funding_terms)
-        middle = middle.when(~funded, "no_funding_signal")
-    staged = staged.withColumn("__middle", F.coalesce(F.col("__early"), middle))
-
-    open_rows = F.col("__middle").isNull()
+    def lowered(c: Column) -> Column:
+        return F.lower(F.coalesce(c, F.lit("")))
+
+    def early(x: Column) -> Column:
+        t, head, link = x["text"], x["title"], x["url"]
+        return (
+            F.when(t == "", "empty_text")
+            .when(F.length(t) < config.min_length, "too_short")
+            .when(any_term(head, config.imprint_title_terms) | any_term(link, config.imprint_url_fragments),
+                  "imprint_or_dataprotection")
+            .when(any_term(head, config.navigation_title_terms) | any_term(link, config.navigation_url_fragments),
+                  "navigation_page")
+            .when(any_term(head, config.news_title_terms) | any_term(link, config.news_url_fragments), "news_or_press")
+            .when(any_term(head, config.negative_title_terms), "negative_title_terms")
+            .when(any_term(link, config.negative_url_fragments), "negative_url_fragment")
+        )
+
+    def counted(open_row: Column, c: Column, terms: Sequence[str]) -> Column:
+        return F.when(open_row, count_occurrences(c, terms)).otherwise(0)
+
+    def after_early(x: Column, reason: Column) -> Column:
+        open_row = reason.isNull()
+        return let(
+            F.struct(counted(open_row, x["text"], config.strong_terms).alias("strong"),
+                     counted(open_row, x["text"], config.supporting_terms).alias("supporting")),
+            lambda h: let(middle(x, reason, h), lambda m: after_middle(x, m, h)))
+
+    def middle(x: Column, reason: Column, h: Column) -> Column:
+        weak = (h["strong"] < config.min_strong_hits) | (h["strong"] + h["supporting"] < config.min_total_hits)
+        out = F.when(reason.isNotNull(), reason).when(weak, "too_weak_climate_signal")
+        if config.require_funding_term:
+            funded = any_term(x["text"], config.funding_terms) | any_term(x["title"], config.funding_terms)
+            out = out.when(~funded, "no_funding_signal")
+        return out
+
     groups = {"measure": config.measure_terms, "admin": config.admin_terms, "framework": config.framework_terms}
-    staged = staged.withColumns({
-        f"{g}_hits": F.when(open_rows, count_occurrences(t, terms)).otherwise(0) for g, terms in groups.items()
-    })
-    staged = staged.withColumns({
-        f"__{g}": F.col(f"{g}_hits") + F.when(open_rows & any_term(head, terms), 2).otherwise(0)
-        for g, terms in groups.items()
-    })
-    m, a, f = F.col("__measure"), F.col("__admin"), F.col("__framework")
-    reason = F.coalesce(
-        F.col("__middle"),
-        F.when((m == 0) & (a == 0) & (f == 0), "climate_plus_funding_signal")
-        .when(m >= F.greatest(a, f, F.lit(1)), "measure_terms_dominate")
-        .when(a >= F.greatest(m, f, F.lit(1)), "admin_terms_dominate")
-        .when(f > 0, "framework_terms_present")
-        .otherwise("climate_but_no_policy_signal"),
-    )
-    staged = staged.withColumn("reason", reason)
-    types = [x for r, (kind, _) in OUTCOMES.items() for x in (F.lit(r), F.lit(kind))]
+
+    def after_middle(x: Column, reason: Column, h: Column) -> Column:
+        open_row = reason.isNull()
+        return let(
+            F.struct(*[counted(open_row, x["text"], terms).alias(g) for g, terms in groups.items()]),
+            lambda k: let(
+                F.struct(*[
+                    (k[g] + F.when(open_row & any_term(x["title"], terms), 2).otherwise(0)).alias(g)
+                    for g, terms in groups.items()
+                ]),
+                lambda score: let(contest(reason, score), lambda r: result(r, h, k))))
+
+    def contest(reason: Column, score: Column) -> Column:
+        m, a, f = score["measure"], score["admin"], score["framework"]
+        return (
+            F.when(reason.isNotNull(), reason)
+            .when((m == 0) & (a == 0) & (f == 0), "climate_plus_funding_signal")
+            .when(m >= F.greatest(a, f, F.lit(1)), "measure_terms_dominate")
+            .when(a >= F.greatest(m, f, F.lit(1)), "admin_terms_dominate")
+            .when(f > 0, "framework_terms_present")
+            .otherwise("climate_but_no_policy_signal")
+        )
+
+    types = F.create_map(*[x for r, (kind, _) in OUTCOMES.items() for x in (F.lit(r), F.lit(kind))])
     relevant = [r for r, (_, keep) in OUTCOMES.items() if keep]
-    return staged.withColumns({
-        "doc_type": F.element_at(F.create_map(*types), F.col("reason")),
-        "is_policy_relevant": F.col("reason").isin(relevant),
-    }).drop("__text", "__title", "__url", "__early", "__middle", "__measure", "__admin", "__framework")
+
+    def result(reason: Column, h: Column, k: Column) -> Column:
+        return F.struct(
+            F.element_at(types, reason).alias("doc_type"), reason.isin(relevant).alias("is_policy_relevant"),
+            reason.alias("reason"), h["strong"].alias("strong_hits"), h["supporting"].alias("supporting_hits"),
+            *[k[g].alias(f"{g}_hits") for g in groups])
+
+    fields = F.struct(lowered(text).alias("text"), lowered(title).alias("title"), lowered(url).alias("url"))
+    return let(fields, lambda x: let(early(x), lambda reason: after_early(x, reason)))
+
+
+def classify_documents(documents: DataFrame, config: FilterConfig = FilterConfig(), text: str = "text",
+                       title: Column | str = "title", url: Column | str = "url") -> DataFrame:
+    """Add doc_type, is_policy_relevant, reason and five hit counts."""
+    tagged = documents.withColumn("__class", classification(F.col(text), col(title), col(url), config))
+    return tagged.select(*documents.columns, "__class.*")
 
 
 CLASS_COLUMNS = ["doc_type", "is_policy_relevant", "reason", "strong_hits", "supporting_hits", "measure_hits",
@@ -129,8 +149,7 @@ CLASS_COLUMNS = ["doc_type", "is_policy_relevant", "reason", "strong_hits", "sup
 
 def relevant_documents(documents: DataFrame, config: FilterConfig = FilterConfig(), **columns) -> DataFrame:
     """Only the policy-relevant documents, in their input shape."""
-    classified = classify_documents(documents, config, **columns)
-    return classified.where("is_policy_relevant").select(*documents.columns)
+    return classify_documents(documents, config, **columns).where("is_policy_relevant").select(*documents.columns)
 
 
 def filter_stats(documents: DataFrame, config: FilterConfig = FilterConfig(), **columns) -> DataFrame:

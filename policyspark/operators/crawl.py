@@ -255,8 +255,8 @@ def link_candidates(pages: DataFrame, keywords: Sequence[str] = tuple(SEED_KEYWO
     """Scored internal links of home pages: (key, pos, url, anchor, score) with score > 0."""
     links = pages.select(
         key, F.col(base_url).alias("__base"),
-        F.explode(page_parts(html, base_url, ["anchors"])["anchors"]).alias("__l"),
-    ).select(key, "__base", "__l.pos", "__l.url", "__l.anchor")
+        F.explode_outer(page_parts(html, base_url, ["anchors"])["anchors"]).alias("__l"),
+    ).where(F.col("__l").isNotNull()).select(key, "__base", "__l.pos", "__l.url", "__l.anchor")
     kept = links.where(is_internal("url", authority("__base")) & ~has_extension("url", SEED_EXCLUDED_EXTENSIONS))
     return kept.withColumn("score", link_score("url", "anchor", keywords)).where("score > 0").drop("__base")
 

@@ -63,7 +63,7 @@ def snippet_candidates(
             F.transform(snippets("text", max_chars), lambda s: F.struct(s.alias("snippet"), F.lower(s).alias("low"))),
             lambda s: accepts(s["snippet"], s["low"], rules, positive, negative, min_chars),
         ).alias("__snippets"),
-    ).where(F.size("__snippets") > 0)
+    )
 
     if order:
         docs = docs.withColumn("__key", F.coalesce(F.col("municipality_id").cast("string"), F.lit("")))
@@ -73,7 +73,10 @@ def snippet_candidates(
     else:
         docs = docs.withColumn("__offset", F.lit(0).cast("long"))
 
-    flat = docs.select("*", F.posexplode("__snippets.snippet").alias("__pos", "snippet")).drop("__snippets")
+    # The inner form would make the optimizer add "size(...) > 0" below the
+    # generator, which computes every snippet list a second time.
+    flat = docs.select("*", F.posexplode_outer("__snippets.snippet").alias("__pos", "snippet")).drop("__snippets")
+    flat = flat.where(F.col("snippet").isNotNull())
     out = flat.withColumns({
         "candidate_id": candidate_id(
             F.col("municipality_id"), F.col("document_id"), F.col("__offset") + F.col("__pos")),
@@ -112,6 +115,6 @@ def term_frequencies(documents: DataFrame, text: Column | str, terms: Sequence[s
     from policyspark.functions.terms import term_hits
 
     return (
-        documents.select(F.explode(term_hits(F.lower(col(text)), terms)).alias("term"))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+        documents.select(F.explode_outer(term_hits(F.lower(col(text)), terms)).alias("term"))
+        .where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
     )
