@@ -71,20 +71,19 @@ def _recover_object(text: str | None) -> str:
     return widest if widest and _is_object(widest) else "{}"
 
 
-@F.pandas_udf("string")
-def _recover(batch: pd.Series) -> pd.Series:
-    return batch.map(_recover_object)
-
-
 def first_json_object(answer: Column | str) -> Column:
     """JSON text of the first object in an answer, '{}' when there is none.
 
     Answers that are a clean flat object skip Python altogether.
     """
+    @F.pandas_udf("string")
+    def recover(batch: pd.Series) -> pd.Series:
+        return batch.map(_recover_object)
+
     answer = col(answer)
     stripped = strip(answer)
     clean = stripped.rlike(r"^\{[^{}]*\}$") & F.try_parse_json(stripped).isNotNull()
-    return F.when(clean, stripped).otherwise(_recover(answer))
+    return F.when(clean, stripped).otherwise(recover(answer))
 
 
 def widest_json_object(answer: Column | str) -> Column:

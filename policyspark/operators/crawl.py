@@ -26,7 +26,7 @@ from policyspark.functions.urls import (
     authority, domain_allowed, has_extension, is_internal, is_pdf, link_score, mime_head,
 )
 from policyspark.operators.joins import lookup
-from policyspark.operators.ordinals import last_per_key, top_per_key, with_running_totals
+from policyspark.operators.ordinals import last_per_key, slice_bounds, top_per_key, with_running_totals
 from policyspark.session import cut_lineage
 from policyspark.vocabulary import CRAWL_EXCLUDED_EXTENSIONS, SEED_EXCLUDED_EXTENSIONS, SEED_KEYWORDS
 
@@ -65,11 +65,6 @@ def page_table(pages: DataFrame, html: str = "html", url: str = "url", status: s
     )
 
 
-def _empty_tally(frontier: DataFrame) -> DataFrame:
-    return frontier.select(F.col("muni").alias("t_muni")).distinct().withColumns({
-        "t_docs": F.lit(0).cast("long"), "t_pdfs": F.lit(0).cast("long"), "t_reqs": F.lit(0).cast("long")})
-
-
 def gated_crawl(
     seeds: DataFrame, pages: DataFrame, keywords: Sequence[str], limits: CrawlLimits = CrawlLimits(),
     allowed_types: Sequence[str] = ("text/html", "application/pdf"),
@@ -86,59 +81,49 @@ def gated_crawl(
         both = F.concat_ws("\n", F.lower(url), F.lower(F.coalesce(anchor, F.lit(""))))
         return let(both, lambda t: any_term(t, lowered))
 
+    allowed = [a.lower() for a in allowed_types]
     fetched = pages.select(
-        F.col("url").alias("p_url"), F.col("status").alias("p_status"), mime_head("ct").alias("p_ct"),
-        F.col("content_key").alias("p_key"), F.col("links").alias("p_links"), F.lit(True).alias("p_found"))
-    frontier = seeds.select(
-        "muni", "url", "allowed_domains", F.lit("seed").alias("anchor"), F.lit(0).cast("long").alias("ord"))
+        "url", F.col("status").alias("p_status"), mime_head("ct").alias("p_ct"),
+        F.col("content_key").alias("p_key"), F.lit(True).alias("p_found"))
+    frontier = seeds.select("muni", "url", "allowed_domains", F.lit(0).cast("long").alias("ord"))
     frontier = cut_lineage(frontier.where(domain_allowed("url", "allowed_domains")))
-    tally = _empty_tally(frontier)
+    tally = _tally(frontier, ["docs", "pdfs", "reqs"])
     visited = frontier.select("muni", "url")
     levels = []
     for depth in range(limits.max_depth + 1):
-        step = frontier.withColumn("depth", F.lit(depth))
-        step = lookup(step, fetched.withColumnRenamed("p_url", "url"), ["url"])
-        step = step.join(tally, F.col("muni") == F.col("t_muni"), "left").drop("t_muni")
+        seen = _with_tally(lookup(frontier, fetched, ["url"]), tally)
         ok = F.coalesce(F.col("p_found"), F.lit(False))
-        eligible = ok & (F.col("p_status") < 400) & F.col("p_ct").isin([a.lower() for a in allowed_types])
-        pdf = eligible & is_pdf("p_ct", "url", "gated")
-        step = step.withColumns({
-            "__ok": ok, "__eligible": eligible, "__pdf": pdf,
-        })
-        step = with_running_totals(step, ["muni"], ["ord"], {"__pdf_before": F.col("__pdf").cast("long")})
-        capped = F.col("__pdf") & (F.col("__pdf_before") + F.col("t_pdfs") >= limits.max_pdfs)
-        step = step.withColumn("__kept", F.col("__eligible") & ~capped)
+        eligible = ok & (F.col("p_status") < 400) & F.col("p_ct").isin(allowed)
+        step = cut_lineage(seen.withColumns({
+            "ok": ok, "eligible": F.coalesce(eligible, F.lit(False)),
+            "is_pdf": F.coalesce(eligible & is_pdf("p_ct", "url", "gated"), F.lit(False)),
+        }).drop("p_found"))
+        bounds = slice_bounds(step, "ord")
+        step = with_running_totals(step, ["muni"], ["ord"], {"pdfs_before": F.col("is_pdf").cast("long")}, bounds=bounds)
+        capped = F.col("is_pdf") & (F.col("pdfs_before") + F.col("t_pdfs") >= limits.max_pdfs)
+        step = step.withColumn("stored", F.col("eligible") & ~capped)
         step = with_running_totals(step, ["muni"], ["ord"], {
-            "__docs_before": F.col("__kept").cast("long"), "__reqs_before": F.col("__ok").cast("long"),
-        })
-        step = step.where(
-            (F.col("__docs_before") + F.col("t_docs") < limits.max_docs)
-            & (F.col("__reqs_before") + F.col("t_reqs") < limits.max_requests))
-        reason = (
-            F.when(~F.col("__ok"), F.lit(None).cast("string")).when(F.col("p_status") >= 400, F.lit(None).cast("string"))
-            .when(~F.col("__eligible"), "ct_filtered").when(~F.col("__kept"), "pdf_cap")
-        )
-        extension = F.when(F.col("__pdf"), ".pdf").otherwise(".html")
+            "place": F.col("stored").cast("long"), "reqs_before": F.col("ok").cast("long"),
+        }, bounds=bounds)
+        step = step.where((F.col("place") + F.col("t_docs") < limits.max_docs)
+                          & (F.col("reqs_before") + F.col("t_reqs") < limits.max_requests))
+        reason = F.when(F.col("ok") & (F.col("p_status") < 400),
+                        F.when(~F.col("eligible"), "ct_filtered").when(~F.col("stored"), "pdf_cap"))
         done = cut_lineage(step.select(
-            "muni", "url", "depth", "ord", "allowed_domains",
-            F.when(F.col("__ok"), F.col("p_status").cast("string")).otherwise("error").alias("status"),
-            F.when(F.col("__ok"), F.col("p_ct")).alias("ct"),
-            F.when(F.col("__ok"), F.col("__kept")).alias("kept"), reason.alias("reason"),
-            F.when(F.col("__kept"), F.concat("p_key", extension)).alias("raw_path"),
-            F.col("__pdf").alias("is_pdf"), F.col("__docs_before").alias("place"),
-            F.when(F.col("__kept") & ~F.col("__pdf"), F.col("p_links")).alias("links"),
+            "muni", "url", F.lit(depth).alias("depth"), "ord", "place", "allowed_domains", "is_pdf",
+            F.when(F.col("ok"), F.col("p_status").cast("string")).otherwise("error").alias("status"),
+            F.when(F.col("ok"), F.col("p_ct")).alias("ct"), F.when(F.col("ok"), F.col("stored")).alias("kept"),
+            reason.alias("reason"),
+            F.when(F.col("stored"), F.concat("p_key", F.when(F.col("is_pdf"), ".pdf").otherwise(".html"))).alias("raw_path"),
         ))
-        levels.append(done.drop("allowed_domains", "is_pdf", "place", "links"))
+        levels.append(done.drop("place", "allowed_domains", "is_pdf"))
         if depth == limits.max_depth:
             break
-        spent = done.groupBy(F.col("muni").alias("s_muni")).agg(
-            F.count_if("kept").alias("s_docs"), F.count_if(F.col("kept") & F.col("is_pdf")).alias("s_pdfs"),
-            F.count_if(F.col("status") != "error").alias("s_reqs"))
-        tally = tally.join(spent, F.col("t_muni") == F.col("s_muni"), "left").select(
-            "t_muni", *[(F.col(f"t_{x}") + F.coalesce(F.col(f"s_{x}"), F.lit(0))).alias(f"t_{x}")
-                        for x in ("docs", "pdfs", "reqs")])
+        tally = _spend(tally, done, {
+            "docs": F.count_if("kept"), "pdfs": F.count_if(F.col("kept") & F.col("is_pdf")),
+            "reqs": F.count_if(F.col("status") != "error")})
         frontier = cut_lineage(_next_level(
-            done.where(F.size("links") > 0), visited,
+            done.where(F.col("kept") & ~F.col("is_pdf")), pages, visited,
             lambda u, a: domain_allowed(u, "allowed_domains") & gate(u, a)))
         if frontier.isEmpty():
             break
@@ -146,16 +131,35 @@ def gated_crawl(
     return reduce(DataFrame.unionByName, levels)
 
 
-def _next_level(parents: DataFrame, visited: DataFrame, follow) -> DataFrame:
+def _tally(frontier: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row of zero counters per municipality."""
+    return frontier.select(F.col("muni").alias("t_muni")).distinct().withColumns(
+        {f"t_{n}": F.lit(0).cast("long") for n in names})
+
+
+def _with_tally(rows: DataFrame, tally: DataFrame) -> DataFrame:
+    return rows.join(tally, F.col("muni") == F.col("t_muni"), "left").drop("t_muni")
+
+
+def _spend(tally: DataFrame, done: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """Add a level's counts to the counters."""
+    spent = done.groupBy(F.col("muni").alias("s_muni")).agg(*[c.alias(f"s_{n}") for n, c in counts.items()])
+    return tally.join(spent, F.col("t_muni") == F.col("s_muni"), "left").select(
+        "t_muni", *[(F.col(f"t_{n}") + F.coalesce(F.col(f"s_{n}"), F.lit(0))).alias(f"t_{n}") for n in counts])
+
+
+def _next_level(parents: DataFrame, pages: DataFrame, visited: DataFrame, follow) -> DataFrame:
     """Unvisited links of a level; the first occurrence of a url per municipality keeps its place.
 
-    Visit order = place of the parent among the expanded pages of its level,
-    times the longest link list, plus the position of the link. The place is
-    dense and bounded by the document cap, so the number stays small at any
-    depth.
+    Link lists are only read for the few pages that are expanded. Visit order =
+    place of the parent among the expanded pages of its level, times the
+    longest link list, plus the position of the link. The place is dense and
+    bounded by the document cap, so the number stays small at any depth.
     """
-    widest = parents.agg(F.coalesce(F.max(F.size("links")), F.lit(1)).cast("long").alias("w")).scalar()
-    ranked = parents.withColumn("__w", widest)
+    expanded = lookup(parents.select("muni", "url", "place", "allowed_domains"), pages.select("url", "links"), ["url"])
+    expanded = cut_lineage(expanded.where(F.size("links") > 0))
+    widest = expanded.agg(F.coalesce(F.max(F.size("links")), F.lit(1)).cast("long").alias("w")).scalar()
+    ranked = expanded.withColumn("__w", widest)
     links = ranked.select(
         "muni", "allowed_domains", (F.col("place") * F.col("__w")).alias("__base"),
         F.col("url").alias("referrer"), F.posexplode("links").alias("__pos", "__link"),
@@ -164,9 +168,9 @@ def _next_level(parents: DataFrame, visited: DataFrame, follow) -> DataFrame:
         "referrer", (F.col("__base") + F.col("__pos")).alias("ord"),
     ).where(follow(F.col("url"), F.col("anchor")))
     firsts = links.groupBy("muni", "url").agg(
-        F.min_by(F.struct("allowed_domains", "anchor", "referrer"), "ord").alias("__f"), F.min("ord").alias("ord"))
+        F.min_by(F.struct("allowed_domains", "referrer"), "ord").alias("__f"), F.min("ord").alias("ord"))
     fresh = firsts.join(visited, ["muni", "url"], "left_anti")
-    return fresh.select("muni", "url", "__f.allowed_domains", "__f.anchor", "__f.referrer", "ord")
+    return fresh.select("muni", "url", "__f.allowed_domains", "__f.referrer", "ord")
 
 
 def plain_crawl(
@@ -182,44 +186,40 @@ def plain_crawl(
     """
     empty = F.array().cast("array<string>")
     fetched = pages.select(
-        "url", F.col("status").alias("p_status"), F.lower("ct").alias("p_ct"), F.col("content_key").alias("p_key"),
-        F.col("links").alias("p_links"))
+        "url", F.col("status").alias("p_status"), F.lower("ct").alias("p_ct"), F.col("content_key").alias("p_key"))
     frontier = seeds.groupBy("muni", "url").agg(F.min(F.col("position").cast("long")).alias("ord")).select(
         "muni", "url", "ord", empty.alias("allowed_domains"), F.lit(None).cast("string").alias("referrer"))
     frontier = cut_lineage(frontier.where(~has_extension("url", extensions)))
-    tally = frontier.select(F.col("muni").alias("t_muni")).distinct().withColumns({
-        "t_rows": F.lit(0).cast("long"), "t_pdfs": F.lit(0).cast("long")})
+    tally = _tally(frontier, ["rows", "pdfs"])
     visited = frontier.select("muni", "url")
     levels = []
     for depth in range(max_depth + 1):
-        step = lookup(frontier.withColumn("depth", F.lit(depth)), fetched, ["url"])
-        step = step.join(tally, F.col("muni") == F.col("t_muni"), "left").drop("t_muni")
+        seen = _with_tally(lookup(frontier, fetched, ["url"]), tally)
         stored = F.col("p_key").isNotNull()
-        pdf = stored & is_pdf("p_ct", "url", "crawl")
-        step = step.withColumns({"__pdf": pdf, "__html": stored & ~pdf & F.coalesce(F.col("p_ct").contains("text/html"), F.lit(False))})
+        pdf = F.coalesce(stored & is_pdf("p_ct", "url", "crawl"), F.lit(False))
+        step = cut_lineage(seen.withColumns({
+            "is_pdf": pdf,
+            "is_html": F.coalesce(stored & ~pdf & F.col("p_ct").contains("text/html"), F.lit(False)),
+        }))
         step = with_running_totals(step, ["muni"], ["ord"], {
-            "__rows_before": F.lit(1).cast("long"), "__pdf_before": F.col("__pdf").cast("long")})
-        step = step.withColumn("__n", F.col("__rows_before") + F.col("t_rows")).where(F.col("__n") < max_pages)
-        keep_pdf = F.col("__pdf") & (F.col("__pdf_before") + F.col("t_pdfs") < max_pdfs)
-        follow = F.col("__html") & F.col("p_status").between(200, 299)
+            "place": F.lit(1).cast("long"), "pdfs_before": F.col("is_pdf").cast("long")})
+        step = step.withColumn("number", F.col("place") + F.col("t_rows")).where(F.col("number") < max_pages)
+        keep_pdf = F.col("is_pdf") & (F.col("pdfs_before") + F.col("t_pdfs") < max_pdfs)
         done = cut_lineage(step.select(
-            "muni", compose_id(F.col("muni").cast("string"), F.col("__n").cast("string")).alias("document_id"),
-            F.col("url"), "referrer", F.col("p_ct").alias("mime_type"), F.col("p_status").alias("http_status"),
-            F.when(F.col("__html"), F.col("p_key")).alias("content_key"),
+            "muni", compose_id(F.col("muni").cast("string"), F.col("number").cast("string")).alias("document_id"),
+            "url", "referrer", F.col("p_ct").alias("mime_type"), F.col("p_status").alias("http_status"),
+            F.when(F.col("is_html"), F.col("p_key")).alias("content_key"),
             F.when(keep_pdf, F.concat("p_key", F.lit(".pdf"))).alias("raw_path"),
             (timestamp if timestamp is not None else F.lit(None).cast("string")).alias("crawl_timestamp"),
-            F.lit(False).alias("keyword_hit"), "depth", "ord", "allowed_domains", F.col("__pdf").alias("is_pdf"),
-            F.col("__rows_before").alias("place"), F.when(follow, F.col("p_links")).alias("links"),
+            F.lit(False).alias("keyword_hit"), F.lit(depth).alias("depth"), "place", "allowed_domains", "is_pdf", "is_html",
         ))
-        levels.append(done.drop("ord", "allowed_domains", "is_pdf", "place", "links"))
+        levels.append(done.drop("place", "allowed_domains", "is_pdf", "is_html"))
         if depth == max_depth:
             break
-        spent = done.groupBy(F.col("muni").alias("s_muni")).agg(
-            F.count(F.lit(1)).alias("s_rows"), F.count_if("is_pdf").alias("s_pdfs"))
-        tally = tally.join(spent, F.col("t_muni") == F.col("s_muni"), "left").select(
-            "t_muni", *[(F.col(f"t_{x}") + F.coalesce(F.col(f"s_{x}"), F.lit(0))).alias(f"t_{x}") for x in ("rows", "pdfs")])
+        tally = _spend(tally, done, {"rows": F.count(F.lit(1)), "pdfs": F.count_if("is_pdf")})
         frontier = cut_lineage(_next_level(
-            done.where(F.size("links") > 0), visited, lambda u, a: ~has_extension(u, extensions)).drop("anchor"))
+            done.where(F.col("is_html") & F.col("http_status").between(200, 299)), pages, visited,
+            lambda u, a: ~has_extension(u, extensions)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier.select("muni", "url"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from policyspark.functions.model_output import (
     annotation_defaults, error_row_columns, first_json_object, gate_answer, gate_prompt, render_prompt,
@@ -32,7 +33,7 @@ def ask(prompts: DataFrame, labeler: Labeler, prompt: str = "prompt", answer: st
     row never costs another. Rows keep their own keys, nothing is matched by
     position across batches.
     """
-    schema = prompts.schema.add(answer, "string")
+    schema = StructType([*prompts.schema.fields, StructField(answer, StringType())])
 
     def single(text: str) -> str | None:
         try:

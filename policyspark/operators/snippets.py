@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from policyspark.functions.terms import KeywordRules, any_term, with_keyword_score
 from policyspark.functions.text import candidate_id, col, first_filled, let, snippets
 from policyspark.operators.ordinals import with_running_totals
+from policyspark.session import cut_lineage
 from policyspark.vocabulary import (
     MAX_SNIPPET_CHARS, MIN_SNIPPET_CHARS, SNIPPET_NEGATIVE, SNIPPET_POSITIVE,
 )
@@ -67,8 +68,10 @@ def snippet_candidates(
 
     if order:
         docs = docs.withColumn("__key", F.coalesce(F.col("municipality_id").cast("string"), F.lit("")))
+        # Accepted snippets are a small part of the texts: keep them, instead of
+        # cutting every text again for the second pass.
         docs = with_running_totals(
-            docs, ["__key", "document_id"], ["__order"], {"__offset": F.size("__snippets").cast("long")},
+            cut_lineage(docs), ["__key", "document_id"], ["__order"], {"__offset": F.size("__snippets").cast("long")},
         ).drop("__key", "__order")
     else:
         docs = docs.withColumn("__offset", F.lit(0).cast("long"))
