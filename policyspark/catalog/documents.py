@@ -39,10 +39,12 @@ def hits_sql(column: str, terms) -> str:
     return f"list_filter({quoted(sorted(terms))}, lambda w: contains({column}, w))"
 
 
-# The same packing as the Spark expression, for an engine without look-behind:
-# the separating space is consumed and trimmed off again.
-PACK_SQL = r"""list_transform(
-  regexp_extract_all(p, '(?s).{1,900}$|.{0,899}[.!?] |.*?[.!?] |.+$'), lambda s: rtrim(s))"""
+# Greedy packing as a fold over the sentences: [finished pieces, current piece].
+_SENTENCES_SQL = r"string_split(regexp_replace(p, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))"
+_FOLD_SQL = f"""list_reduce(list_transform({_SENTENCES_SQL}, lambda s: ['', s]), lambda a, x:
+  CASE WHEN length(a[2]) + 1 + length(x[2]) <= 900 THEN [a[1], a[2] || ' ' || x[2]]
+       ELSE [a[1] || a[2] || chr(2), x[2]] END)"""
+PACK_SQL = f"string_split(array_to_string({_FOLD_SQL}, ''), chr(2))"
 SNIPPETS_SQL = rf"""snips AS (
   SELECT *, flatten(list_transform(list_filter(list_transform(
       regexp_split_to_array(text, '\n\s*\n'), lambda q: trim(regexp_replace(q, '\s+', ' ', 'g'))),
