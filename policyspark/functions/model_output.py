@@ -74,7 +74,7 @@ def _recover_object(text: str | None) -> str:
 def first_json_object(answer: Column | str) -> Column:
     """JSON text of the first object in an answer, '{}' when there is none.
 
-    Answers that are a clean flat object skip Python altogether.
+    Clean flat objects are recognised in the JVM; Python only sees the rest.
     """
     @F.pandas_udf("string")
     def recover(batch: pd.Series) -> pd.Series:
@@ -83,7 +83,8 @@ def first_json_object(answer: Column | str) -> Column:
     answer = col(answer)
     stripped = strip(answer)
     clean = stripped.rlike(r"^\{[^{}]*\}$") & F.try_parse_json(stripped).isNotNull()
-    return F.when(clean, stripped).otherwise(recover(answer))
+    clean = F.coalesce(clean, F.lit(False))
+    return F.when(clean, stripped).otherwise(recover(F.when(~clean, answer)))
 
 
 def widest_json_object(answer: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from policyspark.operators.gate import plain_metrics
 from policyspark.operators.joins import without
 from policyspark.operators.sampling import split_summary, stratified_split
+from policyspark.session import cut_lineage
 
 
 def weak_pool_stats(pool: DataFrame, label: str = "rule_label") -> DataFrame:
@@ -68,57 +69,40 @@ def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> Dat
     return tagged.withColumn(weight, total / (F.size("__counts") * mine)).drop("__counts")
 
 
-def text_classifier(text: str = "text", label: str = "label", min_df: int = 2, max_df: float = 0.95,
-                    vocabulary: int = 1 << 20, iterations: int = 100, c: float = 1.0, rows: int | None = None):
-    """TF-IDF over words and word pairs with a balanced logistic regression.
+def train_classifier(train: DataFrame, text: str = "text", label: str = "label", min_df: int = 2,
+                     max_df: float = 0.95, vocabulary: int = 1 << 20, iterations: int = 100, c: float = 1.0):
+    """Fit TF-IDF over words and word pairs and a balanced logistic regression; returns a PipelineModel.
 
-    IDF is ln((n + 1) / (df + 1)) + 1 with l2-normalised rows: the vectors are
-    scaled by ML's IDF, and the plain counts are added once.
+    The weights are tf * (ln((n + 1) / (df + 1)) + 1), rows l2-normalised. ML's
+    IDF lacks the final + 1, so its vector is raised by one and applied as an
+    element-wise product. ``vocabulary`` bounds the features, not the rows.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import (
-        CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+        IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
     )
+    from pyspark.ml.linalg import Vectors
 
-    stages = [
+    rows = with_class_weights(train.withColumn(label, F.col(label).cast("int")), label)
+    prepare = PipelineModel([
         RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="__words", outputCol="__pairs"),
         SQLTransformer(statement="SELECT *, concat(__words, __pairs) AS __terms FROM __THIS__"),
-        CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=float(min_df), maxDF=max_df, vocabSize=vocabulary),
-        IDF(inputCol="__tf", outputCol="__idf"),
-        _AddCounts(counts="__tf", scaled="__idf", out="__tfidf"),
-        Normalizer(p=2.0, inputCol="__tfidf", outputCol="__features"),
-        LogisticRegression(featuresCol="__features", labelCol=label, weightCol="weight", maxIter=iterations,
-                           regParam=1.0 / (c * rows) if rows else 0.0, standardization=False),
-    ]
-    return Pipeline(stages=stages)
-
-
-def _AddCounts(counts: str, scaled: str, out: str):
-    """tf * idf + tf as an ML stage; both vectors have the same non-zero positions."""
-    from pyspark.ml import Transformer
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    class AddCounts(Transformer):
-        def _transform(self, dataset: DataFrame) -> DataFrame:
-            @F.udf(VectorUDT())
-            def add(tf, weighted):
-                extra = dict(zip(weighted.indices.tolist(), weighted.values.tolist()))
-                values = [v + extra.get(i, 0.0) for i, v in zip(tf.indices.tolist(), tf.values.tolist())]
-                return SparseVector(tf.size, tf.indices, values)
-
-            return dataset.withColumn(out, add(F.col(counts), F.col(scaled)))
-
-    return AddCounts()
-
-
-SCRATCH = ["__words", "__pairs", "__terms", "__tf", "__idf", "__tfidf", "__features", "rawPrediction"]
-
-
-def train_classifier(train: DataFrame, text: str = "text", label: str = "label", **options):
-    weighted = with_class_weights(train.withColumn(label, F.col(label).cast("int")), label)
-    return text_classifier(text, label, rows=weighted.count(), **options).fit(weighted)
+    ])
+    # tokens are read three times below: document frequencies, IDF, regression
+    terms = cut_lineage(prepare.transform(rows).select("__terms", label, "weight"))
+    counter = CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=float(min_df), maxDF=max_df,
+                              vocabSize=vocabulary).fit(terms)
+    counted = counter.transform(terms)
+    idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray() + 1.0
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__tfidf")
+    unit = Normalizer(p=2.0, inputCol="__tfidf", outputCol="__features")
+    regression = LogisticRegression(
+        featuresCol="__features", labelCol=label, weightCol="weight", maxIter=iterations,
+        regParam=1.0 / (c * max(1, terms.count())), standardization=False,
+    ).fit(unit.transform(scale.transform(counted)))
+    return PipelineModel([*prepare.stages, counter, scale, unit, regression])
 
 
 def predict_table(model, df: DataFrame, label: str, key: str = "candidate_id") -> DataFrame:

@@ -13,32 +13,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from policyspark.operators.ordinals import last_per_key
 
-_SPREAD = 1024
+def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Hash of the key; of a few numbers of the row instead where a key part is null.
 
-
-def _spread_nulls(df: DataFrame, keys: Sequence[str]) -> Column:
-    """-1 for complete keys, else one of many buckets drawn from the row's own values."""
+    As part of the join key it sends rows that cannot match to many partitions.
+    Only small columns are hashed, so that no text has to be read for it.
+    """
     incomplete = F.lit(False)
     for k in keys:
         incomplete = incomplete | F.col(k).isNull()
-    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()
-                and "variant" not in f.dataType.simpleString()]
-    return F.when(incomplete, F.pmod(F.xxhash64(*hashable), F.lit(_SPREAD)).cast("int")).otherwise(-1)
+    numbers = [f.name for f in df.schema.fields if f.name not in keys and isinstance(f.dataType, NumericType)]
+    return F.when(incomplete, F.xxhash64(*keys, *numbers[:2])).otherwise(F.xxhash64(*keys))
 
 
 def _keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi join on ``keys`` (same names on both sides); right keys are dropped."""
+    """Equi join on ``keys`` (same names and types on both sides); right keys are dropped."""
     right = right.select(*[c for c in right.columns if c not in keys],
-                         *[F.col(k).alias(f"__r_{k}") for k in keys], F.lit(-1).alias("__r_spread"))
-    left = left.withColumn("__spread", _spread_nulls(left, keys))
-    match = F.col("__spread") == F.col("__r_spread")
+                         *[F.col(k).alias(f"__r_{k}") for k in keys], F.xxhash64(*keys).alias("__r_hash"))
+    left = left.withColumn("__hash", _key_hash(left, keys))
+    match = F.col("__hash") == F.col("__r_hash")
     for k in keys:
         match = match & (F.col(k) == F.col(f"__r_{k}"))
     joined = left.join(right, match, how)
-    return joined.drop("__spread", "__r_spread", *[f"__r_{k}" for k in keys])
+    return joined.drop("__hash", "__r_hash", *[f"__r_{k}" for k in keys])
 
 
 def lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
@@ -47,7 +48,8 @@ def lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], order: str |
     Without ``order`` the caller vouches for unique keys. Column names other
     than the keys must not collide.
     """
-    table = table.dropna(subset=list(keys))
+    types = {f.name: f.dataType for f in facts.schema.fields}
+    table = table.withColumns({k: F.col(k).cast(types[k]) for k in keys}).dropna(subset=list(keys))
     if order is not None:
         table = last_per_key(table, keys, order).drop(*([] if order in keys else [order]))
     return _keyed_join(facts, table, keys, "left")

@@ -19,6 +19,7 @@ from pyspark.sql import Window
 from policyspark.session import parallelism
 
 _SLICE = "__slice"
+_GROUP = "__group"
 
 
 def slice_bounds(df: DataFrame, order: str, slices: int | None = None) -> list[float]:
@@ -52,32 +53,30 @@ def with_running_totals(
     monotone in the order. Totals are exclusive of the row itself unless
     ``inclusive``.
     """
-    keys = list(keys)
     if slice_by is None:
         if bounds is None:
             bounds = slice_bounds(df, order[0])
         slice_by = slice_column(order[0], bounds)
     add = {f"__v_{name}": value for name, value in totals.items()}
-    sliced = df.withColumns({_SLICE: slice_by, **add})
+    # The key travels as one struct: null parts compare equal, and join and
+    # window agree on (group, slice), so the rows are shuffled once for both.
+    group = F.struct(*([F.col(k) for k in keys] or [F.lit(0).alias("all")]))
+    sliced = df.withColumns({_GROUP: group, _SLICE: slice_by, **add})
 
-    parts = sliced.groupBy(*keys, _SLICE).agg(*[F.sum(v).alias(v) for v in add])
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_SLICE).rowsBetween(
-        Window.unboundedPreceding, -1)
+    parts = sliced.groupBy(_GROUP, _SLICE).agg(*[F.sum(v).alias(v) for v in add])
+    before = Window.partitionBy(_GROUP).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(_SLICE).alias("__k_slice"),
+        F.col(_GROUP).alias("__k_group"), F.col(_SLICE).alias("__k_slice"),
         *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__o{v}") for v in add],
     )
-    match = F.col(_SLICE) == F.col("__k_slice")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    local = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(
+    match = (F.col(_GROUP) == F.col("__k_group")) & (F.col(_SLICE) == F.col("__k_slice"))
+    local = Window.partitionBy(_GROUP, _SLICE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = sliced.join(offsets, match, "left")
-    out = joined.withColumns({
+    out = sliced.join(offsets, match).withColumns({
         name: F.coalesce(F.sum(f"__v_{name}").over(local), F.lit(0)) + F.col(f"__o__v_{name}")
         for name in totals
     })
-    return out.drop(_SLICE, *add, *[f"__o{v}" for v in add], "__k_slice", *[f"__k_{k}" for k in keys])
+    return out.drop(_GROUP, _SLICE, *add, *[f"__o{v}" for v in add], "__k_slice", "__k_group")
 
 
 def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number",

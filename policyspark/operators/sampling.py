@@ -105,10 +105,11 @@ def few_shot_block(train: DataFrame, text: str, label: str, id_column: str, k_po
     """One row: the rendered examples, k_pos positives then k_neg negatives in hash order."""
     def pick(value: int, k: int) -> DataFrame:
         chosen = train.where(F.col(label) == value)
-        return chosen.select(
+        picked = chosen.select(
             F.lit(1 - value).alias("part"), row_hash(id_column, seed).alias("rank"), F.col(id_column).alias("id"),
-            example_block(F.col(text), F.col(label), max_chars).alias("example"),
+            F.col(text).alias("text"), F.col(label).alias("label"),
         ).orderBy("rank", "id").limit(k)
+        return picked.select("part", "rank", "id", example_block(F.col("text"), F.col("label"), max_chars).alias("example"))
 
     examples = pick(1, k_pos).unionByName(pick(0, k_neg))
     ordered = F.array_sort(F.collect_list(F.struct("part", "rank", "id", "example")))
