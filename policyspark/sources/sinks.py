@@ -38,8 +38,10 @@ def write_crawl_index(index: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").option("header", header).option("escape", '"').option(
-        "emptyValue", "").option("nullValue", "").csv(path)
+    """CSV with doubled quotes; values keep their outer whitespace, nulls are empty."""
+    df.write.mode("overwrite").options(
+        header=header, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_analysis_csv(analysis: DataFrame, path: str) -> None:
