@@ -10,6 +10,7 @@ from policyspark.catalog.inputs import joined, table
 from policyspark.functions import html as H
 from policyspark.functions import urls as U
 from policyspark.operators import crawl, harmonise
+from policyspark.session import cut_lineage
 from policyspark.sources.tables import spread
 from policyspark.vocabulary import DIGITALIZATION_LEVELS
 
@@ -27,7 +28,8 @@ CLEAN_SQL = r"""clean AS (SELECT page_id, url, html,
 
 
 def unescape(column: str) -> str:
-    return (f"replace(replace(replace(replace({column}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')")
+    return (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({column}, '&quot;?', '\"', 'g'), '&copy;?', '©', 'g'), "
+            f"'&middot;?', '·', 'g'), '&amp;?', '&', 'g')")
 
 
 @query("page_text", sql=rf"""WITH {CLEAN_SQL}
@@ -223,6 +225,7 @@ CRAWL_WORDS = ["Mach", "1-urg", "5-low", "build"]
 def crawl_gated(spark, sf_dir):
     """The gated traversal of one site per nation with domain, keyword, document, PDF and request caps."""
     seeds, page_rows = site_graph(spark, sf_dir)
+    page_rows = cut_lineage(page_rows)  # built from joins here; a real page table is stored
     index = crawl.gated_crawl(seeds, page_rows, CRAWL_WORDS, CRAWL_LIMITS)
     return index.select("muni", "url", "depth", "status", "ct", "kept", "reason")
 
@@ -241,6 +244,7 @@ def crawl_gated(spark, sf_dir):
   FROM everything WHERE ord < 90""")
 def crawl_plain(spark, sf_dir):
     seeds, page_rows = site_graph(spark, sf_dir)
+    page_rows = cut_lineage(page_rows)
     docs = crawl.plain_crawl(seeds, page_rows, max_pages=90)
     return docs.select("municipality_id", "document_id", "source_url", "referrer_url", "mime_type", "http_status", "depth")
 

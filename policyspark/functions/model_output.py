@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from policyspark.functions.taxonomy import choices
 from policyspark.functions.terms import any_term
-from policyspark.functions.text import clamp_unit, col, first_filled, one_line, prefix, strip, to_number
+from policyspark.functions.text import clamp_unit, col, first_filled, let, one_line, prefix, strip, to_number
 from policyspark.vocabulary import (
     ANNOTATION_COLUMNS, DEFAULT_PROMPT, FALSE_WORDS, GATE_JSON_INSTRUCTIONS, INSTRUMENT_HEURISTICS,
     TRUE_WORDS,
@@ -94,24 +94,31 @@ def widest_json_object(answer: Column | str) -> Column:
 
 def gate_answer(answer: Column | str) -> Column:
     """struct<label, confidence, rationale> of a gate answer; label -1 when it cannot be parsed."""
-    found = widest_json_object(answer)
-    parsed = F.from_json(found, "struct<label:string,confidence:string,rationale:string>")
-    ok = F.try_parse_json(found).isNotNull()
-    keys = F.coalesce(F.json_object_keys(found), F.array().cast("array<string>"))
-
-    def has(key: str) -> Column:
-        return F.array_contains(keys, key)
-
-    label = F.when(has("label"), to_number(parsed.label).cast("int")).otherwise(-1)
-    confidence = F.when(has("confidence"), to_number(parsed.confidence)).otherwise(0.0)
-    broken = ~F.coalesce(ok, F.lit(False)) | label.isNull() | confidence.isNull()
-    return F.struct(
-        F.when(broken, -1).otherwise(label).alias("label"),
-        F.when(broken, 0.0).otherwise(confidence).alias("confidence"),
-        F.when(broken, F.lit("parse_error")).otherwise(
-            strip(F.when(has("rationale"), F.coalesce(parsed.rationale, F.lit("None"))).otherwise(""))
-        ).alias("rationale"),
-    )
+    def parse(found: Column) -> Column:
+        return F.struct(
+            F.from_json(found, "struct<label:string,confidence:string,rationale:string>").alias("v"),
+            F.coalesce(F.try_parse_json(found).isNotNull(), F.lit(False)).alias("ok"),
+            F.coalesce(F.json_object_keys(found), F.array().cast("array<string>")).alias("keys"))
+
+    def read(x: Column) -> Column:
+        def has(key: str) -> Column:
+            return F.array_contains(x["keys"], key)
+
+        rationale = F.when(has("rationale"), F.coalesce(x["v"]["rationale"], F.lit("None"))).otherwise("")
+        return F.struct(
+            x["ok"].alias("ok"),
+            F.when(has("label"), to_number(x["v"]["label"]).cast("int")).otherwise(-1).alias("label"),
+            F.when(has("confidence"), to_number(x["v"]["confidence"])).otherwise(0.0).alias("confidence"),
+            strip(rationale).alias("rationale"))
+
+    def settle(r: Column) -> Column:
+        fine = r["ok"] & r["label"].isNotNull() & r["confidence"].isNotNull()
+        return F.struct(
+            F.when(fine, r["label"]).otherwise(-1).alias("label"),
+            F.when(fine, r["confidence"]).otherwise(0.0).alias("confidence"),
+            F.when(fine, r["rationale"]).otherwise("parse_error").alias("rationale"))
+
+    return let(widest_json_object(answer), lambda found: let(parse(found), lambda x: let(read(x), settle)))
 
 
 def _aliased(answer: str, keys: Column, name: str, alias: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyspark.functions.text import col, filled_after_strip, strip
+from policyspark.functions.text import col, filled_after_strip, let, strip
 from policyspark.vocabulary import BASELINE_FALLBACKS, INSTRUMENT_ALIASES, TAXONOMIES
 
 
@@ -50,13 +50,15 @@ def label_key(c: Column | str) -> Column:
 def parse_label(c: Column | str, scheme: str, dimension: str, default: str | None = None) -> Column:
     """Exact id, else normalised id, else member name; ``default`` when nothing fits."""
     values = choices(scheme, dimension)
-    raw = filled_after_strip(c)
-    key = label_key(c)
-    return F.coalesce(
-        F.when(raw.isin(values), raw),
-        F.when(raw.isNotNull() & key.isin(values), key),
-        F.lit(default).cast("string"),
-    )
+    fallback = F.lit(default).cast("string")
+
+    def by_key(key: Column) -> Column:
+        # member names are the ids in upper case, so their keys are the ids
+        return F.when(key.isin(values), key).otherwise(fallback)
+
+    return let(
+        filled_after_strip(c),
+        lambda raw: F.when(raw.isNull(), fallback).when(raw.isin(values), raw).otherwise(let(label_key(raw), by_key)))
 
 
 def parse_labels(labels: Column | str, scheme: str, dimension: str) -> Column:

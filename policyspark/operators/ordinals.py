@@ -16,22 +16,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from policyspark.session import parallelism
+from policyspark.session import cut_lineage, parallelism
 
 _SLICE = "__slice"
 _GROUP = "__group"
 
 
+# A table of at most this many rows is numbered by one ordinary window.
+SMALL_TABLE = 100_000
+
+
 def slice_bounds(df: DataFrame, order: str, slices: int | None = None) -> list[float]:
-    """Order values that cut the table into about equal slices (a bounded list of numbers)."""
+    """Order values that cut the table into about equal slices (a bounded list of numbers).
+
+    Empty for a table that was counted and found small.
+    """
     slices = slices or parallelism(df.sparkSession)
-    cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.5 / slices)
-    return sorted(set(cuts))
+    parts = [i / slices for i in range(1, slices)]
+    seen = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(F.col(order).cast("double"), parts, 20 * slices).alias("cuts"),
+    ).first()
+    return [] if seen["n"] <= SMALL_TABLE else sorted(set(seen["cuts"] or []))
 
 
 def slice_column(order: str, bounds: Sequence[float]) -> Column:
-    if not bounds:
-        return F.lit(0)
     cuts = F.array(*[F.lit(float(b)) for b in bounds])
     return F.size(F.filter(cuts, lambda b: b < F.col(order).cast("double")))
 
@@ -56,6 +65,10 @@ def with_running_totals(
     if slice_by is None:
         if bounds is None:
             bounds = slice_bounds(df, order[0])
+        if not bounds:
+            whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(
+                Window.unboundedPreceding, 0 if inclusive else -1)
+            return df.withColumns({n: F.coalesce(F.sum(v).over(whole), F.lit(0)) for n, v in totals.items()})
         slice_by = slice_column(order[0], bounds)
     add = {f"__v_{name}": value for name, value in totals.items()}
     # The key travels as one struct: null parts compare equal, and join and
@@ -121,19 +134,27 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return kept if name else kept.drop(rank)
 
 
-def upper_median(df: DataFrame, column: str, name: str = "p50") -> DataFrame:
-    """One row with ``sorted(values)[n // 2]`` of the non-null values (null for none).
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n) of a column, combined map-side and kept in the checkpoint folder.
+
+    Nulls stay as a row with n = 0: filtering them out first would make the
+    optimizer compute the column twice.
+    """
+    counts = df.select(F.col(column).alias("value")).groupBy("value").agg(F.count("value").alias("n"))
+    return cut_lineage(counts)
+
+
+def upper_median(counts: DataFrame, name: str = "p50") -> DataFrame:
+    """One row with ``sorted(values)[n // 2]`` of a ``value_counts`` table (null for no values).
 
-    Values are counted first, so repeated values cost nothing; the rank search
-    runs over slices of the distinct values.
+    Repeated values cost nothing, and the rank search runs over slices of the
+    distinct values, so no task ever holds or sorts all of them.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__value")).agg(
-        F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__t")).scalar()
-    ranked = with_running_totals(counts, [], ["__value"], {"__below": F.col("__n")})
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
+    ranked = with_running_totals(counts, [], ["value"], {"__below": F.col("n")})
     middle = F.floor(total / 2)
-    return ranked.where((F.col("__below") <= middle) & (middle < F.col("__below") + F.col("__n"))).agg(
-        F.max("__value").alias(name))
+    return ranked.where((F.col("__below") <= middle) & (middle < F.col("__below") + F.col("n"))).agg(
+        F.max("value").alias(name))
 
 
 def row_hash(id_column: Column | str, seed: int) -> Column:

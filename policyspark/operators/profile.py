@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyspark.functions.text import category
-from policyspark.operators.ordinals import top_per_key, upper_median
+from policyspark.operators.ordinals import top_per_key, upper_median, value_counts
 from policyspark.vocabulary import PROFILE_FIELDS
 
 # --- fixed values: label, lower edge, upper edge (exclusive) -----------------
@@ -62,9 +62,8 @@ def top_values(measures: DataFrame, fields: Sequence[str], k: int = 10, total: C
 def confidence_buckets(measures: DataFrame, column: str = "confidence_score") -> DataFrame:
     """(bucket, n, pct) over all numeric confidences; values outside every bucket count in the base only."""
     value = F.col(column).try_cast("double")
-    numbers = measures.select(value.alias("c")).where(F.col("c").isNotNull())
-    counts = numbers.agg(
-        F.count(F.lit(1)).alias("base"),
+    counts = measures.select(value.alias("c")).agg(
+        F.count("c").alias("base"),
         *[F.count_if((F.col("c") >= lo) & (F.col("c") < hi)).alias(name) for name, lo, hi in CONFIDENCE_BUCKETS],
     )
     long = counts.unpivot(["base"], [f"`{b[0]}`" for b in CONFIDENCE_BUCKETS], "bucket", "n")
@@ -75,9 +74,9 @@ def confidence_buckets(measures: DataFrame, column: str = "confidence_score") ->
 
 def confidence_stats(measures: DataFrame, column: str = "confidence_score") -> DataFrame:
     """n, min, upper median and max of the numeric confidences."""
-    numbers = measures.select(F.col(column).try_cast("double").alias("c")).where(F.col("c").isNotNull())
-    ends = numbers.agg(F.count("c").alias("n"), F.min("c").alias("min"), F.max("c").alias("max"))
-    return ends.withColumn("p50", upper_median(numbers, "c").scalar()).select("n", "min", "p50", "max")
+    counts = value_counts(measures.select(F.col(column).try_cast("double").alias("c")), "c")
+    ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return ends.withColumn("p50", upper_median(counts).scalar()).select("n", "min", "p50", "max")
 
 
 def row_counters(df: DataFrame, status: Column) -> DataFrame:

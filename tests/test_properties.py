@@ -11,6 +11,12 @@ from policyspark.catalog.inputs import NEGATIVE, POSITIVE
 from policyspark.operators import bootstrap, classify, gate, joins, ordinals, sampling, snippets
 
 
+@pytest.fixture(autouse=True)
+def no_table_is_small(monkeypatch):
+    """Take the sliced path for every table."""
+    monkeypatch.setattr(ordinals, "SMALL_TABLE", 0)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """12,000 rows, one key with a third of them, a null key, scattered order values."""
@@ -37,6 +43,14 @@ def test_row_numbers_match_a_window_under_any_partitioning(hot):
         assert {r.id: r.n for r in got.collect()} == want
 
 
+def test_small_tables_take_one_window_with_the_same_result(hot, monkeypatch):
+    sliced = ordinals.with_row_number(hot, ["k"], ["o", "id"], "n")
+    monkeypatch.setattr(ordinals, "SMALL_TABLE", 1_000_000)
+    plain = ordinals.with_row_number(hot, ["k"], ["o", "id"], "n")
+    assert "Join" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert sliced.exceptAll(plain).count() == 0
+
+
 def test_hot_group_is_cut_into_slices(hot):
     bounds = ordinals.slice_bounds(hot, "o", 8)
     sizes = hot.where("k = 'hot'").groupBy(ordinals.slice_column("o", bounds).alias("s")).count()
@@ -53,8 +67,9 @@ def test_median_is_the_upper_one(spark):
     for n in (1, 2, 3, 10, 101, 400):
         values = [rng.choice([0.5, rng.random(), -1.0]) for _ in range(n)]
         df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
-        assert ordinals.upper_median(df, "v").first()[0] == sorted(values)[n // 2]
-    assert ordinals.upper_median(spark.createDataFrame([(None,)], "v double"), "v").first()[0] is None
+        assert ordinals.upper_median(ordinals.value_counts(df, "v")).first()[0] == sorted(values)[n // 2]
+    nothing = spark.createDataFrame([(None,)], "v double")
+    assert ordinals.upper_median(ordinals.value_counts(nothing, "v")).first()[0] is None
 
 
 def test_split_is_stratified_exact_and_stable(spark):
