@@ -13,6 +13,7 @@ from policyspark.functions import text as T
 from policyspark.functions.terms import KeywordRules, term_hits, with_keyword_score
 from policyspark.functions.urls import last_segment
 from policyspark.operators import classify, harmonise, ordinals, snippets
+from policyspark.sources import tables
 from policyspark.sources.ndjson import line_counters, parse_lines
 from policyspark.sources.tables import spread
 
@@ -310,12 +311,12 @@ def baseline_default_terms(spark, sf_dir):
 
 
 @query("labeler_fields", sql=f"""WITH {DOCUMENTS_SQL}
-  SELECT doc_id, substr(trim(text, ' ' || chr(10)), 1, 200) AS pick_text, trim(title, ' ' || chr(10)) AS pick_title,
+  SELECT doc_id, trim(text, ' ' || chr(10)) AS pick_text, trim(title, ' ' || chr(10)) AS pick_title,
     url AS pick_url, municipality_id AS pick_scope FROM docs""")
 def labeler_fields(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumnsRenamed({"text": "content", "url": "source_url"})
     blank = docs.withColumns({"text": F.lit("  "), "url": F.lit(None).cast("string")})
-    return harmonise.labeler_fields(blank, 200).select("doc_id", "pick_text", "pick_title", "pick_url", "pick_scope")
+    return harmonise.labeler_fields(blank).select("doc_id", "pick_text", "pick_title", "pick_url", "pick_scope")
 
 
 @query("labeler_fields_single", sql=f"""WITH {DOCUMENTS_SQL}
@@ -429,3 +430,53 @@ def category_values(spark, sf_dir):
         T.category(F.col("o_orderpriority").substr(F.lit(2), (F.lit(1) + F.col("o_orderkey") % 4).cast("int"))).alias("category"),
         T.to_number(F.col("o_orderpriority").substr(F.lit(1), (F.lit(1) + F.col("o_orderkey") % 2).cast("int"))).alias("number"),
         last_segment("o_orderpriority").alias("segment"))
+
+
+@query("read_order_ids", sql="""
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'own' || doc_id ELSE 'doc' || row_number() OVER (ORDER BY doc_id) END AS document_id
+  FROM documents""")
+def read_order_ids(spark, sf_dir):
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(d % 3 == 0, F.concat(F.lit("own"), d.cast("string"))).when(d % 3 == 1, "").alias("document_id"))
+    return ordinals.with_read_order_ids(docs, "doc_id").select("doc_id", "document_id")
+
+
+@query("municipality_rows", sql="""
+  SELECT 'c' || c_custkey AS municipality_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'c' || c_custkey END AS name,
+    CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'c' || c_custkey END AS official_name, 'https://' || c_custkey AS base_url,
+    CAST(CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 10 END AS INT) AS population, 'municipalities.csv' AS source
+  FROM customer WHERE c_custkey % 5 <> 0""")
+def municipality_rows(spark, sf_dir):
+    """customers as raw municipality rows; rows without a base url are dropped, names and source default."""
+    k = F.col("c_custkey")
+    s = k.cast("string")
+    raw = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), s).alias("municipality_id"), F.when(k % 2 == 0, F.col("c_name")).otherwise("").alias("name"),
+        F.when(k % 5 != 0, F.concat(F.lit("https://"), s)).alias("base_url"),
+        F.when(k % 4 != 0, (k * 10).cast("string")).otherwise("").alias("population"))
+    return tables.municipality_rows(raw).select("municipality_id", "name", "official_name", "base_url", "population", "source")
+
+
+@query("discovered_seeds", sql="""
+  SELECT 'u' || user_id AS municipality_id, max(event_id) || ' b' AS seeds FROM events WHERE event_id % 3 <> 0 GROUP BY user_id""")
+def discovered_seeds(spark, sf_dir):
+    """events as seed records: nulls inside a list are dropped, the last complete record per user counts."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("municipality_id"), F.col("event_id").alias("ord"),
+        F.when(F.col("event_id") % 3 != 0, F.array(
+            F.col("event_id").cast("string"), F.lit(None).cast("string"), F.lit("b"))).alias("discovered_seeds"))
+    return tables.discovered_seeds(rows).select("municipality_id", joined("discovered_seeds", " ").alias("seeds"))
+
+
+@query("crawl_targets", sql="""
+  SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'unknown' ELSE s_name END AS muni, 'https://' || s_suppkey AS url,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'a.de' ELSE '' END AS domains FROM supplier""")
+def crawl_targets(spark, sf_dir):
+    """suppliers as crawl targets under their alternative field names."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.when(k % 3 != 0, F.col("s_name")).alias("name"), F.concat(F.lit("https://"), k.cast("string")).alias("start_url"),
+        F.when(k % 2 == 0, "a.de").otherwise("").alias("domains"))
+    return tables.target_rows(rows).select("muni", "url", joined("allowed_domains", " ").alias("domains"))

@@ -21,15 +21,15 @@ POS_CONF = 0.3
 
 def gold(spark, sf_dir) -> DataFrame:
     """documents JOIN labels as the gold table."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality", "toxic")
     docs = documents(spark, sf_dir).select("document_id", "doc_id", "municipality_id", "text")
     return docs.join(labels, F.col("doc_id") == F.col("l_id")).select(
-        F.col("document_id").alias("candidate_id"), "doc_id", "municipality_id", "text",
+        F.col("document_id").alias("candidate_id"), "doc_id", "municipality_id", "text", "toxic",
         F.col("quality").alias("gold_is_policy_measure"))
 
 
 GOLD_SQL = """gold AS (SELECT CAST(d.doc_id AS VARCHAR) AS candidate_id, d.doc_id, d.source AS municipality_id, d.text,
-  l.quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+  l.quality AS label, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 @query("evidence_gate", sql=f"WITH {DOCUMENTS_SQL} SELECT doc_id, {EVIDENCE_SQL} AS evidence FROM docs")
@@ -170,20 +170,20 @@ def weak_pool_stats(spark, sf_dir):
 
 @query("leakage_anti_join", sql=f"""WITH {WEAK_SQL}
   SELECT w.candidate_id, w.rule_label FROM weak w
-  WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND l.doc_id % 3 = 0)""")
+  WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND l.toxic = 1)""")
 def leakage_anti_join(spark, sf_dir):
-    test = table(spark, sf_dir, "labels").where(F.col("doc_id") % 3 == 0).select(F.col("doc_id").alias("candidate_id"))
+    test = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("candidate_id"))
     return bootstrap.without_test_rows(weak_pool(spark, sf_dir), test).select("candidate_id", "rule_label")
 
 
 @query("bootstrap_trainset", sql=f"""WITH {WEAK_SQL}, {GOLD_SQL}
-  SELECT candidate_id, text, CAST(label AS INT) AS label FROM gold WHERE doc_id % 3 <> 0
+  SELECT candidate_id, text, CAST(label AS INT) AS label FROM gold WHERE toxic = 0
   UNION ALL SELECT candidate_id, text, CAST(rule_label AS INT) FROM weak
   WHERE ((rule_label = 1 AND rule_score >= 3) OR (rule_label = 0 AND rule_score <= 0))
-    AND doc_id NOT IN (SELECT doc_id FROM gold WHERE doc_id % 3 = 0)""")
+    AND doc_id NOT IN (SELECT doc_id FROM gold WHERE toxic = 1)""")
 def bootstrap_trainset(spark, sf_dir):
     g = gold(spark, sf_dir)
-    test, train = g.where(F.col("doc_id") % 3 == 0), g.where(F.col("doc_id") % 3 != 0)
+    test, train = g.where("toxic = 1"), g.where("toxic = 0")
     return bootstrap.training_set(train, bootstrap.without_test_rows(weak_pool(spark, sf_dir), test))
 
 
@@ -215,10 +215,23 @@ def split_summary(spark, sf_dir):
     return sampling.split_summary(split, "quality")
 
 
-@query("stratified_split")
+def _rank_sql(key: str) -> str:
+    return f"substr(md5('42:' || {key}), 1, 15), {key}"
+
+
+SPLIT_SQL = f"""sizes AS (SELECT quality, n, ceil(round(sum(n) OVER () * 0.3::DOUBLE, 9)) AS wanted, sum(n) OVER () AS total
+    FROM (SELECT quality, count(*) AS n FROM labels GROUP BY quality)),
+  shares AS (SELECT *, floor(n * wanted / total) AS fl, n * wanted / total - floor(n * wanted / total) AS rest FROM sizes),
+  tests AS (SELECT quality, fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, quality) <= wanted - sum(fl) OVER () THEN 1 ELSE 0 END AS n_test
+    FROM shares),
+  split AS (SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {_rank_sql('doc_id')}) <= n_test
+    THEN 'test' ELSE 'train' END AS split FROM labels JOIN tests USING (quality))"""
+
+
+@query("stratified_split", sql=f"WITH {SPLIT_SQL} SELECT doc_id, quality, split FROM split")
 def stratified_split(spark, sf_dir):
-    """Membership follows a seeded hash, which SQL engines do not share; sizes are checked above."""
-    return sampling.stratified_split(table(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "quality", "split")
+    labels = table(spark, sf_dir, "labels")
+    return sampling.stratified_split(labels, "doc_id", "quality", portable=True).select("doc_id", "quality", "split")
 
 
 @query("class_balanced_head", sql="""
@@ -228,14 +241,17 @@ def class_balanced_head(spark, sf_dir):
     return sampling.balanced_head(table(spark, sf_dir, "labels"), "quality", "doc_id", 40).select("doc_id", "quality")
 
 
-@query("seeded_sample")
+@query("seeded_sample", sql=f"SELECT doc_id, source FROM documents ORDER BY {_rank_sql('doc_id')} LIMIT 50")
 def seeded_sample(spark, sf_dir):
-    return sampling.seeded_sample(table(spark, sf_dir, "documents"), "doc_id", 50).select("doc_id", "source")
+    return sampling.seeded_sample(table(spark, sf_dir, "documents"), "doc_id", 50, portable=True).select("doc_id", "source")
 
 
-@query("few_shot_block")
+@query("few_shot_block", sql=f"""WITH {GOLD_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_rank_sql('candidate_id')}) AS k FROM gold)
+  SELECT rtrim(string_agg('EXAMPLE' || chr(10) || 'TEXT:' || chr(10) || text || chr(10) || 'OUTPUT:' || chr(10) || '{{"label": ' || label
+    || ', "confidence": 0.9, "rationale": "example"}}' || chr(10), chr(10) ORDER BY label DESC, k), chr(10)) AS block FROM p WHERE k <= 3""")
 def few_shot_block(spark, sf_dir):
-    return sampling.few_shot_block(gold(spark, sf_dir), "text", "gold_is_policy_measure", "candidate_id")
+    return sampling.few_shot_block(
+        gold(spark, sf_dir), "text", "gold_is_policy_measure", "candidate_id", max_chars=0, portable=True)
 
 
 @query("gold_text_join", sql=f"""WITH {PREDICTIONS_SQL}
@@ -278,23 +294,29 @@ def _stand_in(prompts: list[str]) -> list[str]:
 
 
 @query("labeler_roundtrip", sql=f"""WITH p AS (SELECT doc_id, l.quality,
-    length('{GATE_JSON_INSTRUCTIONS}' || '..' || 'TEXT:.' || substr(text, 1, 2000)) AS n
+    length('{GATE_JSON_INSTRUCTIONS}' || '..' || 'TEXT:.' || text) AS n
     FROM documents JOIN labels l USING (doc_id)),
   a AS (SELECT *, n % 3 - 1 AS label, (n % 10)::DOUBLE / 10 AS confidence FROM p)
   SELECT CAST(doc_id AS VARCHAR) AS candidate_id, quality AS gold_label,
     CAST(CASE WHEN label = -1 OR confidence < 0.6::DOUBLE THEN NULL WHEN label = 1 THEN 1 ELSE 0 END AS INT) AS pred_label,
     label = -1 OR confidence < 0.6::DOUBLE AS abstained, round(confidence, 6) AS confidence, 'n ' || (n % 7) AS rationale FROM a""")
 def labeler_roundtrip(spark, sf_dir):
-    out = labeling.gate_predictions(gold(spark, sf_dir), _stand_in, "text", "gold_is_policy_measure")
+    out = labeling.gate_predictions(gold(spark, sf_dir), _stand_in, "text", "gold_is_policy_measure", max_chars=0)
     return rounded(out.select("candidate_id", "gold_label", "pred_label", "abstained", "confidence", "rationale"))
 
 
-@query("gate_evaluation_zero_shot")
+@query("gate_evaluation_zero_shot", sql=f"""WITH {SPLIT_SQL}, t AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality,
+    length('{GATE_JSON_INSTRUCTIONS}' || '..' || 'TEXT:.' || text) AS n FROM split JOIN documents USING (doc_id) WHERE split = 'test'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY id) AS k FROM t),
+  head AS (SELECT * FROM r WHERE (quality = 1 AND k <= 25) OR (quality = 0 AND k <= 100 - least(25, (SELECT sum(quality) FROM t)))),
+  a AS (SELECT quality AS gold_label, n % 3 - 1 = -1 OR (n % 10)::DOUBLE / 10 < 0.6::DOUBLE AS abstained, n % 3 - 1 AS label FROM head),
+  preds AS (SELECT gold_label, abstained, CASE WHEN abstained THEN NULL WHEN label = 1 THEN 1 ELSE 0 END AS pred_label FROM a),
+  m AS ({METRICS_SQL.format(by='', source='preds', group='')}) {ratios_sql()}""")
 def gate_evaluation_zero_shot(spark, sf_dir):
-    """Split, head of the test side, labeler, metrics; the split follows a seeded hash."""
-    g = gold(spark, sf_dir)
-    _, metrics = stages.gate_evaluation(g, _stand_in, "text", max_test_n=100, ensure_pos=True)
-    return metrics
+    """Split, balanced head of the test side (the head is the feature), labeler, metrics."""
+    _, metrics = stages.gate_evaluation(
+        gold(spark, sf_dir), _stand_in, "text", max_chars=0, max_test_n=100, ensure_pos=True, portable=True)
+    return rounded(metrics)
 
 
 @query("regate_metrics", sql=f"WITH {gated_sql('0.9')}, m AS ({METRICS_SQL.format(by='', source='gated', group='')}) {ratios_sql()}".replace(

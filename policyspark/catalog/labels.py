@@ -12,6 +12,7 @@ from policyspark.functions import model_output as M
 from policyspark.functions import taxonomy as X
 from policyspark.functions.text import clamp_unit
 from policyspark.operators import contracts, export, joins, labeling
+from policyspark.operators.ordinals import with_batch_number
 from policyspark.vocabulary import ANNOTATION_COLUMNS, INSTRUMENT_ALIASES, TAXONOMIES
 
 
@@ -426,3 +427,39 @@ def candidate_records(spark, sf_dir):
         F.concat(F.lit("snippet "), F.col("o_orderkey").cast("string")).alias("snippet"), F.col("raw").alias("policy_area"))
     out = export.measure_records(export.candidate_records(rows))
     return out.select("measure_id", "policy_area", "description", "instrument_type", joined("target_sectors").alias("target_sectors"))
+
+
+@query("label_bundles", sql=f"""WITH r AS (SELECT c_custkey, {sql_array(SECTORS)} AS s, {sql_array(AREAS)} AS a FROM customer)
+  SELECT c_custkey, upper(a[c_custkey % {len(AREAS)} + 1]) AS policy_area, upper(s[c_custkey % 8 + 1]) AS target_sectors,
+    CASE WHEN c_custkey % 2 = 0 THEN 'TRUE' END AS funding_available, NULL::VARCHAR AS governance_type FROM r""")
+def label_bundles(spark, sf_dir):
+    """The label bundle of records with free spellings, in its debug form."""
+    k = F.col("c_custkey")
+    area = F.element_at(F.array(*[F.lit(a) for a in AREAS]), (k % len(AREAS) + 1).cast("int"))
+    sector = F.element_at(F.array(*[F.lit(s) for s in SECTORS]), (k % len(SECTORS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.upper(F.replace(area, F.lit("_"), F.lit(" "))).alias("policy_area"),
+        F.array(sector, F.lit("?"), F.upper(sector)).alias("target_sectors"),
+        F.when(k % 2 == 0, "TRUE").otherwise("perhaps").alias("funding_available"))
+    out = X.label_bundle(rows, debug=True)
+    return out.select("c_custkey", "policy_area", joined("target_sectors").alias("target_sectors"), "funding_available", "governance_type")
+
+
+@query("annotation_prompts", sql=f"""WITH {DOCUMENTS_SQL}
+  SELECT doc_id, trim('Annotate.' || chr(10) || '- municipality: ' || municipality_id || chr(10) || '- title: ' || title || chr(10) || chr(10)
+    || text, ' ' || chr(10)) AS prompt FROM docs""")
+def annotation_prompts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", M.annotation_prompt("Annotate.", ["municipality", "title"]).alias("prompt"))
+
+
+@query("aligned_batches", sql="""WITH r AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 16 AS batch FROM orders),
+  b AS (SELECT batch, list(o_orderkey ORDER BY o_orderkey) AS k FROM r GROUP BY batch)
+  SELECT batch, len(k) - 1 AS n, k[1] AS first_input, 'a' || k[2] AS first_result FROM b WHERE len(k) > 1""")
+def aligned_batches(spark, sf_dir):
+    """Batches of 16 whose results are one short: pairs up to the shorter side."""
+    numbered = with_batch_number(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 16)
+    orders = numbered.groupBy("batch").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    results = F.transform(F.slice("k", 2, 1 << 30), lambda x: F.concat(F.lit("a"), x.cast("string")))
+    pairs = orders.select("batch", joins.align_by_position(F.col("k"), results).alias("p")).where(F.size("p") > 0)
+    return pairs.select("batch", F.size("p").cast("long").alias("n"), F.col("p")[0]["input"].alias("first_input"),
+                        F.col("p")[0]["result"].alias("first_result"))

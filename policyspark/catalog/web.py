@@ -157,7 +157,8 @@ def crawl_seeds(spark, sf_dir):
 
 # A site per nation: its home page links its customers in key order, a customer
 # page links its orders. Statuses, types and anchors follow from the rows.
-def site_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def site_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seeds, pages, edges)"""
     n, c, o = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
 
     def url(*parts) -> F.Column:
@@ -166,30 +167,28 @@ def site_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     def text(name: str):
         return F.col(name).cast("string")
 
+    home_url = url(text("n_nationkey"), ".example/")
     customer_url = url(text("c_nationkey"), ".example/c/", text("c_custkey"))
-    homes = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("c_custkey").alias("k"), customer_url.alias("url"), F.lower("c_mktsegment").alias("anchor")))).alias("l"))
-    home = n.join(homes, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(
-        url(text("n_nationkey"), ".example/").alias("url"), F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("ct"),
-        F.transform("l", lambda x: F.struct(x["url"].alias("url"), x["anchor"].alias("anchor"))).alias("links"))
-    owned = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     order_url = url(text("c_nationkey"), ".example/o/", text("o_orderkey"), F.when(F.col("o_orderkey") % 4 == 0, ".pdf").otherwise(""))
-    lists = owned.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("o_orderkey").alias("k"), order_url.alias("url"), F.lower("o_orderpriority").alias("anchor")))).alias("l"))
-    middle = c.join(lists, F.col("o_custkey") == F.col("c_custkey"), "left").select(
-        customer_url.alias("url"), F.when(F.col("c_custkey") % 7 == 0, 404).otherwise(200).alias("status"),
-        F.when(F.col("c_custkey") % 11 == 0, "image/png").otherwise("text/html").alias("ct"),
-        F.transform("l", lambda x: F.struct(x["url"].alias("url"), x["anchor"].alias("anchor"))).alias("links"))
+    owned = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    home = n.select(home_url.alias("url"), F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("ct"))
+    middle = c.select(customer_url.alias("url"), F.when(F.col("c_custkey") % 7 == 0, 404).otherwise(200).alias("status"),
+                      F.when(F.col("c_custkey") % 11 == 0, "image/png").otherwise("text/html").alias("ct"))
     leaves = owned.where("o_orderkey % 9 <> 0").select(
         order_url.alias("url"), F.lit(200).alias("status"),
-        F.when(F.col("o_orderkey") % 4 == 0, "application/pdf").otherwise("text/html").alias("ct"),
-        F.array().cast("array<struct<url:string,anchor:string>>").alias("links"))
+        F.when(F.col("o_orderkey") % 4 == 0, "application/pdf").otherwise("text/html").alias("ct"))
     page_rows = home.unionByName(middle).unionByName(leaves).withColumn("content_key", F.sha2("url", 256))
+    edges = c.select(
+        url(text("c_nationkey"), ".example/").alias("url"), F.col("c_custkey").alias("pos"), customer_url.alias("link"),
+        F.lower("c_mktsegment").alias("anchor"),
+    ).unionByName(owned.select(
+        customer_url.alias("url"), F.col("o_orderkey").alias("pos"), order_url.alias("link"),
+        F.lower("o_orderpriority").alias("anchor")))
     seeds = n.select(
-        F.concat(F.lit("n"), text("n_nationkey")).alias("muni"), url(text("n_nationkey"), ".example/").alias("url"),
+        F.concat(F.lit("n"), text("n_nationkey")).alias("muni"), home_url.alias("url"),
         F.array(url(text("n_nationkey"), ".Example").substr(F.lit(9), F.lit(30))).alias("allowed_domains"),
         F.lit(0).alias("position"))
-    return seeds, page_rows
+    return seeds, page_rows, edges
 
 
 CRAWL_SQL = """f0 AS (SELECT n_nationkey AS n FROM nation),
@@ -224,9 +223,9 @@ CRAWL_WORDS = ["Mach", "1-urg", "5-low", "build"]
     CASE WHEN NOT missing AND NOT kept THEN 'pdf_cap' END FROM l2""")
 def crawl_gated(spark, sf_dir):
     """The gated traversal of one site per nation with domain, keyword, document, PDF and request caps."""
-    seeds, page_rows = site_graph(spark, sf_dir)
-    page_rows = cut_lineage(page_rows)  # built from joins here; a real page table is stored
-    index = crawl.gated_crawl(seeds, page_rows, CRAWL_WORDS, CRAWL_LIMITS)
+    seeds, page_rows, edges = site_graph(spark, sf_dir)
+    # built from joins here; real page and edge tables are stored
+    index = crawl.gated_crawl(seeds, cut_lineage(page_rows), cut_lineage(edges), CRAWL_WORDS, CRAWL_LIMITS)
     return index.select("muni", "url", "depth", "status", "ct", "kept", "reason")
 
 
@@ -243,9 +242,8 @@ def crawl_gated(spark, sf_dir):
   SELECT 'n' || n AS municipality_id, 'n' || n || '::' || ord AS document_id, url AS source_url, referrer_url, mime_type, http_status, depth
   FROM everything WHERE ord < 90""")
 def crawl_plain(spark, sf_dir):
-    seeds, page_rows = site_graph(spark, sf_dir)
-    page_rows = cut_lineage(page_rows)
-    docs = crawl.plain_crawl(seeds, page_rows, max_pages=90)
+    seeds, page_rows, edges = site_graph(spark, sf_dir)
+    docs = crawl.plain_crawl(seeds, cut_lineage(page_rows), cut_lineage(edges), max_pages=90)
     return docs.select("municipality_id", "document_id", "source_url", "referrer_url", "mime_type", "http_status", "depth")
 
 

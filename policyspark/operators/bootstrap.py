@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from policyspark.operators.gate import plain_metrics
 from policyspark.operators.joins import without
+from policyspark.operators.ordinals import small_map
 from policyspark.operators.sampling import split_summary, stratified_split
 from policyspark.session import cut_lineage
 
@@ -62,8 +63,7 @@ def training_set(gold_train: DataFrame, pool: DataFrame, text: str = "text",
 def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
     """Balanced weights n / (classes * n_class) from one aggregate over the labels."""
     counts = df.groupBy(F.col(label).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    by_label = counts.agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("m")).scalar()
-    tagged = df.withColumn("__counts", by_label)
+    tagged = df.withColumn("__counts", small_map(counts, "l", "n"))
     total = F.aggregate(F.map_values("__counts"), F.lit(0).cast("long"), lambda a, b: a + b)
     mine = F.element_at("__counts", F.col(label).cast("int"))
     return tagged.withColumn(weight, total / (F.size("__counts") * mine)).drop("__counts")

@@ -53,27 +53,32 @@ class CrawlLimits:
 
 
 def page_table(pages: DataFrame, html: str = "html", url: str = "url", status: str | None = None,
-               content_type: str | None = None, base_url: str | None = None) -> DataFrame:
-    """(url, status, ct, content_key, links) of fetched HTML pages; links resolved, HTML dropped."""
-    parsed = pages.withColumn("__p", page_parts(html, base_url or url, ["links"]))
-    return parsed.select(
-        F.col(url).alias("url"),
-        (F.col(status) if status else F.lit(200)).cast("int").alias("status"),
+               content_type: str | None = None) -> DataFrame:
+    """(url, status, ct, content_key) of fetched HTML pages."""
+    return pages.select(
+        F.col(url).alias("url"), (F.col(status) if status else F.lit(200)).cast("int").alias("status"),
         (F.col(content_type) if content_type else F.lit("text/html")).alias("ct"),
-        F.sha2(F.col(html), 256).alias("content_key"),
-        F.transform("__p.links", lambda x: F.struct(x["url"].alias("url"), x["anchor"].alias("anchor"))).alias("links"),
-    )
+        F.sha2(F.col(html), 256).alias("content_key"))
+
+
+def page_edges(pages: DataFrame, html: str = "html", url: str = "url", base_url: str | None = None) -> DataFrame:
+    """(url, pos, link, anchor): one row per link of a page, resolved against ``base_url`` or the page."""
+    found = pages.select(
+        F.col(url).alias("url"), F.explode_outer(page_parts(html, base_url or url, ["links"])["links"]).alias("l"))
+    return found.where(F.col("l").isNotNull()).select(
+        "url", "l.pos", F.col("l.url").alias("link"), F.col("l.anchor").alias("anchor"))
 
 
 def gated_crawl(
-    seeds: DataFrame, pages: DataFrame, keywords: Sequence[str], limits: CrawlLimits = CrawlLimits(),
+    seeds: DataFrame, pages: DataFrame, edges: DataFrame, keywords: Sequence[str], limits: CrawlLimits = CrawlLimits(),
     allowed_types: Sequence[str] = ("text/html", "application/pdf"),
 ) -> DataFrame:
     """Index rows (muni, url, depth, ord, status, ct, kept, reason, raw_path) of the gated traversal.
 
     ``seeds``: (muni, url, allowed_domains); ``pages``: the page table, unique
-    per url. A url without a page row is a failed fetch. Links are followed
-    from kept HTML pages when domain and keyword gate pass.
+    per url; ``edges``: (url, pos, link, anchor). A url without a page row is a
+    failed fetch. Links are followed from kept HTML pages when domain and
+    keyword gate pass.
     """
     lowered = [k.lower() for k in keywords]
 
@@ -123,7 +128,7 @@ def gated_crawl(
             "docs": F.count_if("kept"), "pdfs": F.count_if(F.col("kept") & F.col("is_pdf")),
             "reqs": F.count_if(F.col("status") != "error")})
         frontier = cut_lineage(_next_level(
-            done.where(F.col("kept") & ~F.col("is_pdf")), pages, visited,
+            done.where(F.col("kept") & ~F.col("is_pdf")), edges, visited,
             lambda u, a: domain_allowed(u, "allowed_domains") & gate(u, a)))
         if frontier.isEmpty():
             break
@@ -148,40 +153,35 @@ def _spend(tally: DataFrame, done: DataFrame, counts: dict[str, Column]) -> Data
         "t_muni", *[(F.col(f"t_{n}") + F.coalesce(F.col(f"s_{n}"), F.lit(0))).alias(f"t_{n}") for n in counts])
 
 
-def _next_level(parents: DataFrame, pages: DataFrame, visited: DataFrame, follow) -> DataFrame:
+def _next_level(parents: DataFrame, edges: DataFrame, visited: DataFrame, follow) -> DataFrame:
     """Unvisited links of a level; the first occurrence of a url per municipality keeps its place.
 
-    Link lists are only read for the few pages that are expanded. Visit order =
-    place of the parent among the expanded pages of its level, times the
-    longest link list, plus the position of the link. The place is dense and
-    bounded by the document cap, so the number stays small at any depth.
+    Visit order = place of the parent among the expanded pages of its level,
+    times the largest link position, plus the position of the link. The place
+    is dense and bounded by the document cap, so the number stays small at any
+    depth.
     """
-    expanded = lookup(parents.select("muni", "url", "place", "allowed_domains"), pages.select("url", "links"), ["url"])
-    expanded = cut_lineage(expanded.where(F.size("links") > 0))
-    widest = expanded.agg(F.coalesce(F.max(F.size("links")), F.lit(1)).cast("long").alias("w")).scalar()
-    ranked = expanded.withColumn("__w", widest)
-    links = ranked.select(
-        "muni", "allowed_domains", (F.col("place") * F.col("__w")).alias("__base"),
-        F.col("url").alias("referrer"), F.posexplode("links").alias("__pos", "__link"),
-    ).select(
-        "muni", "allowed_domains", F.col("__link.url").alias("url"), F.col("__link.anchor").alias("anchor"),
-        "referrer", (F.col("__base") + F.col("__pos")).alias("ord"),
-    ).where(follow(F.col("url"), F.col("anchor")))
-    firsts = links.groupBy("muni", "url").agg(
+    sources = parents.select(F.col("url").alias("p_url"), "muni", "place", "allowed_domains")
+    links = cut_lineage(sources.join(edges, F.col("p_url") == F.col("url")).select(
+        "muni", "allowed_domains", F.col("p_url").alias("referrer"), "place", F.col("pos").cast("long").alias("pos"),
+        F.col("link").alias("url"), "anchor").where(follow(F.col("url"), F.col("anchor"))))
+    widest = links.agg(F.coalesce(F.max("pos"), F.lit(0)) + 1).scalar()
+    placed = links.withColumn("ord", F.col("place") * widest + F.col("pos"))
+    firsts = placed.groupBy("muni", "url").agg(
         F.min_by(F.struct("allowed_domains", "referrer"), "ord").alias("__f"), F.min("ord").alias("ord"))
     fresh = firsts.join(visited, ["muni", "url"], "left_anti")
     return fresh.select("muni", "url", "__f.allowed_domains", "__f.referrer", "ord")
 
 
 def plain_crawl(
-    seeds: DataFrame, pages: DataFrame, max_pages: int = 40, max_depth: int = 2, max_pdfs: int = 8,
+    seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_pages: int = 40, max_depth: int = 2, max_pdfs: int = 8,
     extensions: Sequence[str] = tuple(CRAWL_EXCLUDED_EXTENSIONS), timestamp: Column | None = None,
 ) -> DataFrame:
     """Ungated traversal: only assets are skipped, failed fetches count against the page cap.
 
-    ``seeds``: (muni, url, position). ``pages``: page table whose links are
-    already resolved the way the caller wants (against the municipality's base
-    URL in the classic run). Every visited url gets a raw document row with the
+    ``seeds``: (muni, url, position). The links of ``edges`` are resolved the
+    way the caller wants (against the municipality's base URL in the classic
+    run). Every visited url gets a raw document row with the
     per-municipality number as document id.
     """
     empty = F.array().cast("array<string>")
@@ -218,7 +218,7 @@ def plain_crawl(
             break
         tally = _spend(tally, done, {"rows": F.count(F.lit(1)), "pdfs": F.count_if("is_pdf")})
         frontier = cut_lineage(_next_level(
-            done.where(F.col("is_html") & F.col("http_status").between(200, 299)), pages, visited,
+            done.where(F.col("is_html") & F.col("http_status").between(200, 299)), edges, visited,
             lambda u, a: ~has_extension(u, extensions)))
         if frontier.isEmpty():
             break

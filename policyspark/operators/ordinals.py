@@ -99,6 +99,17 @@ def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
     return out.withColumn(name, (F.col(name) + start).cast("long"))
 
 
+def with_read_order_ids(df: DataFrame, order: str, name: str = "document_id", prefix: str = "doc") -> DataFrame:
+    """Fill missing or empty ids with ``doc{n}``, n being the 1-based position of the row in ``order``.
+
+    Every row takes a number, also those that keep their id. Ids of this kind
+    change when rows are added in front; content ids do not.
+    """
+    numbered = with_row_number(df, [], [order], "__n", start=1)
+    own = F.nullif(F.col(name).cast("string"), F.lit(""))
+    return numbered.withColumn(name, F.coalesce(own, F.concat(F.lit(prefix), F.col("__n").cast("string")))).drop("__n")
+
+
 def with_batch_number(df: DataFrame, order: Sequence[str], size: int, name: str = "batch") -> DataFrame:
     """Fixed-size batches in input order."""
     numbered = with_row_number(df, [], order, name)
@@ -157,7 +168,24 @@ def upper_median(counts: DataFrame, name: str = "p50") -> DataFrame:
         F.max("value").alias(name))
 
 
-def row_hash(id_column: Column | str, seed: int) -> Column:
-    """Seeded 64-bit hash of an id: the same under every partitioning."""
-    id_column = F.col(id_column) if isinstance(id_column, str) else id_column
-    return F.xxhash64(F.lit(seed), id_column.cast("string"))
+def small_map(df: DataFrame, key: Column | str, value: Column | str, limit: int = 10_000) -> Column:
+    """A table of few rows as one map for use in expressions; fails when it holds more than ``limit`` rows."""
+    key, value = (F.col(c) if isinstance(c, str) else c for c in (key, value))
+    pairs = df.select(F.struct(key.alias("key"), value.alias("value")).alias("p")).limit(limit + 1)
+    entries = F.collect_list("p")
+    return pairs.agg(
+        F.when(F.size(entries) > limit, F.raise_error(F.lit(f"more than {limit} groups")).cast("void"))
+        .otherwise(F.map_from_entries(entries)).alias("m")).scalar()
+
+
+def row_hash(id_column: Column | str, seed: int, portable: bool = False) -> Column:
+    """Seeded uniform 64-bit hash of an id: the same under every partitioning.
+
+    The portable form (MD5, slower) orders ids the way any SQL engine can:
+    by the first 15 hex digits of md5('seed:id').
+    """
+    text = (F.col(id_column) if isinstance(id_column, str) else id_column).cast("string")
+    if not portable:
+        return F.xxhash64(F.lit(seed), text)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 15)
+    return (F.conv(digits, 16, 10).cast("long") - F.lit(1 << 59)) * 16

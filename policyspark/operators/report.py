@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyspark.functions.text import col, strip
-from policyspark.operators.ordinals import top_per_key
+from policyspark.operators.ordinals import small_map, top_per_key
 
 # --- fixed values: words of binary labels ------------------------------------
 LABEL_WORDS = {"true": 1, "false": 0, "yes": 1, "no": 0, "y": 1, "n": 0}
@@ -71,11 +71,10 @@ def histogram(df: DataFrame, group: Column | str, value: Column | str, bins: int
     """
     base = df.select(col(group).alias("grp"), col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     ranges = base.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    table = ranges.agg(F.map_from_entries(F.collect_list(F.struct(
-        "grp", F.struct(
-            F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        )))).alias("m")).scalar()
+    single = F.col("lo") == F.col("hi")
+    table = small_map(ranges, "grp", F.struct(
+        F.when(single, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(single, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi")))
     ranged = base.withColumn("r", F.element_at(table, F.col("grp")))
     place = (F.col("v") - F.col("r.lo")) * bins / (F.col("r.hi") - F.col("r.lo"))
     counted = ranged.select(

@@ -23,11 +23,11 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
+def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int = 42, portable: bool = False) -> DataFrame:
     """``n`` rows by hash order; everything when ``n`` is not positive or not smaller than the table."""
     if n <= 0:
         return df
-    return df.orderBy(row_hash(id_column, seed), F.col(id_column)).limit(n)
+    return df.orderBy(row_hash(id_column, seed, portable), F.col(id_column)).limit(n)
 
 
 def lowest(df: DataFrame, column: str, order: str, k: int, keep_rows: int | None = None) -> DataFrame:
@@ -55,14 +55,14 @@ def test_sizes(df: DataFrame, label: str, test_frac: float) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, id_column: str, label: str, test_frac: float = 0.3, seed: int = 42,
-                     name: str = "split") -> DataFrame:
+                     name: str = "split", portable: bool = False) -> DataFrame:
     """Tag every row 'train' or 'test', keeping the label shares.
 
     Within a label rows are ordered by a seeded hash of their id. A label can
     hold most of the table, so the order is cut into uniform hash slices.
     """
     slices = parallelism(df.sparkSession)
-    hashed = df.withColumns({"__hash": row_hash(id_column, seed), "__label": F.col(label)})
+    hashed = df.withColumns({"__hash": row_hash(id_column, seed, portable), "__label": F.col(label)})
     ranked = with_row_number(
         hashed, ["__label"], ["__hash", id_column], "__rank", slice_by=uniform_slice(F.col("__hash"), slices))
     sizes = test_sizes(df, label, test_frac).select(F.col("label").alias("__l"), "n_test")
@@ -101,12 +101,12 @@ def balanced_head(df: DataFrame, label: str, order: str, n: int, ensure_positive
 
 
 def few_shot_block(train: DataFrame, text: str, label: str, id_column: str, k_pos: int = 3, k_neg: int = 3,
-                   seed: int = 42, max_chars: int = 2000) -> DataFrame:
+                   seed: int = 42, max_chars: int = 2000, portable: bool = False) -> DataFrame:
     """One row: the rendered examples, k_pos positives then k_neg negatives in hash order."""
     def pick(value: int, k: int) -> DataFrame:
         chosen = train.where(F.col(label) == value)
         picked = chosen.select(
-            F.lit(1 - value).alias("part"), row_hash(id_column, seed).alias("rank"), F.col(id_column).alias("id"),
+            F.lit(1 - value).alias("part"), row_hash(id_column, seed, portable).alias("rank"), F.col(id_column).alias("id"),
             F.col(text).alias("text"), F.col(label).alias("label"),
         ).orderBy("rank", "id").limit(k)
         return picked.select("part", "rank", "id", example_block(F.col("text"), F.col("label"), max_chars).alias("example"))

@@ -47,7 +47,7 @@ def analysis(measures: DataFrame, documents: DataFrame, municipalities: DataFram
 
 
 def inspect(measures: DataFrame, order: str, id_column: str = "candidate_id", top_k: int = 10,
-            show_lowest: int = 5, show_random: int = 5, keep_rows: int | None = 20000, seed: int = 42,
+            show_lowest: int = 10, show_random: int = 10, keep_rows: int | None = 20000, seed: int = 42,
             broken: str | None = None) -> dict[str, DataFrame]:
     """The measure profile as named tables.
 
@@ -83,18 +83,18 @@ def gate_evaluation(gold: DataFrame, labeler: Labeler, text: str = "text_for_ann
                     label_column: str = "gold_is_policy_measure", seed: int = 42, test_frac: float = 0.3,
                     few_shot: bool = False, k_pos: int = 3, k_neg: int = 3, max_chars: int = 2000,
                     max_test_n: int = 10, ensure_pos: bool = False,
-                    abstain_conf: float = 0.6) -> tuple[DataFrame, DataFrame]:
+                    abstain_conf: float = 0.6, portable: bool = False) -> tuple[DataFrame, DataFrame]:
     """Gold table -> gate predictions on the test side and their metrics.
 
     Examples come from the training side only. The rendered block is the one
     value that passes through the driver: k_pos + k_neg capped texts.
     """
-    split = stratified_split(gold, "candidate_id", label_column, test_frac, seed)
+    split = stratified_split(gold, "candidate_id", label_column, test_frac, seed, portable=portable)
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test").drop("split")
     examples = None
     if few_shot:
-        examples = few_shot_block(train, text, label_column, "candidate_id", k_pos, k_neg, seed, max_chars).first()[0]
+        examples = few_shot_block(train, text, label_column, "candidate_id", k_pos, k_neg, seed, max_chars, portable).first()[0]
     chosen = balanced_head(test, label_column, "candidate_id", max_test_n, ensure_pos)
     predictions = gate_predictions(chosen, labeler, text, label_column, examples, max_chars, abstain_conf)
     return predictions, gate_metrics(predictions)

@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", app: str = "policyspark", shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
     )

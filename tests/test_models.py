@@ -139,9 +139,11 @@ def gated_model(seed_url, domains, words, lim, table):
     return sorted(rows, key=str)
 
 
-def page_frame(spark, table):
-    rows = [(u, s, ct, f"k{u}", [(a, b) for a, b in links]) for u, (s, ct, links) in table.items()]
-    return spark.createDataFrame(rows, "url string, status int, ct string, content_key string, links array<struct<url:string,anchor:string>>")
+def page_frames(spark, table):
+    rows = [(u, s, ct, f"k{u}") for u, (s, ct, _) in table.items()]
+    edges = [(u, i, a, b) for u, (_, _, links) in table.items() for i, (a, b) in enumerate(links)]
+    return (spark.createDataFrame(rows, "url string, status int, ct string, content_key string"),
+            spark.createDataFrame(edges, "url string, pos int, link string, anchor string"))
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -152,12 +154,22 @@ def test_gated_crawl_matches_a_queue(spark, seed, monkeypatch):
     munis = {"m1": (urls[0], ["a.de", "b.de"]), "m2": (urls[1], []), "m3": (urls[2], ["a.de"])}
     lim = crawl.CrawlLimits(max_depth=3, max_docs=12, max_pdfs=2, max_requests=20)
     seeds = spark.createDataFrame([(m, u, d) for m, (u, d) in munis.items()], "muni string, url string, allowed_domains array<string>")
-    got = crawl.gated_crawl(seeds, page_frame(spark, table), ["KLIMA"], lim).collect()
+    got = crawl.gated_crawl(seeds, *page_frames(spark, table), ["KLIMA"], lim).collect()
     for m, (u, domains) in munis.items():
         mine = sorted(((r.url, r.depth, r.status, r.kept, r.reason) for r in got if r.muni == m), key=str)
         assert mine == gated_model(u, domains, ["klima"], lim, table)
 
 
+def test_crawl_over_html(spark):
+    """Page and edge tables built from markup: relative links resolve against the page."""
+    home = '<a href="klima/a">Klima</a><a href="/other">x</a><a href="https://b.de/klima">away</a>'
+    pages = spark.createDataFrame([("https://a.de/", home), ("https://a.de/klima/a", '<a href="b">mehr Klima</a>')], "url string, html string")
+    seeds = spark.createDataFrame([("m", "https://a.de/", ["A.de"])], "muni string, url string, allowed_domains array<string>")
+    got = crawl.gated_crawl(seeds, crawl.page_table(pages), crawl.page_edges(pages), ["klima"]).collect()
+    assert sorted((r.url, r.depth, r.status) for r in got) == [
+        ("https://a.de/", 0, "200"), ("https://a.de/klima/a", 1, "200"), ("https://a.de/klima/b", 2, "error")]
+
+
 def plain_model(muni, seeds, max_pages, max_depth, max_pdfs, table):
     queue, visited, rows, pdfs = [(u, None, 0) for u in seeds], set(), [], 0
     while queue and len(rows) < max_pages:
@@ -183,7 +195,7 @@ def test_plain_crawl_matches_a_queue(spark, seed):
     urls, table = random_site(seed)
     starts = {"m1": urls[:3], "m2": [urls[7], urls[7], urls[4]]}
     seeds = spark.createDataFrame([(m, u, i) for m, us in starts.items() for i, u in enumerate(us)], "muni string, url string, position int")
-    got = crawl.plain_crawl(seeds, page_frame(spark, table), max_pages=25, max_depth=3, max_pdfs=3).collect()
+    got = crawl.plain_crawl(seeds, *page_frames(spark, table), max_pages=25, max_depth=3, max_pdfs=3).collect()
     for m, us in starts.items():
         mine = {(r.document_id, r.source_url, r.referrer_url, r.http_status, r.depth, r.raw_path is not None) for r in got if r.municipality_id == m}
         assert mine == set(plain_model(m, us, 25, 3, 3, table))
