@@ -407,7 +407,6 @@ def line_counters_query(spark, sf_dir):
 @query("iso_timestamps", sql="""
   SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS crawl_timestamp FROM events""")
 def iso_timestamps(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, sf_dir, "events").select("event_id", T.iso_utc("ts").alias("crawl_timestamp"))
 
 

@@ -15,8 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_shape(spread(table(spark, sf_dir, "documents")))
+
+
+def document_shape(docs: DataFrame) -> DataFrame:
     """documents as extracted documents: source is the municipality, the first line the title."""
-    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("municipality_id"),
         F.col("source").alias("municipality"), F.substring_index("text", "\n", 1).alias("title"),

@@ -36,15 +36,8 @@ ERROR_COLUMNS = [
 ]
 
 
-def _is_object(text: str) -> bool:
-    try:
-        return isinstance(json.loads(text), dict)
-    except ValueError:
-        return False
-
-
 def _recover_object(text: str | None) -> str:
-    """First balanced {...} that is not inside a string; else the widest {...}; else '{}'."""
+    """The answer itself when it is JSON, else the object that starts at its first brace, else '{}'."""
     text = (text or "").strip()
     try:
         return text if isinstance(json.loads(text), dict) else "{}"
@@ -53,22 +46,11 @@ def _recover_object(text: str | None) -> str:
     start = text.find("{")
     if start < 0:
         return "{}"
-    depth, quoted, skip = 0, False, False
-    for at in range(start, len(text)):
-        mark = text[at]
-        if skip:
-            skip = False
-        elif quoted and mark == "\\":
-            skip = True
-        elif mark == '"':
-            quoted = not quoted
-        elif not quoted and mark in "{}":
-            depth += 1 if mark == "{" else -1
-            if depth == 0:
-                found = text[start:at + 1]
-                return found if _is_object(found) else "{}"
-    widest = text[start:text.rfind("}") + 1]
-    return widest if widest and _is_object(widest) else "{}"
+    try:
+        _, end = json.JSONDecoder().raw_decode(text, start)
+        return text[start:end]
+    except ValueError:
+        return "{}"
 
 
 def first_json_object(answer: Column | str) -> Column:

@@ -134,9 +134,14 @@ def digest(c: Column | str) -> Column:
     return F.sha2(col(c), 256)
 
 
-def iso_utc(ts: Column | str) -> Column:
-    """ISO-8601 text with microseconds and a trailing Z of a timestamp in UTC sessions."""
-    return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+def iso_utc(ts: Column | str, instant: bool = False) -> Column:
+    """ISO-8601 text with microseconds and a trailing Z.
+
+    A timestamp without time zone is taken as UTC; an ``instant`` is converted
+    from the session's zone.
+    """
+    utc = F.convert_timezone(None, F.lit("UTC"), col(ts)) if instant else col(ts)
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def pick_column(columns: list[str], aliases: list[str]) -> str | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,6 @@ def local_session(cores: int | str = "*", app: str = "policyspark", shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
     )
@@ -40,6 +40,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for stream state and tables below the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that lost executors never lose intermediate rows."""
     checkpoint_dir(df.sparkSession)

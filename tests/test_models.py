@@ -2,7 +2,6 @@
 
 import random
 import re
-from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,42 +102,44 @@ def random_site(seed, pages=60):
 
 
 def gated_model(seed_url, domains, words, lim, table):
-    host = lambda u: u.split("/")[2]
-    gate = lambda s: any(w in s.lower() for w in words)
-    queue, visited, rows, docs, pdfs, reqs = deque([(seed_url, 0, "seed")]), set(), [], 0, 0, 0
-    while queue:
-        url, depth, anchor = queue.popleft()
-        if url in visited:
-            continue
-        visited.add(url)
-        if docs >= lim.max_docs or reqs >= lim.max_requests:
-            break
-        if domains and host(url) not in domains:
-            continue
-        if depth and not (gate(url) or gate(anchor)):
-            continue
-        if url not in table:
-            rows.append((url, depth, "error", None, None))
-            continue
-        reqs += 1
-        status, ct, links = table[url]
-        ct = ct.split(";")[0].strip()
-        if status >= 400:
-            rows.append((url, depth, str(status), False, None))
-        elif ct not in ("text/html", "application/pdf"):
-            rows.append((url, depth, str(status), False, "ct_filtered"))
-        else:
-            pdf = "pdf" in ct or url.endswith(".pdf")
-            if pdf and pdfs >= lim.max_pdfs:
-                rows.append((url, depth, str(status), False, "pdf_cap"))
-                continue
-            docs, pdfs = docs + 1, pdfs + pdf
-            rows.append((url, depth, str(status), True, None))
-            if not pdf and depth < lim.max_depth:
-                queue.extend((u, depth + 1, a) for u, a in links if (not domains or host(u) in domains) and (gate(u) or gate(a)))
+    """Level by level: collect the level's urls in order, judge each, hand on the links of the kept ones."""
+    def wanted(url, anchor):
+        return (not domains or url.split("/")[2] in domains) and any(w in (url + "\n" + anchor).lower() for w in words)
+
+    spent = {"docs": 0, "pdfs": 0, "reqs": 0}
+    rows, known = [], {seed_url}
+    level = [seed_url] if not domains or seed_url.split("/")[2] in domains else []
+    for depth in range(lim.max_depth + 1):
+        following = []
+        for url in level:
+            if spent["docs"] >= lim.max_docs or spent["reqs"] >= lim.max_requests:
+                return sorted(rows, key=str)
+            verdict, links = judge(url, table, spent["pdfs"] >= lim.max_pdfs)
+            rows.append((url, depth, *verdict))
+            kept, pdf = verdict[1] is True, url.endswith(".pdf") or "pdf" in table.get(url, (0, ""))[1]
+            spent["reqs"] += verdict[0] != "error"
+            spent["docs"] += kept
+            spent["pdfs"] += kept and pdf
+            following += [u for u, a in links if kept and not pdf and wanted(u, a)]
+        level = [u for u in dict.fromkeys(following) if u not in known]
+        known.update(level)
     return sorted(rows, key=str)
 
 
+def judge(url, table, pdfs_full):
+    """((status, kept, reason), links) of one url."""
+    if url not in table:
+        return ("error", None, None), []
+    status, ct, links = table[url]
+    kind = ct.partition(";")[0].strip()
+    reason = None
+    if status < 400 and kind not in ("text/html", "application/pdf"):
+        reason = "ct_filtered"
+    elif status < 400 and pdfs_full and ("pdf" in kind or url.endswith(".pdf")):
+        reason = "pdf_cap"
+    return (str(status), status < 400 and reason is None, reason), links
+
+
 def page_frames(spark, table):
     rows = [(u, s, ct, f"k{u}") for u, (s, ct, _) in table.items()]
     edges = [(u, i, a, b) for u, (_, _, links) in table.items() for i, (a, b) in enumerate(links)]
@@ -171,23 +172,24 @@ def test_crawl_over_html(spark):
 
 
 def plain_model(muni, seeds, max_pages, max_depth, max_pdfs, table):
-    queue, visited, rows, pdfs = [(u, None, 0) for u in seeds], set(), [], 0
-    while queue and len(rows) < max_pages:
-        url, ref, depth = queue.pop(0)
-        if url in visited:
-            continue
-        visited.add(url)
-        if depth > max_depth or url.endswith(".jpg"):
-            continue
-        status, ct, links = table.get(url, (None, None, []))
-        have = url in table
-        pdf = have and (ct == "application/pdf" or url.endswith(".pdf"))
-        stored = pdf and pdfs < max_pdfs
-        pdfs += bool(stored)
-        rows.append((f"{muni}::{len(rows)}", url, ref, status, depth, bool(stored)))
-        if have and not pdf and "text/html" in ct and depth < max_depth and 200 <= status < 300:
-            queue += [(u, url, depth + 1) for u, _ in links if u not in visited]
-    return rows
+    rows, known, pdfs = [], set(), 0
+    level = [(u, None) for u in seeds]
+    for depth in range(max_depth + 1):
+        fresh = {}
+        for url, ref in level:
+            if url not in known and not url.endswith(".jpg"):
+                fresh.setdefault(url, ref)
+        known.update(fresh)
+        level = []
+        for url, ref in fresh.items():
+            status, ct, links = table.get(url, (None, "", []))
+            pdf = url in table and (ct == "application/pdf" or url.endswith(".pdf"))
+            stored = pdf and pdfs < max_pdfs
+            pdfs += stored
+            rows.append((f"{muni}::{len(rows)}", url, ref, status, depth, stored))
+            if url in table and not pdf and "text/html" in ct and status == 200:
+                level += [(u, url) for u, _ in links]
+    return rows[:max_pages]
 
 
 @pytest.mark.parametrize("seed", [4, 5])
