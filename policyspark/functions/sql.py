@@ -8,7 +8,7 @@ from pyspark.sql.functions import udtf
 from policyspark.functions.html import read_page
 
 
-@udtf(returnType="pos int, href string, url string, anchor string")
+@udtf(returnType="pos int, href string, url string, anchor string", useArrow=True)
 class PageLinks:
     """page_links(html, base_url): one row per a[href]."""
 

@@ -6,7 +6,7 @@ used as written: an upper-case term cannot match lower-cased text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -42,21 +42,24 @@ def automaton_terms(terms: Sequence[str]):
     """Arrow function text -> sorted distinct terms contained, one pass for any number of terms."""
     wanted = sorted(set(terms))
 
-    @F.pandas_udf("array<string>")
-    def matched(batch: pd.Series) -> pd.Series:
+    def matcher():
         try:
             import ahocorasick
         except ImportError:
-            return batch.map(lambda t: None if t is None else [w for w in wanted if w in t])
+            return lambda text: [w for w in wanted if w in text]
         machine = ahocorasick.Automaton()
         for word in wanted:
             if word:
                 machine.add_word(word, word)
         machine.make_automaton()
         always = [w for w in wanted if not w]
-        return batch.map(
-            lambda t: None if t is None else always + sorted({w for _, w in machine.iter(t)})
-        )
+        return lambda text: always + sorted({w for _, w in machine.iter(text)})
+
+    @F.pandas_udf("array<string>")
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = matcher()  # built once per task
+        for batch in batches:
+            yield batch.map(lambda text: None if text is None else find(text))
 
     return matched
 
@@ -155,14 +158,17 @@ class KeywordRules:
         return F.lower(col(text)) if self.fold_case else col(text)
 
     def passes(self, text: Column) -> Column:
-        """Only the pass flag of an already folded text, cheapest tests first; fits array lambdas."""
+        """Only the pass flag of an already folded text; fits array lambdas.
+
+        Most texts lack a general term, so that test comes first.
+        """
         excluded = list(self.negative) + [t for theme in self.themes.values() for t in theme.exclude]
         theme_flags = [any_term(text, theme.include).cast("int") for theme in self.themes.values()]
         enough_themes = (
             reduce(lambda a, b: a + b, theme_flags, F.lit(0)) >= self.min_themes
         )
         general = F.size(term_hits(text, self.positive)) >= self.min_general
-        return ~any_term(text, excluded) & enough_themes & general
+        return general & enough_themes & ~any_term(text, excluded)
 
 
 def with_keyword_score(df: DataFrame, text: Column | str, rules: KeywordRules) -> DataFrame:

@@ -25,10 +25,9 @@ def accepts(snippet: Column, lowered: Column, rules: KeywordRules | None = None,
             positive: Sequence[str] = tuple(SNIPPET_POSITIVE), negative: Sequence[str] = tuple(SNIPPET_NEGATIVE),
             min_chars: int = MIN_SNIPPET_CHARS) -> Column:
     """Long enough, no negative term, and a positive term or passing keyword rules."""
-    ok = (F.length(snippet) >= min_chars) & ~any_term(lowered, negative)
-    if rules is None:
-        return ok & any_term(lowered, positive)
-    return ok & rules.passes(lowered if rules.fold_case else snippet)
+    # most snippets lack a positive term, so the negative list is tested last
+    found = any_term(lowered, positive) if rules is None else rules.passes(lowered if rules.fold_case else snippet)
+    return (F.length(snippet) >= min_chars) & found & ~any_term(lowered, negative)
 
 
 def snippet_candidates(

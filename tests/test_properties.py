@@ -178,3 +178,37 @@ def test_classifier_separates_words(spark):
     model = bootstrap.train_classifier(df, iterations=20)
     table = bootstrap.predict_table(model, df, "label")
     assert table.where("gold_label = pred_label").count() == 40 and table.where("score between 0 and 1").count() == 40
+
+
+def test_hot_lookup_keys_are_split_at_run_time(spark):
+    """A third of the facts share one key and no side may be broadcast: the skew join cuts that key up."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        facts = spark.range(0, 300_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.md5(F.col("id").cast("string")).alias("payload"))
+        table = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("name"))
+        out = joins.lookup(facts, table, ["k"])
+        assert out.agg(F.count("name"), F.count(F.lit(1))).first()[1] == 300_000
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_long_and_short_term_lists_agree(spark, sf_dir, monkeypatch):
+    from policyspark.functions import terms
+
+    words = sorted({"tion", "thwh", "eau", "nicht", "der ", "the "})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lower("text").alias("t"))
+    short = docs.select("t", terms.term_hits("t", words).alias("hits"))
+    monkeypatch.setattr(terms, "INLINE_TERMS", 0)
+    long = docs.select("t", terms.term_hits("t", words).alias("hits"))
+    assert short.exceptAll(long).count() == 0
