@@ -233,7 +233,7 @@ def crawl_gated(spark, sf_dir):
   f2 AS (SELECT n, c, o_orderkey AS o, row_number() OVER (PARTITION BY n ORDER BY ord, o_orderkey) + (SELECT count(*) FROM f1 x WHERE x.n = f1.n) AS ord
     FROM f1 JOIN orders ON o_custkey = c WHERE c % 7 <> 0 AND c % 11 <> 0),
   everything AS (SELECT n_nationkey AS n, 0 AS ord, 0 AS depth, 'https://n' || n_nationkey || '.example/' AS url, NULL::VARCHAR AS referrer_url,
-      'text/html; charset=utf-8' AS mime_type, 200 AS http_status FROM nation
+      'text/html' AS mime_type, 200 AS http_status FROM nation
     UNION ALL SELECT n, ord, 1, 'https://n' || n || '.example/c/' || c, 'https://n' || n || '.example/',
       CASE WHEN c % 11 = 0 THEN 'image/png' ELSE 'text/html' END, CASE WHEN c % 7 = 0 THEN 404 ELSE 200 END FROM f1
     UNION ALL SELECT n, ord, 2, 'https://n' || n || '.example/o/' || o || CASE WHEN o % 4 = 0 THEN '.pdf' ELSE '' END,

@@ -177,7 +177,7 @@ def plain_crawl(
     seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_pages: int = 40, max_depth: int = 2, max_pdfs: int = 8,
     extensions: Sequence[str] = tuple(CRAWL_EXCLUDED_EXTENSIONS), timestamp: Column | None = None,
 ) -> DataFrame:
-    """Ungated traversal: only assets are skipped, failed fetches count against the page cap.
+    """Ungated traversal: only assets are skipped, failed fetches count against the page cap, and content exists for status 200 to 399.
 
     ``seeds``: (muni, url, position). The links of ``edges`` are resolved the
     way the caller wants (against the municipality's base URL in the classic
@@ -186,7 +186,8 @@ def plain_crawl(
     """
     empty = F.array().cast("array<string>")
     fetched = pages.select(
-        "url", F.col("status").alias("p_status"), F.lower("ct").alias("p_ct"), F.col("content_key").alias("p_key"))
+        "url", F.col("status").alias("p_status"), F.nullif(mime_head("ct"), F.lit("")).alias("p_ct"),
+        F.when(F.col("status").between(200, 399), F.col("content_key")).alias("p_key"))
     frontier = seeds.groupBy("muni", "url").agg(F.min(F.col("position").cast("long")).alias("ord")).select(
         "muni", "url", "ord", empty.alias("allowed_domains"), F.lit(None).cast("string").alias("referrer"))
     frontier = cut_lineage(frontier.where(~has_extension("url", extensions)))

@@ -183,11 +183,13 @@ def plain_model(muni, seeds, max_pages, max_depth, max_pdfs, table):
         level = []
         for url, ref in fresh.items():
             status, ct, links = table.get(url, (None, "", []))
-            pdf = url in table and (ct == "application/pdf" or url.endswith(".pdf"))
+            kind = ct.partition(";")[0].strip()
+            content = url in table and 200 <= status < 400
+            pdf = content and (kind == "application/pdf" or url.endswith(".pdf"))
             stored = pdf and pdfs < max_pdfs
             pdfs += stored
             rows.append((f"{muni}::{len(rows)}", url, ref, status, depth, stored))
-            if url in table and not pdf and "text/html" in ct and status == 200:
+            if content and not pdf and kind == "text/html" and status < 300:
                 level += [(u, url) for u, _ in links]
     return rows[:max_pages]
 
