@@ -26,7 +26,7 @@ from policyspark.functions.urls import (
     authority, domain_allowed, has_extension, is_internal, is_pdf, link_score, mime_head,
 )
 from policyspark.operators.joins import lookup
-from policyspark.operators.ordinals import last_per_key, slice_bounds, top_per_key, with_running_totals
+from policyspark.operators.ordinals import last_per_key, top_per_key, with_running_totals
 from policyspark.session import cut_lineage
 from policyspark.vocabulary import CRAWL_EXCLUDED_EXTENSIONS, SEED_EXCLUDED_EXTENSIONS, SEED_KEYWORDS
 
@@ -103,13 +103,17 @@ def gated_crawl(
             "ok": ok, "eligible": F.coalesce(eligible, F.lit(False)),
             "is_pdf": F.coalesce(eligible & is_pdf("p_ct", "url", "gated"), F.lit(False)),
         }).drop("p_found"))
-        bounds = slice_bounds(step, "ord")
-        step = with_running_totals(step, ["muni"], ["ord"], {"pdfs_before": F.col("is_pdf").cast("long")}, bounds=bounds)
-        capped = F.col("is_pdf") & (F.col("pdfs_before") + F.col("t_pdfs") >= limits.max_pdfs)
-        step = step.withColumn("stored", F.col("eligible") & ~capped)
+        # The first PDFs up to the cap are stored, so the documents stored before
+        # a row follow from plain counts and one pass gives all three caps.
         step = with_running_totals(step, ["muni"], ["ord"], {
-            "place": F.col("stored").cast("long"), "reqs_before": F.col("ok").cast("long"),
-        }, bounds=bounds)
+            "pages_before": (F.col("eligible") & ~F.col("is_pdf")).cast("long"),
+            "pdfs_before": F.col("is_pdf").cast("long"), "reqs_before": F.col("ok").cast("long"),
+        })
+        room = F.lit(limits.max_pdfs) - F.col("t_pdfs")
+        step = step.withColumns({
+            "stored": F.col("eligible") & ~(F.col("is_pdf") & (F.col("pdfs_before") >= room)),
+            "place": F.col("pages_before") + F.least(F.col("pdfs_before"), room),
+        })
         step = step.where((F.col("place") + F.col("t_docs") < limits.max_docs)
                           & (F.col("reqs_before") + F.col("t_reqs") < limits.max_requests))
         reason = F.when(F.col("ok") & (F.col("p_status") < 400),
