@@ -30,12 +30,25 @@ def literal_array(terms: Iterable[str]) -> Column:
     return F.array(*[F.lit(t) for t in terms])
 
 
+def root_of(term: str, terms: Sequence[str]) -> str:
+    """Shortest term of the list that occurs inside ``term`` (often the term itself).
+
+    A text without the root cannot contain the term, so scanning for the few
+    roots decides most texts.
+    """
+    return min((t for t in terms if t in term), key=lambda t: (len(t), t))
+
+
+def roots(terms: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(root_of(t, terms) for t in terms))
+
+
 def any_term(text: Column | str, terms: Sequence[str]) -> Column:
     """True when at least one term occurs; stops at the first hit. Null text counts as empty."""
     text = F.coalesce(col(text), F.lit(""))
     if not terms:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [text.contains(t) for t in terms])
+    return reduce(lambda a, b: a | b, [text.contains(t) for t in roots(terms)])
 
 
 def automaton_terms(terms: Sequence[str]):
@@ -71,7 +84,17 @@ def term_hits(text: Column | str, terms: Sequence[str]) -> Column:
         return literal_array([])
     if len(terms) > INLINE_TERMS:
         return automaton_terms(terms)(text)
-    return let(text, lambda t: F.filter(literal_array(terms), lambda term: F.contains(t, term)))
+    short = roots(terms)
+    if len(short) == len(set(terms)):
+        return let(text, lambda t: F.filter(literal_array(terms), lambda term: F.contains(t, term)))
+    rooted = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(root_of(t, terms)).alias("root")) for t in terms])
+
+    def below(t: Column, found: Column) -> Column:
+        kept = F.filter(rooted, lambda x: F.array_contains(found, x["root"]) & F.contains(t, x["term"]))
+        return F.when(F.size(found) > 0, F.transform(kept, lambda x: x["term"])).otherwise(literal_array([]))
+
+    return let(text, lambda t: let(
+        F.filter(literal_array(short), lambda term: F.contains(t, term)), lambda found: below(t, found)))
 
 
 def count_occurrences(text: Column | str, terms: Sequence[str]) -> Column:

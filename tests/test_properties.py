@@ -212,3 +212,14 @@ def test_long_and_short_term_lists_agree(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(terms, "INLINE_TERMS", 0)
     long = docs.select("t", terms.term_hits("t", words).alias("hits"))
     assert short.exceptAll(long).count() == 0
+
+
+def test_roots_decide_like_the_full_list(spark):
+    from policyspark.functions import terms
+
+    words = ["klimaschutz", "klima", "schutz", "aktionsprogramm", "programm", "x", "klima", "ma"]
+    assert terms.roots(words) == ["ma", "schutz", "programm", "x"]
+    texts = ["", "klima", "schutz klimaschutz", "programm", "aktionsprogramm ma", "nichts", "k li ma x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", terms.term_hits("t", words).alias("h"), terms.any_term("t", words).alias("a")).collect():
+        assert r.h == [w for w in words if w in r.t] and r.a == bool(r.h)
