@@ -99,3 +99,74 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]]; empty segments give 0."""
     total = np.concatenate([np.zeros(1, np.float64), np.cumsum(values, dtype=np.float64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+#: White space separates words; other bytes make them up.
+BLANKS = b"\t\n\x0b\x0c\r "
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_TURN = np.uint64(0xA24BAED4963EE407)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit values so that every bit depends on every other; one to one."""
+    values = (values ^ (values >> np.uint64(31))) * _MIX
+    values = (values ^ (values >> np.uint64(29))) * _TURN
+    return values ^ (values >> np.uint64(32))
+
+
+def hashed_words(texts: list[bytes], clean: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a chunk of texts, and the bounds of each text in them.
+
+    ``clean`` maps every byte before the words are cut at blanks.
+    """
+    joined = b" ".join(texts) + b" "
+    buffer = np.frombuffer(joined.translate(clean) if clean else joined, np.uint8)
+    blank = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
+    starts = edges[0::2]
+    text_starts = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
+    bounds = np.searchsorted(starts, text_starts)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(4095, _STEP)]))
+    inside = np.arange(len(buffer))
+    inside -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(buffer)]])))
+    weighted = np.where(blank, np.uint64(0), (buffer.astype(np.uint64) + np.uint64(1)) * powers[inside & 4095])
+    sums = np.add.reduceat(weighted, starts)
+    length = np.add.reduceat((~blank).view(np.uint8).astype(np.int64), starts).astype(np.uint64)
+    return mixed(sums + length * _TURN), bounds
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n neighbouring words (texts not regarded)."""
+    count = max(0, len(words) - n + 1)
+    code = np.zeros(count, np.uint64)
+    for j in range(n):
+        code = code * _STEP + words[j:j + count]
+    return mixed(code)
+
+
+def spans_of(covered: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of true values as (start, end)."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).view(np.int8)))
+    return list(zip(edges[0::2].tolist(), edges[1::2].tolist()))
+
+
+def without_words(text: bytes, word: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of ``spans`` (word numbers) and what stands between the words of a span."""
+    import re
+
+    if not spans:
+        return text
+    out, at, todo = [], 0, iter(spans)
+    start, end = next(todo)
+    for i, match in enumerate(re.finditer(word, text)):
+        if i == start:
+            out.append(text[at:match.start()])
+        if i == end - 1:
+            at = match.end()
+            start, end = next(todo, (-1, -1))
+            if start < 0:
+                break
+    return b"".join(out) + text[at:]
