@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries (name to function) and the SQL of those that have one."""
-    from policyspark.llm import decontaminate, language, packing, quality, simhash, substrings, urlfilter  # noqa: F401
+    from policyspark.llm import decontaminate, language, packing, quality, simhash, substrings, tokens, urlfilter  # noqa: F401
 
     return dict(QUERIES), dict(SQL)
