@@ -21,6 +21,7 @@ from policyspark.llm.registry import query
 from policyspark.llm.words import LOWER, chunks, fold_of, table
 
 FOLDS, HELD = 4, 2
+SLICES = 64
 UNDETERMINED = "und"
 
 
@@ -124,19 +125,17 @@ def _train(texts: list[bytes], labels: list[str], settings: Settings) -> tuple[l
 def training_rows(docs: DataFrame, doc_id: str, lang: str, settings: Settings) -> DataFrame:
     """A bounded, hashed sample of the rows that may be learned from: (_lang, text).
 
-    Per language the rows of smallest hash, ``per_language`` at most, and
-    ``sample`` in all. The first reduction runs inside 64 slices of a language,
-    so that one language may hold any share of the rows.
+    A language is cut into slices by the hash, so that it may hold any share of
+    all rows; each slice gives its rows of smallest hash, ``per_language`` in
+    all slices together, and ``sample`` rows come out in all.
     """
     ids = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col(doc_id).isNotNull()
                      & (fold_of(doc_id, FOLDS) != HELD)).select(
         F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"),
         F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")).alias("_h"))
-    slices = Window.partitionBy("_lang", F.pmod("_h", F.lit(64))).orderBy("_h", "_id")
-    whole = Window.partitionBy("_lang").orderBy("_h", "_id")
-    first = ids.withColumn("_n", F.row_number().over(slices)).where(F.col("_n") <= settings.per_language)
-    few = (first.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= settings.per_language)
-           .orderBy("_n", "_lang", "_h").limit(settings.sample).select("_id", "_h"))
+    slices = Window.partitionBy("_lang", F.pmod("_h", F.lit(SLICES))).orderBy("_h", "_id")
+    first = ids.withColumn("_n", F.row_number().over(slices)).where(F.col("_n") <= -(-settings.per_language // SLICES))
+    few = first.orderBy("_n", "_lang", "_h").limit(settings.sample).select("_id", "_h")
     # At most ``sample`` ids: a proven bound for the broadcast.
     return (docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), "text")
             .where("_lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(few.distinct()), "_id"))
