@@ -27,4 +27,7 @@ def load_all() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries (name to function) and the SQL of those that have one."""
     from policyspark.llm import decontaminate, language, lm, neighbours, packing, quality, simhash, substrings, tokens, urlfilter  # noqa: F401
 
-    return dict(QUERIES), dict(SQL)
+    import corpus_pipeline
+
+    queries = QUERIES | {"pipeline": corpus_pipeline.run}
+    return queries, SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
