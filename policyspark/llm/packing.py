@@ -93,32 +93,30 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", length: str = "length", source
     )
     shards = max(1, -(-docs.count() // shard_pieces))
     # 40 bits for the shard, 23 for the bin in it.
-    pieces = pieces.withColumn("_shard", F.when(
-        F.col("length") > 0, F.pmod(F.xxhash64("doc_id", "piece", "_c", "length"), F.lit(shards))))
+    pieces = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "_c", "length"), F.lit(shards)))
 
     def of_shard(whole: pa.Table) -> pa.Table:
         whole = whole.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("_c", "ascending"),
                                ("_s", "ascending")])
         lengths = whole.column("length").to_pylist()
-        bins = best_fit(lengths, whole.column("_s").to_pylist(), whole.column("_c").to_pylist(), capacity)
+        full = sum(n > 0 for n in lengths)  # pieces without length come last and go into no bin
+        bins = best_fit(lengths[:full], whole.column("_s").to_pylist(), whole.column("_c").to_pylist(), capacity)
         filled: dict[int, int] = {}
-        offsets = []
+        offsets: list[int | None] = []
         for bin_, size in zip(bins, lengths):
             offsets.append(filled.get(bin_, 0))
             filled[bin_] = offsets[-1] + size
         base = (whole.column("_shard")[0].as_py() if whole.num_rows else 0) << 23
+        empty = [None] * (len(lengths) - full)
         return pa.table({
             "doc_id": whole.column("doc_id"), "piece": whole.column("piece"), "start": whole.column("start"),
-            "length": whole.column("length"), "bin": pa.array([base + b for b in bins], pa.int64()),
-            "bin_offset": pa.array(offsets, pa.int64()),
+            "length": whole.column("length"), "bin": pa.array([base + b for b in bins] + empty, pa.int64()),
+            "bin_offset": pa.array(offsets + empty, pa.int64()),
         })
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    packed = pieces.where("length > 0").groupBy("_shard").applyInArrow(
+    return pieces.groupBy("_shard").applyInArrow(
         of_shard, f"doc_id {kind}, piece long, start long, length long, bin long, bin_offset long")
-    none = F.lit(None).cast("long")
-    return packed.unionByName(pieces.where("length = 0").select(
-        "doc_id", "piece", "start", "length", none.alias("bin"), none.alias("bin_offset")))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
