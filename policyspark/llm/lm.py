@@ -34,6 +34,8 @@ BLOCK_BYTES = 4 << 20
 STEPS, MOST = 4, 160
 BUCKETS = 40
 ROUNDS = 60
+#: Held-out counts that a bucket takes from all buckets together, so that one with few of its own is not led astray.
+PRIOR = 50.0
 _START, _END = np.uint64(0x51A7), np.uint64(0xE0D)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -214,7 +216,7 @@ def learn(blocks: DataFrame, answers: DataFrame, order: int, tokens: int, known:
 
     All n-grams of the deleted fold count. They are added up by bucket and by
     their estimates in steps of a quarter of a power of two, so the table of
-    held-out counts that the maximisation runs over has a fixed size.
+    held-out counts that the maximisation runs over has a bounded size.
     """
     def seen(key: tuple, whole: pa.Table, reply: pa.Table) -> pa.Table:
         names = [f"q{n}" for n in range(order)]
@@ -235,18 +237,18 @@ def learn(blocks: DataFrame, answers: DataFrame, order: int, tokens: int, known:
               .applyInArrow(seen, ", ".join(f"{k} long" for k in keys) + ", n long")
               .groupBy(*keys).agg(F.sum("n").alias("n")))
     rows = np.array([tuple(r) for r in table_.collect()], np.int64).reshape(-1, order + 2)
-    weights = np.tile(np.array([0.5] + [0.4 / order] * order + [0.0]), (BUCKETS, 1))[:, :order + 1]
-    weights[:, -1] = 1 - weights[:, :-1].sum(axis=1)
+    start = np.full(order + 1, 1 / (order + 1))
+    weights = np.tile(start, (BUCKETS, 1))
     p = np.concatenate([np.where(rows[:, 1:-1] < MOST, 2.0 ** (-rows[:, 1:-1] / STEPS), 0.0),
                         np.full((len(rows), 1), 1 / (known + 1))], axis=1)
     for _ in range(ROUNDS if len(rows) else 0):
         share = weights[rows[:, 0]] * p
         share *= (rows[:, -1] / share.sum(axis=1))[:, None]
         total = np.stack([np.bincount(rows[:, 0], share[:, k], BUCKETS) for k in range(order + 1)], axis=1)
-        got = total.sum(axis=1) > 0
-        weights[got] = total[got] / total[got].sum(axis=1, keepdims=True)
-    weights = np.maximum(weights, 1e-9)
-    return weights / weights.sum(axis=1, keepdims=True)
+        overall = total.sum(axis=0) + PRIOR * start
+        weights = total + PRIOR * overall / overall.sum()
+        weights /= weights.sum(axis=1, keepdims=True)
+    return weights
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
