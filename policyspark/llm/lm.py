@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark.llm.registry import query
-from policyspark.llm.words import LOWER, fold_of, hashed_words, mixed, slots, table, written
+from policyspark.llm.words import LOWER, fold_of, hashed_words, mixed, slots, table, unzipped, written, zipped
 
 FOLDS = 10
 HELD_OUT, DELETED = 0, 1
@@ -120,19 +120,19 @@ def tallies(g: Grams, weight: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """block, doc_id, fold, text: rows dealt into blocks of about BLOCK_BYTES; odd blocks hold the deleted fold."""
+    """block, doc_id, fold, text (compressed): rows dealt into blocks of about BLOCK_BYTES; odd blocks hold the deleted fold."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     fold = fold_of(doc_id, FOLDS)
     many = max(1, size // BLOCK_BYTES)
     few = max(1, size // (BLOCK_BYTES * FOLDS))
     spread = F.xxhash64(F.col(doc_id), F.col(text))
-    return docs.select(
+    return zipped(docs.select(
         F.when(fold == DELETED, F.pmod(spread, F.lit(few)) * 2 + 1).otherwise(F.pmod(spread, F.lit(many)) * 2).alias("block"),
-        F.col(doc_id).alias("doc_id"), fold.alias("fold"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        F.col(doc_id).alias("doc_id"), fold.alias("fold"), F.col(text).alias("text")), "text")
 
 
 def _texts(whole: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    return whole.column("text").cast(pa.binary()).to_pylist(), whole.column("fold").to_numpy()
+    return unzipped(whole.column("text")), whole.column("fold").to_numpy()
 
 
 def counts(blocks: DataFrame, order: int) -> DataFrame:

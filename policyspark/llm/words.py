@@ -85,6 +85,30 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             yield batch.slice(start), texts[start:]
 
 
+def zipped(df: DataFrame, text: str) -> DataFrame:
+    """df with its text column as compressed bytes (null as empty), for texts that have to be shuffled."""
+    import zstandard
+
+    columns = df.columns
+    at = columns.index(text)
+
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            arrays = [batch.column(c) for c in columns]
+            arrays[at] = pa.array([compress(t or b"") for t in as_bytes(arrays[at])], pa.binary())
+            yield pa.record_batch(arrays, names=columns)
+
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(compressed, schema)
+
+
+def unzipped(column: pa.Array) -> list[bytes]:
+    import zstandard
+
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
+
+
 def worker_store(name: str) -> dict:
     """A dictionary that lives as long as the Python worker.
 
