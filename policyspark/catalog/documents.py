@@ -10,12 +10,11 @@ from policyspark.catalog.inputs import (
     BASELINE, DOCUMENTS_SQL, FILTER, NEGATIVE, POSITIVE, RULES, documents, joined, rounded, table,
 )
 from policyspark.functions import text as T
-from policyspark.functions.terms import KeywordRules, term_hits, with_keyword_score
+from policyspark.functions.terms import table_matches, term_hits, with_keyword_score
 from policyspark.functions.urls import last_segment
 from policyspark.operators import classify, harmonise, ordinals, snippets
 from policyspark.sources import tables
 from policyspark.sources.ndjson import line_counters, parse_lines
-from policyspark.sources.tables import spread
 
 
 def quoted(terms) -> str:
@@ -137,23 +136,19 @@ def keyword_rules_from_table(spark, sf_dir):
         table(spark, sf_dir, "nation").select(F.lower("n_name").alias("term"))
         .union(table(spark, sf_dir, "region").select(F.lower("r_name")))
         .union(table(spark, sf_dir, "part").select(F.substring(F.lower("p_type"), 1, 3)))
-    ).select(F.lit("general").alias("group"), F.lit("positive").alias("polarity"), "term")
-    rules = KeywordRules.from_table(terms)
-    scored = with_keyword_score(documents(spark, sf_dir), "text", rules)
-    return scored.where(F.size("keyword_hits_general") > 0).select(
-        "doc_id", F.size("keyword_hits_general").cast("long").alias("n_hits"))
+    )
+    docs = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("t"))
+    return table_matches(docs, terms, "doc_id", "t").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
 @query("keyword_hits_by_term", sql=f"""WITH {DOCUMENTS_SQL}, terms AS (
-    SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE length(w) >= 6)
+    SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE w <> '')
   SELECT term, count(*) AS n_docs FROM docs JOIN terms ON contains(t, term) GROUP BY term""")
 def keyword_hits_by_term(spark, sf_dir):
-    """A term list of hundreds of words taken from a table: one automaton pass per text."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term"))
-    terms = words.where(F.length("term") >= 6).select(
-        F.lit("general").alias("group"), F.lit("positive").alias("polarity"), "term")
-    rules = KeywordRules.from_table(terms)
-    return snippets.term_frequencies(documents(spark, sf_dir), "text", rules.positive)
+    """All words of the benchmark as a term table: texts meet them by character runs."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term"))
+    docs = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("t"))
+    return table_matches(docs, terms, "doc_id", "t").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 @query("keyword_grep", sql=f"""WITH {DOCUMENTS_SQL}
@@ -414,7 +409,7 @@ def iso_timestamps(spark, sf_dir):
   SELECT conv_id, turn, array_to_string({hits_sql('lower(text)', ['the ', 'que', 'der ', 'ation'])}, '|') AS terms
   FROM conversations""")
 def matched_terms(spark, sf_dir):
-    c = spread(table(spark, sf_dir, "conversations"))
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", joined(term_hits(F.lower("text"), sorted(["the ", "que", "der ", "ation"]))).alias("terms"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from policyspark.operators.classify import BaselineRules, FilterConfig
 from policyspark.functions.terms import KeywordRules, ThemeTerms
-from policyspark.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_shape(spread(table(spark, sf_dir, "documents")))
+    return document_shape(table(spark, sf_dir, "documents"))
 
 
 def document_shape(docs: DataFrame) -> DataFrame:

@@ -11,14 +11,13 @@ from policyspark.functions import html as H
 from policyspark.functions import urls as U
 from policyspark.operators import crawl, harmonise
 from policyspark.session import cut_lineage
-from policyspark.sources.tables import spread
 from policyspark.vocabulary import DIGITALIZATION_LEVELS
 
 LINK_WORDS = ["the", "ation", "de", "er", "on"]
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
 # Markup without comments, scripts and styles; entities are resolved last.

@@ -6,23 +6,15 @@ used as written: an upper-case term cannot match lower-cased text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyspark.functions.text import col, let
 
-# Up to this many terms a list is matched by unrolled JVM expressions; longer
-# lists go through one automaton pass over the text in an Arrow batch.
-INLINE_TERMS = 150
-# A rule table is configuration; a larger one is refused instead of collected.
-MAX_RULE_TERMS = 1_000_000
-
-
 def literal_array(terms: Iterable[str]) -> Column:
     terms = list(terms)
     if not terms:
@@ -30,17 +22,23 @@ def literal_array(terms: Iterable[str]) -> Column:
     return F.array(*[F.lit(t) for t in terms])
 
 
-def root_of(term: str, terms: Sequence[str]) -> str:
-    """Shortest term of the list that occurs inside ``term`` (often the term itself).
+def root_of(term: str, known: set[str]) -> str:
+    """Shortest known term that occurs inside ``term`` (often the term itself).
 
     A text without the root cannot contain the term, so scanning for the few
-    roots decides most texts.
+    roots decides most texts. Only the pieces of the term are looked up, so a
+    list takes time in proportion to its length.
     """
-    return min((t for t in terms if t in term), key=lambda t: (len(t), t))
+    for size in range(len(term) + 1):
+        inside = {term[i:i + size] for i in range(len(term) - size + 1)} & known
+        if inside:
+            return min(inside)
+    return term
 
 
 def roots(terms: Sequence[str]) -> list[str]:
-    return list(dict.fromkeys(root_of(t, terms) for t in terms))
+    known = set(terms)
+    return list(dict.fromkeys(root_of(t, known) for t in terms))
 
 
 def any_term(text: Column | str, terms: Sequence[str]) -> Column:
@@ -48,46 +46,19 @@ def any_term(text: Column | str, terms: Sequence[str]) -> Column:
     text = F.coalesce(col(text), F.lit(""))
     if not terms:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [text.contains(t) for t in roots(terms)])
-
-
-def automaton_terms(terms: Sequence[str]):
-    """Arrow function text -> sorted distinct terms contained, one pass for any number of terms."""
-    wanted = sorted(set(terms))
-
-    def matcher():
-        try:
-            import ahocorasick
-        except ImportError:
-            return lambda text: [w for w in wanted if w in text]
-        machine = ahocorasick.Automaton()
-        for word in wanted:
-            if word:
-                machine.add_word(word, word)
-        machine.make_automaton()
-        always = [w for w in wanted if not w]
-        return lambda text: always + sorted({w for _, w in machine.iter(text)})
-
-    @F.pandas_udf("array<string>")
-    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = matcher()  # built once per task
-        for batch in batches:
-            yield batch.map(lambda text: None if text is None else find(text))
-
-    return matched
+    return let(text, lambda t: F.exists(literal_array(roots(terms)), lambda term: F.contains(t, term)))
 
 
 def term_hits(text: Column | str, terms: Sequence[str]) -> Column:
-    """Terms contained in the text, in the order of the list."""
+    """Terms contained in the text, in the order of the list; a term listed twice is returned twice."""
     text = F.coalesce(col(text), F.lit(""))
     if not terms:
         return literal_array([])
-    if len(terms) > INLINE_TERMS:
-        return automaton_terms(terms)(text)
+    known = set(terms)
     short = roots(terms)
-    if len(short) == len(set(terms)):
+    if len(short) == len(known):
         return let(text, lambda t: F.filter(literal_array(terms), lambda term: F.contains(t, term)))
-    rooted = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(root_of(t, terms)).alias("root")) for t in terms])
+    rooted = F.arrays_zip(literal_array(terms).alias("term"), literal_array([root_of(t, known) for t in terms]).alias("root"))
 
     def below(t: Column, found: Column) -> Column:
         kept = F.filter(rooted, lambda x: F.array_contains(found, x["root"]) & F.contains(t, x["term"]))
@@ -98,14 +69,17 @@ def term_hits(text: Column | str, terms: Sequence[str]) -> Column:
 
 
 def count_occurrences(text: Column | str, terms: Sequence[str]) -> Column:
-    """Sum over the terms of their non-overlapping occurrences (nested terms count twice)."""
+    """Sum over the terms of their non-overlapping occurrences (nested terms count twice; empty terms not at all)."""
     text = F.coalesce(col(text), F.lit(""))
-    total = F.lit(0)
-    for term in terms:
-        removed = F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))
-        times = (removed / F.lit(len(term))).cast("int")
-        total = total + F.when(text.contains(term), times).otherwise(0)
-    return total
+    terms = [t for t in terms if t]
+    if not terms:
+        return F.lit(0)
+
+    def times(t: Column, term: Column) -> Column:
+        removed = F.length(t) - F.length(F.replace(t, term, F.lit("")))
+        return F.when(F.contains(t, term), (removed / F.length(term)).cast("int")).otherwise(0)
+
+    return let(text, lambda t: F.aggregate(literal_array(terms), F.lit(0), lambda total, term: total + times(t, term)))
 
 
 @dataclass(frozen=True)
@@ -156,16 +130,14 @@ class KeywordRules:
 
     @staticmethod
     def from_table(rules: DataFrame, **thresholds) -> "KeywordRules":
-        """Rules of a table ``(group, polarity, term)``; group 'general' is the general block."""
-        rows = (
-            rules.select("group", "polarity", "term").distinct()
-            .orderBy("group", "polarity", "term").limit(MAX_RULE_TERMS + 1).collect()
-        )
-        if len(rows) > MAX_RULE_TERMS:
-            raise ValueError(f"rule table holds more than {MAX_RULE_TERMS} terms")
+        """Rules of a configuration table ``(group, polarity, term)``; group 'general' is the general block.
+
+        The terms become part of the plan, as if they were written in the
+        program. Tables that grow with the data go through :func:`table_matches`.
+        """
         buckets: dict[tuple[str, str], list[str]] = {}
-        for row in rows:
-            buckets.setdefault((row["group"], row["polarity"]), []).append(row["term"])
+        for group, polarity, term in sorted(set(map(tuple, rules.select("group", "polarity", "term").toLocalIterator()))):
+            buckets.setdefault((group, polarity), []).append(term)
         themes = sorted({group for group, _ in buckets if group != "general"})
         return KeywordRules(
             positive=tuple(buckets.get(("general", "positive"), ())),
@@ -225,3 +197,57 @@ def with_keyword_score(df: DataFrame, text: Column | str, rules: KeywordRules) -
         & (F.size("keyword_negative_hits.thematic") == 0),
         "confidence_score": F.least(F.lit(1.0), F.lit(0.1) + F.lit(0.05) * hits),
     }).drop("__kw_text")
+
+
+#: Length of the character runs by which texts meet the terms of a table.
+GRAM = 4
+FLAGS = 1 << 15
+
+
+def run_flag(run: Column) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(FLAGS)).cast("int")
+
+
+def flagged(marks: Column):
+    """Test for runs whose flag is set in a bitmap of 64-bit words."""
+    return lambda run: F.getbit(F.get(marks, F.shiftright(run_flag(run), 6)), run_flag(run).bitwiseAND(63)) == 1
+
+
+def table_matches(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
+    """(key, term) for every term of a table that a text contains; the table may be of any size.
+
+    Every term is found by one of its character runs, the one of smallest
+    hash; texts are cut into their distinct runs, of which those stay whose
+    hash is set in a bitmap of fixed size made of the terms' runs. The equi
+    join on the run finds candidates, containment decides. Terms shorter than
+    a run are found by every length in turn. Null and empty terms and null
+    texts match nothing; repeated terms count once, repeated texts each.
+    """
+    words = terms.select(F.col(term).alias("__term")).where("__term <> ''").distinct()
+    rows = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    found = None
+    lengths = [r[0] for r in words.select(F.least(F.length("__term"), F.lit(GRAM)).alias("n")).distinct().collect()]
+    for n in sorted(lengths):  # 1 to GRAM
+        own = words.where(F.length("__term") == n if n < GRAM else F.length("__term") >= n)
+
+        def runs(column: Column, n: int = n) -> Column:
+            letters = F.split(column, "")
+            return F.array_distinct(F.transform(
+                F.sequence(F.lit(1), F.size(letters) - (n - 1)), lambda i: F.array_join(F.slice(letters, i, n), "")))
+
+        least = F.array_min(F.transform(runs(F.col("__term")), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("run"))))
+        own = own.select("__term", least["run"].alias("__run"))
+        # A bitmap of FLAGS bits in words of 64, whatever the number of terms.
+        words_of = [0] * (FLAGS // 64)
+        for row in own.select(run_flag(F.col("__run")).alias("b")).distinct().collect():
+            words_of[row["b"] // 64] |= 1 << row["b"] % 64
+        marks = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words_of])
+
+        cut = rows.where(F.length("__text") >= n).withColumn("__run", F.explode(let(
+            runs(F.col("__text")), lambda all_: F.filter(all_, flagged(marks)))))
+        hits = cut.join(own, "__run").where(F.contains("__text", F.col("__term"))).select("__key", "__term")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = rows.join(words.withColumnRenamed("__term", "__key"), "__key", "left_semi").select(
+            "__key", F.col("__text").alias("__term")).limit(0)
+    return found.select(F.col("__key").alias(key), F.col("__term").alias(term))

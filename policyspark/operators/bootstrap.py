@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from policyspark.operators.gate import plain_metrics
 from policyspark.operators.joins import without
-from policyspark.operators.ordinals import small_map
 from policyspark.operators.sampling import split_summary, stratified_split
 from policyspark.session import cut_lineage
 
@@ -62,20 +61,20 @@ def training_set(gold_train: DataFrame, pool: DataFrame, text: str = "text",
 
 def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
     """Balanced weights n / (classes * n_class) from one aggregate over the labels."""
-    counts = df.groupBy(F.col(label).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    tagged = df.withColumn("__counts", small_map(counts, "l", "n"))
-    total = F.aggregate(F.map_values("__counts"), F.lit(0).cast("long"), lambda a, b: a + b)
-    mine = F.element_at("__counts", F.col(label).cast("int"))
-    return tagged.withColumn(weight, total / (F.size("__counts") * mine)).drop("__counts")
+    counts = df.groupBy(F.col(label).cast("int").alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    size = counts.agg(F.sum("__n").alias("t"), F.count(F.lit(1)).alias("k")).select(F.col("t") / F.col("k")).scalar()
+    joined = df.join(counts, F.col(label).cast("int").eqNullSafe(F.col("__l")), "left")
+    return joined.withColumn(weight, size / F.col("__n")).drop("__l", "__n")
 
 
 def train_classifier(train: DataFrame, text: str = "text", label: str = "label", min_df: int = 2,
-                     max_df: float = 0.95, vocabulary: int = 1 << 20, iterations: int = 100, c: float = 1.0):
+                     max_df: float = 0.95, iterations: int = 100, c: float = 1.0):
     """Fit TF-IDF over words and word pairs and a balanced logistic regression; returns a PipelineModel.
 
     The weights are tf * (ln((n + 1) / (df + 1)) + 1), rows l2-normalised. ML's
     IDF lacks the final + 1, so its vector is raised by one and applied as an
-    element-wise product. ``vocabulary`` bounds the features, not the rows.
+    element-wise product. Only ``min_df`` and ``max_df`` bound the vocabulary; the driver holds
+    the terms that pass them, one weight each.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
@@ -93,7 +92,7 @@ def train_classifier(train: DataFrame, text: str = "text", label: str = "label",
     # tokens are read three times below: document frequencies, IDF, regression
     terms = cut_lineage(prepare.transform(rows).select("__terms", label, "weight"))
     counter = CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=float(min_df), maxDF=max_df,
-                              vocabSize=vocabulary).fit(terms)
+                              vocabSize=(1 << 31) - 1).fit(terms)
     counted = counter.transform(terms)
     idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray() + 1.0
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__tfidf")

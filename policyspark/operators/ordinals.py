@@ -1,53 +1,54 @@
 """Running totals, ordinals and selections that never put one group into one task.
 
 Input order matters in several places (ids, caps, last-wins). It is always an
-explicit numeric column. A plain window over a group would pull the whole
-group into one task; a municipality or label may own a third of all rows, so
-groups are cut into slices of the order column: slice totals are summed with
-map-side combine, prefix sums run over the few slice totals per group, and the
-ordinary window only ever sees one slice.
+explicit column. A plain window over a group would pull the whole group into
+one task; a municipality or label may own a third of all rows, so the table is
+cut into slices of key and order: slice totals are summed with map-side
+combine, prefix sums run over the few slice totals per group, and the ordinary
+window only ever sees one slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from policyspark.session import cut_lineage, parallelism
+from policyspark.session import parallelism
 
 _SLICE = "__slice"
 _GROUP = "__group"
 
 
-# A table of at most this many rows is numbered by one ordinary window.
-SMALL_TABLE = 100_000
+# Rows looked at for each cut between slices.
+SAMPLED_PER_SLICE = 40
 
 
-def slice_bounds(df: DataFrame, order: str, slices: int | None = None) -> list[float]:
-    """Order values that cut the table into about equal slices (a bounded list of numbers).
+def slice_cuts(df: DataFrame, columns: Sequence[str], slices: int | None = None) -> list[Row]:
+    """Rows of ``columns`` that cut the table, sorted by them, into about equal slices.
 
-    Empty for a table that was counted and found small.
+    The columns are the key and the whole order, so a hot key, a constant or
+    an all-null first order column are cut like any other. Looks at a sample
+    of bounded size, drawn by a hash of the row; runs one job.
     """
     slices = slices or parallelism(df.sparkSession)
-    parts = [i / slices for i in range(1, slices)]
-    seen = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(order).cast("double"), parts, 20 * slices).alias("cuts"),
-    ).first()
-    return [] if seen["n"] <= SMALL_TABLE else sorted(set(seen["cuts"] or []))
+    some = (df.select(*columns).orderBy(F.xxhash64(*columns, F.lit("cut")), *columns)
+            .limit(slices * SAMPLED_PER_SLICE).orderBy(*columns).collect())
+    step = max(1, len(some) // slices)
+    return list(dict.fromkeys(some[i] for i in range(step, len(some), step)))
+
+
+def slice_column(df: DataFrame, columns: Sequence[str], cuts: Sequence[Row]) -> Column:
+    """How many cuts lie before a row, nulls first."""
+    if not cuts:
+        return F.lit(0)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
 
+    def point(values: Sequence) -> Column:
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v).cast(kinds[c])).alias(c) for c, v in zip(columns, values)])
 
-def slice_column(order: str, bounds: Sequence[float]) -> Column:
-    if len(bounds) <= 64:  # compiled comparisons; longer lists go through one array function
-        place = F.col(order).cast("double")
-        below = [F.coalesce((F.lit(float(b)) < place).cast("int"), F.lit(0)) for b in bounds]
-        return reduce(lambda x, y: x + y, below, F.lit(0))
-    cuts = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b < F.col(order).cast("double")))
+    return F.size(F.filter(F.array(*[point(c) for c in cuts]), lambda c: c <= point([F.col(x) for x in columns])))
 
 
 def uniform_slice(hash_column: Column, slices: int) -> Column:
@@ -58,23 +59,20 @@ def uniform_slice(hash_column: Column, slices: int) -> Column:
 
 def with_running_totals(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, Column],
-    inclusive: bool = False, bounds: Sequence[float] | None = None, slice_by: Column | None = None,
+    inclusive: bool = False, slice_by: Column | None = None,
 ) -> DataFrame:
-    """Add per-key running sums of ``totals`` in ``order``.
-
-    ``order[0]`` must be numeric and ``order`` must be a total order within a
-    key. ``slice_by`` replaces the quantile slices by any expression that is
-    monotone in the order. Totals are exclusive of the row itself unless
-    ``inclusive``.
+    """Add per-key running sums of ``totals`` in ``order``, which must be a total order within a key.
+
+    The table is cut into slices of (key, order); sums of each key and slice
+    are added up before the shuffle, prefix sums run over a key's few slices,
+    and the window only sees one key in one slice. Finding the cuts runs a job
+    at once; ``slice_by``, any expression that is monotone in the order within
+    a key, saves it and keeps the operator lazy. Totals are exclusive of the
+    row itself unless ``inclusive``.
     """
     if slice_by is None:
-        if bounds is None:
-            bounds = slice_bounds(df, order[0])
-        if not bounds:
-            whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(
-                Window.unboundedPreceding, 0 if inclusive else -1)
-            return df.withColumns({n: F.coalesce(F.sum(v).over(whole), F.lit(0)) for n, v in totals.items()})
-        slice_by = slice_column(order[0], bounds)
+        columns = list(dict.fromkeys([*keys, *order]))
+        slice_by = slice_column(df, columns, slice_cuts(df, columns))
     add = {f"__v_{name}": value for name, value in totals.items()}
     # The key travels as one struct: null parts compare equal, and join and
     # window agree on (group, slice), so the rows are shuffled once for both.
@@ -150,37 +148,28 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return kept if name else kept.drop(rank)
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """(value, n) of a column, combined map-side and kept in the checkpoint folder.
-
-    Nulls stay as a row with n = 0: filtering them out first would make the
-    optimizer compute the column twice.
-    """
-    counts = df.select(F.col(column).alias("value")).groupBy("value").agg(F.count("value").alias("n"))
-    return cut_lineage(counts)
+#: Accuracy of the quantiles that bracket an exact rank: their rank is off by at most n / ACCURACY.
+ACCURACY = 10_000
 
 
-def upper_median(counts: DataFrame, name: str = "p50") -> DataFrame:
-    """One row with ``sorted(values)[n // 2]`` of a ``value_counts`` table (null for no values).
+def upper_median(df: DataFrame, column: str, name: str = "p50") -> DataFrame:
+    """One row with ``sorted(values)[n // 2]`` of a numeric column (null for no values).
 
-    Repeated values cost nothing, and the rank search runs over slices of the
-    distinct values, so no task ever holds or sorts all of them.
+    Approximate quantiles bracket the rank; one more pass counts the values
+    below the bracket, and only the values inside it (a few in ten thousand,
+    equal ones counted together) are ranked. Runs two jobs at once.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
-    ranked = with_running_totals(counts, [], ["value"], {"__below": F.col("n")})
-    middle = F.floor(total / 2)
-    return ranked.where((F.col("__below") <= middle) & (middle < F.col("__below") + F.col("n"))).agg(
-        F.max("value").alias(name))
-
-
-def small_map(df: DataFrame, key: Column | str, value: Column | str, limit: int = 10_000) -> Column:
-    """A table of few rows as one map for use in expressions; fails when it holds more than ``limit`` rows."""
-    key, value = (F.col(c) if isinstance(c, str) else c for c in (key, value))
-    pairs = df.select(F.struct(key.alias("key"), value.alias("value")).alias("p")).limit(limit + 1)
-    entries = F.collect_list("p")
-    return pairs.agg(
-        F.when(F.size(entries) > limit, F.raise_error(F.lit(f"more than {limit} groups")).cast("void"))
-        .otherwise(F.map_from_entries(entries)).alias("m")).scalar()
+    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL")
+    half, slack = 0.5, 2.0 / ACCURACY
+    n, bracket = values.agg(F.count("value"), F.percentile_approx("value", [half - slack, half + slack], ACCURACY)).first()
+    if not n:
+        return values.agg(F.max("value").alias(name))
+    low, high = (F.lit(b).cast(df.schema[column].dataType) for b in bracket)
+    below = values.agg(F.count_if(F.col("value") < low)).first()[0]
+    inside = values.where((F.col("value") >= low) & (F.col("value") <= high)).groupBy("value").agg(F.count("value").alias("n"))
+    ranked = with_running_totals(inside, [], ["value"], {"__below": F.col("n")})
+    wanted = n // 2 - below
+    return ranked.where((F.col("__below") <= wanted) & (wanted < F.col("__below") + F.col("n"))).agg(F.max("value").alias(name))
 
 
 def row_hash(id_column: Column | str, seed: int, portable: bool = False) -> Column:

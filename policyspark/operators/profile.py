@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyspark.functions.text import category
-from policyspark.operators.ordinals import top_per_key, upper_median, value_counts
+from policyspark.operators.ordinals import top_per_key, upper_median
 from policyspark.vocabulary import PROFILE_FIELDS
 
 # --- fixed values: label, lower edge, upper edge (exclusive) -----------------
@@ -74,9 +74,9 @@ def confidence_buckets(measures: DataFrame, column: str = "confidence_score") ->
 
 def confidence_stats(measures: DataFrame, column: str = "confidence_score") -> DataFrame:
     """n, min, upper median and max of the numeric confidences."""
-    counts = value_counts(measures.select(F.col(column).try_cast("double").alias("c")), "c")
-    ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return ends.withColumn("p50", upper_median(counts).scalar()).select("n", "min", "p50", "max")
+    values = measures.select(F.col(column).try_cast("double").alias("c"))
+    ends = values.agg(F.count("c").alias("n"), F.min("c").alias("min"), F.max("c").alias("max"))
+    return ends.withColumn("p50", upper_median(values, "c").scalar()).select("n", "min", "p50", "max")
 
 
 def row_counters(df: DataFrame, status: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyspark.functions.text import col, strip
-from policyspark.operators.ordinals import small_map, top_per_key
+from policyspark.operators.ordinals import top_per_key
 
 # --- fixed values: words of binary labels ------------------------------------
 LABEL_WORDS = {"true": 1, "false": 0, "yes": 1, "no": 0, "y": 1, "n": 0}
@@ -66,20 +66,21 @@ def coverage_counts(df: DataFrame, label: str) -> DataFrame:
 def histogram(df: DataFrame, group: Column | str, value: Column | str, bins: int) -> DataFrame:
     """(group, bin, lo, hi, n): equal-width bins over each group's own range, the last one closed.
 
-    The ranges travel as one map with a row per group; a group's range with a
-    single value is widened by 0.5 on both sides.
+    A group's range with a single value is widened by 0.5 on both sides. The
+    values of a group are counted before they meet its range.
     """
     base = df.select(col(group).alias("grp"), col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     ranges = base.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     single = F.col("lo") == F.col("hi")
-    table = small_map(ranges, "grp", F.struct(
+    ranges = ranges.select(F.col("grp").alias("__grp"), F.struct(
         F.when(single, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(single, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi")))
-    ranged = base.withColumn("r", F.element_at(table, F.col("grp")))
+        F.when(single, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi")).alias("r"))
+    values = base.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = values.join(ranges, F.col("grp").eqNullSafe(F.col("__grp")))
     place = (F.col("v") - F.col("r.lo")) * bins / (F.col("r.hi") - F.col("r.lo"))
     counted = ranged.select(
-        "grp", F.least(F.floor(place), F.lit(bins - 1)).cast("int").alias("bin"), "r",
-    ).groupBy("grp", "bin", "r").agg(F.count(F.lit(1)).alias("n"))
+        "grp", F.least(F.floor(place), F.lit(bins - 1)).cast("int").alias("bin"), "r", "n",
+    ).groupBy("grp", "bin", "r").agg(F.sum("n").alias("n"))
     width = (F.col("r.hi") - F.col("r.lo")) / bins
     return counted.select(
         "grp", "bin", (F.col("r.lo") + F.col("bin") * width).alias("lo"),

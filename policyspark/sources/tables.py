@@ -17,16 +17,6 @@ from policyspark.vocabulary import (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy step at least one task per core when the scan yields fewer.
-
-    A table of a few row groups would otherwise keep most cores idle; a large
-    table has more scan tasks than cores and is returned untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
-
-
 def read_csv(spark: SparkSession, path: str, required: Sequence[str] = (), sep: str = ",",
              mode: str = "PERMISSIVE") -> DataFrame:
     """Quoted multi-line CSV with a header; missing required columns fail before any job runs."""

@@ -11,12 +11,6 @@ from policyspark.catalog.inputs import NEGATIVE, POSITIVE
 from policyspark.operators import bootstrap, classify, gate, joins, ordinals, sampling, snippets
 
 
-@pytest.fixture(autouse=True)
-def no_table_is_small(monkeypatch):
-    """Take the sliced path for every table."""
-    monkeypatch.setattr(ordinals, "SMALL_TABLE", 0)
-
-
 @pytest.fixture(scope="module")
 def hot(spark):
     """12,000 rows, one key with a third of them, a null key, scattered order values."""
@@ -43,18 +37,19 @@ def test_row_numbers_match_a_window_under_any_partitioning(hot):
         assert {r.id: r.n for r in got.collect()} == want
 
 
-def test_small_tables_take_one_window_with_the_same_result(hot, monkeypatch):
-    sliced = ordinals.with_row_number(hot, ["k"], ["o", "id"], "n")
-    monkeypatch.setattr(ordinals, "SMALL_TABLE", 1_000_000)
-    plain = ordinals.with_row_number(hot, ["k"], ["o", "id"], "n")
-    assert "Join" not in plain._jdf.queryExecution().executedPlan().toString()
-    assert sliced.exceptAll(plain).count() == 0
-
-
-def test_hot_group_is_cut_into_slices(hot):
-    bounds = ordinals.slice_bounds(hot, "o", 8)
-    sizes = hot.where("k = 'hot'").groupBy(ordinals.slice_column("o", bounds).alias("s")).count()
-    assert sizes.agg(F.max("count")).first()[0] < 4000 / 3
+@pytest.mark.parametrize("shape", ["hot key", "constant first order", "null first order", "one key for all"])
+def test_no_slice_holds_much_more_than_its_share(hot, shape):
+    """Slices are what tasks get: even with a hot key or an order column that says nothing."""
+    df = hot if shape in ("hot key", "one key for all") else hot.withColumn(
+        "o", F.lit(5) if shape.startswith("constant") else F.lit(None).cast("long"))
+    columns = ["o", "id"] if shape == "one key for all" else ["k", "o", "id"]
+    cuts = ordinals.slice_cuts(df, columns, 8)
+    sizes = [r["count"] for r in df.groupBy(ordinals.slice_column(df, columns, cuts).alias("s")).count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 2.5 * 12_000 / 8
+    got = ordinals.with_row_number(df, columns[:-2], columns[-2:], "n")
+    w = Window.partitionBy(*(columns[:-2] or [F.lit(0)])).orderBy(*columns[-2:])
+    want = df.withColumn("n", (F.row_number().over(w) - 1).cast("long"))
+    assert got.exceptAll(want).count() == 0
 
 
 def test_global_numbers(hot):
@@ -67,9 +62,9 @@ def test_median_is_the_upper_one(spark):
     for n in (1, 2, 3, 10, 101, 400):
         values = [rng.choice([0.5, rng.random(), -1.0]) for _ in range(n)]
         df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
-        assert ordinals.upper_median(ordinals.value_counts(df, "v")).first()[0] == sorted(values)[n // 2]
+        assert ordinals.upper_median(df, "v").first()[0] == sorted(values)[n // 2]
     nothing = spark.createDataFrame([(None,)], "v double")
-    assert ordinals.upper_median(ordinals.value_counts(nothing, "v")).first()[0] is None
+    assert ordinals.upper_median(nothing, "v").first()[0] is None
 
 
 def test_split_is_stratified_exact_and_stable(spark):
@@ -203,15 +198,34 @@ def test_hot_lookup_keys_are_split_at_run_time(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_long_and_short_term_lists_agree(spark, sf_dir, monkeypatch):
+def test_term_lists_of_any_length(spark):
+    """Hits come in list order, repeats as given, whatever else the list holds; 10,000 terms run."""
+    from policyspark.functions import terms
+
+    df = spark.createDataFrame([("b a t9999 a",), ("",), (None,), ("nothing",)], "t string")
+    many = [f"t{i}" for i in range(10_000)]
+    short = df.select(terms.term_hits("t", ["b", "a", "b"]).alias("h")).collect()
+    assert [r.h for r in short] == [["b", "a", "b"], [], [], []]
+    long = df.select(terms.term_hits("t", ["b", "a", "b", *many]).alias("h"), terms.any_term("t", many).alias("any"),
+                     terms.count_occurrences(F.lower("t"), ["a", *many]).alias("n")).collect()
+    hits = [w for w in many if w in "t9999"]
+    assert long[0].h == ["b", "a", "b", *hits] and [r.any for r in long] == [True, False, False, False]
+    assert long[0].n == 2 + len(hits) and [r.n for r in long[1:]] == [0, 0, 0]
+    rules = terms.KeywordRules(positive=tuple(many), min_themes=0)
+    assert [r[0] for r in df.select(rules.passes(F.coalesce("t", F.lit("")))).collect()] == [True, False, False, False]
+
+
+def test_term_tables_match_like_containment(spark, sf_dir):
     from policyspark.functions import terms
 
-    words = sorted({"tion", "thwh", "eau", "nicht", "der ", "the "})
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lower("text").alias("t"))
-    short = docs.select("t", terms.term_hits("t", words).alias("hits"))
-    monkeypatch.setattr(terms, "INLINE_TERMS", 0)
-    long = docs.select("t", terms.term_hits("t", words).alias("hits"))
-    assert short.exceptAll(long).count() == 0
+    words = ["a", "th", "eau", "tion", "nicht d", "license", "ß", "zzzz", "", None, "tion", "é è"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("t")).limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a"), (-3, "th")], "doc_id long, t string"))
+    table = spark.createDataFrame([(w,) for w in words], "term string")
+    got = sorted(map(tuple, terms.table_matches(docs, table, "doc_id", "t").collect()))
+    want = sorted((r.doc_id, w) for r in docs.collect() for w in {w for w in words if w} if r.t and w in r.t)
+    assert got == want
+    assert terms.table_matches(docs, table.where("term = 'x' AND term = 'y'"), "doc_id", "t").count() == 0
 
 
 def test_roots_decide_like_the_full_list(spark):
