@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,39 +56,65 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         separators = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.separator_id, self.separator = next(iter(sorted(separators.items(), reverse=True)), (None, None))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encode_whole(self, words: list[bytes]) -> list[bytes]:
-        """Ids (little-endian unsigned 32-bit) of words without special strings."""
+    def calls(self, words: list[str], glue: str, ends) -> list[bytes] | None:
+        """Ids of words encoded many at a time; ``ends`` gives (first, end) places of each word's ids, if it can tell."""
         out: list[bytes] = []
         for i in range(0, len(words), CALL_WORDS):
-            part = [w.decode() for w in words[i:i + CALL_WORDS]]
-            if self.separator is None:
-                out += [np.array(e.ids, "<u4").tobytes() for e in
-                        self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                continue
-            joined = self.tokenizer.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0]
-            ids = np.array(joined.ids, "<u4")
+            part = words[i:i + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([glue.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            first, end = ends(ids)
+            if len(end) != len(part):
+                return None
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip((first * 4).tolist(), (end * 4).tolist())]
+        return out
+
+    def encode_whole(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids (little-endian unsigned 32-bit) of words without a bar, which all special strings have.
+
+        Words of small letters only are one piece to the tokenizer, so their
+        last token carries the mark of a word's end; the others are kept apart
+        by a special token.
+        """
+        def marked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            end = np.flatnonzero(self.ends_word[ids]) + 1
+            return np.concatenate([[0], end[:-1]]), end
+
+        def separated(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(ids == self.separator_id)
-            starts = np.concatenate([[0], at + 1])
-            ends = np.concatenate([at, [len(ids)]])
-            out += [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+            return np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]])
+
+        text = [w.decode() for w in words]
+        plain = [t.isalpha() and t == t.lower() for t in text]
+        out: dict[bytes, bytes] = {}
+        for ways, want in (((" ", marked), True), ((self.separator, separated), False)):
+            names = [w for w, p in zip(words, plain) if p == want]
+            pieces = [t for t, p in zip(text, plain) if p == want]
+            ids = self.calls(pieces, *ways) if ways[0] is not None else None
+            if ids is None:
+                ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            out.update(zip(names, ids))
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         composed = {}
         plain = set()
         for word in words:
-            core = word.rstrip(b".,")
-            if core is not word and len(core) < len(word) and core and 97 <= core[-1] <= 122 and b"<|" not in word:
-                composed[word] = (core, word[len(core):])
-                plain.update(composed[word])
-            else:
-                plain.add(word)
-        special = [w for w in plain if b"<|" in w or b"|>" in w]
-        rest = [w for w in plain if w not in self.known and b"<|" not in w and b"|>" not in w]
-        self.known.update(zip(rest, self.encode_whole(rest)))
+            if word[-1] in b".,":
+                core = word.rstrip(b".,")
+                if core and 97 <= core[-1] <= 122 and b"|" not in word:
+                    composed[word] = (core, word[len(core):])
+                    plain.update(composed[word])
+                    continue
+            plain.add(word)
+        plain.difference_update(self.known)
+        special = [w for w in plain if b"|" in w]
+        rest = [w for w in plain if b"|" not in w]
+        self.known.update(self.encode_whole(rest))
         for word in special:
             self.known[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         for word, (core, tail) in composed.items():
@@ -95,14 +122,12 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else t.translate(LOWER)).split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self.learn(new)
-            new = {w for words in split for w in words if w not in known}  # forgotten just now
-            if new:
-                self.learn(new)
-        return [b"".join([known[w] for w in words]) for words in split]
+        words = set(chain.from_iterable(split))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.learn(words.difference(self.known))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID
