@@ -28,8 +28,9 @@ from policyspark.llm.registry import query
 from policyspark.llm.words import slots, table, written
 
 TOP = 20
-#: Distinct vectors and queries a task handles together.
+#: Distinct vectors a task handles together, and queries (each has hundreds of buckets).
 ROWS = 4096
+ASKED = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,8 +43,8 @@ class Settings:
 
     tables: int = 6
     width: float = 1.6
-    per_bucket: int = 64
-    most: int = 8
+    per_bucket: int = 256
+    most: int = 7
     recall: float = 0.96
     sample: int = 10_000
     asked: int = 96
@@ -254,8 +255,8 @@ def search(distinct: DataFrame, queries: DataFrame, hashing: Hashing, visits: in
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                reps, vectors = batch.column("rep").slice(i, 256).to_numpy(), matrix(batch.column("vector").slice(i, 256))
+            for i in range(0, batch.num_rows, ASKED):
+                reps, vectors = batch.column("rep").slice(i, ASKED).to_numpy(), matrix(batch.column("vector").slice(i, ASKED))
                 code = hashing.visits(vectors, visits)
                 owner = np.repeat(np.arange(len(reps)), code[0].size)
                 code = code.ravel()
