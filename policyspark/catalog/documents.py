@@ -474,3 +474,26 @@ def crawl_targets(spark, sf_dir):
         F.when(k % 3 != 0, F.col("s_name")).alias("name"), F.concat(F.lit("https://"), k.cast("string")).alias("start_url"),
         F.when(k % 2 == 0, "a.de").otherwise("").alias("domains"))
     return tables.target_rows(rows).select("muni", "url", joined("allowed_domains", " ").alias("domains"))
+
+
+# 1,024 terms by a rule, in an order that is not sorted; two of them listed twice.
+SYLLABLES = ("th", "er", "an", "in", "on", "re", "nd", "ha", "en", "ou", "ed", "ti", "es", "or", "at", "st", "ea", "nt", "ing", "ble",
+             "wh", "sh", "ly", "tion", "ch", "eau", "der", "qu", "le", "ai", "que", "vi")
+LONG_LIST = tuple(b + a for a in SYLLABLES for b in SYLLABLES) + ("ther", "anin")
+
+
+@query("keyword_scores_long_list", sql=f"""SELECT doc_id, len(hits) AS n_hits, array_to_string(hits, '|') AS hits
+  FROM (SELECT doc_id, list_filter([{", ".join(f"'{t}'" for t in LONG_LIST)}], lambda x: contains(lower(text), x)) AS hits FROM documents)""")
+def keyword_scores_long_list(spark, sf_dir):
+    """A list of over a thousand terms: hits in list order, repeats as given."""
+    hits = table(spark, sf_dir, "documents").select("doc_id", term_hits(F.lower("text"), LONG_LIST).alias("h"))
+    return hits.select("doc_id", F.size("h").cast("long").alias("n_hits"), joined("h").alias("hits"))
+
+
+@query("running_total_constant_order", sql="""SELECT doc_id, source, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM documents""")
+def running_total_constant_order(spark, sf_dir):
+    """A running total whose first order column says nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.lit(1).alias("same"))
+    return ordinals.with_running_totals(docs, ["source"], ["same", "doc_id"], {"chars_before": F.col("n_chars")}).select(
+        "doc_id", "source", "chars_before")

@@ -299,9 +299,9 @@ def annotation_prompt(instructions: str, row_columns: Sequence[str] = ("municipa
     return strip(F.concat_ws("\n", F.lit(instructions), *lines, F.lit(""), F.coalesce(col(text), F.lit(""))))
 
 
-def example_block(text: Column, label: Column, max_chars: int) -> Column:
+def example_block(text: Column, label: Column, max_chars: int | None = None) -> Column:
     """One rendered few-shot example."""
-    shown = prefix(text, max_chars) if max_chars > 0 else text
+    shown = prefix(text, max_chars) if max_chars else text
     return F.concat(
         F.lit("EXAMPLE\nTEXT:\n"), shown, F.lit('\nOUTPUT:\n{"label": '), label.cast("int").cast("string"),
         F.lit(', "confidence": 0.9, "rationale": "example"}\n'),

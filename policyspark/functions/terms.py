@@ -204,6 +204,12 @@ GRAM = 4
 FLAGS = 1 << 15
 
 
+def runs(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    return let(F.split(text, ""), lambda letters: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.size(letters) - (n - 1)), lambda i: F.array_join(F.slice(letters, i, n), ""))))
+
+
 def run_flag(run: Column) -> Column:
     return F.pmod(F.xxhash64(run), F.lit(FLAGS)).cast("int")
 
@@ -230,12 +236,7 @@ def table_matches(texts: DataFrame, terms: DataFrame, key: str, text: str, term:
     for n in sorted(lengths):  # 1 to GRAM
         own = words.where(F.length("__term") == n if n < GRAM else F.length("__term") >= n)
 
-        def runs(column: Column, n: int = n) -> Column:
-            letters = F.split(column, "")
-            return F.array_distinct(F.transform(
-                F.sequence(F.lit(1), F.size(letters) - (n - 1)), lambda i: F.array_join(F.slice(letters, i, n), "")))
-
-        least = F.array_min(F.transform(runs(F.col("__term")), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("run"))))
+        least = F.array_min(F.transform(runs(F.col("__term"), n), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("run"))))
         own = own.select("__term", least["run"].alias("__run"))
         # A bitmap of FLAGS bits in words of 64, whatever the number of terms.
         words_of = [0] * (FLAGS // 64)
@@ -244,7 +245,7 @@ def table_matches(texts: DataFrame, terms: DataFrame, key: str, text: str, term:
         marks = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words_of])
 
         cut = rows.where(F.length("__text") >= n).withColumn("__run", F.explode(let(
-            runs(F.col("__text")), lambda all_: F.filter(all_, flagged(marks)))))
+            runs(F.col("__text"), n), lambda all_: F.filter(all_, flagged(marks)))))
         hits = cut.join(own, "__run").where(F.contains("__text", F.col("__term"))).select("__key", "__term")
         found = hits if found is None else found.unionByName(hits)
     if found is None:

@@ -99,13 +99,13 @@ def measure_csv_shape(measures: DataFrame) -> DataFrame:
     return measures.select(*out)
 
 
-def labeling_csv_shape(documents: DataFrame, max_chars: int = 2000) -> DataFrame:
-    """Columns for manual labelling: flat, capped text and five empty label columns."""
+def labeling_csv_shape(documents: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Columns for manual labelling: flat text (its first ``max_chars`` characters, if given) and five empty label columns."""
     c = _columns(documents)
     flat = one_line(F.coalesce(c("text"), F.lit("")))
     values = {n: F.coalesce(c(n).cast("string"), F.lit("")) for n in V.LABELING_COLUMNS}
     values["url"] = first_filled(c("url"), c("source_url"), default="")
-    values["text"] = prefix(flat, max_chars) if max_chars > 0 else flat
+    values["text"] = prefix(flat, max_chars) if max_chars else flat
     return documents.select(
         *[v.alias(n) for n, v in values.items()], *[F.lit("").alias(n) for n in V.LABELING_EMPTY_COLUMNS])
 

@@ -18,6 +18,7 @@ from policyspark.functions.text import cap, first_filled, one_line
 from policyspark.operators.gate import primary_decision
 from policyspark.operators.harmonise import labeler_fields
 from policyspark.operators.joins import without
+from policyspark.session import cut_lineage
 from policyspark.vocabulary import ANNOTATION_COLUMNS
 
 Labeler = Callable[[list[str]], Sequence[str | None]]
@@ -29,37 +30,41 @@ def ask(prompts: DataFrame, labeler: Labeler, prompt: str = "prompt", answer: st
 
     The labeler gets a list of prompts and returns as many answers. A batch
     that raises, or that returns another number of answers, is retried prompt
-    by prompt, and a prompt that still fails gets a null answer, so one bad
-    row never costs another. Rows keep their own keys, nothing is matched by
-    position across batches.
+    by prompt, and a prompt that still fails gets a null answer and the reason
+    in ``{answer}_error``, so one bad row never costs another. Rows keep their
+    own keys, nothing is matched by position across batches.
+
+    Runs at once: the answers are kept in the checkpoint folder, so whatever
+    reads them later asks no prompt a second time.
     """
-    schema = StructType([*prompts.schema.fields, StructField(answer, StringType())])
+    schema = StructType([*prompts.schema.fields, StructField(answer, StringType()), StructField(f"{answer}_error", StringType())])
 
-    def single(text: str) -> str | None:
+    def single(text: str) -> tuple[str | None, str | None]:
         try:
             got = list(labeler([text]))
-            return got[0] if got else None
-        except Exception:
-            return None
+            return (got[0], None) if got else (None, "no answer")
+        except Exception as error:  # a labeler is foreign code: one failure must not cost the others
+            return None, f"{type(error).__name__}: {error}"
 
-    def answers(texts: list[str]) -> list[str | None]:
+    def answers(texts: list[str]) -> list[tuple[str | None, str | None]]:
         try:
             got = list(labeler(texts))
             if len(got) == len(texts):
-                return got
-        except Exception:
+                return [(g, None) for g in got]
+        except Exception:  # each prompt is asked alone below and keeps its own error
             pass
         return [single(t) for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out: list[str | None] = []
+            out: list[tuple[str | None, str | None]] = []
             texts = frame[prompt].tolist()
             for start in range(0, len(texts), batch_size):
                 out.extend(answers(texts[start:start + batch_size]))
-            yield frame.assign(**{answer: pd.Series(out, index=frame.index, dtype=object)})
+            yield frame.assign(**{name: pd.Series([o[k] for o in out], index=frame.index, dtype=object)
+                                  for k, name in enumerate((answer, f"{answer}_error"))})
 
-    return prompts.mapInPandas(run, schema)
+    return cut_lineage(prompts.mapInPandas(run, schema))
 
 
 def rule_labeler(prompts: list[str]) -> list[str]:
@@ -78,7 +83,7 @@ def rule_labeler(prompts: list[str]) -> list[str]:
 
 def label_candidates(
     candidates: DataFrame, labeler: Labeler, template: str = "", *, done: DataFrame | None = None,
-    order: str | None = None, max_items: int | None = None, max_chars: int | None = 6000, batch_rules: bool = False,
+    order: str | None = None, max_items: int | None = None, max_chars: int | None = None, batch_rules: bool = False,
     model: str = "rule", provider: str = "local", profile: str | None = None, label_source: str = "llm",
 ) -> DataFrame:
     """candidates -> measure rows.
@@ -118,7 +123,7 @@ def label_candidates(
     })
     if batch_rules:
         out = out.withColumn("title", first_filled("title", "pick_title", default=""))
-    return out.drop("answer", "answer_json", "pick_text", "pick_title", "pick_url", "pick_scope")
+    return out.drop("answer", "answer_error", "answer_json", "pick_text", "pick_title", "pick_url", "pick_scope")
 
 
 def stub_measures(candidates: DataFrame, label_source: str = "llm_stub") -> DataFrame:
@@ -131,7 +136,7 @@ def stub_measures(candidates: DataFrame, label_source: str = "llm_stub") -> Data
 
 def gate_predictions(
     gold_test: DataFrame, labeler: Labeler, text: str, label: str, examples: str | None = None,
-    max_chars: int = 2000, abstain_conf: float = 0.6,
+    max_chars: int | None = None, abstain_conf: float = 0.6,
 ) -> DataFrame:
     """candidate_id, gold_label, pred_label, abstained, confidence, rationale, raw."""
     body = F.substring(text, 1, max_chars) if max_chars and max_chars > 0 else F.col(text)

@@ -83,9 +83,9 @@ def split_summary(split: DataFrame, label: str, name: str = "split") -> DataFram
                      pos("test").alias("pos_test"))
 
 
-def balanced_head(df: DataFrame, label: str, order: str, n: int, ensure_positive: bool = True) -> DataFrame:
+def balanced_head(df: DataFrame, label: str, order: str, n: int | None, ensure_positive: bool = True) -> DataFrame:
     """First rows in order: max(1, n // 4) positives if there are as many, then negatives up to n."""
-    if n <= 0:
+    if n is None or n <= 0:
         return df
     if not ensure_positive:
         return first_rows(df, order, n)
@@ -101,7 +101,7 @@ def balanced_head(df: DataFrame, label: str, order: str, n: int, ensure_positive
 
 
 def few_shot_block(train: DataFrame, text: str, label: str, id_column: str, k_pos: int = 3, k_neg: int = 3,
-                   seed: int = 42, max_chars: int = 2000, portable: bool = False) -> DataFrame:
+                   seed: int = 42, max_chars: int | None = None, portable: bool = False) -> DataFrame:
     """One row: the rendered examples, k_pos positives then k_neg negatives in hash order."""
     def pick(value: int, k: int) -> DataFrame:
         chosen = train.where(F.col(label) == value)

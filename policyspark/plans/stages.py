@@ -1,9 +1,7 @@
-"""End-to-end plans: each takes and returns DataFrames and stays lazy."""
+"""End-to-end plans: each takes and returns DataFrames; those that ask a labeler ask it at once and once."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +45,7 @@ def analysis(measures: DataFrame, documents: DataFrame, municipalities: DataFram
 
 
 def inspect(measures: DataFrame, order: str, id_column: str = "candidate_id", top_k: int = 10,
-            show_lowest: int = 10, show_random: int = 10, keep_rows: int | None = 20000, seed: int = 42,
+            show_lowest: int = 10, show_random: int = 10, keep_rows: int | None = None, seed: int = 42,
             broken: str | None = None) -> dict[str, DataFrame]:
     """The measure profile as named tables.
 
@@ -81,8 +79,8 @@ def regate(predictions: DataFrame, gold: DataFrame, text: str = "text_for_annota
 
 def gate_evaluation(gold: DataFrame, labeler: Labeler, text: str = "text_for_annotation",
                     label_column: str = "gold_is_policy_measure", seed: int = 42, test_frac: float = 0.3,
-                    few_shot: bool = False, k_pos: int = 3, k_neg: int = 3, max_chars: int = 2000,
-                    max_test_n: int = 10, ensure_pos: bool = False,
+                    few_shot: bool = False, k_pos: int = 3, k_neg: int = 3, max_chars: int | None = None,
+                    max_test_n: int | None = None, ensure_pos: bool = False,
                     abstain_conf: float = 0.6, portable: bool = False) -> tuple[DataFrame, DataFrame]:
     """Gold table -> gate predictions on the test side and their metrics.
 
@@ -145,6 +143,3 @@ def report_tables(pool: DataFrame, weak: DataFrame, gold: DataFrame, annotation:
         out["municipality_support"] = report.municipality_support(labelled, name, municipality)
     return out
 
-
-def named(tables: Mapping[str, DataFrame], names: Sequence[str]) -> list[DataFrame]:
-    return [tables[n] for n in names if n in tables]

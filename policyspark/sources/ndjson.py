@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,7 +24,8 @@ def as_schema(schema: StructType | str) -> StructType:
     return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
 
-def parse_lines(lines: DataFrame, schema: StructType | str, value: str = "value", keep_broken: bool = False) -> DataFrame:
+def parse_lines(lines: DataFrame, schema: StructType | str, value: str = "value", keep_broken: bool = False,
+                keep: Sequence[str] = ()) -> DataFrame:
     """Lines -> rows of ``schema``; blank lines are skipped.
 
     Lines that are not one JSON object are dropped, or kept with ``_broken``
@@ -30,19 +33,19 @@ def parse_lines(lines: DataFrame, schema: StructType | str, value: str = "value"
     into rows instead.
     """
     schema = as_schema(schema)
-    body = lines.select(strip(value).alias("__line")).where(F.col("__line") != "")
+    body = lines.select(*keep, strip(value).alias("__line")).where(F.col("__line") != "")
     marked = StructType([*schema.fields]).add("_corrupt", "string")
     parsed = body.select(
-        F.col("__line").startswith("{").alias("__object"),
+        *keep, F.col("__line").startswith("{").alias("__object"),
         F.from_json("__line", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"),
     )
     ok: Column = F.col("__object") & F.col("r").isNotNull() & F.col("r._corrupt").isNull()
     if keep_broken:
         flagged = parsed.withColumn("_broken", ~F.coalesce(ok, F.lit(False)))
         return flagged.select(
-            "_broken",
+            *keep, "_broken",
             *[F.when(~F.col("_broken"), F.col(f"r.`{f.name}`")).alias(f.name) for f in schema.fields])
-    return parsed.where(ok).select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
+    return parsed.where(ok).select(*keep, *[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: StructType | str, on_bad: str = "drop",
@@ -51,26 +54,33 @@ def read_ndjson(spark: SparkSession, path: str, schema: StructType | str, on_bad
 
     on_bad: 'drop' bad lines, 'fail' the job, or 'flag' them in ``_broken``.
     on_missing: 'fail' or 'empty'. ``with_position`` adds ``ord``, a number in
-    file and line order that is unique but not consecutive.
+    the order of file paths and lines that is unique but not consecutive.
     """
     schema = as_schema(schema)
     if not path_exists(spark, path):
         if on_missing == "empty":
             return spark.createDataFrame([], schema)
         raise FileNotFoundError(path)
-    if on_bad == "fail":
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    elif with_position:
-        numbered = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-        keyed = numbered.select("ord", strip("value").alias("value")).where("value != ''")
-        marked = StructType([*schema.fields]).add("_corrupt", "string")
-        parsed = keyed.select("ord", F.col("value").startswith("{").alias("o"), F.from_json(
-            "value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-        return parsed.where(F.col("o") & F.col("r").isNotNull() & F.col("r._corrupt").isNull()).select(
-            "ord", *[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
-    else:
-        return parse_lines(spark.read.text(path), schema, keep_broken=on_bad == "flag")
-    return rows.withColumn("ord", F.monotonically_increasing_id()) if with_position else rows
+    lines = positioned_lines(spark, path) if with_position else spark.read.text(path)
+    kept = ["ord"] if with_position else []
+    if on_bad != "fail":
+        return parse_lines(lines, schema, keep_broken=on_bad == "flag", keep=kept)
+    parsed = parse_lines(lines, schema, keep_broken=True, keep=kept)
+    checked = F.when(F.col("_broken"), F.raise_error(F.lit(f"{path}: a line is not one JSON object"))).otherwise(F.lit(True))
+    return parsed.where(checked.cast("boolean")).drop("_broken")
+
+
+def positioned_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, ord): lines numbered by the rank of their file, its parts in order, and the line in its part.
+
+    Tasks take parts of files by size, so the number of a task says nothing
+    about file order. The ranks are a row per part of a file.
+    """
+    part = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    lines = spark.read.text(path).select("value", *part, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__line"))
+    ranks = spark.read.text(path).select(*part).distinct().withColumn(
+        "__rank", F.row_number().over(Window.orderBy("__file", "__start")).cast("long"))
+    return lines.join(ranks, ["__file", "__start"]).select("value", (F.col("__rank") * F.lit(1 << 33) + F.col("__line")).alias("ord"))
 
 
 def line_counters(lines: DataFrame, value: str = "value") -> DataFrame:

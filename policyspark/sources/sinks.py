@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from policyspark.sources.ndjson import path_exists
 from policyspark.operators.export import analysis_csv_shape, labeling_csv_shape, measure_csv_shape
 
 
@@ -53,7 +54,7 @@ def write_measure_csv(measures: DataFrame, path: str) -> None:
     write_csv(measure_csv_shape(measures), path)
 
 
-def write_labeling_csv(documents: DataFrame, path: str, max_chars: int = 2000) -> None:
+def write_labeling_csv(documents: DataFrame, path: str, max_chars: int | None = None) -> None:
     write_csv(labeling_csv_shape(documents, max_chars), path)
 
 
@@ -68,8 +69,16 @@ def write_predictions_csv(predictions: DataFrame, path: str, columns: list[str]
 
 
 def write_content_store(store: DataFrame, path: str) -> None:
-    """Content-addressed pages, one row per digest, partitioned by municipality."""
-    store.write.mode("append").partitionBy("municipality_id").parquet(path)
+    """Content-addressed pages, one row per digest, partitioned by municipality.
+
+    Digests that the folder already holds are not written again.
+    """
+    spark = store.sparkSession
+    if path_exists(spark, f"{path}/*"):
+        held = spark.read.parquet(path).select(F.col("municipality_id").cast("string").alias("__m"), F.col("digest").alias("__d"))
+        store = store.join(held, F.col("municipality_id").cast("string").eqNullSafe(F.col("__m"))
+                           & (F.col("digest") == F.col("__d")), "left_anti")
+    store.repartition("municipality_id").write.mode("append").partitionBy("municipality_id").parquet(path)
 
 
 def write_operating_points(points: DataFrame, path: str) -> None:
