@@ -228,6 +228,24 @@ def crawl_gated(spark, sf_dir):
     return index.select("muni", "url", "depth", "status", "ct", "kept", "reason")
 
 
+@query("crawl_gated_pages", sql=f"""WITH {LINKS_SQL}, p AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
+  f1 AS (SELECT DISTINCT p.page_id, p.url AS home, base || href AS link FROM links JOIN p USING (page_id)
+    WHERE regexp_matches(lower(base || href) || chr(10) || lower(anchor), 'th|nicht|ung'))
+  SELECT 'p' || page_id AS muni, url, 0 AS depth, '200' AS status, 'text/html' AS ct, true AS kept FROM p
+  UNION ALL SELECT 'p' || f1.page_id, link, 1, CASE WHEN p.url IS NULL THEN 'error' ELSE '200' END,
+    CASE WHEN p.url IS NOT NULL THEN 'text/html' END, CASE WHEN p.url IS NOT NULL THEN true END
+    FROM f1 LEFT JOIN p ON p.url = link WHERE link <> home""")
+def crawl_gated_pages(spark, sf_dir):
+    """The gated traversal over the stored pages: each page is a seed, and only the pages of a level are parsed."""
+    stored = pages(spark, sf_dir).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    unique = pages(spark, sf_dir).join(stored, ["url", "page_id"], "left_semi")
+    seeds = unique.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("muni"), "url",
+                          F.array().cast("array<string>").alias("allowed_domains"))
+    limits = crawl.CrawlLimits(max_depth=1, max_docs=1000, max_pdfs=10, max_requests=1000)
+    index = crawl.gated_crawl(seeds, crawl.page_table(unique), crawl.linked_pages(unique), ["th", "nicht", "UNG"], limits)
+    return index.select("muni", "url", "depth", "status", "ct", "kept")
+
+
 @query("crawl_plain", sql="""WITH f1 AS (SELECT c_nationkey AS n, c_custkey AS c, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ord FROM customer),
   f2 AS (SELECT n, c, o_orderkey AS o, row_number() OVER (PARTITION BY n ORDER BY ord, o_orderkey) + (SELECT count(*) FROM f1 x WHERE x.n = f1.n) AS ord
     FROM f1 JOIN orders ON o_custkey = c WHERE c % 7 <> 0 AND c % 11 <> 0),

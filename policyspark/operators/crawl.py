@@ -12,7 +12,7 @@ depth.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -69,14 +69,27 @@ def page_edges(pages: DataFrame, html: str = "html", url: str = "url", base_url:
         "url", "l.pos", F.col("l.url").alias("link"), F.col("l.anchor").alias("anchor"))
 
 
+Edges = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def linked_pages(pages: DataFrame, html: str = "html", url: str = "url", base_url: str | None = None) -> Edges:
+    """The links of stored pages as traversals want them: a level's urls pick their pages, and only those are parsed."""
+    def edges(wanted: DataFrame) -> DataFrame:
+        chosen = pages.join(wanted.select(F.col("url").alias("__wanted")), F.col(url) == F.col("__wanted"), "left_semi")
+        return page_edges(chosen, html, url, base_url)
+
+    return edges
+
+
 def gated_crawl(
-    seeds: DataFrame, pages: DataFrame, edges: DataFrame, keywords: Sequence[str], limits: CrawlLimits = CrawlLimits(),
+    seeds: DataFrame, pages: DataFrame, edges: Edges, keywords: Sequence[str], limits: CrawlLimits = CrawlLimits(),
     allowed_types: Sequence[str] = ("text/html", "application/pdf"),
 ) -> DataFrame:
     """Index rows (muni, url, depth, ord, status, ct, kept, reason, raw_path) of the gated traversal.
 
     ``seeds``: (muni, url, allowed_domains); ``pages``: the page table, unique
-    per url; ``edges``: (url, pos, link, anchor). A url without a page row is a
+    per url; ``edges``: (url, pos, link, anchor), or a function that gives the
+    edges of a table of urls (:func:`linked_pages`). A url without a page row is a
     failed fetch. Links are followed from kept HTML pages when domain and
     keyword gate pass.
     """
@@ -157,20 +170,20 @@ def _spend(tally: DataFrame, done: DataFrame, counts: dict[str, Column]) -> Data
         "t_muni", *[(F.col(f"t_{n}") + F.coalesce(F.col(f"s_{n}"), F.lit(0))).alias(f"t_{n}") for n in counts])
 
 
-def _next_level(parents: DataFrame, edges: DataFrame, visited: DataFrame, follow) -> DataFrame:
+def _next_level(parents: DataFrame, edges: Edges, visited: DataFrame, follow) -> DataFrame:
     """Unvisited links of a level; the first occurrence of a url per municipality keeps its place.
 
-    Visit order = place of the parent among the expanded pages of its level,
-    times the largest link position, plus the position of the link. The place
-    is dense and bounded by the document cap, so the number stays small at any
-    depth.
+    Visit order = place of the parent among the expanded pages of its level
+    (upper 31 bits), then the position of the link (lower 32). The place is
+    bounded by the document cap at any depth.
     """
     sources = parents.select(F.col("url").alias("p_url"), "muni", "place", "allowed_domains")
-    links = cut_lineage(sources.join(edges, F.col("p_url") == F.col("url")).select(
+    if callable(edges):
+        edges = edges(sources.select(F.col("p_url").alias("url")).distinct())
+    links = sources.join(edges, F.col("p_url") == F.col("url")).select(
         "muni", "allowed_domains", F.col("p_url").alias("referrer"), "place", F.col("pos").cast("long").alias("pos"),
-        F.col("link").alias("url"), "anchor").where(follow(F.col("url"), F.col("anchor"))))
-    widest = links.agg(F.coalesce(F.max("pos"), F.lit(0)) + 1).scalar()
-    placed = links.withColumn("ord", F.col("place") * widest + F.col("pos"))
+        F.col("link").alias("url"), "anchor").where(follow(F.col("url"), F.col("anchor")))
+    placed = links.withColumn("ord", F.col("place") * F.lit(1 << 32) + F.col("pos"))
     firsts = placed.groupBy("muni", "url").agg(
         F.min_by(F.struct("allowed_domains", "referrer"), "ord").alias("__f"), F.min("ord").alias("ord"))
     fresh = firsts.join(visited, ["muni", "url"], "left_anti")
@@ -178,7 +191,7 @@ def _next_level(parents: DataFrame, edges: DataFrame, visited: DataFrame, follow
 
 
 def plain_crawl(
-    seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_pages: int = 40, max_depth: int = 2, max_pdfs: int = 8,
+    seeds: DataFrame, pages: DataFrame, edges: Edges, max_pages: int = 40, max_depth: int = 2, max_pdfs: int = 8,
     extensions: Sequence[str] = tuple(CRAWL_EXCLUDED_EXTENSIONS), timestamp: Column | None = None,
 ) -> DataFrame:
     """Ungated traversal: only assets are skipped, failed fetches count against the page cap, and content exists for status 200 to 399.
