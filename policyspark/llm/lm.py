@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark.llm.registry import query
-from policyspark.llm.words import LOWER, fold_of, hashed_words, mixed, slots, table, unzipped, written, zipped
+from policyspark.llm.words import LOWER, fold_of, hashed_words, mixed, release, slots, table, unzipped, written, zipped
 
 FOLDS = 10
 HELD_OUT, DELETED = 0, 1
@@ -261,11 +261,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     """
     blocks = blocks_of(docs, doc_id, text)
     answers = written(counts(blocks, order), "counts")
+    release(docs.sparkSession)
     sums = answers.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (
         "tokens", "known", "kept_tokens", "kept_known")]).first()
     tokens, known = int(sums[0]), int(sums[1])
     answers = answers.where("block IS NOT NULL").select("block", "bin", "answer")
     weights = learn(blocks, answers, order, int(sums[2]), int(sums[3]))
+    release(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
 
     def scored(key: tuple, whole: pa.Table, reply: pa.Table) -> pa.Table:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from policyspark.llm.components import components
 from policyspark.llm.registry import query
-from policyspark.llm.words import LOWER, chunks, slots, table, written
+from policyspark.llm.words import LOWER, chunks, release, slots, table, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("name")).select("fp", F.coalesce("name", nameless).alias("name"))
     distinct = written(distinct, "distinct")
     roots = components(link(distinct))
+    release(docs.sparkSession)
     named = distinct.join(roots, distinct["name"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "name").alias("_root"))
     return rows.join(named, "fp").select(

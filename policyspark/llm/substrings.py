@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm.registry import query
-from policyspark.llm.words import (as_bytes, chunks, gram_hashes, hashed_words, slots, table, without_words,
+from policyspark.llm.words import (as_bytes, chunks, gram_hashes, hashed_words, release, slots, table, without_words,
                                    written)
 
 WINDOW = 20
@@ -252,6 +252,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", window: int = WINDOW, anchor:
 
 def _with_places(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with _places (packed starts) and _copy (0 for the first row of an id and text)."""
+    release(docs.sparkSession)
     own = gathered(found).toDF("_id", "_hash", "_places")
     keys = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64("text")})
     copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0))) - 1

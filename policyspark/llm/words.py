@@ -42,21 +42,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table below the checkpoint folder and read it back.
 
-    Lineage ends there, so a lost executor costs no earlier stage. The shuffle
-    files of the stages before are given back once the driver has collected
-    its garbage, which this asks for.
+    Lineage ends there, so a lost executor costs no earlier stage. Shuffle
+    files of stages that ended before are given back first.
     """
     spark = df.sparkSession
+    release(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
-    schema = df.schema
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop shuffle files that no plan needs any more."""
+    """Let Spark's context cleaner drop shuffle files that no plan needs any more.
+
+    It does so when the driver collects its garbage, which may otherwise take
+    longer than the next stage.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
