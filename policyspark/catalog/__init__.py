@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from policyspark.catalog import documents, evaluation, labels, reports, streams, web  # noqa: F401
+    from policyspark.catalog import documents, evaluation, labels, reports, roundtrips, streams, web  # noqa: F401
 
     return dict(QUERIES), dict(SQL)

@@ -18,10 +18,14 @@ from policyspark.vocabulary import (
 
 
 def read_csv(spark: SparkSession, path: str, required: Sequence[str] = (), sep: str = ",",
-             mode: str = "PERMISSIVE") -> DataFrame:
-    """Quoted multi-line CSV with a header; missing required columns fail before any job runs."""
+             mode: str = "PERMISSIVE", multi_line: bool = True) -> DataFrame:
+    """Quoted CSV with a header; missing required columns fail before any job runs.
+
+    Fields may hold line breaks, which makes each file one task;
+    ``multi_line=False`` reads files without such fields in parts.
+    """
     df = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         .option("sep", sep).option("mode", mode).csv(path)
     )
     missing = [c for c in required if c not in df.columns]
@@ -30,14 +34,30 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str] = (), sep:
     return df
 
 
-def read_csv_sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """Comma separated unless the header is one column with semicolons; malformed rows are dropped."""
-    df = read_csv(spark, path, mode="DROPMALFORMED")
+def read_csv_sniffed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Comma separated unless the header is one column with semicolons.
+
+    Malformed rows are dropped; :func:`csv_counters` tells how many.
+    """
+    df = read_csv(spark, path, mode="DROPMALFORMED", multi_line=multi_line)
     if len(df.columns) == 1 and ";" in df.columns[0]:
-        df = read_csv(spark, path, sep=";", mode="DROPMALFORMED")
+        df = read_csv(spark, path, sep=";", mode="DROPMALFORMED", multi_line=multi_line)
     return df
 
 
+def csv_counters(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """rows_total and malformed of a sniffed CSV file: what :func:`read_csv_sniffed` keeps and drops."""
+    columns = read_csv(spark, path, multi_line=multi_line).columns
+    sep = ";" if len(columns) == 1 and ";" in columns[0] else ","
+    names = columns[0].split(";") if sep == ";" else columns
+    schema = ", ".join(f"`{c}` string" for c in names) + ", `_corrupt` string"
+    rows = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
+            .option("sep", sep).option("columnNameOfCorruptRecord", "_corrupt").csv(path))
+    # The fields have to be read along with the mark of a corrupt row.
+    fields = F.struct(*[F.col(f"`{c}`") for c in names])
+    return rows.agg(F.count(fields).alias("rows_total"), F.count_if(F.col("_corrupt").isNotNull()).alias("malformed"))
+
+
 def read_gold(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
     required = ["candidate_id", "gold_is_policy_measure", *([text] if text else [])]
     df = read_csv(spark, path, required)
