@@ -26,7 +26,8 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str] = (), sep:
     """
     df = (
         spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-        .option("sep", sep).option("mode", mode).csv(path)
+        .option("sep", sep).option("mode", mode)
+        .option("columnPruning", mode != "DROPMALFORMED").csv(path)  # what is dropped must not depend on the columns asked for
     )
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -52,7 +53,7 @@ def csv_counters(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     names = columns[0].split(";") if sep == ";" else columns
     schema = ", ".join(f"`{c}` string" for c in names) + ", `_corrupt` string"
     rows = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
-            .option("sep", sep).option("columnNameOfCorruptRecord", "_corrupt").csv(path))
+            .option("sep", sep).option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path))
     # Spark refuses to read nothing but the mark of a corrupt row, so the first field is read along.
     broken = F.coalesce(F.col("_corrupt"), F.substring(f"`{names[0]}`", 1, 0)) != ""
     return rows.agg(F.count(F.lit(1)).alias("rows_total"), F.count_if(broken).alias("malformed"))
