@@ -167,18 +167,29 @@ def scan(distinct: DataFrame, names: np.ndarray, queries: np.ndarray, keep: int)
             for i in range(0, len(queries), 256):
                 scores = queries[i:i + 256] @ vectors.T
                 at = best(scores, reps, keep)
-                yield pa.record_batch({"query": pa.array(np.repeat(names[i:i + 256], at.shape[1])),
-                                       "rep": pa.array(reps[at].ravel()),
-                                       "score": pa.array(np.take_along_axis(scores, at, axis=1).ravel())})
+                yield pa.record_batch({
+                    "query": pa.array(names[i:i + 256]), "reps": pa.array([reps[a].tobytes() for a in at], pa.binary()),
+                    "scores": pa.array([s.tobytes() for s in np.take_along_axis(scores, at, axis=1)], pa.binary())})
 
-    return top(distinct.select("rep", "vector").mapInArrow(scanned, "query long, rep long, score double"), keep)
+    return merged(distinct.select("rep", "vector").mapInArrow(scanned, FOUND), keep)
 
 
-def top(pairs: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` best different reps of each query."""
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    return (pairs.groupBy("query", "rep").agg(F.max("score").alias("score"))
-            .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n"))
+#: The best candidates of a query from one place, packed: 64-bit ids and doubles.
+FOUND = "query long, reps binary, scores binary"
+
+
+def merged(found: DataFrame, keep: int) -> DataFrame:
+    """(query, rep, score): the best of what was found for each query in all places."""
+    def merge(whole: pa.Table) -> pa.Table:
+        reps = np.frombuffer(b"".join(whole.column("reps").to_pylist()), np.int64)
+        scores = np.frombuffer(b"".join(whole.column("scores").to_pylist()))
+        reps, first = np.unique(reps, return_index=True)  # a vector may come from several tables
+        at = np.argsort(-scores[first], kind="stable")[:keep]
+        query_id = whole.column("query")[0].as_py()
+        return pa.table({"query": pa.array([query_id] * len(at), pa.int64()), "rep": pa.array(reps[at]),
+                         "score": pa.array(scores[first][at])})
+
+    return found.groupBy("query").applyInArrow(merge, "query long, rep long, score double")
 
 
 def visits_needed(distinct: DataFrame, queries: DataFrame, hashing: Hashing, settings: Settings, keep: int) -> int:
@@ -294,7 +305,7 @@ def search(distinct: DataFrame, queries: DataFrame, hashing: Hashing, visits: in
                     found.append((np.repeat(q_reps[at_query], at.shape[1]), reps[own][at].ravel(),
                                   np.take_along_axis(scores, at, axis=1).ravel()))
         if not found:
-            return pa.table({"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query": pa.array([], pa.int64()), "reps": pa.array([], pa.binary()), "scores": pa.array([], pa.binary())})
         asked_, rep, score = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((rep, -score, asked_))
         asked_, rep, score = asked_[order], rep[order], score[order]
@@ -302,15 +313,15 @@ def search(distinct: DataFrame, queries: DataFrame, hashing: Hashing, visits: in
         new = np.concatenate([[True], (asked_[1:] != asked_[:-1]) | (rep[1:] != rep[:-1])])
         asked_, rep, score = asked_[new], rep[new], score[new]
         start = np.flatnonzero(np.concatenate([[True], asked_[1:] != asked_[:-1]]))
-        rank = np.arange(len(asked_)) - np.repeat(start, np.diff(np.concatenate([start, [len(asked_)]])))
-        kept = rank < keep
-        return pa.table({"query": pa.array(asked_[kept]), "rep": pa.array(rep[kept]), "score": pa.array(score[kept])})
+        rows = [(a, min(a + keep, b)) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(asked_)])]
+        return pa.table({"query": pa.array(asked_[start]), "reps": pa.array([rep[a:b].tobytes() for a, b in rows], pa.binary()),
+                         "scores": pa.array([score[a:b].tobytes() for a, b in rows], pa.binary())})
 
     shape = "bin long, code binary, owner binary, reps binary, vectors binary"
-    pairs = (distinct.select("rep", "vector").mapInArrow(index, shape).groupBy("bin")
+    found = (distinct.select("rep", "vector").mapInArrow(index, shape).groupBy("bin")
              .cogroup(queries.select("rep", "vector").mapInArrow(ask, shape).groupBy("bin"))
-             .applyInArrow(met, "query long, rep long, score double"))
-    return top(pairs, keep)
+             .applyInArrow(met, FOUND))
+    return merged(found, keep)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -336,9 +347,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "v
     wanted = min(keep, distinct.limit(keep).count())
     short = queries.join(found.groupBy("query").count().where(F.col("count") >= wanted), F.col("rep") == F.col("query"),
                          "left_anti").select("rep", "vector")
-    found = found.unionByName(_scanned(distinct, written(short, "short"), keep))
+    # A scanned query leaves what the tables had found for it.
+    scanned = _scanned(distinct, written(short, "short"), keep)
+    found = found.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(scanned)
     # Copies come back: ids of each found vector, then the queries of each query vector.
-    expanded = top(found, keep).join(distinct.select("rep", "ids"), "rep").select(
+    expanded = found.join(distinct.select("rep", "ids"), "rep").select(
         "query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     few = expanded.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
