@@ -319,6 +319,23 @@ def gate_evaluation_zero_shot(spark, sf_dir):
     return rounded(metrics)
 
 
+@query("gate_evaluation_few_shot", sql=f"""WITH {SPLIT_SQL},
+  ex AS (SELECT d.text, quality AS label, row_number() OVER (PARTITION BY quality ORDER BY {_rank_sql('doc_id')}) AS k
+    FROM split JOIN documents d USING (doc_id) WHERE split = 'train'),
+  blk AS (SELECT rtrim(string_agg('EXAMPLE' || chr(10) || 'TEXT:' || chr(10) || text || chr(10) || 'OUTPUT:' || chr(10) || '{{"label": ' || label
+    || ', "confidence": 0.9, "rationale": "example"}}' || chr(10), chr(10) ORDER BY label DESC, k), chr(10)) AS block FROM ex WHERE k <= 3),
+  t AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality,
+    length('Labeled examples:.' || block || '..' || '{GATE_JSON_INSTRUCTIONS}' || '..' || 'TEXT:.' || text) AS n
+    FROM split JOIN documents USING (doc_id), blk WHERE split = 'test'),
+  a AS (SELECT quality AS gold_label, n % 3 - 1 = -1 OR (n % 10)::DOUBLE / 10 < 0.6::DOUBLE AS abstained, n % 3 - 1 AS label FROM t),
+  preds AS (SELECT gold_label, abstained, CASE WHEN abstained THEN NULL WHEN label = 1 THEN 1 ELSE 0 END AS pred_label FROM a),
+  m AS ({METRICS_SQL.format(by='', source='preds', group='')}) {ratios_sql()}""")
+def gate_evaluation_few_shot(spark, sf_dir):
+    """Split, examples from the training side, labeler over the whole test side, metrics."""
+    _, metrics = stages.gate_evaluation(gold(spark, sf_dir), _stand_in, "text", few_shot=True, portable=True)
+    return rounded(metrics)
+
+
 @query("regate_metrics", sql=f"WITH {gated_sql('0.9')}, m AS ({METRICS_SQL.format(by='', source='gated', group='')}) {ratios_sql()}".replace(
     EVIDENCE_SQL, sql_word('satzung|verordnung|richtlinie|pflicht|verpflichtend')))
 def regate_metrics(spark, sf_dir):

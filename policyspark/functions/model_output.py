@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from policyspark.functions.taxonomy import choices
 from policyspark.functions.terms import any_term
-from policyspark.functions.text import clamp_unit, col, first_filled, let, one_line, prefix, strip, to_number
+from policyspark.functions.text import clamp_unit, col, first_filled, let, prefix, strip, to_number
 from policyspark.vocabulary import (
     ANNOTATION_COLUMNS, DEFAULT_PROMPT, FALSE_WORDS, GATE_JSON_INSTRUCTIONS, INSTRUMENT_HEURISTICS,
     TRUE_WORDS,
@@ -306,8 +306,3 @@ def example_block(text: Column, label: Column, max_chars: int | None = None) ->
         F.lit("EXAMPLE\nTEXT:\n"), shown, F.lit('\nOUTPUT:\n{"label": '), label.cast("int").cast("string"),
         F.lit(', "confidence": 0.9, "rationale": "example"}\n'),
     )
-
-
-def prediction_text(c: Column | str) -> Column:
-    """Rationales on one line; raw answers keep their breaks as escapes (mark='escape')."""
-    return one_line(c)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,8 +136,3 @@ def bootstrap_experiment(gold: DataFrame, pool: DataFrame, text: str = "text",
         "baseline_metrics": plain_metrics(baseline_predictions),
         "bootstrap_metrics": plain_metrics(bootstrap_predictions),
     }
-
-
-def label_columns(columns: Sequence[str]) -> list[str]:
-    """Required columns of a gold table that are missing."""
-    return [c for c in ("candidate_id", "gold_is_policy_measure") if c not in columns]

@@ -14,7 +14,7 @@ from policyspark.functions.model_output import (
     annotation_defaults, error_row_columns, first_json_object, gate_answer, gate_prompt, render_prompt,
     with_mapped_answer,
 )
-from policyspark.functions.text import cap, first_filled, one_line
+from policyspark.functions.text import first_filled, one_line
 from policyspark.operators.gate import primary_decision
 from policyspark.operators.harmonise import labeler_fields
 from policyspark.operators.joins import without
@@ -166,7 +166,3 @@ def annotate(rows: DataFrame, labeler: Labeler, prompt: str = "prompt",
                                F.create_map().cast("map<string,string>")))
     labelled = labels.withColumns(annotation_defaults("__labels", columns)).select(*keep, *columns)
     return finished.unionByName(labelled)
-
-
-def capped_texts(candidates: DataFrame, text: str, max_chars: int) -> DataFrame:
-    return candidates.withColumn(text, cap(text, max_chars))

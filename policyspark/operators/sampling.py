@@ -8,8 +8,6 @@ the group.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -115,7 +113,3 @@ def few_shot_block(train: DataFrame, text: str, label: str, id_column: str, k_po
     ordered = F.array_sort(F.collect_list(F.struct("part", "rank", "id", "example")))
     block = F.array_join(F.transform(ordered, lambda e: e["example"]), "\n")
     return examples.agg(F.rtrim(F.regexp_replace(block, r"\s+$", "")).alias("block"))
-
-
-def exact_test_total(n: int, test_frac: float) -> int:
-    return math.ceil(round(n * test_frac, 9))

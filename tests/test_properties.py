@@ -82,7 +82,7 @@ def test_split_is_stratified_exact_and_stable(spark):
 def test_split_total(spark, n, frac):
     df = spark.range(n).select("id", (F.col("id") % 2).alias("y"))
     got = sampling.stratified_split(df, "id", "y", frac).where("split = 'test'").count()
-    assert got == math.ceil(round(n * frac, 9)) == sampling.exact_test_total(n, frac)
+    assert got == math.ceil(round(n * frac, 9))
 
 
 def test_candidates_do_not_depend_on_partitioning(spark, sf_dir):

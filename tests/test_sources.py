@@ -208,3 +208,37 @@ def test_report_tables(spark):
     assert out["annotation_progress"].first().n_pending == 1 and out["municipality_support"].first().n_pos == 1
     for df in out.values():
         df.collect()
+
+
+def test_stored_pages_are_written_once(spark, tmp_path):
+    from policyspark.operators.crawl import content_store
+
+    pages = spark.createDataFrame([("m", "x"), ("m", "y"), ("n", "x")], "municipality_id string, content string")
+    for _ in range(2):
+        sinks.write_content_store(content_store(pages), str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 3
+
+
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    """Tasks take large files first; positions follow file paths all the same."""
+    from policyspark.sources.ndjson import read_ndjson
+
+    (tmp_path / "part-0.json").write_text('{"a": 0}\n')
+    (tmp_path / "part-1.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(1, 400)) + "broken\n")
+    for mode in ("drop", "flag"):
+        rows = read_ndjson(spark, str(tmp_path), "a int", on_bad=mode, with_position=True).orderBy("ord").collect()
+        assert [r.a for r in rows if r.a is not None] == list(range(400))
+    assert sum(r._broken for r in rows) == 1
+    with pytest.raises(Exception, match="not one JSON object"):
+        read_ndjson(spark, str(tmp_path), "a int", on_bad="fail", with_position=True).collect()
+
+
+def test_only_pages_of_a_level_are_parsed(spark):
+    from policyspark.operators.crawl import linked_pages
+
+    pages = spark.createDataFrame([("u", "<a href='/x'>x</a>"), ("v", "<a href='/y'>y</a>")], "url string, html string")
+    links = linked_pages(pages)(pages.where("url = 'u'").select("url"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    parser = min(plan.find(w) for w in ("ArrowEvalPython", "MapInArrow", "MapInPandas", "BatchEvalPython") if w in plan)
+    assert 0 <= parser < plan.find("Join")
+    assert [r.anchor for r in links.collect()] == ["x"]

@@ -69,3 +69,30 @@ def test_labeler_failures_stay_in_their_row(spark):
     out = label_candidates(rows, short, "{text}", batch_rules=True)
     failed = [r.candidate_id for r in out.where(F.col("label_source") == "llm_error").collect()]
     assert failed == ["7"] and out.count() == 10
+
+
+def test_a_labeler_is_asked_once(spark, tmp_path):
+    """Predictions and metrics of an evaluation read the same answers; failures keep their reason."""
+    from policyspark.operators.labeling import ask
+    from policyspark.plans import stages
+
+    log = str(tmp_path / "asked")
+
+    def labeler(prompts):
+        with open(log, "a") as f:
+            f.write("".join(f"{hash(p)}\n" for p in prompts))
+        return ['{"label": 1, "confidence": 0.9}'] * len(prompts)
+
+    gold = spark.createDataFrame([(str(i), f"text {i}", i % 2) for i in range(60)],
+                                 "candidate_id string, text_for_annotation string, gold_is_policy_measure int")
+    predictions, metrics = stages.gate_evaluation(gold, labeler)
+    n = predictions.count()
+    assert metrics.first().n_total == n == 18
+    predictions.collect()
+    assert len(open(log).read().split()) == n
+
+    def broken(prompts):
+        raise ValueError("no model")
+
+    row = ask(gold.limit(1).select(F.col("text_for_annotation").alias("prompt")), broken).first()
+    assert row.answer is None and row.answer_error == "ValueError: no model"
