@@ -355,6 +355,17 @@ def weak_columns(spark, sf_dir):
         F.lit(pick_column(d.columns, MUNICIPALITY_ALIASES)).cast("string").alias("municipality_column"), "n")
 
 
+@query("tfidf_weights", sql=rf"""WITH {GOLD_SQL}, w AS (SELECT candidate_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]{{2,}}') AS w FROM gold),
+  terms AS (SELECT candidate_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+  tf AS (SELECT candidate_id, term, count(*) AS tf FROM terms GROUP BY ALL), size AS (SELECT count(*) AS n FROM gold),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= (SELECT n FROM size) * 0.95::DOUBLE),
+  r AS (SELECT candidate_id, term, tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1) AS raw FROM tf JOIN df USING (term), size)
+  SELECT candidate_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY candidate_id)), 6) AS weight FROM r""")
+def tfidf_weights(spark, sf_dir):
+    """The features of the text classifier over all labelled documents."""
+    return rounded(bootstrap.tfidf_weights(gold(spark, sf_dir), "candidate_id", "text"))
+
+
 @query("text_classifier")
 def text_classifier(spark, sf_dir):
     """Bootstrap experiment: metrics of the gold-only and the bootstrapped classifier."""

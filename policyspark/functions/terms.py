@@ -6,10 +6,12 @@ used as written: an upper-case term cannot match lower-cased text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,51 +206,59 @@ GRAM = 4
 FLAGS = 1 << 15
 
 
-def runs(text: Column, n: int) -> Column:
-    """The distinct runs of n characters of a text."""
-    return let(F.split(text, ""), lambda letters: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(letters) - (n - 1)), lambda i: F.array_join(F.slice(letters, i, n), ""))))
+def run_codes(n: int, flags: Sequence[int] | None = None):
+    """Arrow function text -> distinct 64-bit codes of its runs of n characters, those of set flags if given."""
+    marked = None
+    if flags is not None:
+        marked = np.zeros(FLAGS, bool)
+        marked[list(flags)] = True
 
+    def codes(text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        code = np.zeros(max(0, len(letters) - n + 1), np.uint64)
+        for j in range(n):
+            code = (code ^ letters[j:j + len(code)]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        code = np.unique(code)
+        if marked is not None:
+            code = code[marked[code % np.uint64(FLAGS)]]
+        return code.view(np.int64)
 
-def run_flag(run: Column) -> Column:
-    return F.pmod(F.xxhash64(run), F.lit(FLAGS)).cast("int")
+    @F.pandas_udf("array<bigint>")
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(codes)
 
-
-def flagged(marks: Column):
-    """Test for runs whose flag is set in a bitmap of 64-bit words."""
-    return lambda run: F.getbit(F.get(marks, F.shiftright(run_flag(run), 6)), run_flag(run).bitwiseAND(63)) == 1
+    return of_texts
 
 
 def table_matches(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
     """(key, term) for every term of a table that a text contains; the table may be of any size.
 
-    Every term is found by one of its character runs, the one of smallest
-    hash; texts are cut into their distinct runs, of which those stay whose
-    hash is set in a bitmap of fixed size made of the terms' runs. The equi
-    join on the run finds candidates, containment decides. Terms shorter than
-    a run are found by every length in turn. Null and empty terms and null
-    texts match nothing; repeated terms count once, repeated texts each.
+    Every term is found by one of its character runs, that of the smallest
+    code; texts are cut into their distinct runs, of which those stay whose
+    flag is set in a bitmap of fixed size made of the terms' runs. The equi
+    join on the run's code finds candidates, which meet their text again by
+    its key, and containment decides. Terms shorter than a run go by their own
+    length. Null and empty terms and null texts match nothing; repeated terms
+    count once, repeated texts each.
     """
     words = terms.select(F.col(term).alias("__term")).where("__term <> ''").distinct()
     rows = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    found = None
+    candidates = None
     lengths = [r[0] for r in words.select(F.least(F.length("__term"), F.lit(GRAM)).alias("n")).distinct().collect()]
     for n in sorted(lengths):  # 1 to GRAM
         own = words.where(F.length("__term") == n if n < GRAM else F.length("__term") >= n)
-
-        least = F.array_min(F.transform(runs(F.col("__term"), n), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("run"))))
-        own = own.select("__term", least["run"].alias("__run"))
-        # A bitmap of FLAGS bits in words of 64, whatever the number of terms.
-        words_of = [0] * (FLAGS // 64)
-        for row in own.select(run_flag(F.col("__run")).alias("b")).distinct().collect():
-            words_of[row["b"] // 64] |= 1 << row["b"] % 64
-        marks = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words_of])
-
-        cut = rows.where(F.length("__text") >= n).withColumn("__run", F.explode(let(
-            runs(F.col("__text"), n), lambda all_: F.filter(all_, flagged(marks)))))
-        hits = cut.join(own, "__run").where(F.contains("__text", F.col("__term"))).select("__key", "__term")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = rows.join(words.withColumnRenamed("__term", "__key"), "__key", "left_semi").select(
-            "__key", F.col("__text").alias("__term")).limit(0)
-    return found.select(F.col("__key").alias(key), F.col("__term").alias(term))
+        own = own.select("__term", F.array_min(run_codes(n)("__term")).alias("__run"))
+        flags = [r[0] for r in own.select(F.col("__run").bitwiseAND(FLAGS - 1)).distinct().collect()]  # FLAGS at most
+        cut = rows.where(F.length("__text") >= n).select("__key", F.explode(run_codes(n, flags)("__text")).alias("__run"))
+        found = cut.join(own, "__run").select("__key", "__term")
+        candidates = found if candidates is None else candidates.unionByName(found)
+    if candidates is None:
+        candidates = rows.select("__key", F.col("__text").alias("__term")).limit(0)
+    lists = candidates.groupBy(F.col("__key").alias("__k")).agg(F.collect_set("__term").alias("__terms"))
+    hits = rows.join(lists, F.col("__key").eqNullSafe(F.col("__k"))).select(
+        F.col("__key").alias(key), F.filter("__terms", lambda t: F.contains(F.col("__text"), t)).alias("__hits"))
+    return hits.select(key, F.explode("__hits").alias(term))

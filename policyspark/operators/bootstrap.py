@@ -65,6 +65,25 @@ def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> Dat
     return joined.withColumn(weight, size / F.col("__n")).drop("__l", "__n")
 
 
+def tfidf_weights(rows: DataFrame, key: str, text: str, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
+    """(key, term, weight): the features of :func:`train_classifier` as a table, one row per text and term.
+
+    Terms are words of two characters and more and pairs of neighbouring
+    words, in lower case; weights are tf * (ln((n + 1) / (df + 1)) + 1), each
+    text normed to length 1. Null texts count as empty, and ``key`` is unique.
+    """
+    words = rows.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)).alias("w"))
+    terms = words.select(key, F.explode(F.concat("w", F.zip_with(
+        F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"),
+        lambda a, b: F.concat_ws(" ", a, b)))).alias("term"))
+    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= n * max_df))
+    raw = tf.join(df, "term").select(key, "term", (F.col("tf") * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("raw"))
+    norm = raw.groupBy(F.col(key).alias("__key")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norm, F.col(key) == F.col("__key")).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
 def train_classifier(train: DataFrame, text: str = "text", label: str = "label", min_df: int = 2,
                      max_df: float = 0.95, iterations: int = 100, c: float = 1.0):
     """Fit TF-IDF over words and word pairs and a balanced logistic regression; returns a PipelineModel.

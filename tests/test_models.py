@@ -201,3 +201,18 @@ def test_plain_crawl_matches_a_queue(spark, seed):
     for m, us in starts.items():
         mine = {(r.document_id, r.source_url, r.referrer_url, r.http_status, r.depth, r.raw_path is not None) for r in got if r.municipality_id == m}
         assert mine == set(plain_model(m, us, 25, 3, 3, table))
+
+
+def test_feature_table_equals_the_features_of_the_classifier(spark, sf_dir):
+    from pyspark.ml.feature import CountVectorizerModel
+
+    from policyspark.operators import bootstrap
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").limit(40)
+    rows = docs.select("doc_id", "text", F.col("quality").alias("label")).checkpoint()
+    model = bootstrap.train_classifier(rows, iterations=1)
+    vocabulary = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    want = {(r.doc_id, vocabulary[i]): w for r in model.transform(rows).select("doc_id", "__features").collect()
+            for i, w in zip(r["__features"].indices.tolist(), r["__features"].values.tolist())}
+    got = {(r.doc_id, r.term): r.weight for r in bootstrap.tfidf_weights(rows, "doc_id", "text").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
