@@ -229,13 +229,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     found_any = False
     for pack in packs(benchmark, item_id, window):
         found_any = True
-        # Plain values: a broadcast is read without this package. ``PACK_BYTES`` bounds it.
-        shared = docs.sparkSession.sparkContext.broadcast(
-            (pack.words, pack.phrases, pack.lengths, pack.item_bounds, pack.items, pack.names))
-
-        def judged(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        # The pack travels with the function; ``PACK_BYTES`` bounds it.
+        def judged(batches: Iterator[pa.RecordBatch], pack: Pack = pack) -> Iterator[pa.RecordBatch]:
             for batch, texts in chunks(batches, text, SHARD_BYTES):
-                counts, spans, names = shard_hits(texts, Pack(*shared.value))
+                counts, spans, names = shard_hits(texts, pack)
                 old_spans, old_items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
                 spans = [merge([(s["start"], s["end"]) for s in a] + b) for a, b in zip(old_spans, spans)]
                 items = [sorted({*a, *(x for x in b if x is not None)}) for a, b in zip(old_items, names)]

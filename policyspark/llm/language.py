@@ -136,9 +136,9 @@ def training_rows(docs: DataFrame, doc_id: str, lang: str, settings: Settings) -
     slices = Window.partitionBy("_lang", F.pmod("_h", F.lit(SLICES))).orderBy("_h", "_id")
     first = ids.withColumn("_n", F.row_number().over(slices)).where(F.col("_n") <= -(-settings.per_language // SLICES))
     few = first.orderBy("_n", "_lang", "_h").limit(settings.sample).select("_id", "_h")
-    # At most ``sample`` ids: a proven bound for the broadcast.
+    # At most ``sample`` ids, which the planner sees from the limit and sends to the texts.
     return (docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), "text")
-            .where("_lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(few.distinct()), "_id"))
+            .where("_lang IS NOT NULL AND text IS NOT NULL").join(few.distinct(), "_id"))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", settings: Settings = Settings()) -> Model:

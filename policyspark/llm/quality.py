@@ -154,8 +154,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, label: str,
         .groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
-    # At most ``sample`` rows of two numbers: a proven bound for the broadcast.
-    return docs.select(F.col(doc_id).alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "label", "text")
+    # At most ``sample`` rows of two numbers, which the planner sees from the limit and sends to the texts.
+    return docs.select(F.col(doc_id).alias("_id"), "text").join(chosen, "_id").select("_id", "label", "text")
 
 
 @dataclass(frozen=True)

@@ -138,13 +138,13 @@ def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id"
     Null ids come first; rows of one id are ordered by a hash of their text.
     """
     with open(tokenizer or tokenizer_file(), encoding="utf-8") as file:
-        definition = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary file, of fixed size
+        definition = file.read()  # a vocabulary file of fixed size; it travels with the function
     end = np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = worker_store("tokens")
-        if store.get("definition") != definition.value:
-            store.update(definition=definition.value, encoder=WordEncoder(definition.value))
+        if store.get("definition") != definition:
+            store.update(definition=definition, encoder=WordEncoder(definition))
         for batch, texts in chunks(batches, "text"):
             ids = [e + end for e in store["encoder"].encode(texts)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
