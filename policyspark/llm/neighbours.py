@@ -1,23 +1,27 @@
 """Nearest neighbours by inner product with multiprobe p-stable hashing.
 
-Vectors are scaled by the largest norm and get one more component that fills
-their norm up to 1, so that the largest inner product is the smallest
-distance. A table hashes them by a few Gaussian projections cut into slots. A
-query visits, in every table, its own bucket and perturbed ones in the order
-of their estimated success (the squared distances to the slot borders that
-are crossed); candidates of all tables are merged and ranked by their exact
-inner product.
-
-How many buckets a query visits is measured: for a bounded sample of queries
-the exact neighbours are found, and the number is chosen so that the wanted
-share of them lies in a visited bucket.
+Vectors are dealt into bands of similar norm. In a band they are scaled by its
+largest norm and get one more component that fills their norm up to 1, so that
+the largest inner product is the smallest distance; within a band this
+component stays small, and slots fit the spread of the band. A table hashes
+them by a few Gaussian projections cut into slots. A query visits, in every
+band and table, its own bucket and perturbed ones in the order of their
+estimated success (the squared distances to the slot borders that are
+crossed); candidates of all tables are merged and ranked by their exact inner
+product.
+
+How many buckets a query visits in a band is measured: for a bounded sample of
+queries the exact neighbours are found, and the number is chosen so that the
+wanted share of them lies in a visited bucket. If no number of visits reaches
+it, the tables of the band take fewer projections, and if even one projection
+does not do, all vectors of the band are compared with all queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import product
+from dataclasses import dataclass, replace
+from itertools import islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm.registry import query
-from policyspark.llm.words import slots, table, written
+from policyspark.llm.words import release, scratch, slots, table, written
 
 TOP = 20
 #: Distinct vectors a task handles together, and queries (each has hundreds of buckets).
 ROWS = 4096
 ASKED = 64
+#: Norms of a band differ by about this factor; there are at most BANDS of them, the last one open.
+BAND_RATIO = 0.75
+BANDS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,13 +60,18 @@ class Settings:
 
 @dataclass(frozen=True)
 class Hashing:
-    """Projections (table, projection, dimension + 1), offsets, slot width, scale of the vectors and perturbations."""
+    """Of a band: projections (table, projection, dimension + 1), offsets, slot width, scale of the vectors and perturbations."""
 
     projections: np.ndarray
     offsets: np.ndarray
     width: float
     scale: float
     moves: np.ndarray
+    band: int = 0
+
+    def narrowed(self, k: int) -> Hashing:
+        """The same with the first k projections of each table."""
+        return replace(self, projections=self.projections[:, :k], offsets=self.offsets[:, :k], moves=perturbations(k))
 
     def slots_of(self, vectors: np.ndarray, queries: bool) -> np.ndarray:
         """Positions in slots: (vector, table, projection)."""
@@ -72,8 +84,8 @@ class Hashing:
         return (np.einsum("nd,tkd->ntk", full, self.projections) + self.offsets) / self.width
 
     def buckets(self, slot: np.ndarray) -> np.ndarray:
-        """64-bit bucket of integer slots (..., table, projection), different in every table."""
-        code = np.arange(slot.shape[-2], dtype=np.uint64) + np.uint64(1)
+        """64-bit bucket of integer slots (..., table, projection), different in every band and table."""
+        code = np.arange(slot.shape[-2], dtype=np.uint64) + np.uint64(1 + self.band * slot.shape[-2])
         code = np.broadcast_to(code, slot.shape[:-1]).copy()
         for k in range(slot.shape[-1]):
             code = (code ^ slot[..., k].astype(np.int64).view(np.uint64)) * _MIX
@@ -91,6 +103,28 @@ class Hashing:
         order = np.argsort(total, axis=-1, kind="stable")[..., :count]
         return self.buckets((own[:, :, None, :] + self.moves[order]).transpose(0, 2, 1, 3)).transpose(0, 2, 1)
 
+    def first_visits(self, vectors: np.ndarray, owner: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """The visit that meets each vector from the query ``owner`` in any table; infinite if none does."""
+        at = self.slots_of(queries, True)
+        move = np.floor(self.slots_of(vectors, False)) - np.floor(at)[owner]
+        down = at - np.floor(at)
+        k = at.shape[-1]
+        cost = np.stack([(1 - down) ** 2, np.zeros_like(down), down ** 2])
+        total = sum(cost[1 - self.moves[:, j]][..., j].transpose(1, 2, 0) for j in range(k))
+        ranks = np.argsort(np.argsort(total, axis=-1, kind="stable"), axis=-1)
+        place = {tuple(m): i for i, m in enumerate(self.moves.tolist())}
+        first = np.full(len(owner), np.inf)
+        for i in range(len(owner)):
+            for t in range(move.shape[1]):
+                known = place.get(tuple(move[i, t].astype(int).tolist()))
+                if known is not None:
+                    first[i] = min(first[i], ranks[owner[i], t, known] + 1)
+        return first
+
+
+def perturbations(k: int) -> np.ndarray:
+    return np.array(sorted(product((-1, 0, 1), repeat=k), key=lambda m: sum(map(abs, m))), np.int64)
+
 
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, vector of doubles) of the rows that take part.
@@ -126,24 +160,44 @@ def distinct_vectors(rows: DataFrame, keep: int, slices: int) -> DataFrame:
     return few.groupBy("vector").agg(ids.alias("ids")).select(F.col("ids")[0].alias("rep"), "vector", "ids")
 
 
-def fit(distinct: DataFrame, settings: Settings) -> Hashing | None:
-    """Slots from the number and norms of all vectors and a bounded sample of them."""
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    count, scale = distinct.agg(F.count("*"), F.max(norm)).first()
-    if not count:
-        return None
-    some = distinct.orderBy(F.xxhash64("rep"), "rep").limit(settings.sample).select("vector").toPandas()["vector"]
-    vectors = np.array(some.tolist(), np.float64)
-    dimension = vectors.shape[1]
-    random = np.random.default_rng(11)
-    raw = Hashing(random.standard_normal((settings.tables, settings.most, dimension + 1)), np.zeros((1, 1)), 1.0,
-                  float(scale), np.zeros((0, 0)))
-    width = settings.width * max(1e-9, float(raw.slots_of(vectors, False).std(axis=0).mean()))
-    # A projection tells about log2(4.13 / width) bits; buckets should hold per_bucket vectors.
-    bits = max(0.5, np.log2(4.13 / settings.width))
-    k = int(np.clip(np.ceil(np.log2(max(2.0, count / settings.per_bucket)) / bits), 1, settings.most))
-    moves = np.array(sorted(product((-1, 0, 1), repeat=k), key=lambda m: sum(map(abs, m))), np.int64)
-    return Hashing(raw.projections[:, :k], random.random((settings.tables, k)) * width, width, float(scale), moves)
+def norm_of(vector: str = "vector") -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def sampled(distinct: DataFrame, count: int) -> np.ndarray:
+    some = distinct.orderBy(F.xxhash64("rep"), "rep").limit(count).select("vector").toPandas()["vector"]
+    return np.array(some.tolist(), np.float64)
+
+
+def banded(distinct: DataFrame, settings: Settings) -> DataFrame:
+    """distinct with its band: 0 for the largest norms. Edges follow the largest norm and a bounded sample."""
+    scale = distinct.agg(F.max(norm_of())).first()[0]
+    if not scale:
+        return distinct.withColumn("band", F.lit(0))
+    low = max(float(np.quantile(np.linalg.norm(sampled(distinct, settings.sample), axis=1), 0.05)), scale * 1e-9)
+    span = np.log(scale / low) if np.isfinite(scale) else 0.0
+    bands = int(np.clip(np.ceil(span / -np.log(BAND_RATIO)), 1, BANDS))
+    edges = [float(scale * np.exp(-span * i / bands)) for i in range(1, bands)]
+    return distinct.withColumn("band", sum(((norm_of() < e).cast("int") for e in edges), F.lit(0)))
+
+
+def fit(distinct: DataFrame, settings: Settings) -> list[Hashing]:
+    """Slots of each band from the number and norms of all its vectors and a bounded sample of them."""
+    sizes = distinct.groupBy("band").agg(F.count("*"), F.max(norm_of())).orderBy("band").collect()
+    out = []
+    for band, count, scale in sizes:
+        vectors = sampled(distinct.where(F.col("band") == band), max(1, settings.sample // len(sizes)))
+        dimension = vectors.shape[1]
+        random = np.random.default_rng(11 + band)
+        raw = Hashing(random.standard_normal((settings.tables, settings.most, dimension + 1)), np.zeros((1, 1)), 1.0,
+                      float(scale), np.zeros((0, 0)))
+        width = settings.width * max(1e-9, float(raw.slots_of(vectors, False).std(axis=0).mean()))
+        # A projection tells about log2(4.13 / width) bits; buckets should hold per_bucket vectors.
+        bits = max(0.5, np.log2(4.13 / settings.width))
+        k = int(np.clip(np.ceil(np.log2(max(2.0, count / settings.per_bucket)) / bits), 1, settings.most))
+        out.append(Hashing(raw.projections[:, :k], random.random((settings.tables, k)) * width, width, float(scale),
+                           perturbations(k), band))
+    return out
 
 
 def best(scores: np.ndarray, reps: np.ndarray, keep: int) -> np.ndarray:
@@ -192,50 +246,57 @@ def merged(found: DataFrame, keep: int) -> DataFrame:
     return found.groupBy("query").applyInArrow(merge, "query long, rep long, score double")
 
 
-def visits_needed(distinct: DataFrame, queries: DataFrame, hashing: Hashing, settings: Settings, keep: int) -> int:
-    """Visits per table that reach the wanted share of the exact neighbours of a bounded sample of queries."""
+def visits_needed(distinct: DataFrame, queries: DataFrame, hashings: list[Hashing], settings: Settings, keep: int
+                  ) -> list[tuple[Hashing, int]]:
+    """Each band's hashing and its visits per table that reach the wanted share of the exact neighbours in the band.
+
+    Neighbours are those of a bounded sample of queries. 0 visits: the tables
+    cannot reach the share. A band without any of the neighbours gets one visit.
+    """
     some = queries.orderBy(F.xxhash64("rep", F.lit("asked")), "rep").limit(settings.asked).select("rep", "vector").toPandas()
     if not len(some):
-        return 1
+        return [(h, 1) for h in hashings]
     names, vectors = some["rep"].to_numpy(np.int64), np.array(some["vector"].tolist(), np.float64)
-    exact = scan(distinct, names, vectors, keep).join(distinct.select("rep", "vector"), "rep").select(
-        "query", "vector").toPandas()  # asked * keep rows at most
+    exact = scan(distinct, names, vectors, keep).join(distinct.select("rep", "vector", "band"), "rep").select(
+        "query", "vector", "band").toPandas()  # asked * keep rows at most
     where = {name: i for i, name in enumerate(names.tolist())}
     owner = np.array([where[q] for q in exact["query"]])
-    found = np.floor(hashing.slots_of(np.array(exact["vector"].tolist(), np.float64), False))
-    at = hashing.slots_of(vectors, True)
-    moves = found - np.floor(at)[owner]
-    down = at - np.floor(at)
-    k = at.shape[-1]
-    cost = np.stack([(1 - down) ** 2, np.zeros_like(down), down ** 2])
-    total = sum(cost[1 - hashing.moves[:, j]][..., j].transpose(1, 2, 0) for j in range(k))
-    ranks = np.argsort(np.argsort(total, axis=-1, kind="stable"), axis=-1)
-    place = {tuple(m): i for i, m in enumerate(hashing.moves.tolist())}
-    first = np.full(len(owner), len(hashing.moves))
-    for i in range(len(owner)):
-        for t in range(moves.shape[1]):
-            move = place.get(tuple(moves[i, t].astype(int).tolist()))
-            if move is not None:
-                first[i] = min(first[i], ranks[owner[i], t, move] + 1)
-    return int(np.sort(first)[min(len(first) - 1, int(np.ceil(settings.recall * len(first))) - 1)])
-
-
-def hot_buckets(distinct: DataFrame, hashing: Hashing, settings: Settings, bins: int) -> np.ndarray:
+    found, band = np.array(exact["vector"].tolist(), np.float64), exact["band"].to_numpy()
+    return [reaching(h, found[band == h.band], owner[band == h.band], vectors, settings) for h in hashings]
+
+
+def reaching(hashing: Hashing, found: np.ndarray, owner: np.ndarray, queries: np.ndarray, settings: Settings
+             ) -> tuple[Hashing, int]:
+    """The hashing with as many projections as reach the wanted share of ``found``, and the visits; 0 if none does."""
+    if not len(found):
+        return hashing, 1
+    for k in range(hashing.offsets.shape[1], 0, -1):
+        some = hashing.narrowed(k)
+        first = np.sort(some.first_visits(found, owner, queries))
+        needed = first[min(len(first), int(np.ceil(settings.recall * len(first)))) - 1]
+        if np.isfinite(needed):
+            return some, int(needed)
+    return hashing, 0
+
+
+def hot_buckets(distinct: DataFrame, plan: list[tuple[Hashing, int]], settings: Settings, bins: int) -> np.ndarray:
     """Buckets that hold more than a fair share of a bounded sample; 4 * bins * tables at most."""
-    some = distinct.orderBy(F.xxhash64("rep"), "rep").limit(settings.sample).select("vector").toPandas()["vector"]
-    codes = hashing.buckets(np.floor(hashing.slots_of(np.array(some.tolist(), np.float64), False))).ravel()
-    code, count = np.unique(codes, return_counts=True)
+    some = distinct.orderBy(F.xxhash64("rep"), "rep").limit(settings.sample).select("vector", "band").toPandas()
+    vectors, band = np.array(some["vector"].tolist(), np.float64), some["band"].to_numpy()
+    codes = [h.buckets(np.floor(h.slots_of(vectors[band == h.band], False))).ravel() for h, _ in plan if (band == h.band).any()]
+    code, count = np.unique(np.concatenate(codes), return_counts=True)
     return code[count > max(4, len(some) / (4 * bins))]
 
 
-def search(distinct: DataFrame, queries: DataFrame, hashing: Hashing, visits: int, settings: Settings, keep: int) -> DataFrame:
-    """(query, rep, score): the best candidates of each distinct query vector.
+def search(distinct: DataFrame, queries: DataFrame, plan: list[tuple[Hashing, int]], settings: Settings, keep: int) -> DataFrame:
+    """(query, rep, score): the best candidates of each distinct query vector in the bands that are visited.
 
     Vectors and visits meet by bucket. Buckets are dealt into bins; the vectors
     of a common bucket are dealt into slices, all of which its visitors see.
     """
     bins = slots(distinct.sparkSession) * 2
-    hot = hot_buckets(distinct, hashing, settings, bins)
+    hot = hot_buckets(distinct, plan, settings, bins)
+    plan = [(h, visits) for h, visits in plan if visits]
 
     def bin_of(code: np.ndarray, part: np.ndarray) -> np.ndarray:
         code = (code + part.astype(np.uint64)) * _MIX
@@ -258,9 +319,16 @@ def search(distinct: DataFrame, queries: DataFrame, hashing: Hashing, visits: in
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 reps, vectors = batch.column("rep").slice(i, ROWS).to_numpy(), matrix(batch.column("vector").slice(i, ROWS))
-                code = hashing.buckets(np.floor(hashing.slots_of(vectors, False)))
-                owner = np.repeat(np.arange(len(reps)), code.shape[1])
-                code = code.ravel()
+                band = batch.column("band").slice(i, ROWS).to_numpy()
+                codes, owners = [], []
+                for hashing, _ in plan:
+                    own = np.flatnonzero(band == hashing.band)
+                    code = hashing.buckets(np.floor(hashing.slots_of(vectors[own], False)))
+                    owners.append(np.repeat(own, code.shape[1]))
+                    codes.append(code.ravel())
+                code, owner = np.concatenate(codes), np.concatenate(owners)
+                if not len(code):
+                    continue
                 part = np.where(np.isin(code, hot), (reps[owner] * 7919) % settings.slices, 0)
                 yield packs(code, part, owner, reps, vectors)
 
@@ -268,9 +336,9 @@ def search(distinct: DataFrame, queries: DataFrame, hashing: Hashing, visits: in
         for batch in batches:
             for i in range(0, batch.num_rows, ASKED):
                 reps, vectors = batch.column("rep").slice(i, ASKED).to_numpy(), matrix(batch.column("vector").slice(i, ASKED))
-                code = hashing.visits(vectors, visits)
-                owner = np.repeat(np.arange(len(reps)), code[0].size)
-                code = code.ravel()
+                codes = [hashing.visits(vectors, visits) for hashing, visits in plan]
+                owner = np.concatenate([np.repeat(np.arange(len(reps)), c[0].size) for c in codes])
+                code = np.concatenate([c.ravel() for c in codes])
                 common = np.isin(code, hot)
                 part = np.concatenate([np.zeros((~common).sum(), np.int64),
                                        np.tile(np.arange(settings.slices), common.sum())])
@@ -318,7 +386,9 @@ def search(distinct: DataFrame, queries: DataFrame, hashing: Hashing, visits: in
                          "scores": pa.array([score[a:b].tobytes() for a, b in rows], pa.binary())})
 
     shape = "bin long, code binary, owner binary, reps binary, vectors binary"
-    found = (distinct.select("rep", "vector").mapInArrow(index, shape).groupBy("bin")
+    if not plan:
+        return distinct.sparkSession.createDataFrame([], "query long, rep long, score double")
+    found = (distinct.select("rep", "vector", "band").mapInArrow(index, shape).groupBy("bin")
              .cogroup(queries.select("rep", "vector").mapInArrow(ask, shape).groupBy("bin"))
              .applyInArrow(met, FOUND))
     return merged(found, keep)
@@ -331,19 +401,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "v
     Ties go to the smaller vec_id. Rows that :func:`valid` leaves out are
     neither queries nor candidates. Copies of a vector are searched once; a
     repeated id counts once per vector, and an id never finds itself. A query
-    that found fewer than k although there are more is scanned exactly. An
-    empty table gives no row.
+    that found fewer than k although there are more is scanned exactly, and so
+    are bands of norms whose tables cannot reach the wanted recall. An empty
+    table gives no row.
     """
     keep = k + 1  # one of them may be the query
     rows = written(valid(vectors, vec_id, embedding), "vectors")
     distinct = written(distinct_vectors(rows, keep, settings.slices), "distinct-vectors")
     asked = rows.where(is_query).select("vec_id", "vector").distinct()
     queries = written(distinct.join(asked.select("vector").distinct(), "vector", "left_semi").select("rep", "vector"), "queries")
-    hashing = fit(distinct, settings)
-    if hashing is None:
+    distinct = banded(distinct, settings)
+    hashings = fit(distinct, settings)
+    if not hashings:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    visits = visits_needed(distinct, queries, hashing, settings, keep)
-    found = written(search(distinct, queries, hashing, visits, settings, keep), "found")
+    plan = visits_needed(distinct, queries, hashings, settings, keep)
+    found = search(distinct, queries, plan, settings, keep)
+    if unreached := [h.band for h, visits in plan if not visits]:
+        found = found.unionByName(_scanned(distinct.where(F.col("band").isin(unreached)), queries, keep))
+    found = written(found, "found")
     wanted = min(keep, distinct.limit(keep).count())
     short = queries.join(found.groupBy("query").count().where(F.col("count") >= wanted), F.col("rep") == F.col("query"),
                          "left_anti").select("rep", "vector")

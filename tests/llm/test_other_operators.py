@@ -61,6 +61,30 @@ def test_neighbours_of_few_and_none(spark):
     assert neighbours.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def recall_of(got, vectors):
+    hit = 0
+    for q in range(0, len(vectors), 20):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hit += len(set(np.argsort(-scores)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    return hit / (20 * len(range(0, len(vectors), 20)))
+
+
+def test_neighbours_of_varying_norms(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(3000, 32))
+    vectors *= np.exp(0.35 * rng.normal(size=(3000, 1))) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    assert recall_of(neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect(), vectors) >= 0.96
+
+
+def test_neighbours_out_of_reach_are_scanned(spark):
+    vectors = np.random.default_rng(8).normal(size=(600, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    thin = neighbours.Settings(tables=1, width=0.002)  # no perturbation by one slot reaches far
+    assert recall_of(neighbours.nearest(df, F.col("vec_id") % 20 == 0, settings=thin).collect(), vectors) == 1
+
+
 def check_bins(rows, capacity, sources, clusters):
     bins = collections.defaultdict(list)
     for r in rows:
