@@ -436,19 +436,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "v
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
-def _scanned(distinct: DataFrame, short: DataFrame, keep: int) -> DataFrame:
-    """Exact results for the queries the tables served badly, in blocks of bounded size."""
-    out = distinct.sparkSession.createDataFrame([], "query long, rep long, score double")
-    block: list = []
-    for row in [*short.toLocalIterator(), None]:
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == ROWS):
-            part = scan(distinct, np.array([r["rep"] for r in block], np.int64),
-                        np.array([r["vector"] for r in block], np.float64), keep)
-            out = out.unionByName(written(part, "scanned"))
-            block = []
-    return out
+def _scanned(distinct: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
+    """Exact results for queries the tables served badly, a block of bounded size at a time.
+
+    The driver holds one block and one partition of ``asked``; results of all
+    blocks are appended to one table.
+    """
+    spark = distinct.sparkSession
+    out = spark.createDataFrame([], "query long, rep long, score double")
+    path = scratch(spark, "scanned")
+    out.write.parquet(path)
+    rows = asked.toLocalIterator()
+    while block := list(islice(rows, ROWS)):
+        release(spark)
+        scan(distinct, np.array([r["rep"] for r in block], np.int64),
+             np.array([r["vector"] for r in block], np.float64), keep).write.mode("append").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 @query("op1_nearest_neighbours")

@@ -85,6 +85,32 @@ def test_neighbours_out_of_reach_are_scanned(spark):
     assert recall_of(neighbours.nearest(df, F.col("vec_id") % 20 == 0, settings=thin).collect(), vectors) == 1
 
 
+def test_scanned_queries_pass_the_driver_block_by_block(spark, monkeypatch):
+    vectors = np.random.default_rng(9).normal(size=(90, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "rep long, vector array<double>")
+    taken, seen, scan = [0], [], neighbours.scan
+
+    def counted():
+        for row in df.orderBy("rep").collect():
+            taken[0] += 1
+            yield row
+
+    def spied(distinct, names, queries, keep):
+        seen.append((taken[0], len(names)))
+        return scan(distinct, names, queries, keep)
+
+    class Asked:
+        toLocalIterator = staticmethod(counted)
+
+    monkeypatch.setattr(neighbours, "ROWS", 40)
+    monkeypatch.setattr(neighbours, "scan", spied)
+    got = neighbours._scanned(df, Asked, 3)
+    assert seen == [(40, 40), (80, 40), (90, 10)]  # no query is fetched before its block
+    want = {(q, int(i)) for q in range(90) for i in np.argsort(-(vectors @ vectors[q]))[:3]}
+    assert {(r.query, r.rep) for r in got.collect()} == want and got.count() == 270
+    assert neighbours._scanned(df, df.limit(0), 3).count() == 0
+
+
 def check_bins(rows, capacity, sources, clusters):
     bins = collections.defaultdict(list)
     for r in rows:
