@@ -22,13 +22,15 @@ from policyspark.llm.words import LOWER, chunks, fold_of, table
 
 FOLDS, HELD = 4, 2
 SLICES = 64
+#: Training rows and landmarks a language gets at least (if it has as many), however many languages there are.
+LEAST_ROWS, LEAST_MARKS = 16, 4
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """grams: longest n-gram; landmarks: of the Nyström map; sample: training rows in all;
-    per_language: of these, rows of a language; ridge: the penalty; rows: texts of one matrix product."""
+    """grams: longest n-gram; landmarks: of the Nyström map; sample: training rows in all; both grow with
+    the number of languages beyond LEAST_MARKS and LEAST_ROWS for each; per_language: rows of a language; ridge: the penalty; rows: texts of one matrix product."""
 
     grams: int = 3
     landmarks: int = 192
@@ -99,7 +101,7 @@ def _train(texts: list[bytes], labels: list[str], settings: Settings) -> tuple[l
         k = names.index(label)
         place.append((turn[k], k))
         turn[k] += 1
-    chosen = sorted(range(len(labels)), key=lambda i: place[i])[:settings.landmarks]
+    chosen = sorted(range(len(labels)), key=lambda i: place[i])[:max(settings.landmarks, LEAST_MARKS * len(names))]
     grams = []
     seen: list[list[np.ndarray]] = [[] for _ in range(settings.grams)]
     for i in chosen:
@@ -127,7 +129,8 @@ def training_rows(docs: DataFrame, doc_id: str, lang: str, settings: Settings) -
 
     A language is cut into slices by the hash, so that it may hold any share of
     all rows; each slice gives its rows of smallest hash, ``per_language`` in
-    all slices together, and ``sample`` rows come out in all.
+    all slices together, and ``sample`` rows come out in all, or LEAST_ROWS of
+    each language if that is more. Languages take turns, so none is left out.
     """
     ids = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col(doc_id).isNotNull()
                      & (fold_of(doc_id, FOLDS) != HELD)).select(
@@ -135,8 +138,11 @@ def training_rows(docs: DataFrame, doc_id: str, lang: str, settings: Settings) -
         F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")).alias("_h"))
     slices = Window.partitionBy("_lang", F.pmod("_h", F.lit(SLICES))).orderBy("_h", "_id")
     first = ids.withColumn("_n", F.row_number().over(slices)).where(F.col("_n") <= -(-settings.per_language // SLICES))
-    few = first.orderBy("_n", "_lang", "_h").limit(settings.sample).select("_id", "_h")
-    # At most ``sample`` ids, which the planner sees from the limit and sends to the texts.
+    # At most SLICES * ceil(per_language / SLICES) rows of a language are left.
+    turn = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
+    count = max(settings.sample, LEAST_ROWS * ids.select("_lang").distinct().count())
+    few = first.withColumn("_turn", turn).orderBy("_turn", "_h", "_id").limit(count).select("_id", "_h")
+    # At most ``count`` ids, which the planner sees from the limit and sends to the texts.
     return (docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), "text")
             .where("_lang IS NOT NULL AND text IS NOT NULL").join(few.distinct(), "_id"))
 

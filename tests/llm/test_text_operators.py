@@ -333,6 +333,17 @@ def test_language(spark, rough, clashing):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+def test_every_language_is_learned_however_many_there_are(spark, rough):
+    rng = np.random.default_rng(6)
+    own = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(60)]
+    rows = [(20 * k + i, " ".join(rng.choice(own[k], 30)), f"l{k:02d}", "s", 1) for k in range(60) for i in range(20)]
+    docs = spark.createDataFrame(rows, rough.schema)
+    model = language.fit(docs, settings=language.Settings(sample=100, landmarks=20))
+    assert model.languages == tuple(f"l{k:02d}" for k in range(60))
+    truth = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == truth[r.doc_id] for r in language.predict(docs, model).collect())
+
+
 def test_empty_tables(spark, empty, tmp_path):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
