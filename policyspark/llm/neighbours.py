@@ -154,7 +154,7 @@ def distinct_vectors(rows: DataFrame, keep: int, slices: int) -> DataFrame:
     be among the nearest, ties going to smaller ids.
     """
     part = Window.partitionBy("vector", "_slice").orderBy("vec_id")
-    few = (rows.withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)))
+    few = (rows.select("vec_id", "vector").distinct().withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)))
            .withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= keep))
     ids = F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep)
     return few.groupBy("vector").agg(ids.alias("ids")).select(F.col("ids")[0].alias("rep"), "vector", "ids")

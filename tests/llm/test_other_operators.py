@@ -111,6 +111,11 @@ def test_scanned_queries_pass_the_driver_block_by_block(spark, monkeypatch):
     assert neighbours._scanned(df, df.limit(0), 3).count() == 0
 
 
+def test_a_repeated_row_hides_no_other_id(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0])] * 30 + [(i, [1.0, 2.0]) for i in range(2, 9)], "vec_id long, vector array<double>")
+    assert [r.ids for r in neighbours.distinct_vectors(rows, 5, 1).collect()] == [[1, 2, 3, 4, 5]]
+
+
 def check_bins(rows, capacity, sources, clusters):
     bins = collections.defaultdict(list)
     for r in rows:
