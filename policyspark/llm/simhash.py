@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from policyspark.llm.components import components
 from policyspark.llm.registry import query
-from policyspark.llm.words import LOWER, chunks, release, slots, table, written
+from policyspark.llm.words import LOWER, chunks, gram_hashes, hashed_words, release, slots, table, unzipped, written, zipped
 
 SHINGLE = 3
 RADIUS = 3
@@ -257,3 +257,112 @@ def keep_one(docs: DataFrame) -> DataFrame:
     once = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
     return (keyed.join(gone, ["_id", "_hash"], "left_anti").withColumn("_n", once).where("_n = 1")
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+#: Near-duplicates of a corpus: word shingles of this length, and the least Jaccard similarity of their sets.
+LONG_SHINGLE = 5
+SIMILAR = 0.8
+#: Candidates: MinHash bands of so many rows; a pair of similarity 0.8 misses all with probability (1 - 0.8 ** 5) ** 16 = 0.2 %.
+BANDS, BAND_ROWS = 16, 5
+_STEPS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(texts: list[bytes], n: int = LONG_SHINGLE) -> Iterator[np.ndarray]:
+    """64-bit hashes of the word shingles of each text, in order; a shorter text is one shingle, one without words none."""
+    words, bounds = hashed_words(texts, LOWER)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield gram_hashes(words[a:b], max(1, min(n, b - a)))
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """One 64-bit key per MinHash band."""
+    least = np.full(len(_STEPS), ~np.uint64(0))
+    for i in range(0, len(grams), 1 << 12):
+        least = np.minimum(least, (grams[i:i + (1 << 12), None] * _STEPS[None, :]).min(axis=0))
+    code = np.arange(BANDS, dtype=np.uint64)
+    for j in range(BAND_ROWS):
+        code = (code ^ least[j::BAND_ROWS]) * _MIX
+        code ^= code >> np.uint64(29)
+    return code
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of shingle hashes as sets."""
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, key, fp, bands) of each row: key is equal for texts of the same shingles in the same order."""
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "text"):
+            grams = list(shingles(texts))
+            key = [int(gram_hashes(g, len(g))[0].view(np.int64)) if len(g) else 0 for g in grams]
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "key": pa.array(key, pa.int64()),
+                "fp": pa.array(np.array([fingerprint(t, LONG_SHINGLE) for t in texts], np.uint64).view(np.int64)),
+                "bands": pa.array([band_keys(g).view(np.int64).tolist() for g in grams], pa.list_(pa.int64()))})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    return rows.mapInArrow(taken, "doc_id long, hash long, key long, fp long, bands array<long>")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys, a < b, that share a band or lie within 3 bits: a number linear in the keys.
+
+    Who shares a band is tied to one of them, chosen in four different orders
+    over the bands, so that a member unlike one centre meets others.
+    """
+    fps = written(rows.groupBy("fp").agg(F.min("key").alias("name")), "distinct")
+    near = link(fps).unionByName(rows.join(fps, "fp").select(F.col("key").alias("a"), F.col("name").alias("b")))
+    bands = rows.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
+    bands = written(bands, "bands")
+    order = F.xxhash64("key", F.pmod("band", F.lit(4)))
+    centres = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "key")).alias("c")).where("n > 1")
+    tied = bands.join(centres, "band").select(F.col("key").alias("a"), F.col("c.key").alias("b"))
+    return near.unionByName(tied).where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The candidates whose shingle sets have at least the wanted similarity, by their texts."""
+    pairs = written(candidates(rows), "candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    hashes = rows.join(named, "key", "left_semi").groupBy("key").agg(F.min("hash").alias("hash"))
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(hashes, "hash")
+    texts = zipped(texts.select("key", "text"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
+    both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                one, two = (shingles(unzipped(part.column(c))) for c in ("ta", "tb"))
+                good = [k for k, (x, y) in enumerate(zip(one, two)) if similarity(x, y) >= SIMILAR]
+                yield pa.record_batch({"a": part.column("a").take(pa.array(good, pa.int64())),
+                                       "b": part.column("b").take(pa.array(good, pa.int64()))})
+
+    return both.mapInArrow(verified, "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates, all columns: the one of the smallest id, and of its repeats one row.
+
+    Groups are connected by pairs of at least 0.8 Jaccard similarity of their
+    5-word shingles. SimHash fingerprints and MinHash bands only propose pairs;
+    each is checked against the texts. Ids that are null come last.
+    """
+    rows = written(signed(docs), "signed")
+    roots = components(similar_pairs(docs, rows))
+    named = written(rows.join(roots, rows["key"] == roots["node"], "left").select(
+        "doc_id", "hash", F.coalesce("root", "key").alias("_root")), "named")
+    best = named.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash")).alias("_best"))
+    gone = (named.join(best, "_root").where("NOT (doc_id <=> _best.doc_id AND hash = _best.hash)")
+            .select(F.coalesce("doc_id", F.lit(_NAMELESS)).alias("_id"), F.col("hash").alias("_hash")).distinct())
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NAMELESS)), "_hash": F.xxhash64("text")})
+    once = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+    return (keyed.join(gone, ["_id", "_hash"], "left_anti").withColumn("_n", once).where("_n = 1")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

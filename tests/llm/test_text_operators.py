@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from policyspark.llm import decontaminate, language, lm, quality, simhash, substrings, tokens
 from tests.llm.conftest import lowered
 
@@ -116,6 +117,33 @@ def test_keep_one_keeps_one_of_each_group(rough):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(groups, key=repr)
 
 
+def test_edited_copies_are_near_duplicates(spark, rough):
+    rng = np.random.default_rng(12)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(3000)])
+
+    def grams(text):
+        words = lowered(text).split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+    texts, pairs = [], []
+    for k in range(60):
+        words = rng.choice(vocabulary, 150).tolist()
+        copy = list(words)
+        for at in rng.choice(150, 1 + k % 3, replace=False):
+            copy[at] = "changed"
+        a, b = " ".join(words), "  ".join(copy).upper()
+        pairs.append((len(texts), len(grams(a) & grams(b)) / len(grams(a) | grams(b))))
+        texts += [a, b]
+    texts += [None, "", " ", "one two", "One  two", "one three"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1), (None, texts[1], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, rough.schema)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    # Brute force: of each pair the copy goes if it is similar enough, and nothing else does.
+    similar = {i + 1 for i, j in pairs if j >= 0.8}
+    assert len(similar) > 40
+    assert kept == [i for i in range(120) if i not in similar] + [120, 123, 125]
+
+
 def brute_substrings(rows, window=20):
     """Rows in the order of null ids first, then id, then text hash; the result does not depend on the last for one id."""
     seen, out = set(), []
