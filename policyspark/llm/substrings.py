@@ -1,11 +1,9 @@
-"""Repeated passages by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Repeated passages by windows of 20 words grouped by their hash in reference blocks.
 
 The corpus is its own reference: a word sequence is a copy where it also
-starts earlier. Every document is parsed greedily into factors, the longest
-stretches whose windows of 20 words all occur in an earlier reference text;
-factors of at least that length are duplicate spans, and the windows that
-straddle a factor's end are looked up as well, since a copy of something else
-may start inside it.
+starts earlier. A duplicate span is a union of windows that all occur earlier,
+so grouping equal windows replaces a greedy Relative Lempel-Ziv parse: there
+is no longest match against a block, and windows next to each other are merged.
 
 A document meets only the reference blocks that can hold such a factor. Every
 window names one anchor, the smallest hash of its 8-word runs, which depends
@@ -220,12 +218,7 @@ def repeated_windows(texts: DataFrame, anchors: DataFrame, window: int, anchor:
 
 
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy parse of a text: duplicate spans (start, end) from the starts of its repeated windows.
-
-    A factor starts at the first repeated window and takes in each next word
-    as long as the window that ends with it is repeated too. At the boundary
-    the windows that straddle the factor's end are looked up: one that is
-    repeated opens a factor that overlaps the last, and their spans merge.
+    """Duplicate spans (start, end) of a text from the starts of its repeated windows: those that overlap or touch merge.
     """
     if not len(starts):
         return []
