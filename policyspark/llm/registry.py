@@ -25,7 +25,9 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries (name to function) and the SQL of those that have one."""
-    from policyspark.llm import decontaminate, language, lm, neighbours, packing, quality, simhash, substrings, tokens, urlfilter  # noqa: F401
+    from policyspark.llm import (  # noqa: F401
+        decontaminate, embedding_dedup, hard_negatives, language, lm, manifest, neighbours, packing, quality, simhash, substrings,
+        tokens, urlfilter)
 
     import corpus_pipeline
 
