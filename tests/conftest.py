@@ -1,4 +1,3 @@
-import math
 import os
 import sys
 
@@ -6,6 +5,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tests.helpers import plain, rows_of  # noqa: E402, F401
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -33,21 +34,3 @@ def duck(sf_dir):
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
-
-
-def plain(value):
-    """One comparable text per value."""
-    if value is None:
-        return "\0"
-    if isinstance(value, bool):
-        return str(value)
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(round(value, 6) + 0.0)
-    if hasattr(value, "as_tuple"):
-        return repr(round(float(value), 6) + 0.0)
-    return str(value)
-
-
-def rows_of(df):
-    columns = sorted(df.columns)
-    return columns, sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())

@@ -4,9 +4,9 @@ import os
 import pathlib
 
 import pytest
-from conftest import plain, rows_of
 
 from policyspark.catalog import load_all
+from tests.helpers import plain, rows_of
 
 QUERIES, SQL = load_all()
 SLOW = {"text_classifier"}
