@@ -31,7 +31,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, "policyspark-bench", shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
-                          spark__ui__showConsoleProgress="false", spark__sql__files__maxPartitionBytes="2m")
+                          spark__ui__showConsoleProgress="false", spark__sql__files__maxPartitionBytes="2m",
+                          spark__policyspark__spread=cpus if cpus.isdigit() else "8")
     spark.sparkContext.setLogLevel("ERROR")
     queries = load_all()[0]
     for warm in ("value_counts", "normalised_text"):  # compiles the paths of plain columns and of texts

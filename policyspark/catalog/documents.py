@@ -10,7 +10,7 @@ from policyspark.catalog.inputs import (
     BASELINE, DOCUMENTS_SQL, FILTER, NEGATIVE, POSITIVE, RULES, documents, joined, rounded, table,
 )
 from policyspark.functions import text as T
-from policyspark.functions.terms import table_matches, term_hits, with_keyword_score
+from policyspark.functions.terms import KeywordRules, table_counts, table_matches, term_hits, with_keyword_score
 from policyspark.functions.urls import last_segment
 from policyspark.operators import classify, harmonise, ordinals, snippets
 from policyspark.sources import tables
@@ -145,12 +145,49 @@ def keyword_rules_from_table(spark, sf_dir):
     SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE w <> '')
   SELECT term, count(*) AS n_docs FROM docs JOIN terms ON contains(t, term) GROUP BY term""")
 def keyword_hits_by_term(spark, sf_dir):
-    """All words of the benchmark as a term table: texts meet them by character runs."""
+    """All words of the benchmark as a term table."""
     terms = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term"))
     docs = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("t"))
     return table_matches(docs, terms, "doc_id", "t").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+@query("keyword_hits_positions", sql=f"""WITH {DOCUMENTS_SQL}, terms AS (
+    SELECT DISTINCT substr(w, 1, 4) AS term FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE w <> '')
+  SELECT doc_id, term, (length(t) - length(replace(t, term, ''))) // length(term) AS n FROM docs JOIN terms ON contains(t, term)""")
+def keyword_hits_positions(spark, sf_dir):
+    """How often each beginning of a benchmark word occurs in each document, occurrences not overlapping."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).select(
+        F.substring("w", 1, 4).alias("term"))
+    docs = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("t"))
+    return table_counts(docs, terms, "doc_id", "t")
+
+
+@query("keyword_rules_from_config", sql=f"""WITH {DOCUMENTS_SQL}, rules AS (
+    SELECT 'general' AS grp, 'positive' AS polarity, lower(n_name) AS term FROM nation WHERE n_nationkey < 5
+    UNION SELECT 'general', 'positive', substr(lower(r_name), 1, 2) FROM region
+    UNION SELECT 'general', 'negative', lower(n_name) FROM nation
+    UNION SELECT CASE WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'odd' END, 'include', substr(lower(p_type), 1, 3) FROM part),
+  hits AS (SELECT doc_id, grp, polarity, count(*) AS n FROM docs JOIN rules ON contains(t, term) GROUP BY ALL)
+  SELECT doc_id, coalesce(sum(n) FILTER (polarity = 'positive'), 0)::BIGINT AS n_general,
+    count(*) FILTER (polarity = 'include') AS n_themes, coalesce(sum(n) FILTER (polarity = 'negative'), 0)::BIGINT AS n_negative,
+    coalesce(sum(n) FILTER (polarity = 'positive'), 0) >= 1 AND count(*) FILTER (polarity = 'include') >= 1
+      AND coalesce(sum(n) FILTER (polarity = 'negative'), 0) = 0 AS passes_filter
+  FROM docs LEFT JOIN hits USING (doc_id) GROUP BY doc_id""")
+def keyword_rules_from_config(spark, sf_dir):
+    """Rules of a configuration table (group, polarity, term), made of nation, region and part names."""
+    rules = table(spark, sf_dir, "nation").where("n_nationkey < 5").selectExpr(
+        "'general' AS `group`", "'positive' AS polarity", "lower(n_name) AS term")
+    rules = rules.union(table(spark, sf_dir, "region").selectExpr("'general'", "'positive'", "substr(lower(r_name), 1, 2)"))
+    rules = rules.union(table(spark, sf_dir, "nation").selectExpr("'general'", "'negative'", "lower(n_name)"))
+    rules = rules.union(table(spark, sf_dir, "part").selectExpr(
+        "IF(p_partkey % 2 = 0, 'even', 'odd')", "'include'", "substr(lower(p_type), 1, 3)").distinct())
+    scored = with_keyword_score(documents(spark, sf_dir), "text", KeywordRules.from_table(rules))
+    return scored.select(
+        "doc_id", F.size("keyword_hits_general").cast("long").alias("n_general"),
+        F.size("keyword_hits_thematic").cast("long").alias("n_themes"),
+        F.size("keyword_negative_hits.general").cast("long").alias("n_negative"), "passes_filter")
+
+
 @query("keyword_grep", sql=f"""WITH {DOCUMENTS_SQL}
   SELECT doc_id, array_to_string({hits_sql("(tl || chr(10) || t)", ["license", "thwh", "vipa"])}, ', ') AS hit_words,
          substr(replace(text, chr(10), ' '), 1, 300) AS preview

@@ -9,8 +9,17 @@ from policyspark.operators.classify import BaselineRules, FilterConfig
 from policyspark.functions.terms import KeywordRules, ThemeTerms
 
 
+#: Tables of long texts.
+TEXTS = ("documents", "pages", "conversations", "benchmark")
+#: Session setting: number of partitions that rows of text tables are dealt into after the scan.
+SPREAD = "spark.policyspark.spread"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A benchmark table. A file of one row group is one task; ``SPREAD``, where the caller sets it, deals its texts out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = spark.conf.get(SPREAD, None) if name in TEXTS else None
+    return df.repartition(int(spread)) if spread else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

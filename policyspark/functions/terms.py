@@ -11,11 +11,16 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from policyspark.functions.automaton import Automaton
 from policyspark.functions.text import col, let
+from policyspark.session import parallelism
+
 
 def literal_array(terms: Iterable[str]) -> Column:
     terms = list(terms)
@@ -201,64 +206,83 @@ def with_keyword_score(df: DataFrame, text: Column | str, rules: KeywordRules) -
     }).drop("__kw_text")
 
 
-#: Length of the character runs by which texts meet the terms of a table.
-GRAM = 4
-FLAGS = 1 << 15
-
-
-def run_codes(n: int, flags: Sequence[int] | None = None):
-    """Arrow function text -> distinct 64-bit codes of its runs of n characters, those of set flags if given."""
-    marked = None
-    if flags is not None:
-        marked = np.zeros(FLAGS, bool)
-        marked[list(flags)] = True
-
-    def codes(text: str | None) -> np.ndarray | None:
-        if text is None:
-            return None
-        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        code = np.zeros(max(0, len(letters) - n + 1), np.uint64)
-        for j in range(n):
-            code = (code ^ letters[j:j + len(code)]) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-        code = np.unique(code)
-        if marked is not None:
-            code = code[marked[code % np.uint64(FLAGS)]]
-        return code.view(np.int64)
-
-    @F.pandas_udf("array<bigint>")
-    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Bytes of the terms of a pack (its automaton takes at most 1 KB for each) and of texts that are scanned together.
+PACK_BYTES = 1 << 15
+BLOCK_BYTES = 1 << 20
+#: Automata that a task keeps.
+KEPT_PACKS = 8
+
+
+def term_packs(terms: DataFrame, term: str) -> DataFrame:
+    """(pack, terms): the distinct terms, dealt by hash into packs of about PACK_BYTES. Null and empty ones are left out."""
+    words = terms.select(F.col(term).cast("string").alias("term")).where("term <> ''").distinct()
+    size = words.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    pack = F.pmod(F.xxhash64("term"), F.lit(max(1, -(-size // PACK_BYTES)))).cast("int")
+    return words.groupBy(pack.alias("pack")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
+
+
+def text_blocks(texts: DataFrame, key: str, text: str, routes: int) -> DataFrame:
+    """(route, keys, texts): rows put together to blocks of about BLOCK_BYTES; null texts are left out."""
+    rows = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
         for batch in batches:
-            yield batch.map(codes)
+            size = pc.cumulative_sum(pc.binary_length(batch.column("text")).cast(pa.int64())).to_numpy()
+            cuts = np.flatnonzero(np.diff(size // BLOCK_BYTES)) + 1
+            bounds = pa.array([0, *cuts.tolist(), batch.num_rows], pa.int32())
+            yield pa.record_batch({
+                "route": pa.array([(number + i) % routes for i in range(len(bounds) - 1)], pa.int32()),
+                "keys": pa.ListArray.from_arrays(bounds, batch.column("key")),
+                "texts": pa.ListArray.from_arrays(bounds, batch.column("text"))})
+            number += len(bounds) - 1
+
+    return rows.mapInArrow(blocks, f"route int, keys array<{kind}>, texts array<string>")
 
-    return of_texts
+
+def _scanned(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str, count: str | None) -> DataFrame:
+    """Every block of texts meets every pack of terms, once, in a task that runs the pack's automaton over the block.
+
+    Packs are copied to a fixed number of routes, blocks take one each, and
+    the two meet by a plain equi join: the planner moves the smaller side.
+    """
+    routes = parallelism(texts.sparkSession)
+    blocks = text_blocks(texts, key, text, routes)
+    packs = term_packs(terms, term).withColumn("route", F.explode(F.sequence(F.lit(0), F.lit(routes - 1))))
+    names = [key, term] + ([count] if count else [])
+    kind = texts.schema[key].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata: dict[int, tuple[Automaton, pa.Array]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pack = batch.column("pack")[i].as_py()
+                if pack not in automata:
+                    if len(automata) == KEPT_PACKS:
+                        automata.pop(next(iter(automata)))
+                    words = batch.column("terms")[i].values
+                    automata[pack] = (Automaton(words.cast(pa.binary()).to_pylist()), words)
+                automaton, words = automata[pack]
+                block = batch.column("texts")[i].values.cast(pa.binary()).to_pylist()
+                found = automaton.counted(block) if count else (*automaton.contained(block), None)
+                columns = [batch.column("keys")[i].values.take(pa.array(found[0])), words.take(pa.array(found[1]))]
+                yield pa.record_batch(columns + ([pa.array(found[2], pa.int64())] if count else []), names=names)
+
+    schema = f"`{key}` {kind}, `{term}` string" + (f", `{count}` long" if count else "")
+    return blocks.join(packs, "route").select("pack", "terms", "keys", "texts").mapInArrow(scan, schema)
 
 
 def table_matches(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
-    """(key, term) for every term of a table that a text contains; the table may be of any size.
-
-    Every term is found by one of its character runs, that of the smallest
-    code; texts are cut into their distinct runs, of which those stay whose
-    flag is set in a bitmap of fixed size made of the terms' runs. The equi
-    join on the run's code finds candidates, which meet their text again by
-    its key, and containment decides. Terms shorter than a run go by their own
-    length. Null and empty terms and null texts match nothing; repeated terms
-    count once, repeated texts each.
+    """(key, term) for every term of a table that a text contains; both tables may be of any size.
+
+    Terms are dealt into packs of bounded size, each an Aho-Corasick automaton
+    that reads a text once for all its terms. Null and empty terms and null
+    texts match nothing; repeated terms count once, repeated texts each.
     """
-    words = terms.select(F.col(term).alias("__term")).where("__term <> ''").distinct()
-    rows = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    candidates = None
-    lengths = [r[0] for r in words.select(F.least(F.length("__term"), F.lit(GRAM)).alias("n")).distinct().collect()]
-    for n in sorted(lengths):  # 1 to GRAM
-        own = words.where(F.length("__term") == n if n < GRAM else F.length("__term") >= n)
-        own = own.select("__term", F.array_min(run_codes(n)("__term")).alias("__run"))
-        flags = [r[0] for r in own.select(F.col("__run").bitwiseAND(FLAGS - 1)).distinct().collect()]  # FLAGS at most
-        cut = rows.where(F.length("__text") >= n).select("__key", F.explode(run_codes(n, flags)("__text")).alias("__run"))
-        found = cut.join(own, "__run").select("__key", "__term")
-        candidates = found if candidates is None else candidates.unionByName(found)
-    if candidates is None:
-        candidates = rows.select("__key", F.col("__text").alias("__term")).limit(0)
-    lists = candidates.groupBy(F.col("__key").alias("__k")).agg(F.collect_set("__term").alias("__terms"))
-    hits = rows.join(lists, F.col("__key").eqNullSafe(F.col("__k"))).select(
-        F.col("__key").alias(key), F.filter("__terms", lambda t: F.contains(F.col("__text"), t)).alias("__hits"))
-    return hits.select(key, F.explode("__hits").alias(term))
+    return _scanned(texts, terms, key, text, term, None)
+
+
+def table_counts(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term", count: str = "n") -> DataFrame:
+    """As :func:`table_matches`, with the number of non-overlapping occurrences of the term, counted from the left."""
+    return _scanned(texts, terms, key, text, term, count)

@@ -228,6 +228,30 @@ def test_term_tables_match_like_containment(spark, sf_dir):
     assert terms.table_matches(docs, table.where("term = 'x' AND term = 'y'"), "doc_id", "t").count() == 0
 
 
+def test_term_tables_count_like_str_count(spark, monkeypatch):
+    """Nested and overlapping terms, terms longer than a lane, many packs, blocks and lanes; bytes of other texts never join in."""
+    import random
+
+    from policyspark.functions import automaton, terms
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abß €") for _ in range(rng.choice([0, 1, 7, 90, 900]))) for _ in range(120)]
+    texts += ["a" * 3000, "ab" * 2000, None, "", "aabaab" * 40, "😀a😀😀"]
+    words = sorted({t[i:i + rng.choice([1, 2, 3, 5, 40])] for t in texts if t for i in range(0, min(len(t), 40), 3)} - {""})
+    words += ["aa", "abab", "aabaa", "a" * 700, "zz", "😀", "b" * 2001]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, t string").repartition(3)
+    table = spark.createDataFrame([(w,) for w in [*words, None, "", *words[:5]]], "term string")
+    want = sorted((i, w, t.count(w)) for i, t in rows if t for w in set(words) if w in t)
+    for pack, block, segment in ((1 << 15, 1 << 20, 512), (200, 500, 16)):
+        monkeypatch.setattr(terms, "PACK_BYTES", pack)
+        monkeypatch.setattr(terms, "BLOCK_BYTES", block)
+        monkeypatch.setattr(automaton, "SEGMENT", segment)
+        assert sorted(map(tuple, terms.table_counts(docs, table, "doc_id", "t").collect())) == want
+        assert sorted(map(tuple, terms.table_matches(docs, table, "doc_id", "t").collect())) == [w[:2] for w in want]
+    assert terms.table_counts(docs.limit(0), table, "doc_id", "t").count() == 0
+
+
 def test_roots_decide_like_the_full_list(spark):
     from policyspark.functions import terms
 
