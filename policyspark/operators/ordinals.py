@@ -39,16 +39,34 @@ def slice_cuts(df: DataFrame, columns: Sequence[str], slices: int | None = None)
     return list(dict.fromkeys(some[i] for i in range(step, len(some), step)))
 
 
+def before_point(df: DataFrame, columns: Sequence[str], values: Sequence) -> Column:
+    """Whether a row sorts before a point, nulls first, column by column."""
+    out = F.lit(False)
+    for name, value in reversed(list(zip(columns, values))):
+        own = F.col(name)
+        if value is None:
+            out = own.isNull() & out
+        else:
+            point = F.lit(value).cast(df.schema[name].dataType)
+            out = own.isNull() | (own < point) | ((own == point) & out)
+    return out
+
+
 def slice_column(df: DataFrame, columns: Sequence[str], cuts: Sequence[Row]) -> Column:
-    """How many cuts lie before a row, nulls first."""
-    if not cuts:
-        return F.lit(0)
-    kinds = {f.name: f.dataType for f in df.schema.fields}
+    """How many cuts a row does not sort before, nulls first: found by halving.
+
+    Only as many columns are looked at as tell the cuts apart.
+    """
+    width = next((w for w in range(1, len(columns)) if len({tuple(c[:w]) for c in cuts}) == len(cuts)), len(columns))
+    points = sorted({tuple(c[:width]): i for i, c in enumerate(cuts)}.items(), key=lambda p: p[1])
 
-    def point(values: Sequence) -> Column:
-        return F.struct(*[(v if isinstance(v, Column) else F.lit(v).cast(kinds[c])).alias(c) for c, v in zip(columns, values)])
+    def halved(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(before_point(df, columns, points[middle][0]), halved(low, middle)).otherwise(halved(middle + 1, high))
 
-    return F.size(F.filter(F.array(*[point(c) for c in cuts]), lambda c: c <= point([F.col(x) for x in columns])))
+    return halved(0, len(points))
 
 
 def uniform_slice(hash_column: Column, slices: int) -> Column:
