@@ -366,11 +366,39 @@ def tfidf_weights(spark, sf_dir):
     return rounded(bootstrap.tfidf_weights(gold(spark, sf_dir), "candidate_id", "text"))
 
 
+def weak_rows(spark, sf_dir) -> DataFrame:
+    return weak_pool(spark, sf_dir).select("candidate_id", "text", "rule_label", "rule_score")
+
+
+@query("bootstrap_sizes", sql=f"""WITH {SPLIT_SQL}, {WEAK_SQL},
+  clean AS (SELECT * FROM weak WHERE doc_id NOT IN (SELECT doc_id FROM split WHERE split = 'test')),
+  train AS (SELECT quality AS label FROM split WHERE split = 'train' UNION ALL SELECT rule_label FROM clean
+    WHERE (rule_label = 1 AND rule_score >= 3) OR (rule_label = 0 AND rule_score <= 0))
+  SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test,
+    coalesce(sum(quality) FILTER (split = 'train'), 0)::BIGINT AS pos_train, coalesce(sum(quality) FILTER (split = 'test'), 0)::BIGINT AS pos_test,
+    (SELECT count(*) FROM weak) AS n_pool, (SELECT count(*) FROM clean) AS n_clean_pool, (SELECT count(*) FROM train) AS n_bootstrap,
+    (SELECT count(*) FROM train WHERE label = 1) AS pos_bootstrap FROM split""")
+def bootstrap_sizes(spark, sf_dir):
+    pool = weak_rows(spark, sf_dir)
+    return bootstrap.bootstrap_sizes(bootstrap.bootstrap_inputs(gold(spark, sf_dir), pool, portable=True), pool)
+
+
+@query("prediction_rows", sql=f"""WITH {SPLIT_SQL}
+  SELECT CAST(doc_id AS VARCHAR) AS candidate_id, CAST(quality AS INT) AS gold_label, TRUE AS follows_score, TRUE AS is_share
+  FROM split WHERE split = 'test'""")
+def prediction_rows(spark, sf_dir):
+    """The prediction table of a gold-only classifier: one row per test row; labels follow scores, which are shares."""
+    inputs = bootstrap.bootstrap_inputs(gold(spark, sf_dir), weak_rows(spark, sf_dir), portable=True)
+    model = bootstrap.train_classifier(inputs["gold_train"], "text", "gold_is_policy_measure", iterations=5)
+    rows = bootstrap.predict_table(model, inputs["gold_test"], "gold_is_policy_measure")
+    return rows.select("candidate_id", "gold_label", (F.col("pred_label") == (F.col("score") > 0.5).cast("int")).alias("follows_score"),
+                       F.col("score").between(0, 1).alias("is_share"))
+
+
 @query("text_classifier")
 def text_classifier(spark, sf_dir):
     """Bootstrap experiment: metrics of the gold-only and the bootstrapped classifier."""
     out = bootstrap.bootstrap_experiment(
-        gold(spark, sf_dir), weak_pool(spark, sf_dir).select("candidate_id", "text", "rule_label", "rule_score"),
-        iterations=20)
+        gold(spark, sf_dir), weak_rows(spark, sf_dir), iterations=20)
     return out["baseline_metrics"].withColumn("model", F.lit("baseline")).unionByName(
         out["bootstrap_metrics"].withColumn("model", F.lit("bootstrap")))

@@ -12,7 +12,7 @@ from policyspark.catalog.web import CLEAN_SQL, unescape
 from policyspark.operators.harmonise import extracted_documents, keep_extracted
 from policyspark.operators.labeling import label_candidates
 from policyspark.session import scratch_folder
-from policyspark.streaming.incremental import append_stream, label_stream, stream_candidates
+from policyspark.streaming.incremental import append_stream, label_stream, labelled, stream_candidates
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +48,8 @@ def stream_labels_query(spark, sf_dir):
     """Resumable labelling: the sink already holds the labelled ids, the stream adds the others, a replay adds nothing."""
     folder = scratch_folder(spark, "labels")
     table(spark, sf_dir, "labels").select(
-        F.col("doc_id").cast("string").alias("candidate_id"), F.lit("earlier").alias("label_source")).write.parquet(f"{folder}/table")
+        F.col("doc_id").cast("string").alias("candidate_id"), F.lit("earlier").alias("label_source")).write.parquet(
+        f"{folder}/table/run=earlier/batch=0")
     candidates = stream(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("candidate_id"), "text")
 
     def label(rows: DataFrame) -> DataFrame:
@@ -57,4 +58,22 @@ def stream_labels_query(spark, sf_dir):
 
     for run in ("first", "replay"):
         label_stream(candidates, f"{folder}/table", f"{folder}/{run}", label).awaitTermination()
-    return spark.read.parquet(f"{folder}/table")
+    return labelled(spark, f"{folder}/table")
+
+
+@query("stream_labels_repeats", sql="""
+  SELECT CAST(source AS VARCHAR) AS candidate_id, 1::BIGINT AS n FROM documents WHERE trim(source) <> '' GROUP BY source
+  UNION ALL SELECT NULL, count(*) FROM documents WHERE doc_id % 10 = 0 HAVING count(*) > 0""")
+def stream_labels_repeats(spark, sf_dir):
+    """Ids that come hundreds of times in a batch are labelled once, rows without an id each once, whatever is replayed."""
+    folder = scratch_folder(spark, "repeats")
+    docs = stream(spark, sf_dir, "documents")
+    candidates = docs.select(F.col("source").alias("candidate_id"), "text").unionByName(
+        docs.where("doc_id % 10 = 0").select(F.lit(None).cast("string").alias("candidate_id"), "text"))
+
+    def label(rows: DataFrame) -> DataFrame:
+        return label_candidates(rows, lambda prompts: ["{}"] * len(prompts), max_chars=None).select("candidate_id", "label_source")
+
+    for _ in range(2):  # the second run finds nothing new
+        label_stream(candidates, f"{folder}/table", f"{folder}/state", label).awaitTermination()
+    return labelled(spark, f"{folder}/table").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))

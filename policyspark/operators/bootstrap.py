@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,20 +85,25 @@ def tfidf_weights(rows: DataFrame, key: str, text: str, min_df: int = 2, max_df:
     return raw.join(norm, F.col(key) == F.col("__key")).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+#: Numbers that terms are hashed to: the length of every vector that the driver holds, whatever the vocabulary.
+BUCKETS = 1 << 20
+
+
 def train_classifier(train: DataFrame, text: str = "text", label: str = "label", min_df: int = 2,
-                     max_df: float = 0.95, iterations: int = 100, c: float = 1.0):
+                     max_df: float = 0.95, iterations: int = 100, c: float = 1.0, buckets: int = BUCKETS):
     """Fit TF-IDF over words and word pairs and a balanced logistic regression; returns a PipelineModel.
 
-    The weights are tf * (ln((n + 1) / (df + 1)) + 1), rows l2-normalised. ML's
-    IDF lacks the final + 1, so its vector is raised by one and applied as an
-    element-wise product. Only ``min_df`` and ``max_df`` bound the vocabulary; the driver holds
-    the terms that pass them, one weight each.
+    Terms are hashed to ``buckets`` numbers; those that share one share their
+    counts, document frequency and coefficient. The weights are tf * (ln((n + 1) / (df + 1)) + 1)
+    where the bucket's document frequency lies within ``min_df`` and
+    ``max_df``, else 0; rows are l2-normalised. ML's IDF lacks the final + 1,
+    so the weights are applied as an element-wise product. Nothing that the
+    driver holds grows with the vocabulary: document frequencies, weights,
+    coefficients and the optimiser's history are vectors over the buckets.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import (
-        IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
-    )
+    from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
     from pyspark.ml.linalg import Vectors
 
     rows = with_class_weights(train.withColumn(label, F.col(label).cast("int")), label)
@@ -105,20 +111,21 @@ def train_classifier(train: DataFrame, text: str = "text", label: str = "label",
         RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="__words", outputCol="__pairs"),
         SQLTransformer(statement="SELECT *, concat(__words, __pairs) AS __terms FROM __THIS__"),
+        HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=buckets),
     ])
-    # tokens are read three times below: document frequencies, IDF, regression
-    terms = cut_lineage(prepare.transform(rows).select("__terms", label, "weight"))
-    counter = CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=float(min_df), maxDF=max_df,
-                              vocabSize=(1 << 31) - 1).fit(terms)
-    counted = counter.transform(terms)
-    idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray() + 1.0
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__tfidf")
+    # the counts are read for the document frequencies and in every iteration
+    counted = cut_lineage(prepare.transform(rows).select("__tf", label, "weight"))
+    n = counted.count()
+    inverse = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray()
+    df = np.rint((n + 1) * np.exp(-inverse) - 1)
+    kept = (df >= min_df) & (df <= max_df * n)
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(np.where(kept, inverse + 1.0, 0.0)), inputCol="__tf", outputCol="__tfidf")
     unit = Normalizer(p=2.0, inputCol="__tfidf", outputCol="__features")
     regression = LogisticRegression(
         featuresCol="__features", labelCol=label, weightCol="weight", maxIter=iterations,
-        regParam=1.0 / (c * max(1, terms.count())), standardization=False,
+        regParam=1.0 / (c * max(1, n)), standardization=False,
     ).fit(unit.transform(scale.transform(counted)))
-    return PipelineModel([*prepare.stages, counter, scale, unit, regression])
+    return PipelineModel([*prepare.stages, scale, unit, regression])
 
 
 def predict_table(model, df: DataFrame, label: str, key: str = "candidate_id") -> DataFrame:
@@ -133,23 +140,47 @@ def predict_table(model, df: DataFrame, label: str, key: str = "candidate_id") -
     )
 
 
-def bootstrap_experiment(gold: DataFrame, pool: DataFrame, text: str = "text",
-                         label: str = "gold_is_policy_measure", seed: int = 42, test_frac: float = 0.3,
-                         min_pos_score: float = 3, max_neg_score: float = 0, **options) -> dict[str, DataFrame]:
-    """Split, baseline, leakage filter, retrain, and both evaluations on the gold test side."""
-    split = stratified_split(gold, "candidate_id", label, test_frac, seed)
+def bootstrap_inputs(gold: DataFrame, pool: DataFrame, text: str = "text", label: str = "gold_is_policy_measure",
+                     seed: int = 42, test_frac: float = 0.3, min_pos_score: float = 3, max_neg_score: float = 0,
+                     portable: bool = False) -> dict[str, DataFrame]:
+    """What the experiment trains and tests on: split, gold_train, gold_test, clean_pool (without test rows) and train."""
+    split = stratified_split(gold, "candidate_id", label, test_frac, seed, portable=portable)
     gold_train = split.where(F.col("split") == "train").drop("split")
     gold_test = split.where(F.col("split") == "test").drop("split")
-    baseline = train_classifier(gold_train, text, label, **options)
     clean_pool = without_test_rows(pool, gold_test)
     train = training_set(gold_train, clean_pool, text, label, min_pos_score, max_neg_score)
-    bootstrapped = train_classifier(train, text, "label", **options)
-    baseline_predictions = predict_table(baseline, gold_test, label)
-    bootstrap_predictions = predict_table(bootstrapped, gold_test, label)
+    return {"split": split, "gold_train": gold_train, "gold_test": gold_test, "clean_pool": clean_pool, "train": train}
+
+
+def bootstrap_sizes(inputs: dict[str, DataFrame], pool: DataFrame, label: str = "gold_is_policy_measure") -> DataFrame:
+    """One row: sizes and positives of both sides of the split, the pool before and after the leakage filter, the training set."""
+    train = inputs["train"].agg(F.count(F.lit(1)).alias("n_bootstrap"), F.count_if(F.col("label") == 1).alias("pos_bootstrap"))
+    before = weak_pool_stats(pool).select(F.col("n_total").alias("n_pool"))
+    after = weak_pool_stats(inputs["clean_pool"]).select(F.col("n_total").alias("n_clean_pool"))
+    out = split_summary(inputs["split"], label)
+    for part in (before, after, train):  # one row each
+        out = out.withColumns({c: part.select(c).scalar() for c in part.columns})
+    return out
+
+
+def bootstrap_experiment(gold: DataFrame, pool: DataFrame, text: str = "text",
+                         label: str = "gold_is_policy_measure", seed: int = 42, test_frac: float = 0.3,
+                         min_pos_score: float = 3, max_neg_score: float = 0, portable: bool = False, **options) -> dict[str, DataFrame]:
+    """Split, baseline, leakage filter, retrain, and both evaluations on the gold test side.
+
+    The split is kept in the checkpoint folder and each prediction is made once.
+    """
+    gold = cut_lineage(gold)
+    inputs = bootstrap_inputs(gold, pool, text, label, seed, test_frac, min_pos_score, max_neg_score, portable)
+    inputs["gold_test"] = cut_lineage(inputs["gold_test"])
+    baseline = train_classifier(inputs["gold_train"], text, label, **options)
+    bootstrapped = train_classifier(inputs["train"], text, "label", **options)
+    baseline_predictions = cut_lineage(predict_table(baseline, inputs["gold_test"], label))
+    bootstrap_predictions = cut_lineage(predict_table(bootstrapped, inputs["gold_test"], label))
     return {
-        "split_meta": split_summary(split, label).withColumns({"seed": F.lit(seed), "test_frac": F.lit(test_frac)}),
+        "split_meta": split_summary(inputs["split"], label).withColumns({"seed": F.lit(seed), "test_frac": F.lit(test_frac)}),
         "weak_before": weak_pool_stats(pool),
-        "weak_after": weak_pool_stats(clean_pool),
+        "weak_after": weak_pool_stats(inputs["clean_pool"]),
         "baseline_predictions": baseline_predictions,
         "bootstrap_predictions": bootstrap_predictions,
         "baseline_metrics": plain_metrics(baseline_predictions),

@@ -58,6 +58,58 @@ def test_labelling_resumes(spark, tmp_path):
     assert sorted(r.candidate_id for r in spark.read.parquet(sink).collect()) == ["1", "2", "3"]
 
 
+def test_labelling_survives_repeats_nulls_and_crashes(spark, tmp_path):
+    """Repeats inside a batch, null and blank ids, a crash before the write and one between write and commit."""
+    import pytest
+
+    from policyspark.streaming import incremental
+
+    source, sink, state = tmp_path / "cand", str(tmp_path / "labels"), str(tmp_path / "c")
+    schema = "candidate_id string, text string"
+    drop_file(source, "a.json", [{"candidate_id": i, "text": f"{i}-{n}"} for n in range(3) for i in ("1", "2", None, " ")])
+    stream = spark.readStream.schema(schema).json(str(source))
+    moment = {"fail": "before"}
+
+    def label(rows):
+        if moment["fail"] == "before":
+            raise RuntimeError("lost before the write")
+        return rows.selectExpr("candidate_id", "text", "1 AS label")
+
+    def rows():
+        return sorted((r.candidate_id or "", r.text) for r in incremental.labelled(spark, sink).collect())
+
+    want = sorted([("1", "1-0"), ("2", "2-0")] + [("", f"None-{n}") for n in range(3)] + [(" ", f" -{n}") for n in range(3)])
+    with pytest.raises(Exception, match="lost before"):
+        label_stream(stream, sink, state, label).awaitTermination()
+    inner = incremental.write_once
+
+    def crashing(sink, transform):
+        def run(batch, batch_id):
+            inner(sink, transform)(batch, batch_id)
+            if moment["fail"] == "after":
+                raise RuntimeError("lost after the write")
+        return run
+
+    incremental.write_once = crashing
+    try:
+        moment["fail"] = "after"
+        with pytest.raises(Exception, match="lost after"):
+            label_stream(stream, sink, state, label).awaitTermination()
+        assert rows() == want
+        moment["fail"] = ""
+        label_stream(stream, sink, state, label).awaitTermination()
+        assert rows() == want
+    finally:
+        incremental.write_once = inner
+    drop_file(source, "b.json", [{"candidate_id": i, "text": "new"} for i in ("2", "3", "3", "")])
+    label_stream(stream, sink, state, label).awaitTermination()
+    want = sorted([*want, ("3", "new"), ("", "new")])
+    assert rows() == want
+    # a lost checkpoint: ids of the sink are known; rows without an id arrive again
+    label_stream(stream, sink, str(tmp_path / "fresh"), label).awaitTermination()
+    assert [r for r in rows() if r[0].strip()] == [r for r in want if r[0].strip()]
+
+
 def test_labeler_failures_stay_in_their_row(spark):
     rows = spark.createDataFrame([(str(i), f"t{i}") for i in range(10)], "candidate_id string, text string")
 
