@@ -14,6 +14,7 @@ from policyspark.functions.model_output import gate_prompt, render_prompt
 from policyspark.functions.text import pick_column
 from policyspark.operators import bootstrap, gate, joins, labeling, sampling
 from policyspark.plans import stages
+from policyspark.session import parallelism
 from policyspark.vocabulary import GATE_JSON_INSTRUCTIONS, ID_ALIASES, MUNICIPALITY_ALIASES, TEXT_ALIASES
 
 POS_CONF = 0.3
@@ -389,7 +390,7 @@ def bootstrap_sizes(spark, sf_dir):
 def prediction_rows(spark, sf_dir):
     """The prediction table of a gold-only classifier: one row per test row; labels follow scores, which are shares."""
     inputs = bootstrap.bootstrap_inputs(gold(spark, sf_dir), weak_rows(spark, sf_dir), portable=True)
-    model = bootstrap.train_classifier(inputs["gold_train"], "text", "gold_is_policy_measure", iterations=5)
+    model = bootstrap.train_classifier(inputs["gold_train"], "text", "gold_is_policy_measure", iterations=5, partitions=parallelism(spark))
     rows = bootstrap.predict_table(model, inputs["gold_test"], "gold_is_policy_measure")
     return rows.select("candidate_id", "gold_label", (F.col("pred_label") == (F.col("score") > 0.5).cast("int")).alias("follows_score"),
                        F.col("score").between(0, 1).alias("is_share"))
@@ -399,6 +400,6 @@ def prediction_rows(spark, sf_dir):
 def text_classifier(spark, sf_dir):
     """Bootstrap experiment: metrics of the gold-only and the bootstrapped classifier."""
     out = bootstrap.bootstrap_experiment(
-        gold(spark, sf_dir), weak_rows(spark, sf_dir), iterations=20)
+        gold(spark, sf_dir), weak_rows(spark, sf_dir), iterations=20, partitions=parallelism(spark))
     return out["baseline_metrics"].withColumn("model", F.lit("baseline")).unionByName(
         out["bootstrap_metrics"].withColumn("model", F.lit("bootstrap")))

@@ -86,11 +86,12 @@ def tfidf_weights(rows: DataFrame, key: str, text: str, min_df: int = 2, max_df:
 
 
 #: Numbers that terms are hashed to: the length of every vector that the driver holds, whatever the vocabulary.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 
 
 def train_classifier(train: DataFrame, text: str = "text", label: str = "label", min_df: int = 2,
-                     max_df: float = 0.95, iterations: int = 100, c: float = 1.0, buckets: int = BUCKETS):
+                     max_df: float = 0.95, iterations: int = 100, c: float = 1.0, buckets: int = BUCKETS,
+                     partitions: int | None = None):
     """Fit TF-IDF over words and word pairs and a balanced logistic regression; returns a PipelineModel.
 
     Terms are hashed to ``buckets`` numbers; those that share one share their
@@ -100,13 +101,15 @@ def train_classifier(train: DataFrame, text: str = "text", label: str = "label",
     so the weights are applied as an element-wise product. Nothing that the
     driver holds grows with the vocabulary: document frequencies, weights,
     coefficients and the optimiser's history are vectors over the buckets.
+    ``partitions`` deals the rows out first; small tables come in few.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
     from pyspark.ml.linalg import Vectors
 
-    rows = with_class_weights(train.withColumn(label, F.col(label).cast("int")), label)
+    rows = with_class_weights(train.withColumn(label, F.col(label).cast("int")), label).select(text, label, "weight")
+    rows = rows.repartition(partitions) if partitions else rows
     prepare = PipelineModel([
         RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="__words", outputCol="__pairs"),
