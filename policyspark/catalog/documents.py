@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from policyspark.catalog import query
 from policyspark.catalog.inputs import (
-    BASELINE, DOCUMENTS_SQL, FILTER, NEGATIVE, POSITIVE, RULES, documents, joined, rounded, table,
+    BASELINE, DOCUMENTS_SQL, FILTER, NEGATIVE, POSITIVE, RULES, document_shape, documents, joined, rounded, table,
 )
 from policyspark.functions import text as T
-from policyspark.functions.terms import KeywordRules, table_counts, table_matches, term_hits, with_keyword_score
+from policyspark.functions.terms import KeywordRules, literal_array, table_counts, table_matches, term_hits, with_keyword_score
 from policyspark.functions.urls import last_segment
 from policyspark.operators import classify, harmonise, ordinals, snippets
 from policyspark.sources import tables
@@ -210,10 +210,9 @@ def normalised_text(spark, sf_dir):
         T.ellipsis("text", 120).alias("short"), T.one_line("text").alias("one_line"), T.digest("text").alias("digest"))
 
 
-def _classification_sql() -> str:
-    c = FILTER
+def _classification_sql(c: classify.FilterConfig = FILTER, docs: str = DOCUMENTS_SQL) -> str:
     strong, support = count_sql("t", c.strong_terms), count_sql("t", c.supporting_terms)
-    return f"""{DOCUMENTS_SQL}, e AS (SELECT doc_id, t, tl, lower(url) AS u, CASE
+    return f"""{docs}, e AS (SELECT doc_id, t, tl, lower(url) AS u, CASE
         WHEN t = '' THEN 'empty_text' WHEN length(t) < {c.min_length} THEN 'too_short'
         WHEN {has_sql('tl', c.imprint_title_terms)} OR {has_sql('lower(url)', c.imprint_url_fragments)} THEN 'imprint_or_dataprotection'
         WHEN {has_sql('tl', c.navigation_title_terms)} OR {has_sql('lower(url)', c.navigation_url_fragments)} THEN 'navigation_page'
@@ -281,23 +280,23 @@ def doc_classification_default_terms(spark, sf_dir):
     return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _baseline_sql() -> str:
-    def cascade(rules, default: str) -> tuple[str, str]:
-        label = "CASE " + " ".join(f"WHEN {has_sql('f', ts)} THEN '{n}'" for n, ts in rules) + f" ELSE '{default}' END"
-        hits = "CASE " + " ".join(f"WHEN {has_sql('f', ts)} THEN {hits_sql('f', ts)}" for _, ts in rules) + " ELSE [] END"
+def _baseline_sql(rules: classify.BaselineRules = BASELINE, docs: str = DOCUMENTS_SQL) -> str:
+    def cascade(cases, default: str) -> tuple[str, str]:
+        label = "CASE " + " ".join(f"WHEN {has_sql('f', ts)} THEN '{n}'" for n, ts in cases) + f" ELSE '{default}' END"
+        hits = "CASE " + " ".join(f"WHEN {has_sql('f', ts)} THEN {hits_sql('f', ts)}" for _, ts in cases) + " ELSE [] END"
         return label, hits
 
-    area, area_hits = cascade(BASELINE.areas, "other")
-    instrument, instrument_hits = cascade(BASELINE.instruments, "other")
-    sectors = "list_concat(" * (len(BASELINE.sectors) - 1)
-    parts = [f"CASE WHEN {has_sql('f', ts)} THEN ['{n}'] ELSE [] END" for n, ts in BASELINE.sectors]
+    area, area_hits = cascade(rules.areas, "other")
+    instrument, instrument_hits = cascade(rules.instruments, "other")
+    sectors = "list_concat(" * (len(rules.sectors) - 1)
+    parts = [f"CASE WHEN {has_sql('f', ts)} THEN ['{n}'] ELSE [] END" for n, ts in rules.sectors]
     sectors += parts[0] + "".join(f", {p})" for p in parts[1:])
-    every = [t for _, ts in BASELINE.sectors for t in ts] + [*BASELINE.mitigation, *BASELINE.adaptation, *BASELINE.funding]
-    return f"""{DOCUMENTS_SQL}, full_text AS (SELECT *, lower(trim(title || chr(10) || text, ' ' || chr(10))) AS f,
+    every = [t for _, ts in rules.sectors for t in ts] + [*rules.mitigation, *rules.adaptation, *rules.funding]
+    return f"""{docs}, full_text AS (SELECT *, lower(trim(title || chr(10) || text, ' ' || chr(10))) AS f,
          trim(title || chr(10) || text, ' ' || chr(10)) AS ft FROM docs),
       b AS (SELECT *, {area} AS policy_area, {instrument} AS instrument_type, {sectors} AS sectors,
-        {has_sql('f', BASELINE.mitigation)} AS mit, {has_sql('f', BASELINE.adaptation)} AS ada,
-        {has_sql('f', BASELINE.funding)} AS funding_available,
+        {has_sql('f', rules.mitigation)} AS mit, {has_sql('f', rules.adaptation)} AS ada,
+        {has_sql('f', rules.funding)} AS funding_available,
         list_sort(list_distinct(list_concat(list_concat({area_hits}, {instrument_hits}), {hits_sql('f', every)}))) AS kw
         FROM full_text),
       base AS (SELECT doc_id, document_id, municipality_id, url AS source_url,
@@ -342,6 +341,44 @@ def baseline_default_terms(spark, sf_dir):
     return out.groupBy("policy_area", "instrument_type", "funding_available").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Default terms that the invented prose lacks; two thirds of the documents get two strong ones and three of any list.
+STRONG = list(classify.FilterConfig().strong_terms)
+ANY_TERM = sorted({t for rules in (classify.BaselineRules(),) for _, ts in (*rules.areas, *rules.instruments, *rules.sectors) for t in ts}
+                  | {*classify.BaselineRules().mitigation, *classify.BaselineRules().adaptation, *classify.BaselineRules().funding,
+                     *classify.FilterConfig().supporting_terms, "zuschuss von 5000 euro", "satzung", "beschluss", "verpflichtend"})
+PLANTS = ((STRONG, 1), (STRONG, 7), (ANY_TERM, 1), (ANY_TERM, 11), (ANY_TERM, 29))
+PLANTED_SQL = DOCUMENTS_SQL.replace("FROM documents)", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN text ELSE text || ' ' || "
+                                    + " || ' ' || ".join(f"({quoted(terms)})[doc_id * {k} % {len(terms)} + 1]" for terms, k in PLANTS)
+                                    + " END AS text) FROM documents) AS documents)")
+
+
+def planted(spark, sf_dir) -> DataFrame:
+    words = [F.element_at(literal_array(terms), (F.col("doc_id") * k % len(terms) + 1).cast("int")) for terms, k in PLANTS]
+    docs = table(spark, sf_dir, "documents")
+    return document_shape(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(
+        F.concat_ws(" ", "text", *words))))
+
+
+@query("doc_classification_planted", sql=f"WITH {_classification_sql(classify.FilterConfig(), PLANTED_SQL)} SELECT * FROM cls")
+def doc_classification_planted(spark, sf_dir):
+    """The default German lists over texts that hold their terms."""
+    out = classify.classify_documents(planted(spark, sf_dir))
+    hits = [c for c in classify.CLASS_COLUMNS if c.endswith("_hits")]
+    return out.select("doc_id", "doc_type", "is_policy_relevant", "reason", *[F.col(h).cast("long").alias(h) for h in hits])
+
+
+@query("baseline_planted", sql=f"""WITH {_baseline_sql(classify.BaselineRules(), PLANTED_SQL)}
+  SELECT document_id AS candidate_id, policy_area, instrument_type, target_sectors, climate_dimension, funding_available,
+    baseline_keywords, keyword_hit, round(confidence_score, 6) AS confidence_score FROM base""")
+def baseline_planted(spark, sf_dir):
+    """The default cascades over texts that hold their terms."""
+    docs = planted(spark, sf_dir)
+    out = classify.baseline_labels(docs.withColumn("candidate_id", F.col("document_id"))).withColumns({
+        "target_sectors": joined("target_sectors"), "baseline_keywords": joined("baseline_keywords", ", ")})
+    return rounded(out.select("candidate_id", "policy_area", "instrument_type", "target_sectors", "climate_dimension",
+                              "funding_available", "baseline_keywords", "keyword_hit", "confidence_score"))
+
+
 @query("labeler_fields", sql=f"""WITH {DOCUMENTS_SQL}
   SELECT doc_id, trim(text, ' ' || chr(10)) AS pick_text, trim(title, ' ' || chr(10)) AS pick_title,
     url AS pick_url, municipality_id AS pick_scope FROM docs""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from policyspark.catalog import query
 from policyspark.catalog.documents import BASELINE_SQL, baseline_measures
 from policyspark.catalog.inputs import WEAK_SQL, rounded, table, weak_pool
 from policyspark.operators import export, profile, report, sampling
+from policyspark.plans import stages
 
 FIELDS = ["policy_area", "instrument_type", "climate_dimension"]
 
@@ -209,3 +212,67 @@ def value_counts(spark, sf_dir):
 def measure_value_counts(spark, sf_dir):
     m = export.measure_records(baseline_measures(spark, sf_dir))
     return report.value_counts(m, ["policy_area", "instrument_type"])
+
+
+@query("inspect_profile", sql=f"""WITH {PROFILE_SQL}, c AS (SELECT conf, row_number() OVER (ORDER BY conf) - 1 AS rn, count(*) OVER () AS n
+    FROM rd WHERE conf IS NOT NULL), edges(bucket, lo, hi) AS (VALUES ('[0.00,0.20)', 0.0::DOUBLE, 0.2::DOUBLE),
+    ('[0.20,0.40)', 0.2::DOUBLE, 0.4::DOUBLE), ('[0.40,0.60)', 0.4::DOUBLE, 0.6::DOUBLE), ('[0.60,0.80)', 0.6::DOUBLE, 0.8::DOUBLE),
+    ('[0.80,1.00]', 0.8::DOUBLE, 1.01::DOUBLE)), v AS (SELECT instrument_type AS value, count(*) AS n FROM rd GROUP BY 1)
+  SELECT 'buckets' AS section, bucket AS key, (SELECT count(*) FROM c WHERE conf >= lo AND conf < hi)::DOUBLE AS n FROM edges
+  UNION ALL SELECT 'missing', 'policy_area', (SELECT count(*) FROM rd WHERE policy_area IS NULL OR policy_area = '')::DOUBLE
+  UNION ALL SELECT 'missing', 'target_sector', (SELECT count(*) FROM rd WHERE NOT contains(target_sectors, '|'))::DOUBLE
+  UNION ALL SELECT 'top_values', value, n::DOUBLE FROM v QUALIFY row_number() OVER (ORDER BY n DESC, value) <= 10
+  UNION ALL SELECT 'stats', 'n', (SELECT count(*) FROM c)::DOUBLE
+  UNION ALL SELECT 'stats', 'p50', (SELECT round(max(conf), 6) FROM c WHERE rn = n // 2)
+  UNION ALL SELECT 'lowest', CAST(doc_id AS VARCHAR), NULL FROM (SELECT doc_id FROM rd ORDER BY coalesce(conf, -1), doc_id LIMIT 10)
+  UNION ALL SELECT 'random', 'rows', least(10, (SELECT count(*) FROM rd))::DOUBLE""")
+def inspect_profile(spark, sf_dir):
+    """The whole profile run: every table of it, in one shape."""
+    parts = stages.inspect(profile_rows(spark, sf_dir), "doc_id", broken="_broken")
+    number = F.col("n").cast("double").alias("n")
+    out = [
+        parts["buckets"].select(F.lit("buckets").alias("section"), F.col("bucket").alias("key"), number),
+        parts["missing"].where("field IN ('policy_area', 'target_sector')").select(
+            F.lit("missing"), "field", F.col("missing").cast("double")),
+        parts["top_values"].where("field = 'instrument_type'").select(F.lit("top_values"), "value", number),
+        parts["stats"].select(F.lit("stats"), F.lit("n"), number),
+        parts["stats"].select(F.lit("stats"), F.lit("p50"), F.round("p50", 6)),
+        parts["lowest"].select(F.lit("lowest"), "candidate_id", F.lit(None).cast("double")),
+        parts["random"].agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("random"), F.lit("rows"), "n"),
+    ]
+    return reduce(DataFrame.union, out)
+
+
+@query("pipeline_report", sql=f"""WITH {WEAK_SQL}, l AS (SELECT *, doc_id % 4 AS r FROM documents)
+  SELECT 'dataset_sizes' AS part, 'unlabeled_pool' AS key, count(*) AS n FROM documents
+  UNION ALL SELECT 'dataset_sizes', 'weak_rules_labels', count(*) FROM weak
+  UNION ALL SELECT 'dataset_sizes', 'goldstandard_gold', count(*) FROM labels
+  UNION ALL SELECT 'dataset_sizes', 'annotation_master', count(*) FROM documents
+  UNION ALL SELECT 'dataset_sizes', 'annotation_extra30', count(*) FROM labels
+  UNION ALL SELECT 'label_balance', 'Gold', count(*) FILTER (quality = 1) FROM labels
+  UNION ALL SELECT 'label_balance', 'Weak rules', count(*) FILTER (rule_label = 1) FROM weak
+  UNION ALL SELECT 'label_balance', 'Annotation master', count(*) FILTER (r = 0) FROM l
+  UNION ALL SELECT 'weak_coverage', 'n_abstain', count(*) FILTER (rule_label IS NULL) FROM weak
+  UNION ALL SELECT 'annotation_progress', 'n_annotated', count(*) FILTER (r < 2) FROM l
+  UNION ALL SELECT 'annotation_progress_extra', 'n_pos', count(*) FILTER (toxic = 1) FROM labels
+  UNION ALL SELECT 'text_lengths', 'weak_rules_labels', count(*) FROM weak
+  UNION ALL (SELECT 'top_rules', rule, count(*) AS n FROM (SELECT trim(unnest(string_split(matched_rules, ';'))) AS rule FROM weak)
+    WHERE rule <> '' GROUP BY rule ORDER BY n DESC, rule LIMIT 15)""")
+def pipeline_report(spark, sf_dir):
+    """The whole report run: one line for each of its tables and groups."""
+    d = F.col("doc_id")
+    docs, labels, weak = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), weak_pool(spark, sf_dir)
+    annotation = docs.select("doc_id", "text", F.when(d % 4 == 0, "y").when(d % 4 == 1, "n").alias("is_policy_measure"))
+    out = stages.report_tables(docs, weak, labels.withColumnRenamed("quality", "gold_is_policy_measure"), annotation,
+                               labels.select("doc_id", F.col("toxic").alias("is_policy_measure")))
+
+    def lines(part: str, key, n, rows: DataFrame | None = None) -> DataFrame:
+        return (rows if rows is not None else out[part]).select(F.lit(part).alias("part"), key.alias("key"), n.cast("long").alias("n"))
+
+    lengths = out["text_lengths"].where("grp = 'weak_rules_labels'").groupBy("grp").agg(F.sum("n").alias("n"))
+    return reduce(DataFrame.unionByName, [
+        lines("dataset_sizes", F.col("dataset"), F.col("n_rows")), lines("label_balance", F.col("stage"), F.col("n_pos")),
+        lines("weak_coverage", F.lit("n_abstain"), F.col("n_abstain")),
+        lines("annotation_progress", F.lit("n_annotated"), F.col("n_annotated")),
+        lines("annotation_progress_extra", F.lit("n_pos"), F.col("n_pos")), lines("text_lengths", F.col("grp"), F.col("n"), lengths),
+        lines("top_rules", F.col("rule"), F.col("n"))])

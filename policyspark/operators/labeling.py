@@ -19,6 +19,7 @@ from policyspark.operators.gate import primary_decision
 from policyspark.operators.harmonise import labeler_fields
 from policyspark.operators.joins import without
 from policyspark.session import cut_lineage
+from policyspark.sources.ndjson import path_exists
 from policyspark.vocabulary import ANNOTATION_COLUMNS
 
 Labeler = Callable[[list[str]], Sequence[str | None]]
@@ -67,6 +68,36 @@ def ask(prompts: DataFrame, labeler: Labeler, prompt: str = "prompt", answer: st
     return cut_lineage(prompts.mapInPandas(run, schema))
 
 
+def ask_in_waves(prompts: DataFrame, labeler: Labeler, ledger: str, key: str, prompt: str = "prompt", answer: str = "answer",
+                 waves: int = 16, batch_size: int = 32) -> DataFrame:
+    """As :func:`ask`, with answers that outlive a failed run: ``ledger`` is a table of them by id and prompt.
+
+    Prompts are dealt into ``waves`` by a hash of their id; a wave is asked and
+    committed to the ledger at once, and prompts that the ledger holds are not
+    asked again. So a run that fails is started again with the same ledger and
+    repeats the running wave at most. A row is known by ``key`` and its prompt:
+    a changed prompt is asked anew. Rows that repeat both share one answer. A null key or prompt is a
+    value like any other. Rows of a failed prompt (null answer) count as answered.
+    """
+    spark = prompts.sparkSession
+    name, text = F.col(key).cast("string"), F.col(prompt).cast("string")
+    identity = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in (name, text)]), 256)
+    rows = cut_lineage(prompts.withColumn("__id", identity))
+    asked = rows.select("__id", prompt).dropDuplicates(["__id"])
+    shape = StructType([StructField("__id", StringType()), StructField(answer, StringType()), StructField(f"{answer}_error", StringType())])
+
+    def answered() -> DataFrame:
+        return spark.read.schema(shape).parquet(ledger) if path_exists(spark, ledger) else spark.createDataFrame([], shape)
+
+    for wave in range(waves):
+        todo = asked.where(F.pmod(F.xxhash64("__id"), F.lit(waves)) == wave).join(answered(), "__id", "left_anti")
+        if todo.isEmpty():
+            continue
+        got = ask(todo, labeler, prompt, answer, batch_size)
+        got.select(*shape.names).write.mode("append").parquet(ledger)
+    return rows.join(answered(), "__id", "left").drop("__id")
+
+
 def rule_labeler(prompts: list[str]) -> list[str]:
     """A deterministic stand-in labeler: a measure when the prompt names a funding or legal word."""
     out = []

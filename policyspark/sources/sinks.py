@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark.sources.ndjson import path_exists
@@ -38,11 +41,37 @@ def write_crawl_index(index: DataFrame, path: str) -> None:
     write_ndjson(index, path, append=True, partition_by="muni")
 
 
+def csv_options(writer: DataFrameWriter, header: bool = True) -> DataFrameWriter:
+    """Doubled quotes; values keep their outer whitespace, nulls are empty."""
+    return writer.options(header=header, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
+                          ignoreTrailingWhiteSpace=False)
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """CSV with doubled quotes; values keep their outer whitespace, nulls are empty."""
-    df.write.mode("overwrite").options(
-        header=header, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False).csv(path)
+    """A folder of CSV files with doubled quotes."""
+    csv_options(df.write.mode("overwrite"), header).csv(path)
+
+
+def publish(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """One named file: the rows are written by one task next to it, and a rename puts the file in its place at once.
+
+    For reports, whose rows are few. Readers see the old file or the new one;
+    what a failed or repeated attempt has written is removed.
+    """
+    context = df.sparkSession.sparkContext
+    hadoop, conf = context._jvm.org.apache.hadoop, context._jsc.hadoopConfiguration()
+    target, draft = hadoop.fs.Path(path), f"{path}.{uuid.uuid4().hex}.draft"
+    fs, draft_path = target.getFileSystem(conf), hadoop.fs.Path(draft)
+    try:
+        write(df.coalesce(1).write.mode("overwrite"), draft)
+        (part,) = [f.getPath() for f in fs.listStatus(draft_path) if f.getPath().getName().startswith("part-")]
+        if fs.exists(target) and fs.getFileStatus(target).isDirectory():
+            fs.delete(target, True)  # an older report that was a folder
+        rename = context._gateway.new_array(context._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        rename[0] = context._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(target), rename)
+    finally:
+        fs.delete(draft_path, True)
 
 
 def write_analysis_csv(analysis: DataFrame, path: str) -> None:
@@ -59,32 +88,48 @@ def write_labeling_csv(documents: DataFrame, path: str, max_chars: int | None =
 
 
 def write_report_json(row: DataFrame, path: str) -> None:
-    """A one-row report as a single JSON file."""
-    row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """A one-row report as a single JSON file of that name."""
+    publish(row, path, lambda writer, to: writer.option("ignoreNullFields", False).json(to))
 
 
-def write_predictions_csv(predictions: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Predictions in the original column order; abstained labels become empty."""
-    write_csv(predictions.select(*(columns or predictions.columns)), path)
+def write_predictions_csv(predictions: DataFrame, path: str, columns: list[str] | None = None, named: bool = False) -> None:
+    """Predictions in the original column order; abstained labels become empty. A folder of files, or one named file."""
+    rows = predictions.select(*(columns or predictions.columns))
+    if named:
+        publish(rows, path, lambda writer, to: csv_options(writer).csv(to))
+    else:
+        write_csv(rows, path)
 
 
 def write_content_store(store: DataFrame, path: str) -> None:
     """Content-addressed pages, one row per digest, partitioned by municipality.
 
-    Digests that the folder already holds are not written again.
+    Digests that the folder already holds are not written again. The pages of
+    a municipality are written by several tasks, by digest. Two runs at once
+    may both add a page; :func:`read_content_store` gives it once.
     """
     spark = store.sparkSession
     if path_exists(spark, f"{path}/*"):
         held = spark.read.parquet(path).select(F.col("municipality_id").cast("string").alias("__m"), F.col("digest").alias("__d"))
         store = store.join(held, F.col("municipality_id").cast("string").eqNullSafe(F.col("__m"))
                            & (F.col("digest") == F.col("__d")), "left_anti")
-    store.repartition("municipality_id").write.mode("append").partitionBy("municipality_id").parquet(path)
+    spread = store.repartition("municipality_id", F.substring("digest", 1, 1))
+    spread.write.mode("append").partitionBy("municipality_id").parquet(path)
+
+
+def read_content_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored pages, one row per municipality and digest, however many runs have added it."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in ("municipality_id", "digest")]
+    once = rows.groupBy("municipality_id", "digest").agg(F.min(F.struct(*rest)).alias("page"))
+    return once.select("municipality_id", "digest", "page.*").select(*rows.columns)
 
 
 def write_operating_points(points: DataFrame, path: str) -> None:
-    """The raw table and, next to it, its rounded text form."""
+    """The files table_metrics.csv and, next to it, table_metrics_rounded.csv, its text form."""
     from policyspark.operators.gate import two_decimals
 
-    write_csv(points, f"{path}/table_metrics")
+    publish(points, f"{path}/table_metrics.csv", lambda writer, to: csv_options(writer).csv(to))
     ratios = ["coverage", "precision", "recall_classified", "f1_classified", "recall_overall", "accuracy_classified"]
-    write_csv(points.withColumns({c: two_decimals(F.col(c)) for c in ratios}), f"{path}/table_metrics_rounded")
+    rounded = points.withColumns({c: two_decimals(F.col(c)) for c in ratios})
+    publish(rounded, f"{path}/table_metrics_rounded.csv", lambda writer, to: csv_options(writer).csv(to))

@@ -149,16 +149,37 @@ def test_csv_exports(spark, tmp_path):
 
 def test_reports_and_predictions(spark, tmp_path):
     sinks.write_report_json(spark.createDataFrame([(1, None)], "n int, m double"), str(tmp_path / "r"))
-    files = list((tmp_path / "r").glob("part-*.json"))
-    assert len(files) == 1 and json.loads(files[0].read_text()) == {"n": 1, "m": None}
+    assert json.loads((tmp_path / "r").read_text()) == {"n": 1, "m": None}
     sinks.write_predictions_csv(spark.createDataFrame([("1", None)], "candidate_id string, pred_label int"), str(tmp_path / "p"))
     lines = {line for part in (tmp_path / "p").glob("part-*.csv") for line in part.read_text().splitlines()}
     assert lines == {"candidate_id,pred_label", "1,"}
     from policyspark.operators.gate import operating_points
 
     sinks.write_operating_points(operating_points(spark.createDataFrame([("a", 0.5)], "s string, coverage double"), "s"), str(tmp_path / "o"))
-    back = spark.read.option("header", True).csv(str(tmp_path / "o/table_metrics_rounded")).first()
+    back = spark.read.option("header", True).csv(str(tmp_path / "o/table_metrics_rounded.csv")).first()
     assert back.coverage == "0.50" and back.precision is None
+    sinks.write_predictions_csv(spark.createDataFrame([("1", None)], "candidate_id string, pred_label int"), str(tmp_path / "named.csv"), named=True)
+    assert (tmp_path / "named.csv").read_text().splitlines() == ["candidate_id,pred_label", "1,"]
+    assert {f.name.lstrip(".").removesuffix(".crc") for f in (tmp_path / "o").iterdir()} == {"table_metrics.csv", "table_metrics_rounded.csv"}
+
+
+def test_a_named_report_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    path = tmp_path / "metrics.json"
+    sinks.write_report_json(spark.createDataFrame([(1,)], "n int"), str(path))
+    broken = spark.range(1).select(F.raise_error(F.lit("lost")).cast("int").alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_report_json(broken, str(path))
+    assert json.loads(path.read_text()) == {"n": 1}
+    sinks.write_report_json(spark.createDataFrame([(2,)], "n int"), str(path))
+    assert json.loads(path.read_text()) == {"n": 2}
+    assert not [f for f in tmp_path.iterdir() if "draft" in f.name]
+    (tmp_path / "old.json").mkdir()
+    (tmp_path / "old.json" / "part-0.json").write_text("{}")
+    sinks.write_report_json(spark.createDataFrame([(3,)], "n int"), str(tmp_path / "old.json"))
+    assert json.loads((tmp_path / "old.json").read_text()) == {"n": 3}
+    empty = spark.createDataFrame([], "a int, b string")
+    sinks.publish(empty, str(tmp_path / "none.csv"), lambda writer, to: sinks.csv_options(writer).csv(to))
+    assert (tmp_path / "none.csv").read_text().strip() in ("", "a,b")
 
 
 def test_content_store(spark, tmp_path):
@@ -170,6 +191,23 @@ def test_content_store(spark, tmp_path):
     assert back.count() == 3 and back.where("content = 'x' and municipality_id = 'm'").first().copies == 2
 
 
+def test_content_store_of_a_hot_municipality_and_of_two_runs(spark, tmp_path):
+    """Pages of one municipality are spread over tasks; runs that overlap add rows that readers see once."""
+    from policyspark.operators.crawl import content_store
+
+    path = str(tmp_path / "c")
+    pages = spark.range(400).selectExpr("'hot' AS municipality_id", "concat('page ', id) AS content")
+    store = content_store(pages)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # else so little data becomes one task
+    sinks.write_content_store(store, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "c" / "municipality_id=hot").glob("part-*.parquet"))) > 1
+    store.write.mode("append").partitionBy("municipality_id").parquet(path)  # a run that looked before the first had written
+    got = sinks.read_content_store(spark, path)
+    assert spark.read.parquet(path).count() == 800 and got.count() == 400 == got.select("digest").distinct().count()
+    assert got.exceptAll(store.select(got.columns)).count() == 0
+
+
 def test_sql_functions(spark):
     from policyspark.functions.sql import register_sql_functions
 

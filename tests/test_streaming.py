@@ -148,3 +148,42 @@ def test_a_labeler_is_asked_once(spark, tmp_path):
 
     row = ask(gold.limit(1).select(F.col("text_for_annotation").alias("prompt")), broken).first()
     assert row.answer is None and row.answer_error == "ValueError: no model"
+
+
+def test_a_failed_run_asks_only_the_running_wave_again(spark, tmp_path):
+    import pytest
+
+    from policyspark.operators import labeling
+
+    log, fuse = str(tmp_path / "asked"), tmp_path / "fuse"
+    rows = [(str(i), f"text {i}") for i in range(80)] + [("7", "text 7"), ("7", "other"), (None, "text"), (None, None)]
+    prompts = spark.createDataFrame(rows, "id string, prompt string")
+
+    def labeler(texts):
+        with open(log, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        return [f"answer to {t}" for t in texts]
+
+    inner, runs = labeling.ask, []
+
+    def dying(todo, *args):
+        got = inner(todo, *args)
+        runs.append(todo.count())
+        if len(runs) == 5 and not fuse.exists():
+            fuse.touch()
+            raise RuntimeError("executor lost before the commit")
+        return got
+
+    labeling.ask = dying
+    try:
+        with pytest.raises(RuntimeError, match="lost"):
+            labeling.ask_in_waves(prompts, labeler, str(tmp_path / "ledger"), "id", waves=8)
+        got = labeling.ask_in_waves(prompts, labeler, str(tmp_path / "ledger"), "id", waves=8).collect()
+    finally:
+        labeling.ask = inner
+    asked = open(log).read().splitlines()
+    assert sorted((r.id, r.prompt) for r in got if r.id) == sorted((i, p) for i, p in rows if i)
+    assert all(r.answer == f"answer to {r.prompt}" for r in got)
+    assert len(asked) == 83 + runs[4]  # the wave that was lost, and nothing else, twice
+    labeling.ask_in_waves(prompts, labeler, str(tmp_path / "ledger"), "id", waves=8)
+    assert len(open(log).read().splitlines()) == len(asked)
