@@ -246,6 +246,24 @@ def crawl_gated_pages(spark, sf_dir):
     return index.select("muni", "url", "depth", "status", "ct", "kept")
 
 
+@query("crawl_plain_pages", sql=f"""WITH {LINKS_SQL}, p AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
+  f1 AS (SELECT DISTINCT p.page_id, p.url AS home, base || href AS link FROM links JOIN p USING (page_id)),
+  f2 AS (SELECT DISTINCT f1.page_id, f1.home, l.base || l.href AS link FROM f1 JOIN p ON p.url = f1.link
+    JOIN links l ON l.page_id = p.page_id WHERE f1.link <> f1.home),
+  seen AS (SELECT page_id, link, 1 AS depth FROM f1 WHERE link <> home UNION ALL SELECT page_id, link, 2 FROM f2 WHERE link <> home),
+  firsts AS (SELECT page_id, link, min(depth) AS depth FROM seen GROUP BY page_id, link)
+  SELECT 'p' || page_id AS municipality_id, url AS source_url, 0 AS depth, 200 AS http_status, 'text/html' AS mime_type FROM p
+  UNION ALL SELECT 'p' || f.page_id, f.link, f.depth, CASE WHEN p.url IS NOT NULL THEN 200 END, CASE WHEN p.url IS NOT NULL THEN 'text/html' END
+    FROM firsts f LEFT JOIN p ON p.url = f.link""")
+def crawl_plain_pages(spark, sf_dir):
+    """The ungated traversal over the stored pages, two levels deep from every page."""
+    stored = pages(spark, sf_dir).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    unique = pages(spark, sf_dir).join(stored, ["url", "page_id"], "left_semi")
+    seeds = unique.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("muni"), "url", F.lit(0).alias("position"))
+    index = crawl.plain_crawl(seeds, crawl.page_table(unique), crawl.linked_pages(unique), max_pages=100_000, max_depth=2, max_pdfs=10)
+    return index.select("municipality_id", "source_url", "depth", "http_status", "mime_type")
+
+
 @query("crawl_plain", sql="""WITH f1 AS (SELECT c_nationkey AS n, c_custkey AS c, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ord FROM customer),
   f2 AS (SELECT n, c, o_orderkey AS o, row_number() OVER (PARTITION BY n ORDER BY ord, o_orderkey) + (SELECT count(*) FROM f1 x WHERE x.n = f1.n) AS ord
     FROM f1 JOIN orders ON o_custkey = c WHERE c % 7 <> 0 AND c % 11 <> 0),

@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark.functions.html import page_parts
@@ -27,7 +27,7 @@ from policyspark.functions.urls import (
 )
 from policyspark.operators.joins import lookup
 from policyspark.operators.ordinals import last_per_key, top_per_key, with_running_totals
-from policyspark.session import cut_lineage
+from policyspark.session import cut_lineage, parallelism, scratch_folder
 from policyspark.vocabulary import CRAWL_EXCLUDED_EXTENSIONS, SEED_EXCLUDED_EXTENSIONS, SEED_KEYWORDS
 
 
@@ -69,6 +69,34 @@ def page_edges(pages: DataFrame, html: str = "html", url: str = "url", base_url:
         "url", "l.pos", F.col("l.url").alias("link"), F.col("l.anchor").alias("anchor"))
 
 
+class Visited:
+    """The urls that a traversal has seen, as a table bucketed by (municipality, url).
+
+    Every level adds its frontier. New links come out of their aggregation
+    partitioned by the same columns into as many parts, so they meet the
+    buckets in place: what was seen on earlier levels is never shuffled again.
+    The table lives below the checkpoint folder until :meth:`drop`.
+    """
+
+    KEYS = ("muni", "url")
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = scratch_folder(spark, "visited")
+        self.name = f"visited_{self.path.rsplit('-', 1)[1]}"
+        self.buckets = parallelism(spark)
+
+    def add(self, rows: DataFrame) -> None:
+        spread = rows.select(*self.KEYS).repartition(self.buckets, *self.KEYS)
+        spread.write.bucketBy(self.buckets, *self.KEYS).mode("append").format("parquet").option("path", self.path).saveAsTable(self.name)
+
+    def unseen(self, links: DataFrame) -> DataFrame:
+        return links.join(self.spark.table(self.name), list(self.KEYS), "left_anti")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 Edges = DataFrame | Callable[[DataFrame], DataFrame]
 
 
@@ -106,7 +134,8 @@ def gated_crawl(
     frontier = seeds.select("muni", "url", "allowed_domains", F.lit(0).cast("long").alias("ord"))
     frontier = cut_lineage(frontier.where(domain_allowed("url", "allowed_domains")))
     tally = _tally(frontier, ["docs", "pdfs", "reqs"])
-    visited = frontier.select("muni", "url")
+    visited = Visited(seeds.sparkSession)
+    visited.add(frontier)
     levels = []
     for depth in range(limits.max_depth + 1):
         seen = _with_tally(lookup(frontier, fetched, ["url"]), tally)
@@ -149,7 +178,8 @@ def gated_crawl(
             lambda u, a: domain_allowed(u, "allowed_domains") & gate(u, a)))
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier.select("muni", "url"))
+        visited.add(frontier)
+    visited.drop()
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -170,7 +200,7 @@ def _spend(tally: DataFrame, done: DataFrame, counts: dict[str, Column]) -> Data
         "t_muni", *[(F.col(f"t_{n}") + F.coalesce(F.col(f"s_{n}"), F.lit(0))).alias(f"t_{n}") for n in counts])
 
 
-def _next_level(parents: DataFrame, edges: Edges, visited: DataFrame, follow) -> DataFrame:
+def _next_level(parents: DataFrame, edges: Edges, visited: Visited, follow) -> DataFrame:
     """Unvisited links of a level; the first occurrence of a url per municipality keeps its place.
 
     Visit order = place of the parent among the expanded pages of its level
@@ -186,8 +216,7 @@ def _next_level(parents: DataFrame, edges: Edges, visited: DataFrame, follow) ->
     placed = links.withColumn("ord", F.col("place") * F.lit(1 << 32) + F.col("pos"))
     firsts = placed.groupBy("muni", "url").agg(
         F.min_by(F.struct("allowed_domains", "referrer"), "ord").alias("__f"), F.min("ord").alias("ord"))
-    fresh = firsts.join(visited, ["muni", "url"], "left_anti")
-    return fresh.select("muni", "url", "__f.allowed_domains", "__f.referrer", "ord")
+    return visited.unseen(firsts).select("muni", "url", "__f.allowed_domains", "__f.referrer", "ord")
 
 
 def plain_crawl(
@@ -209,7 +238,8 @@ def plain_crawl(
         "muni", "url", "ord", empty.alias("allowed_domains"), F.lit(None).cast("string").alias("referrer"))
     frontier = cut_lineage(frontier.where(~has_extension("url", extensions)))
     tally = _tally(frontier, ["rows", "pdfs"])
-    visited = frontier.select("muni", "url")
+    visited = Visited(seeds.sparkSession)
+    visited.add(frontier)
     levels = []
     for depth in range(max_depth + 1):
         seen = _with_tally(lookup(frontier, fetched, ["url"]), tally)
@@ -240,7 +270,8 @@ def plain_crawl(
             lambda u, a: ~has_extension(u, extensions)))
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier.select("muni", "url"))
+        visited.add(frontier)
+    visited.drop()
     return reduce(DataFrame.unionByName, levels).withColumnsRenamed({
         "muni": "municipality_id", "url": "source_url", "referrer": "referrer_url"})
 

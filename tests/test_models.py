@@ -232,3 +232,25 @@ def test_classifier_holds_nothing_that_grows_with_the_vocabulary(spark):
     assert all(len(v.toArray()) == 256 for v in (model.stages[-1].coefficients, model.stages[-3].getScalingVec()))
     got = bootstrap.predict_table(model, rows, "label", "doc_id")
     assert got.where("gold_label = pred_label").count() >= 58
+
+
+def test_visited_rows_are_not_shuffled_again(spark):
+    """Three levels on, new links still meet the visited table in its buckets."""
+    from policyspark.operators import crawl
+
+    visited = crawl.Visited(spark)
+    for depth in range(3):
+        visited.add(spark.createDataFrame([(f"m{i % 4}", f"u{depth}-{i}") for i in range(40)], "muni string, url string"))
+    links = spark.createDataFrame([(f"m{i % 4}", f"u{i % 5}-{i}", i) for i in range(100)], "muni string, url string, ord long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fresh = visited.unseen(links.groupBy("muni", "url").agg(F.min("ord").alias("ord")))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        seen = {(f"m{i % 4}", f"u{d}-{i}") for d in range(3) for i in range(40)}
+        want = {(f"m{i % 4}", f"u{i % 5}-{i}") for i in range(100)} - seen
+        assert {(r.muni, r.url) for r in fresh.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        visited.drop()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # that of the aggregation of new links
