@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from policyspark.llm.spread import joined_spread
 from policyspark.llm.words import written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _met(edges: DataFrame, least: DataFrame, spread: bool) -> DataFrame:
+    return joined_spread(edges, "a", least, "b") if spread else edges.join(least, "a")
+
+
+def _large_star(edges: DataFrame, spread: bool = False) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.union(edges.select("b", "a")).toDF("a", "b")
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _met(both.where("b > a"), least, spread).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, spread: bool = False) -> DataFrame:
     """Every node and its smaller neighbours are tied to the smallest of them. Edges point from larger to smaller."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    tied = _met(edges, least, spread).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.union(least).toDF("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, spread: bool = False) -> DataFrame:
     """(node, root) for every node with an edge: root is the smallest node of its component.
 
-    :param edges: two long columns a and b; loops and repeats do no harm. The
+    :param edges: two columns a and b of a type with an order; loops and repeats do no harm. The
         nodes of a component hang off its root in the end, and a root may hold
         any share of them: minima are combined before the shuffle, and the
-        joins are plain equi joins, which adaptive execution splits. Every
+        joins are plain equi joins, which adaptive execution splits; with
+        ``spread`` the edges of a node are dealt into parts first. Every
         round is written to the checkpoint folder; there are O(log n) of them
         in practice.
     """
@@ -40,4 +46,4 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state or seen[0] == 0:
             return edges.toDF("node", "root")
         state = seen
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(_large_star(edges, spread), spread), "edges")

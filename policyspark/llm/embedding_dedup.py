@@ -426,7 +426,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     once = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("vector").alias("vector"))
     distinct = written(nodes.join(once, "node"), "distinct")
     found = written(links_of(distinct, kind, settings), "found")
-    roots = written(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
+    roots = written(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), spread=True), "roots")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     least = roots.select("node", "root").union(roots.select("root", "root").distinct()).toDF("node", "root")
     least = least.join(distinct.select("node", "least"), "node")
