@@ -12,6 +12,7 @@ from policyspark.catalog.documents import BASELINE_SQL, baseline_measures
 from policyspark.catalog.inputs import WEAK_SQL, rounded, table, weak_pool
 from policyspark.operators import export, profile, report, sampling
 from policyspark.plans import stages
+from policyspark.session import scratch_folder
 
 FIELDS = ["policy_area", "instrument_type", "climate_dimension"]
 
@@ -276,3 +277,33 @@ def pipeline_report(spark, sf_dir):
         lines("annotation_progress", F.lit("n_annotated"), F.col("n_annotated")),
         lines("annotation_progress_extra", F.lit("n_pos"), F.col("n_pos")), lines("text_lengths", F.col("grp"), F.col("n"), lengths),
         lines("top_rules", F.col("rule"), F.col("n"))])
+
+
+@query("profile_incremental", sql=f"""WITH {PROFILE_SQL}, c AS (SELECT conf, row_number() OVER (ORDER BY conf) - 1 AS rn, count(*) OVER () AS n
+    FROM rd WHERE conf IS NOT NULL), v AS (SELECT instrument_type AS value, count(*) AS n FROM rd GROUP BY 1)
+  SELECT 'missing' AS section, 'policy_area' AS key, (SELECT count(*) FROM rd WHERE policy_area IS NULL OR policy_area = '')::DOUBLE AS n
+  UNION ALL SELECT 'missing', 'instrument_type', 0::DOUBLE
+  UNION ALL SELECT 'missing_pct', 'policy_area', round((SELECT count(*) FROM rd WHERE policy_area IS NULL OR policy_area = '')::DOUBLE
+    / (SELECT n FROM tot) * 100.0::DOUBLE, 6)
+  UNION ALL SELECT 'top_values', value, n::DOUBLE FROM v QUALIFY row_number() OVER (ORDER BY n DESC, value) <= 10
+  UNION ALL SELECT 'buckets', '[0.20,0.40)', (SELECT count(*) FROM c WHERE conf >= 0.2::DOUBLE AND conf < 0.4::DOUBLE)::DOUBLE
+  UNION ALL SELECT 'stats', 'n', (SELECT count(*) FROM c)::DOUBLE
+  UNION ALL SELECT 'stats', 'p50', (SELECT round(max(conf), 6) FROM c WHERE rn = n // 2)
+  UNION ALL SELECT 'stats', 'max', (SELECT round(max(conf), 6) FROM c)""")
+def profile_incremental(spark, sf_dir):
+    """A stored profile of the even documents, brought up to date by the odd ones alone, is the profile of all."""
+    path = scratch_folder(spark, "profile")
+    rows = profile_rows(spark, sf_dir)
+    fields, categories = ["policy_area", "instrument_type"], ["instrument_type"]
+    for half in (0, 1):
+        profile.profile_state(rows.where(F.col("doc_id") % 2 == half), fields, categories, "_broken").write.parquet(f"{path}/{half}")
+    state = profile.merged_state(*[spark.read.parquet(f"{path}/{half}") for half in (0, 1)])
+    out = profile.profile_of_state(state, fields, categories)
+    number = F.col("n").cast("double").alias("n")
+    return reduce(DataFrame.union, [
+        out["missing"].select(F.lit("missing").alias("section"), F.col("field").alias("key"), F.col("missing").cast("double").alias("n")),
+        out["missing"].where("field = 'policy_area'").select(F.lit("missing_pct"), "field", F.round("pct", 6)),
+        out["top_values"].select(F.lit("top_values"), "value", number),
+        out["buckets"].where("bucket = '[0.20,0.40)'").select(F.lit("buckets"), "bucket", number),
+        out["stats"].select(F.lit("stats"), F.lit("n"), number), out["stats"].select(F.lit("stats"), F.lit("p50"), F.round("p50", 6)),
+        out["stats"].select(F.lit("stats"), F.lit("max"), F.round("max", 6))])

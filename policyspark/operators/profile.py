@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyspark.functions.text import category
-from policyspark.operators.ordinals import top_per_key, upper_median
+from policyspark.operators.ordinals import top_per_key, upper_median, with_running_totals
 from policyspark.vocabulary import PROFILE_FIELDS
 
 # --- fixed values: label, lower edge, upper edge (exclusive) -----------------
@@ -79,6 +79,66 @@ def confidence_stats(measures: DataFrame, column: str = "confidence_score") -> D
     return ends.withColumn("p50", upper_median(values, "c").scalar()).select("n", "min", "p50", "max")
 
 
+def profile_state(measures: DataFrame, fields: Sequence[str], categories: Sequence[str], broken: str | None = None,
+                  confidence: str = "confidence_score") -> DataFrame:
+    """(kind, field, value, n): what a profile needs to know of some rows, as counts that add up.
+
+    Kinds: ``rows`` (all lines), ``missing`` per field, ``value`` per category
+    field, and ``number`` per confidence. Profiles of parts are merged by
+    :func:`merged_state`, so a new part is read once and old ones not at all.
+    """
+    readable = ~F.col(broken) if broken else F.lit(True)
+    number = F.col(confidence).try_cast("double")
+    none = F.lit(None).cast("string")
+
+    def entry(kind: str, name: str, value: Column, there: Column) -> Column:
+        return F.when(there, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), value.alias("value")))
+
+    entries = [entry("rows", "", none, F.lit(True))]
+    entries += [entry("missing", f, none, readable & _is_missing(measures, f)) for f in fields]
+    entries += [entry("value", f, category(f), readable) for f in categories]
+    entries.append(entry("number", confidence, number.cast("string"), readable & number.isNotNull()))
+    return measures.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.kind", "e.field", "e.value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def merged_state(*states: DataFrame) -> DataFrame:
+    """The state of all rows together."""
+    whole = states[0]
+    for state in states[1:]:
+        whole = whole.unionByName(state)
+    return whole.groupBy("kind", "field", "value").agg(F.sum("n").alias("n"))
+
+
+def profile_of_state(state: DataFrame, fields: Sequence[str], categories: Sequence[str], k: int = 10) -> dict[str, DataFrame]:
+    """The tables of :func:`missing_rates`, :func:`top_values`, :func:`confidence_buckets` and :func:`confidence_stats`, exactly."""
+    total = state.where("kind = 'rows'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
+    spark = state.sparkSession
+    names = spark.createDataFrame([(f,) for f in fields], "name string")
+    counted = state.where("kind = 'missing'")
+    missing = names.join(counted, F.col("name") == F.col("field"), "left").select(
+        F.col("name").alias("field"), F.coalesce("n", F.lit(0)).alias("missing"))
+    values = state.where(F.col("kind") == "value").where(F.col("field").isin(list(categories))).select("field", "value", "n")
+    numbers = state.where("kind = 'number'").select(F.col("value").cast("double").alias("c"), "n")
+    whole = numbers.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("base"),
+        *[F.coalesce(F.sum(F.when((F.col("c") >= lo) & (F.col("c") < hi), F.col("n"))), F.lit(0)).alias(name)
+          for name, lo, hi in CONFIDENCE_BUCKETS])
+    share = F.when(F.col("base") > 0, F.col("n") / F.col("base") * 100.0).otherwise(0.0)
+    ends = numbers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("c").alias("min"), F.max("c").alias("max"))
+    below = with_running_totals(numbers, [], ["c"], {"before": F.col("n")})
+    wanted = F.floor(ends.select("n").scalar() / 2)
+    middle = below.where((F.col("before") <= wanted) & (wanted < F.col("before") + F.col("n"))).agg(F.max("c").alias("p50"))
+    return {
+        "missing": missing.withColumn("pct", F.when(total > 0, F.col("missing") / total * 100.0).otherwise(0.0)),
+        "top_values": top_per_key(values, ["field"], [F.col("n").desc(), F.col("value")], k, "rank").withColumn(
+            "pct", F.col("n") / total * 100.0),
+        "buckets": whole.unpivot(["base"], [f"`{b[0]}`" for b in CONFIDENCE_BUCKETS], "bucket", "n").select(
+            "bucket", "n", share.alias("pct")),
+        "stats": ends.withColumn("p50", middle.select("p50").scalar()).select("n", "min", "p50", "max"),
+    }
+
+
 def row_counters(df: DataFrame, status: Column) -> DataFrame:
     """(status, n) of a per-row status expression."""
     return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))

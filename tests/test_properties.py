@@ -261,3 +261,23 @@ def test_roots_decide_like_the_full_list(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", terms.term_hits("t", words).alias("h"), terms.any_term("t", words).alias("a")).collect():
         assert r.h == [w for w in words if w in r.t] and r.a == bool(r.h)
+
+
+def test_profiles_of_parts_add_up(spark):
+    """States of parts, merged in any order, give the profile of all rows; an empty table has one too."""
+    from policyspark.operators import profile
+
+    rows = [(i, None if i % 7 == 0 else "" if i % 11 == 0 else f"a{i % 5}", ["x"] if i % 3 else [],
+             "n/a" if i % 13 == 0 else str((i * 37 % 101) / 100), i % 23 == 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, area string, tags array<string>, confidence_score string, broken boolean")
+    fields = ["area", "tags", "absent"]
+    whole = {"missing": profile.missing_rates(df, fields, "broken"), "buckets": profile.confidence_buckets(df.where("NOT broken")),
+             "stats": profile.confidence_stats(df.where("NOT broken")),
+             "top_values": profile.top_values(df.where("NOT broken"), ["area"], 3, F.lit(500))}
+    parts = [profile.profile_state(df.where(F.col("id") % 3 == k), fields, ["area"], "broken") for k in (2, 0, 1)]
+    merged = profile.profile_of_state(profile.merged_state(*parts), fields, ["area"], 3)
+    for name, table in whole.items():
+        got, want = ({tuple(r[c] for c in table.columns) for r in t.collect()} for t in (merged[name], table))
+        assert got == want, name
+    none = profile.profile_of_state(profile.profile_state(df.limit(0), fields, ["area"], "broken"), fields, ["area"])
+    assert {r.missing for r in none["missing"].collect()} == {0} and none["stats"].first().n == 0
