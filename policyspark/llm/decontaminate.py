@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark.llm.registry import query
-from policyspark.llm.words import as_bytes, chunks, spans_of, table, without_words
+from policyspark.llm.words import as_bytes, chunks, only_own_names, spans_of, table, without_words
 
 WINDOW = 10
 #: Bytes of benchmark text that travel to the executors together; more make a further pass each.
@@ -264,8 +264,12 @@ def hit_words() -> Column:
     return F.aggregate("_spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
 
 
+@only_own_names
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the words of benchmark phrases: the spans are cut out of ``text``, other columns stay."""
+    """docs without the words of benchmark phrases: the spans are cut out of ``text``, other columns (of any name) stay.
+
+    All rows stay, repeated ones too; null and empty texts are as before, and so is an empty table.
+    """
     columns = docs.columns
     at = columns.index("text")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark.llm.registry import query
-from policyspark.llm.words import LOWER, chunks, fold_of, segment_sums, table
+from policyspark.llm.words import LOWER, chunks, fold_of, only_own_names, segment_sums, table
 
 #: The folds of op5's contract: rows of the last remainder are held out.
 FOLDS = 5
@@ -235,6 +235,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.col("_p").alias("predicted"))
 
 
+@only_own_names
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model predicts to be of quality 1."""
+    """The rows of ``docs``, all columns (of any name), that the model predicts to be of quality 1.
+
+    Null texts are scored as empty ones; repeated rows fare alike; an empty table stays empty.
+    """
     return score(docs, model, keep=docs.columns).where("_p = 1").drop("_h", "_s", "_p")

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm.registry import query
-from policyspark.llm.words import (as_bytes, chunks, gram_hashes, hashed_words, release, slots, table, without_words,
-                                   written)
+from policyspark.llm.words import (as_bytes, chunks, gram_checks, gram_hashes, hashed_words, only_own_names, release,
+                                   row_order, slots, table, without_words, written)
 
 WINDOW = 20
 ANCHOR = 8
@@ -35,6 +35,8 @@ CHUNK = 4 << 20
 WORD = rb"[^\x20\x09-\x0D]+"
 #: Stands for a null id, which orders before all others.
 NO_ID = -(1 << 63)
+#: What stands for the words of a window: 96 bits, so that windows of different words do not meet by chance.
+KEY = np.dtype([("hash", "<u8"), ("check", "<u4")])
 #: Rows for reference blocks have a block, rows for documents have an id.
 PARTS = "block long, doc_id long, hash long, hashes binary, texts binary, places binary, ids binary"
 
@@ -70,6 +72,23 @@ def anchor_places(words: np.ndarray, starts: np.ndarray, anchors: np.ndarray, wi
     return np.flatnonzero(sliding(largest, reach + 1, np.maximum) == grams)
 
 
+def window_keys(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """KEY of the windows that begin at ``starts``."""
+    keys = np.empty(len(starts), KEY)
+    keys["hash"], keys["check"] = gram_hashes(words, window)[starts], gram_checks(words, window)[starts]
+    return keys
+
+
+def by_window(values: np.ndarray, text: np.ndarray, place: np.ndarray, keys: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, later): windows ordered by key, text and place; the first of each key; those that start after it."""
+    order = np.lexsort((place, keys[text, 1], keys[text, 0], values["check"], values["hash"]))
+    values, text, place = values[order], text[order], place[order]
+    first = np.concatenate([[True], values[1:] != values[:-1]])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return order, first, (place != place[lead]) | (keys[text] != keys[text[lead]]).any(axis=1)
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Texts with the key of their document: the id, and a hash of the text that orders texts of one id."""
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("hash"),
@@ -119,9 +138,9 @@ def _chunk_keys(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column("doc_id").to_numpy(), batch.column("hash").to_numpy()], axis=1).astype(np.int64)
 
 
-def _block(whole: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _block(whole: pa.Table, kind: np.dtype = np.dtype("<u8")) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """hashes, text numbers, places and text keys of a reference block, its parts put together."""
-    hashes = np.frombuffer(b"".join(whole.column("hashes").to_pylist()), np.uint64)
+    hashes = np.frombuffer(b"".join(whole.column("hashes").to_pylist()), kind)
     places = np.frombuffer(b"".join(whole.column("places").to_pylist()), np.int32)
     keys = [np.frombuffer(k, np.int64).reshape(-1, 2) for k in whole.column("ids").to_pylist()]
     base = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
@@ -189,25 +208,20 @@ def repeated_windows(texts: DataFrame, anchors: DataFrame, window: int, anchor:
             if not len(chosen):
                 continue
             starts, text, named = starts[chosen], text[chosen], named[chosen]
-            value = gram_hashes(words, window)[starts]
+            value = window_keys(words, starts, window)
             place = (starts - bounds[text]).astype(np.int64)
             # Of equal windows the earliest goes out (with it, the same place of a repeated row); the later ones are copies.
-            order = np.lexsort((place, keys[text, 1], keys[text, 0], value))
+            order, first, later = by_window(value, text, place, keys)
             value, text, place, named = value[order], text[order], place[order], named[order]
-            first = np.concatenate([[True], value[1:] != value[:-1]])
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            later = (place != place[lead]) | (keys[text] != keys[text[lead]]).any(axis=1)
             yield _parts(value[first], text[first], place[first],
                          ((named[first] >> np.uint64(20)) % blocks).astype(np.int64), keys)
             if later.any():
                 yield _local(keys, text[later], place[later].astype(np.int32), "places")
 
     def looked_up(whole: pa.Table) -> pa.Table:
-        hashes, text, place, keys = _block(whole)
-        order = np.lexsort((place, keys[text, 1], keys[text, 0], hashes))
-        hashes, text, place = hashes[order], text[order], place[order]
-        lead = np.maximum.accumulate(np.where(np.concatenate([[True], hashes[1:] != hashes[:-1]]), np.arange(len(hashes)), 0))
-        later = (place != place[lead]) | (keys[text] != keys[text[lead]]).any(axis=1)
+        values, text, place, keys = _block(whole, KEY)
+        order, _, later = by_window(values, text, place, keys)
+        text, place = text[order], place[order]
         return pa.table(_answers(keys, text[later], place[later].astype(np.int32), "places"))
 
     parts = written(candidates.mapInArrow(sent, PARTS), "windows")
@@ -248,7 +262,7 @@ def _with_places(docs: DataFrame, found: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     own = gathered(found).toDF("_id", "_hash", "_places")
     keys = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64("text")})
-    copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0))) - 1
+    copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(row_order(docs))) - 1
     return keys.join(own, ["_id", "_hash"], "left").withColumn("_copy", copy)
 
 
@@ -285,8 +299,13 @@ def removals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
         parsed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
+@only_own_names
 def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """docs with the repeated spans cut out of ``text``; all rows and other columns stay."""
+    """docs with the repeated spans cut out of ``text``; all rows and other columns, of any name, stay.
+
+    Null and empty texts stay as they are; an empty table gives an empty one.
+    Of rows equal in id and text, one keeps its text, chosen by a hash of all its columns.
+    """
     columns = docs.columns
     at = columns.index("text")
 

@@ -128,6 +128,8 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 #: White space separates words; other bytes make them up.
 BLANKS = b"\t\n\x0b\x0c\r "
+#: Columns that stages know by name.
+OWN_NAMES = ("doc_id", "text", "n_chars")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _TURN = np.uint64(0xA24BAED4963EE407)
@@ -154,13 +156,24 @@ def hashed_words(texts: list[bytes], clean: bytes | None = None) -> tuple[np.nda
     bounds = np.searchsorted(starts, text_starts)
     if not len(starts):
         return np.zeros(0, np.uint64), bounds
-    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(4095, _STEP)]))
-    inside = np.arange(len(buffer))
-    inside -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(buffer)]])))
-    weighted = np.where(blank, np.uint64(0), (buffer.astype(np.uint64) + np.uint64(1)) * powers[inside & 4095])
-    sums = np.add.reduceat(weighted, starts)
-    length = np.add.reduceat((~blank).view(np.uint8).astype(np.int64), starts).astype(np.uint64)
-    return mixed(sums + length * _TURN), bounds
+    sizes = edges[1::2] - starts
+    first, values = blocks_of(buffer, starts, sizes)
+    # Short words are one block each; the blocks of longer ones are scrambled with their number before they are added.
+    place = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    sums = np.add.reduceat(mixed(mixed(values) + place.astype(np.uint64) * _STEP), first)
+    return mixed(sums + sizes.astype(np.uint64) * _TURN), bounds
+
+
+def blocks_of(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word's first block, blocks): the bytes of words as 64-bit numbers, eight at a time, padded by zeros."""
+    counts = (sizes + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    inside = (np.arange(int(counts.sum())) - np.repeat(first, counts)) * 8
+    at = np.repeat(starts, counts) + inside
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(buffer) + 1, "<u8", padded, strides=(1,))[at]
+    missing = np.maximum(0, inside + 8 - np.repeat(sizes, counts)).astype(np.uint64) * np.uint64(8)
+    return first, eights & (~np.uint64(0) >> missing)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -172,6 +185,45 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(code)
 
 
+def gram_checks(words: np.ndarray, n: int) -> np.ndarray:
+    """Further 32 bits on all runs of n neighbouring words, independent of :func:`gram_hashes`."""
+    count = max(0, len(words) - n + 1)
+    turned = mixed(words ^ _STEP)
+    code = np.zeros(count, np.uint64)
+    for j in range(n):
+        code = code * _TURN + turned[j:j + count]
+    return (mixed(code) >> np.uint64(32)).astype(np.uint32)
+
+
+def sequence_hash(values: np.ndarray) -> np.uint64:
+    """One 64-bit hash of a sequence of 64-bit values of any length."""
+    place = np.arange(len(values), dtype=np.uint64) * _STEP
+    total = np.add.reduce(mixed(mixed(values) + place), keepdims=True)
+    return mixed(total + np.array([len(values)], np.uint64) * _TURN)[0]
+
+
+def row_order(docs: DataFrame) -> Column:
+    """A hash of all columns that have one: orders rows of one id and text that differ elsewhere."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind])
+
+
+def only_own_names(stage):
+    """A function of a table that gives its columns back, freed of clashes with names it uses inside.
+
+    Columns other than ``doc_id``, ``text`` and ``n_chars`` pass it under neutral names.
+    """
+    from functools import wraps
+
+    @wraps(stage)
+    def renamed(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        columns = docs.columns
+        neutral = [c if c in OWN_NAMES else f"column{i}" for i, c in enumerate(columns)]
+        return stage(docs.toDF(*neutral), *args, **kwargs).toDF(*columns)
+
+    return renamed
+
+
 def spans_of(covered: np.ndarray) -> list[tuple[int, int]]:
     """Runs of true values as (start, end)."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).view(np.int8)))
