@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from policyspark.llm.components import components
 from policyspark.llm.registry import query
-from policyspark.llm.words import LOWER, chunks, gram_hashes, hashed_words, release, slots, table, unzipped, written, zipped
+from policyspark.llm.spread import joined_spread
+from policyspark.llm.words import (LOWER, chunks, gram_hashes, hashed_words, only_own_names, release, row_order,
+                                   sequence_hash, slots, table, unzipped, written, zipped)
 
 SHINGLE = 3
 RADIUS = 3
@@ -57,11 +59,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     width = min(shingle, len(words)) - 1
     hashes = np.fromiter((xxh64_intdigest(joined[p:q], SEED) for p, q in
                           zip(starts[:n].tolist(), ends[width:].tolist())), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are each set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         part = hashes[i:i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -298,10 +305,10 @@ def signed(docs: DataFrame) -> DataFrame:
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             grams = list(shingles(texts))
-            key = [int(gram_hashes(g, len(g))[0].view(np.int64)) if len(g) else 0 for g in grams]
+            key = [int(sequence_hash(g).view(np.int64)) if len(g) else 0 for g in grams]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "key": pa.array(key, pa.int64()),
-                "fp": pa.array(np.array([fingerprint(t, LONG_SHINGLE) for t in texts], np.uint64).view(np.int64)),
+                "fp": pa.array(np.array([majority(g) for g in grams], np.uint64).view(np.int64)),
                 "bands": pa.array([band_keys(g).view(np.int64).tolist() for g in grams], pa.list_(pa.int64()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
@@ -311,16 +318,23 @@ def signed(docs: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys, a < b, that share a band or lie within 3 bits: a number linear in the keys.
 
-    Who shares a band is tied to one of them, chosen in four different orders
-    over the bands, so that a member unlike one centre meets others.
+    Who shares a band is tied to two of them: to the one whose bands hold the
+    most members in all (a text that others were edited from shares more bands
+    with them than they do with each other), and to one chosen in four
+    different orders over the bands.
     """
     fps = written(rows.groupBy("fp").agg(F.min("key").alias("name")), "distinct")
     near = link(fps).unionByName(rows.join(fps, "fp").select(F.col("key").alias("a"), F.col("name").alias("b")))
     bands = rows.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
     bands = written(bands, "bands")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(joined_spread(bands, "band", shared, "key"), "shared")
+    popular = shared.groupBy("key").agg(F.sum("n").alias("met"))
     order = F.xxhash64("key", F.pmod("band", F.lit(4)))
-    centres = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "key")).alias("c")).where("n > 1")
-    tied = bands.join(centres, "band").select(F.col("key").alias("a"), F.col("c.key").alias("b"))
+    centres = shared.join(popular, "key").groupBy("band").agg(
+        F.max(F.struct("met", "key"))["key"].alias("popular"), F.min(F.struct(order.alias("o"), "key"))["key"].alias("other"))
+    tied = joined_spread(shared.select("band", "key"), "band", centres, "key").select(
+        F.col("key").alias("a"), F.explode(F.array("popular", "other")).alias("b"))
     return near.unionByName(tied).where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -348,21 +362,25 @@ def similar_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.mapInArrow(verified, "a long, b long")
 
 
+@only_own_names
 def keep_one_similar(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, all columns: the one of the smallest id, and of its repeats one row.
+    """One document of each group of near-duplicates, all columns (of any name): the one of the smallest id.
+
+    Of its repeated rows one stays, chosen by a hash of all columns.
 
     Groups are connected by pairs of at least 0.8 Jaccard similarity of their
     5-word shingles. SimHash fingerprints and MinHash bands only propose pairs;
-    each is checked against the texts. Ids that are null come last.
+    each is checked against the texts. Ids that are null come last. Texts
+    without words (null, empty) are copies of each other; an empty table stays empty.
     """
     rows = written(signed(docs), "signed")
     roots = components(similar_pairs(docs, rows))
     named = written(rows.join(roots, rows["key"] == roots["node"], "left").select(
         "doc_id", "hash", F.coalesce("root", "key").alias("_root")), "named")
     best = named.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash")).alias("_best"))
-    gone = (named.join(best, "_root").where("NOT (doc_id <=> _best.doc_id AND hash = _best.hash)")
+    gone = (joined_spread(named, "_root", best, "hash").where("NOT (doc_id <=> _best.doc_id AND hash = _best.hash)")
             .select(F.coalesce("doc_id", F.lit(_NAMELESS)).alias("_id"), F.col("hash").alias("_hash")).distinct())
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NAMELESS)), "_hash": F.xxhash64("text")})
-    once = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+    once = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(row_order(docs)))
     return (keyed.join(gone, ["_id", "_hash"], "left_anti").withColumn("_n", once).where("_n = 1")
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from policyspark.llm import decontaminate, language, lm, quality, simhash, substrings, tokens
+from policyspark.llm.words import gram_checks, hashed_words, sequence_hash
 from tests.llm.conftest import lowered
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -388,3 +389,96 @@ def test_no_benchmark_finds_nothing(spark, rough):
     got = decontaminate.find(rough, bench).select("doc_id", "_words", F.size("_spans")).collect()
     assert {r[2] for r in got} == {0}
     assert {(r[0], r[1]) for r in got} == {(r.doc_id, len(ALNUM.findall(lowered(r.text or "")))) for r in rough.collect()}
+
+
+def thue_morse(length, one, other):
+    return "".join((one, other)[i.bit_count() & 1] for i in range(length))
+
+
+def test_long_words_that_differ_little_are_different(spark, rough):
+    rest = " ".join(f"w{i}" for i in range(19))
+    first, second = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    swapped = ["z" * at + "a" + "z" * (9000 - at) for at in (10, 10 + 4096, 10 + 8192)]
+    words = [first, second, *swapped, "a", "a\0", "\0a", "é", "e"]
+    hashes, bounds = hashed_words([w.encode() for w in words])
+    assert len(set(hashes.tolist())) == len(words) and bounds.tolist() == list(range(len(words) + 1))
+    rows = [(i, f"{w} {rest}") for i, w in enumerate(words[:5])]
+    assert collected(substrings.removals(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_substrings(rows)
+    twice = [(1, f"{first} {rest}"), (2, f"{second} {rest} {rest}")]
+    assert collected(substrings.removals(spark.createDataFrame(twice, "doc_id long, text string"))) == brute_substrings(twice)
+
+
+def test_hashes_of_words_and_sequences_follow_their_content():
+    texts = [b"", b"one two  three", b"\tthree four-and-twenty ", b"one", b" "]
+    hashes, bounds = hashed_words(texts)
+    assert bounds.tolist() == [0, 0, 3, 5, 6, 6]
+    assert hashes[0] == hashes[5] and hashes[2] == hashes[3] and len(set(hashes.tolist())) == 4
+    a, b = np.array([5, 9], np.uint64)
+    assert len({int(sequence_hash(np.array(s, np.uint64))) for s in ([], [a], [b], [a, b], [b, a], [a, b, a], [0], [0, 0])}) == 8
+    runs = np.array([1, 2, 3, 1, 2, 3, 4], np.uint64)
+    assert (gram_checks(runs, 3) == gram_checks(runs, 3)[0]).tolist() == [True, False, False, True, False]
+
+
+STAGES = {
+    "quality": lambda spark, docs: quality.keep_good(docs, quality.fit(
+        spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i}") for i in range(40)], "doc_id long, text string"),
+        spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))),
+    "similar": lambda spark, docs: simhash.keep_one_similar(docs),
+    "substrings": lambda spark, docs: substrings.remove(docs),
+    "decontaminate": lambda spark, docs: decontaminate.remove(
+        docs, spark.createDataFrame([(1, "word " * 12), (2, "no id here")], "item_id long, text string")),
+}
+INNER = ["_id", "_hash", "_places", "_copy", "_p", "_s", "_h", "_held", "_text", "_words", "_spans", "_items", "_root", "_best", "_n",
+         "_part", "key", "fp", "bands", "hash", "block", "places", "node", "root", "column0", "n", "Text"]
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_columns_of_any_name(spark, rough, empty, name):
+    docs = rough.where("doc_id > 90 OR doc_id IS NULL OR doc_id < 12")
+    plain = collected(STAGES[name](spark, docs))
+    theirs = docs.toDF(*docs.columns)
+    for column in INNER:
+        theirs = theirs.select("*", F.concat(F.lit(f"{column} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(
+            column)) if column != "Text" else theirs.toDF(*theirs.columns).withColumnRenamed("n", "Text")
+    result = STAGES[name](spark, theirs)
+    assert result.columns == theirs.columns
+    rows = result.collect()
+    assert sorted((tuple(r)[:5] for r in rows), key=repr) == plain
+    for column, value in zip(result.columns[5:], zip(*[tuple(r)[5:] for r in rows])):
+        own = "n" if column == "Text" else column
+        assert list(value) == [f"{own} of {'none' if r[0] is None else r[0]}" for r in rows]
+    nothing = STAGES[name](spark, empty)
+    assert nothing.columns == empty.columns and nothing.count() == 0
+
+
+def test_which_repeated_row_stays_does_not_depend_on_the_partitions(spark):
+    rows = [(1, "same text here", s) for s in "abcdefgh"] + [(2, " ".join(f"w{i}" for i in range(30)), s) for s in "abcdefgh"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for stage in (simhash.keep_one_similar, substrings.remove):
+        results = [collected(stage(docs.repartition(n, F.xxhash64("source", F.lit(n))))) for n in (1, 3, 7)]
+        assert results[0] == results[1] == results[2]
+
+
+def test_texts_edited_from_one_are_found_however_many_and_unlike(spark, rough):
+    """A third of all rows are edits of one text, each unlike the other edits (below 0.8) and like the text itself."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1000, " ".join(base))]
+    for k in range(200):
+        words = list(base)
+        for at in rng.choice(400, 8, replace=False):
+            words[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(2000 + k, " ".join(f"v{x}" for x in rng.integers(0, 9999, 60))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    kept = sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect())
+
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+    original = grams(rows[0][1])
+    near = [i for i, t in rows[1:201] if len(original & grams(t)) / len(original | grams(t)) >= 0.8]
+    assert len(near) > 150
+    assert [k for k in kept if k >= 2000] == [r[0] for r in rows[201:]]
+    assert len([k for k in kept if k < 2000 and (k == 1000 or k in near)]) <= 1 + len(near) // 20
