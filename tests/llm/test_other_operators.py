@@ -243,7 +243,7 @@ def test_components(spark):
 def test_every_operator_has_its_query():
     names = registry.load_all()[0]
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert all(name in names for name in registry.load_all()[1])
 
 
