@@ -16,15 +16,18 @@ from policyspark.streaming.incremental import append_stream, label_stream, label
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a file stream."""
+    """A table, one file or a folder of files, as a file stream.
+
+    The pattern matches the table alone. A stream takes a plain path for a folder, which one file is not.
+    """
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def drained(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     folder = scratch_folder(spark, name)
     append_stream(rows, f"{folder}/table", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/table")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/table")  # a stream without rows writes no file
 
 
 @query("stream_candidates", sql=f"""WITH {DOCUMENTS_SQL}, {SNIPPETS_SQL}

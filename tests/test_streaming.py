@@ -1,10 +1,12 @@
 """A stream over growing folders gives the same rows as the batch run."""
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
 from policyspark import schemas
+from policyspark.catalog import streams
 from policyspark.operators.labeling import label_candidates, rule_labeler
 from policyspark.plans import stages
 from policyspark.sources.ndjson import read_ndjson
@@ -187,3 +189,22 @@ def test_a_failed_run_asks_only_the_running_wave_again(spark, tmp_path):
     assert len(asked) == 83 + runs[4]  # the wave that was lost, and nothing else, twice
     labeling.ask_in_waves(prompts, labeler, str(tmp_path / "ledger"), "id", waves=8)
     assert len(open(log).read().splitlines()) == len(asked)
+
+
+def test_stream_reads_a_table_of_one_file_and_of_many(spark, tmp_path):
+    rows = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    rows.repartition(4).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "single"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "single").glob("*.parquet")), tmp_path / "one" / "documents.parquet")
+    rows.write.parquet(str(tmp_path / "many" / "documents.parquet2"))
+    for folder in ("one", "many"):
+        found = streams.drained(spark, streams.stream(spark, str(tmp_path / folder), "documents"), "documents")
+        assert sorted(r.doc_id for r in found.collect()) == list(range(20)), folder
+
+
+def test_stream_without_rows_is_an_empty_table(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    rows = spark.readStream.schema("doc_id long").parquet(str(tmp_path / "empty"))
+    found = streams.drained(spark, rows, "empty")
+    assert found.columns == ["doc_id"] and found.count() == 0
