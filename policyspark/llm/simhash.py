@@ -119,7 +119,29 @@ def routes(values: np.ndarray, bits: int, hot: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(out_route), np.concatenate(out_index)
 
 
-def meet(route: int, values: np.ndarray, names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def pairs_apart(place: np.ndarray, owner: np.ndarray, values: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within radius 3 of members of different classes that share a place; places ascend."""
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    size = np.diff(np.append(first, len(place)))
+    of = classes[owner]
+    mixed = np.repeat(np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first), size)
+    place, owner = place[mixed], owner[mixed]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    here = np.arange(len(place))
+    step = 0
+    while len(here):
+        step += 1
+        here = here[here + step < len(place)]
+        here = here[place[here] == place[here + step]]
+        a, b = owner[here], owner[here + step]
+        good = (classes[a] != classes[b]) & (np.bitwise_count(values[a] ^ values[b]) <= RADIUS)
+        left.append(a[good])
+        right.append(b[good])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def meet(route: int, values: np.ndarray, names: np.ndarray, bits: int,
+         classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (name, name) among the fingerprints of a route, as stars.
 
     Fingerprints that meet in a variant are tied to one of them: to an even one
@@ -127,6 +149,7 @@ def meet(route: int, values: np.ndarray, names: np.ndarray, bits: int) -> tuple[
     the fingerprint that is the variant itself. Odd ones that meet at distance
     2 from an odd variant may be 4 apart; if they are 2 apart, they also meet
     in an even variant. So every linked pair is connected, with one link each.
+    With ``classes``, every linked pair of different classes is given, itself.
     """
     fixed = bits + FURTHER if route >> 63 else bits
     low = np.uint64((1 << fixed) - 1)
@@ -158,6 +181,11 @@ def meet(route: int, values: np.ndarray, names: np.ndarray, bits: int) -> tuple[
         place = np.minimum(np.searchsorted(again, variant), len(again) - 1)
         hit = np.flatnonzero(again[place] == variant)
         place, owner = place[hit], owner[hit]
+        if classes is not None:
+            order = np.argsort(place, kind="stable")
+            one, two = pairs_apart(place[order], owner[order], values, classes)
+            links.append((np.minimum(names[one], names[two]), np.maximum(names[one], names[two])))
+            continue
         # Of each variant: even members first, then the variant itself, then the others.
         kind = np.where(~is_odd[owner], 0, np.where(values[owner] == again[place], 1, 2))
         order = np.lexsort((names[owner], kind, place))
@@ -176,8 +204,11 @@ def meet(route: int, values: np.ndarray, names: np.ndarray, bits: int) -> tuple[
 def link(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within radius 3.
 
-    :param distinct: distinct fingerprints: fp (long), name (long).
+    :param distinct: distinct fingerprints: fp (long), name (long). With a
+        column cls (long), of which a fingerprint may have several, the edges
+        are all pairs within radius 3 of different cls.
     """
+    apart = "cls" in distinct.columns
     spark = distinct.sparkSession
     count = distinct.count()
     bits = min(24, max(6, (count // ROUTE_ROWS).bit_length()))
@@ -191,6 +222,7 @@ def link(distinct: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 4096):
                 values = batch.column("fp").slice(i, 4096).to_numpy().view(np.uint64)
                 names = batch.column("name").slice(i, 4096).to_numpy()
+                classes = batch.column("cls").slice(i, 4096).to_numpy() if apart else None
                 route, index = routes(values, bits, hot)
                 bin_ = (route * _MIX >> np.uint64(33)) % np.uint64(bins)
                 order = np.lexsort((route, bin_))
@@ -202,22 +234,24 @@ def link(distinct: DataFrame) -> DataFrame:
                     "route": pa.array([route[a:b].tobytes() for a, b in rows], pa.binary()),
                     "fp": pa.array([values[index[a:b]].tobytes() for a, b in rows], pa.binary()),
                     "name": pa.array([names[index[a:b]].tobytes() for a, b in rows], pa.binary()),
-                })
+                } | ({"cls": pa.array([classes[index[a:b]].tobytes() for a, b in rows], pa.binary())} if apart else {}))
 
     def met(whole: pa.Table) -> pa.Table:
         route, values = (np.frombuffer(b"".join(whole.column(c).to_pylist()), np.uint64) for c in ("route", "fp"))
         names = np.frombuffer(b"".join(whole.column("name").to_pylist()), np.int64)
         order = np.argsort(route, kind="stable")
         route, values, names = route[order], values[order], names[order]
+        classes = np.frombuffer(b"".join(whole.column("cls").to_pylist()), np.int64)[order] if apart else None
         cuts = np.concatenate([[0], np.flatnonzero(route[1:] != route[:-1]) + 1, [len(route)]])
-        found = [meet(int(route[a]), values[a:b], names[a:b], bits) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
+        found = [meet(int(route[a]), values[a:b], names[a:b], bits, classes[a:b] if apart else None)
+                 for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    spread = distinct.select("fp", "name").repartition(slots(spark), "name")
-    return spread.mapInArrow(sent, "bin long, route binary, fp binary, name binary").groupBy("bin").applyInArrow(
-        met, "a long, b long")
+    spread = distinct.select("fp", "name", *(["cls"] if apart else [])).repartition(slots(spark), "name")
+    sent_columns = "bin long, route binary, fp binary, name binary" + (", cls binary" if apart else "")
+    return spread.mapInArrow(sent, sent_columns).groupBy("bin").applyInArrow(met, "a long, b long")
 
 
 #: Names of fingerprints that only rows without an id have: beyond all ids.
@@ -301,34 +335,42 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, key, fp, bands) of each row: key is equal for texts of the same shingles in the same order."""
+    """(doc_id, hash, key, size, fp, bands) of each row: key is equal for texts of the same shingles in the same order.
+
+    size is the number of different shingles.
+    """
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             grams = list(shingles(texts))
             key = [int(sequence_hash(g).view(np.int64)) if len(g) else 0 for g in grams]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "key": pa.array(key, pa.int64()),
+                "size": pa.array([len(np.unique(g)) for g in grams], pa.int64()),
                 "fp": pa.array(np.array([majority(g) for g in grams], np.uint64).view(np.int64)),
                 "bands": pa.array([band_keys(g).view(np.int64).tolist() for g in grams], pa.list_(pa.int64()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    return rows.mapInArrow(taken, "doc_id long, hash long, key long, fp long, bands array<long>")
+    return rows.mapInArrow(taken, "doc_id long, hash long, key long, size long, fp long, bands array<long>")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def banded(rows: DataFrame) -> DataFrame:
+    """(band, key, n) for all bands that n > 1 keys share."""
+    bands = rows.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
+    bands = written(bands, "bands")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return written(joined_spread(bands, "band", shared, "key"), "shared")
+
+
+def candidates(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys, a < b, that share a band or lie within 3 bits: a number linear in the keys.
 
     Who shares a band is tied to two of them: to the one whose bands hold the
     most members in all (a text that others were edited from shares more bands
     with them than they do with each other), and to one chosen in four
-    different orders over the bands.
+    different orders over the bands. What these miss is for :func:`remaining`.
     """
     fps = written(rows.groupBy("fp").agg(F.min("key").alias("name")), "distinct")
     near = link(fps).unionByName(rows.join(fps, "fp").select(F.col("key").alias("a"), F.col("name").alias("b")))
-    bands = rows.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
-    bands = written(bands, "bands")
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(joined_spread(bands, "band", shared, "key"), "shared")
     popular = shared.groupBy("key").agg(F.sum("n").alias("met"))
     order = F.xxhash64("key", F.pmod("band", F.lit(4)))
     centres = shared.join(popular, "key").groupBy("band").agg(
@@ -339,9 +381,44 @@ def candidates(rows: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The candidates whose shingle sets have at least the wanted similarity, by their texts."""
-    pairs = written(candidates(rows), "candidates")
+#: Members of a band that a task holds against all others of the band.
+BAND_MEMBERS = 1000
+
+
+def remaining(rows: DataFrame, shared: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
+    """All further pairs (a, b) of keys that share a band or lie within 3 bits and are not connected so far.
+
+    Pairs of one component need no check: their documents are in one group
+    already. ``checked`` pairs are left out, and those whose numbers of
+    shingles alone rule the similarity out.
+    """
+    keys = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"))
+    keys = written(keys.join(roots, keys["key"] == roots["node"], "left").select(
+        "key", "fp", "size", F.coalesce("root", "key").alias("cls")), "classes")
+    # Fingerprints: one node for each and class, then the keys behind them.
+    nodes = written(keys.groupBy("fp", "cls").agg(F.min("key").alias("name")), "nodes")
+    behind = keys.join(nodes, ["fp", "cls"]).select("name", "key")
+    near = (link(nodes).join(behind.select(F.col("name").alias("a"), F.col("key").alias("ka")), "a")
+            .join(behind.select(F.col("name").alias("b"), F.col("key").alias("kb")), "b").select("ka", "kb"))
+    # Bands whose members are of several classes; large ones are dealt into parts that each meet the whole band.
+    placed = shared.select("band", "key").join(keys.select("key", "cls"), "key")
+    several = placed.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).where(
+        "low <> high").select("band", F.expr(f"cast(n div {BAND_MEMBERS} as int)").alias("last"))
+    mixed = written(joined_spread(placed, "band", several, "key"), "mixed")
+    one = mixed.select("band", F.col("key").alias("ka"), F.col("cls").alias("ca"),
+                       F.expr("cast(pmod(xxhash64(key), last + 1) as int)").alias("part"))
+    two = mixed.select("band", F.col("key").alias("kb"), F.col("cls").alias("cb"), F.explode(F.expr("sequence(0, last)")).alias("part"))
+    met = one.join(two, ["band", "part"]).where("ca < cb").select("ka", "kb")
+    pairs = near.unionByName(met).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+    size = keys.select("key", "size")
+    fit = (pairs.join(checked, ["a", "b"], "left_anti")
+           .join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
+           .where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)"))
+    return fit.select("a", "b")
+
+
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose shingle sets have at least the wanted similarity, by their texts."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     hashes = rows.join(named, "key", "left_semi").groupBy("key").agg(F.min("hash").alias("hash"))
     texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(hashes, "hash")
@@ -350,7 +427,7 @@ def similar_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
     both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b"))
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
@@ -359,7 +436,19 @@ def similar_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 yield pa.record_batch({"a": part.column("a").take(pa.array(good, pa.int64())),
                                        "b": part.column("b").take(pa.array(good, pa.int64()))})
 
-    return both.mapInArrow(verified, "a long, b long")
+    return both.mapInArrow(similar, "a long, b long")
+
+
+def similar_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys that connect whatever candidates have the wanted similarity.
+
+    The ties of :func:`candidates` are checked first; of the pairs that they leave in different components, each is.
+    """
+    shared = banded(rows)
+    pairs = written(candidates(rows, shared), "candidates")
+    found = written(verified(docs, rows, pairs), "found")
+    rest = written(remaining(rows, shared, pairs, components(found)), "remaining")
+    return found.unionByName(verified(docs, rows, rest))
 
 
 @only_own_names
@@ -369,8 +458,8 @@ def keep_one_similar(docs: DataFrame) -> DataFrame:
     Of its repeated rows one stays, chosen by a hash of all columns.
 
     Groups are connected by pairs of at least 0.8 Jaccard similarity of their
-    5-word shingles. SimHash fingerprints and MinHash bands only propose pairs;
-    each is checked against the texts. Ids that are null come last. Texts
+    5-word shingles. SimHash fingerprints (within 3 bits) and MinHash bands (one
+    shared) propose pairs; none that would join two groups goes unchecked against the texts. Ids that are null come last. Texts
     without words (null, empty) are copies of each other; an empty table stays empty.
     """
     rows = written(signed(docs), "signed")

@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,23 @@ def test_passes_of_a_large_route_find_the_same(monkeypatch):
     assert [x.tolist() for x in once] == [x.tolist() for x in again]
 
 
+def test_every_candidate_pair_of_two_groups_is_checked(spark):
+    # Fingerprints: 0b1011 and 0b0111 are two bits apart and tied to 0b0011 only, which is no text like theirs.
+    links = simhash.meet(3, np.array([0b0011, 0b1011, 0b0111], np.uint64), np.array([1, 2, 3]), 6)
+    assert (2, 3) not in set(zip(*(x.tolist() for x in links)))
+    apart = simhash.meet(3, np.array([0b0011, 0b1011, 0b0111], np.uint64), np.array([1, 2, 3]), 6, np.array([1, 2, 3]))
+    assert set(zip(*(x.tolist() for x in apart))) == {(1, 2), (1, 3), (2, 3)}
+    one_class = simhash.meet(3, np.array([0b0011, 0b1011, 0b0111], np.uint64), np.array([1, 2, 3]), 6, np.array([1, 2, 2]))
+    assert set(zip(*(x.tolist() for x in one_class))) == {(1, 2), (1, 3)}
+    # As rows: keys 1 to 6, one band of all; 5 and 6 are of one group, which leaves the pairs across groups.
+    rows = spark.createDataFrame([(k, 100, fp, [7, 100 + k]) for k, fp in enumerate([3, 11, 7, 1 << 40, 1 << 50, 1 << 60], 1)],
+                                 "key long, size long, fp long, bands array<long>")
+    checked = spark.createDataFrame([(1, 2), (1, 4)], "a long, b long")
+    roots = spark.createDataFrame([(5, 5), (6, 5)], "node long, root long")
+    got = {tuple(r) for r in simhash.remaining(rows, simhash.banded(rows), checked, roots).collect()}
+    assert got == set(combinations(range(1, 7), 2)) - {(1, 2), (1, 4), (5, 6)}
+
+
 def test_keep_one_keeps_one_of_each_group(rough):
     rows = rough.collect()
     kept = simhash.keep_one(rough)
