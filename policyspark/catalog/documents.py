@@ -10,7 +10,7 @@ from policyspark.catalog.inputs import (
     BASELINE, DOCUMENTS_SQL, FILTER, NEGATIVE, POSITIVE, RULES, document_shape, documents, joined, rounded, table,
 )
 from policyspark.functions import text as T
-from policyspark.functions.terms import KeywordRules, literal_array, table_counts, table_matches, term_hits, with_keyword_score
+from policyspark.functions.terms import KeywordRules, listed_hits, literal_array, table_counts, table_matches, term_hits, with_keyword_score
 from policyspark.functions.urls import last_segment
 from policyspark.operators import classify, harmonise, ordinals, snippets
 from policyspark.sources import tables
@@ -560,7 +560,7 @@ LONG_LIST = tuple(b + a for a in SYLLABLES for b in SYLLABLES) + ("ther", "anin"
   FROM (SELECT doc_id, list_filter([{", ".join(f"'{t}'" for t in LONG_LIST)}], lambda x: contains(lower(text), x)) AS hits FROM documents)""")
 def keyword_scores_long_list(spark, sf_dir):
     """A list of over a thousand terms: hits in list order, repeats as given."""
-    hits = table(spark, sf_dir, "documents").select("doc_id", term_hits(F.lower("text"), LONG_LIST).alias("h"))
+    hits = table(spark, sf_dir, "documents").select("doc_id", listed_hits(F.lower("text"), LONG_LIST).alias("h"))
     return hits.select("doc_id", F.size("h").cast("long").alias("n_hits"), joined("h").alias("hits"))
 
 

@@ -75,6 +75,63 @@ def term_hits(text: Column | str, terms: Sequence[str]) -> Column:
         F.filter(literal_array(short), lambda term: F.contains(t, term)), lambda found: below(t, found)))
 
 
+#: A list of more terms than this is looked for by automata that read a text once, not term by term.
+LONG_LIST = 100
+
+
+def listed_hits(text: Column | str, terms: Sequence[str]) -> Column:
+    """As :func:`term_hits`, for lists of any length; not for use inside array functions, which take no Python."""
+    return scanned_hits(text, terms) if len(set(terms)) > LONG_LIST else term_hits(text, terms)
+
+
+def scanned_hits(text: Column | str, terms: Sequence[str]) -> Column:
+    """The hits of :func:`term_hits`, found by Aho-Corasick automata over packs of the list; time does not grow with a pack."""
+    places: dict[str, list[int]] = {}
+    for place, term in enumerate(terms):
+        places.setdefault(term, []).append(place)
+    everywhere = places.pop("", [])  # the empty term is in every text
+    packs: list[list[str]] = [[]]
+    size = 0
+    for term in places:
+        if size > PACK_BYTES:
+            packs.append([])
+            size = 0
+        packs[-1].append(term)
+        size += len(term.encode())
+
+    def block_hits(texts: list[bytes], automata: list[tuple[Automaton, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place in the list) of all hits, sorted."""
+        owner = [np.repeat(np.arange(len(texts)), len(everywhere))]
+        place = [np.tile(np.array(everywhere, np.int64), len(texts))]
+        for automaton, names in automata if any(texts) else ():
+            found, term = automaton.contained(texts)
+            of = [np.array(places[n], np.int64) for n in names]
+            owner.append(np.repeat(found, [len(of[t]) for t in term]))
+            place.extend(of[t] for t in term)
+        owner, place = np.concatenate(owner), np.concatenate(place)
+        order = np.lexsort((place, owner))
+        return owner[order], place[order]
+
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automata = [(Automaton([t.encode() for t in pack]), pack) for pack in packs if pack]
+        listed = pa.array(terms, pa.string())
+        for batch in batches:
+            sizes = pc.cumulative_sum(pc.binary_length(batch).cast(pa.int64())).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // BLOCK_BYTES)) + 1).tolist(), len(batch)]
+            counts, places_found = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                owner, place = block_hits(batch.slice(a, b - a).cast(pa.binary()).to_pylist(), automata)
+                counts.append(np.bincount(owner, minlength=b - a))
+                places_found.append(place)
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
+            found = np.concatenate([np.zeros(0, np.int64), *places_found])
+            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), listed.take(pa.array(found)))
+
+    # Types by name: annotations of this module are texts, which the function could not be told from.
+    hits.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(hits, "array<string>")(F.coalesce(col(text), F.lit("")))
+
+
 def count_occurrences(text: Column | str, terms: Sequence[str]) -> Column:
     """Sum over the terms of their non-overlapping occurrences (nested terms count twice; empty terms not at all)."""
     text = F.coalesce(col(text), F.lit(""))
@@ -181,16 +238,16 @@ def with_keyword_score(df: DataFrame, text: Column | str, rules: KeywordRules) -
     ``confidence_score``.
     """
     def theme_map(pick) -> Column:
-        pairs = [x for name, t in rules.themes.items() for x in (F.lit(name), term_hits("__kw_text", pick(t)))]
+        pairs = [x for name, t in rules.themes.items() for x in (F.lit(name), listed_hits("__kw_text", pick(t)))]
         if not pairs:
             return F.create_map().cast("map<string,array<string>>")
         return F.map_filter(F.create_map(*pairs), lambda _, hits: F.size(hits) > 0)
 
     scored = df.withColumn("__kw_text", rules.fold(text)).withColumns({
-        "keyword_hits_general": term_hits("__kw_text", rules.positive),
+        "keyword_hits_general": listed_hits("__kw_text", rules.positive),
         "keyword_hits_thematic": theme_map(lambda t: t.include),
         "keyword_negative_hits": F.struct(
-            term_hits("__kw_text", rules.negative).alias("general"),
+            listed_hits("__kw_text", rules.negative).alias("general"),
             theme_map(lambda t: t.exclude).alias("thematic"),
         ),
     })

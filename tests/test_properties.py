@@ -281,3 +281,20 @@ def test_profiles_of_parts_add_up(spark):
         assert got == want, name
     none = profile.profile_of_state(profile.profile_state(df.limit(0), fields, ["area"], "broken"), fields, ["area"])
     assert {r.missing for r in none["missing"].collect()} == {0} and none["stats"].first().n == 0
+
+
+def test_long_lists_are_scanned_like_containment(spark, monkeypatch):
+    from policyspark.functions import terms
+
+    monkeypatch.setattr(terms, "PACK_BYTES", 50)  # several packs
+    monkeypatch.setattr(terms, "BLOCK_BYTES", 20)  # several blocks
+    words = ["b", "", "ünd", "b", *[f"t{i}x" for i in range(300)], "t1", "🙂a", "x"]
+    texts = ["", None, "bb", "t1x t299x", "und ünd b", "x" * 50 + "t7x", "🙂ab", "nichts", "t1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert "ArrowEvalPython" in df.select(terms.listed_hits("t", words))._jdf.queryExecution().executedPlan().toString()
+    for r in df.select("t", terms.listed_hits("t", words).alias("h"), terms.term_hits("t", words).alias("w")).collect():
+        assert r.h == r.w == [w for w in words if w in (r.t or "")]
+    assert df.limit(0).select(terms.listed_hits("t", words).alias("h")).collect() == []
+    rules = terms.KeywordRules(positive=tuple(words), themes={"a": terms.ThemeTerms(("t1",), ("🙂",))})
+    scored = terms.with_keyword_score(df.where("t = 't1x t299x'"), "t", rules).first()
+    assert scored.keyword_hits_general == ["", "t1x", "t299x", "t1", "x"] and scored.passes_filter
