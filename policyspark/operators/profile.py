@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from policyspark.functions.text import category
 from policyspark.operators.ordinals import top_per_key, upper_median, with_running_totals
+from policyspark.session import cut_lineage
 from policyspark.vocabulary import PROFILE_FIELDS
 
 # --- fixed values: label, lower edge, upper edge (exclusive) -----------------
@@ -73,8 +74,12 @@ def confidence_buckets(measures: DataFrame, column: str = "confidence_score") ->
 
 
 def confidence_stats(measures: DataFrame, column: str = "confidence_score") -> DataFrame:
-    """n, min, upper median and max of the numeric confidences."""
-    values = measures.select(F.col(column).try_cast("double").alias("c"))
+    """n, min, upper median and max of the numeric confidences.
+
+    Runs at once: the median takes several passes, so the numbers alone are
+    kept in the checkpoint folder and whatever gave them is computed once.
+    """
+    values = cut_lineage(measures.select(F.col(column).try_cast("double").alias("c")))
     ends = values.agg(F.count("c").alias("n"), F.min("c").alias("min"), F.max("c").alias("max"))
     return ends.withColumn("p50", upper_median(values, "c").scalar()).select("n", "min", "p50", "max")
 
@@ -153,6 +158,10 @@ SAMPLE_COLUMNS = ["candidate_id", "municipality_id", "confidence_score", "policy
                   "target_sector"]
 
 
+#: The columns of which :func:`sample_view` shows one.
+SAMPLE_SOURCES = ["measure_title", "title", "url", "source_url"]
+
+
 def sample_view(measures: DataFrame) -> DataFrame:
     """The columns shown for sampled rows, with title and url fall-backs."""
     from policyspark.functions.text import first_filled

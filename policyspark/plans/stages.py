@@ -16,6 +16,7 @@ from policyspark.operators.joins import with_gold_text
 from policyspark.operators.labeling import Labeler, gate_predictions, label_candidates
 from policyspark.operators.sampling import balanced_head, few_shot_block, lowest, seeded_sample, stratified_split
 from policyspark.operators.snippets import snippet_candidates
+from policyspark.session import cut_lineage
 from policyspark.vocabulary import MUNICIPALITY_ALIASES, PROFILE_FIELDS, TEXT_ALIASES
 
 
@@ -50,8 +51,11 @@ def inspect(measures: DataFrame, order: str, id_column: str = "candidate_id", to
     """The measure profile as named tables.
 
     With ``broken`` set, unparsable lines count in the base of the percentages
-    and nowhere else.
+    and nowhere else. Runs at once: the columns that the tables need are kept
+    in the checkpoint folder, so the measures are computed once for all of them.
     """
+    needed = {*PROFILE_FIELDS, *profile.SAMPLE_COLUMNS, *profile.SAMPLE_SOURCES, order, id_column, broken}
+    measures = cut_lineage(measures.select(*[F.col(f"`{c}`") for c in measures.columns if c in needed]))
     rows = measures if broken is None else measures.where(~F.col(broken))
     for name in PROFILE_FIELDS:
         if name not in rows.columns:

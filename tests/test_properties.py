@@ -298,3 +298,27 @@ def test_long_lists_are_scanned_like_containment(spark, monkeypatch):
     rules = terms.KeywordRules(positive=tuple(words), themes={"a": terms.ThemeTerms(("t1",), ("🙂",))})
     scored = terms.with_keyword_score(df.where("t = 't1x t299x'"), "t", rules).first()
     assert scored.keyword_hits_general == ["", "t1x", "t299x", "t1", "x"] and scored.passes_filter
+
+
+def counting(spark, df, counter):
+    def counted(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(counted, df.schema)
+
+
+def test_profiles_compute_their_rows_once(spark):
+    from policyspark.operators import profile
+    from policyspark.plans import stages
+
+    rows = [(str(i), f"a{i % 5}", "n/a" if i % 13 == 0 else str((i * 37 % 101) / 100), i % 23 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "candidate_id string, policy_area string, confidence_score string, _broken boolean")
+    seen = spark.sparkContext.accumulator(0)
+    stats = profile.confidence_stats(counting(spark, df, seen)).first()
+    numbers = sorted(float(r[2]) for r in rows if r[2] != "n/a")
+    assert tuple(stats) == (len(numbers), numbers[0], numbers[len(numbers) // 2], numbers[-1]) and seen.value == 300
+    seen = spark.sparkContext.accumulator(0)
+    parts = stages.inspect(counting(spark, df, seen), "candidate_id", broken="_broken")
+    assert all(part.count() for part in parts.values()) and seen.value == 300
