@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -56,16 +56,16 @@ def ask(prompts: DataFrame, labeler: Labeler, prompt: str = "prompt", answer: st
             pass
         return [single(t) for t in texts]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out: list[tuple[str | None, str | None]] = []
-            texts = frame[prompt].tolist()
-            for start in range(0, len(texts), batch_size):
-                out.extend(answers(texts[start:start + batch_size]))
-            yield frame.assign(**{name: pd.Series([o[k] for o in out], index=frame.index, dtype=object)
-                                  for k, name in enumerate((answer, f"{answer}_error"))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # an Arrow batch may hold 64 MB of prompts: only a slice of it becomes Python texts, and rows leave as they came
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                out = answers(part.column(prompt).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *[pa.array([o[k] for o in out], pa.string(), from_pandas=True) for k in (0, 1)]], names=schema.names)
 
-    return cut_lineage(prompts.mapInPandas(run, schema))
+    return cut_lineage(prompts.mapInArrow(run, schema))
 
 
 def ask_in_waves(prompts: DataFrame, labeler: Labeler, ledger: str, key: str, prompt: str = "prompt", answer: str = "answer",

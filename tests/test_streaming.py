@@ -152,6 +152,25 @@ def test_a_labeler_is_asked_once(spark, tmp_path):
     assert row.answer is None and row.answer_error == "ValueError: no model"
 
 
+def test_a_labeler_holds_the_texts_of_its_own_call_only(spark):
+    from policyspark.operators.labeling import ask
+
+    def labeler(prompts):
+        import gc
+
+        lists = [o for o in gc.get_objects() if type(o) is list and len(o) > 1 and all(
+            x is None or type(x) is str and x.startswith("prompt ") for x in o)]
+        return [str(max(map(len, lists)))] * len(prompts)
+
+    rows = spark.range(0, 500, 1, 1).selectExpr(
+        "IF(id % 2 = 0, id, NULL) AS n", "IF(id = 7, NULL, concat('prompt ', id)) AS prompt", "array(id, NULL) AS l")
+    got = ask(rows.repartition(1), labeler, batch_size=8)
+    assert got.columns == ["n", "prompt", "l", "answer", "answer_error"]
+    assert max(int(r.answer) for r in got.collect()) <= 8
+    kept = sorted(((r.n, r.prompt, r.l) for r in got.collect()), key=str)
+    assert kept == sorted(((r.n, r.prompt, r.l) for r in rows.collect()), key=str)
+
+
 def test_a_failed_run_asks_only_the_running_wave_again(spark, tmp_path):
     import pytest
 
