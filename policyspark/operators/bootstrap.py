@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from policyspark.functions.text import let
 from policyspark.operators.gate import plain_metrics
 from policyspark.operators.joins import without
 from policyspark.operators.sampling import split_summary, stratified_split
@@ -66,23 +67,55 @@ def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> Dat
     return joined.withColumn(weight, size / F.col("__n")).drop("__l", "__n")
 
 
+#: Texts that are looked at for frequent terms, and the share of them that a frequent term is in.
+FREQUENT_SAMPLE, FREQUENT_SHARE = 1000, 0.05
+
+
+def term_counts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf) of the column ``texts``, counted inside the row: words and pairs of neighbouring words in lower case."""
+    def words(t: Column) -> Column:
+        return F.regexp_extract_all(F.lower(t), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
+
+    def pairs(w: Column) -> Column:
+        fewer = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), fewer), F.slice(w, F.lit(2), fewer), lambda a, b: F.concat_ws(" ", a, b))
+
+    terms = F.flatten(F.transform("texts", lambda t: let(words(t), lambda w: F.concat(w, pairs(w)))))
+    ordered = texts.select(key, F.sort_array(terms).alias("t")).where("size(t) > 0")
+    # where runs of equal terms start, and one place beyond the last
+    starts = F.concat(
+        F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", i - 2))), F.array(F.size("t") + 1))
+    runs = ordered.select(key, "t", starts.alias("s")).select(key, F.explode(F.zip_with(
+        F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1),
+        lambda a, b: F.struct(F.get("t", a - 1).alias("term"), (b - a).cast("long").alias("tf")))).alias("r"))
+    return runs.select(key, "r.term", "r.tf")
+
+
 def tfidf_weights(rows: DataFrame, key: str, text: str, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
     """(key, term, weight): the features of :func:`train_classifier` as a table, one row per text and term.
 
     Terms are words of two characters and more and pairs of neighbouring
     words, in lower case; weights are tf * (ln((n + 1) / (df + 1)) + 1), each
     text normed to length 1. Null texts count as empty, and ``key`` is unique.
+
+    Terms are counted inside the row. Their rows travel twice: to their term,
+    for its document frequency, and back to their text, for its length. Terms
+    that are frequent in a sample of texts (a bounded list) do not travel to
+    one task: their frequencies are combined before the shuffle.
     """
-    words = rows.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)).alias("w"))
-    terms = words.select(key, F.explode(F.concat("w", F.zip_with(
-        F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"),
-        lambda a, b: F.concat_ws(" ", a, b)))).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= n * max_df))
-    raw = tf.join(df, "term").select(key, "term", (F.col("tf") * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("raw"))
-    norm = raw.groupBy(F.col(key).alias("__key")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, F.col(key) == F.col("__key")).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    texts = rows.groupBy(key).agg(F.collect_list(F.coalesce(text, F.lit(""))).alias("texts"))
+    tf = term_counts(texts, key)
+    n_rows = rows.count()
+    n = F.lit(n_rows)
+    sample = rows.select(key, F.array(F.coalesce(text, F.lit(""))).alias("texts")).orderBy(F.xxhash64(key)).limit(FREQUENT_SAMPLE)
+    least = max(2, FREQUENT_SHARE * min(FREQUENT_SAMPLE, n_rows))
+    seen = cut_lineage(term_counts(sample, key).groupBy("term").count().where(F.col("count") >= least).select("term"))
+    frequent = tf.join(F.broadcast(tf.join(F.broadcast(seen), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term")
+    others = tf.join(F.broadcast(seen), "term", "left_anti").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    kept = frequent.select(key, "term", "tf", "df").unionByName(others).where((F.col("df") >= min_df) & (F.col("df") <= n * max_df))
+    raw = kept.where(F.col(key).isNotNull()).select(key, "term", (F.col("tf") * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 #: Numbers that terms are hashed to: the length of every vector that the driver holds, whatever the vocabulary.

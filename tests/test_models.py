@@ -223,6 +223,32 @@ def test_feature_table_equals_the_features_of_the_classifier(spark, sf_dir):
     assert sum(abs(got[k] - want[k]) > 0.02 for k in got) == 0
 
 
+def test_feature_table_counts_terms_inside_the_row(spark):
+    """Rows of terms travel to their term and to their text, never by both; keys repeat, are null, and terms are frequent."""
+    import re
+    from collections import Counter
+    from math import log, sqrt
+
+    from policyspark.operators import bootstrap
+
+    data = [(i, f"the Word{i % 7} and Word{i % 5} x the end{i} das, ÄPFEL und-so") for i in range(40)]
+    data += [(3, "the end3 again"), (None, "the word1 end1"), (None, "und so"), (90, None), (91, " . "), (92, "word1")]
+    table = bootstrap.tfidf_weights(spark.createDataFrame(data, "k long, t string"), "k", "t")
+    tf = {}
+    for k, t in data:
+        w = re.findall(r"\b\w\w+\b", (t or "").lower())
+        tf.setdefault(k, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df = Counter(term for c in tf.values() for term in c)
+    n, want = len(data), {}
+    for k, c in tf.items():
+        raw = {x: f * (log((n + 1) / (df[x] + 1)) + 1) for x, f in c.items() if 2 <= df[x] <= 0.95 * n}
+        if k is not None:
+            want |= {(k, x): v / sqrt(sum(u * u for u in raw.values())) for x, v in raw.items()}
+    got = table.collect()
+    assert len(got) == len(want) and all(abs(want[r.k, r.term] - r.weight) < 1e-9 for r in got)
+    assert not re.search(r"hashpartitioning\(k#\d+L?, term", table._jdf.queryExecution().executedPlan().toString())
+
+
 def test_classifier_holds_nothing_that_grows_with_the_vocabulary(spark):
     from policyspark.operators import bootstrap
 
