@@ -334,23 +334,81 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+#: Bits of a parity sketch: a power of two of at least twice the size of the set, within these limits.
+LEAST_BITS, MOST_BITS = 256, 1 << 17
+
+
+def parity(grams: np.ndarray) -> bytes:
+    """For each class of hashes (by their low bits), whether it holds an odd number of this set of different hashes.
+
+    Sketches of two sets differ in at most as many bits as there are hashes in only one of the sets.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(grams) - 1).bit_length()))
+    counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def may_be_similar(size: np.ndarray, sketch: list[bytes], cls: np.ndarray, part: np.ndarray | None = None
+                   ) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of different ``cls`` (and ``part``) that sizes and sketches allow to be similar.
+
+    Similarity of 0.8 means that at most a ninth of the summed sizes is in only
+    one of the two sets, so no similar pair is left out. Sketches of the next
+    length are folded; empty sketches tell nothing.
+    """
+    order = np.argsort(size, kind="stable")
+    size, cls = size[order], cls[order]
+    part = part[order] if part is not None else None
+    lengths = np.array([len(sketch[i]) for i in order.tolist()], np.int64)
+
+    def rows_of(index: np.ndarray) -> np.ndarray:
+        joined = b"".join([sketch[i] for i in order[index].tolist()])
+        return np.frombuffer(joined, np.uint64).reshape(len(index), len(joined) // 8 // len(index))
+
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for length in np.unique(lengths).tolist():
+        own, longer = np.flatnonzero(lengths == length), np.flatnonzero((lengths == 2 * length) & (length > 0))
+        others, words = np.concatenate([own, longer]), rows_of(own)
+        if len(longer):
+            halves = rows_of(longer)
+            words = np.concatenate([words, halves[:, :length // 8] ^ halves[:, length // 8:]])
+        columns = np.ascontiguousarray(words.T)
+        step = max(1, (1 << 20) // len(others))
+        for i in range(0, len(own), step):
+            one = own[i:i + step]
+            end = int(np.searchsorted(4 * size[others], 5 * size[one[-1]], side="right"))
+            two = others[i:end]
+            differ = np.zeros((len(one), len(two)), np.int32)
+            for column in columns:
+                differ += np.bitwise_count(column[i:i + len(one), None] ^ column[None, i:end])
+            good = (9 * differ <= size[one][:, None] + size[two][None, :]) & (cls[one][:, None] != cls[two][None, :])
+            good &= one[:, None] < two[None, :]
+            if part is not None:
+                good &= part[one][:, None] != part[two][None, :]
+            x, y = np.nonzero(good & (4 * size[two][None, :] <= 5 * size[one][:, None]))
+            left.append(order[one[x]])
+            right.append(order[two[y]])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, key, size, fp, bands) of each row: key is equal for texts of the same shingles in the same order.
+    """(doc_id, hash, key, size, sketch, fp, bands) of each row: key is equal for texts of the same shingles in the same order.
 
-    size is the number of different shingles.
+    size is the number of different shingles, sketch their parity.
     """
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             grams = list(shingles(texts))
             key = [int(sequence_hash(g).view(np.int64)) if len(g) else 0 for g in grams]
+            sets = [np.unique(g) for g in grams]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "key": pa.array(key, pa.int64()),
-                "size": pa.array([len(np.unique(g)) for g in grams], pa.int64()),
+                "size": pa.array(list(map(len, sets)), pa.int64()), "sketch": pa.array(list(map(parity, sets)), pa.binary()),
                 "fp": pa.array(np.array([majority(g) for g in grams], np.uint64).view(np.int64)),
                 "bands": pa.array([band_keys(g).view(np.int64).tolist() for g in grams], pa.list_(pa.int64()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    return rows.mapInArrow(taken, "doc_id long, hash long, key long, size long, fp long, bands array<long>")
+    return rows.mapInArrow(taken, "doc_id long, hash long, key long, size long, sketch binary, fp long, bands array<long>")
 
 
 def banded(rows: DataFrame) -> DataFrame:
@@ -381,8 +439,8 @@ def candidates(rows: DataFrame, shared: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-#: Members of a band that a task holds against all others of the band.
-BAND_MEMBERS = 1000
+#: Members of a band that a task holds against each other; larger bands are cut into blocks, every two of which meet once.
+BAND_MEMBERS = 2048
 
 
 def remaining(rows: DataFrame, shared: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
@@ -390,26 +448,38 @@ def remaining(rows: DataFrame, shared: DataFrame, checked: DataFrame, roots: Dat
 
     Pairs of one component need no check: their documents are in one group
     already. ``checked`` pairs are left out, and those whose numbers of
-    shingles alone rule the similarity out.
+    shingles alone rule the similarity out. Members of a band are compared by
+    their sketches (if rows have them) in the task that holds them, and only pairs that may be similar leave it.
     """
-    keys = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"))
+    if "sketch" not in rows.columns:
+        rows = rows.withColumn("sketch", F.lit(b""))
+    keys = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     keys = written(keys.join(roots, keys["key"] == roots["node"], "left").select(
-        "key", "fp", "size", F.coalesce("root", "key").alias("cls")), "classes")
+        "key", "fp", "size", "sketch", F.coalesce("root", "key").alias("cls")), "classes")
     # Fingerprints: one node for each and class, then the keys behind them.
     nodes = written(keys.groupBy("fp", "cls").agg(F.min("key").alias("name")), "nodes")
     behind = keys.join(nodes, ["fp", "cls"]).select("name", "key")
     near = (link(nodes).join(behind.select(F.col("name").alias("a"), F.col("key").alias("ka")), "a")
             .join(behind.select(F.col("name").alias("b"), F.col("key").alias("kb")), "b").select("ka", "kb"))
-    # Bands whose members are of several classes; large ones are dealt into parts that each meet the whole band.
+    # Bands whose members are of several classes; large ones are cut into blocks.
     placed = shared.select("band", "key").join(keys.select("key", "cls"), "key")
     several = placed.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).where(
-        "low <> high").select("band", F.expr(f"cast(n div {BAND_MEMBERS} as int)").alias("last"))
-    mixed = written(joined_spread(placed, "band", several, "key"), "mixed")
-    one = mixed.select("band", F.col("key").alias("ka"), F.col("cls").alias("ca"),
-                       F.expr("cast(pmod(xxhash64(key), last + 1) as int)").alias("part"))
-    two = mixed.select("band", F.col("key").alias("kb"), F.col("cls").alias("cb"), F.explode(F.expr("sequence(0, last)")).alias("part"))
-    met = one.join(two, ["band", "part"]).where("ca < cb").select("ka", "kb")
-    pairs = near.unionByName(met).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+        "low <> high").select("band", F.expr(f"cast((n - 1) div {BAND_MEMBERS} as int)").alias("last"))
+    mixed = written(joined_spread(placed.select("band", "key"), "band", several, "key"), "mixed")
+    part = F.expr("cast(pmod(xxhash64(key), last + 1) as int)")
+    blocks = (mixed.select("band", "key", part.alias("part"), F.explode(F.expr("sequence(0, last)")).alias("other"))
+              .join(keys.select("key", "size", "sketch", "cls"), "key")
+              .select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+                      "part", "key", "size", "sketch", "cls"))
+
+    def met(whole: pa.Table) -> pa.Table:
+        key, size, cls, part = (whole.column(c).to_numpy() for c in ("key", "size", "cls", "part"))
+        apart = whole.column("low")[0] != whole.column("high")[0]
+        one, two = may_be_similar(size, whole.column("sketch").to_pylist(), cls, part if apart else None)
+        return pa.table({"ka": pa.array(key[one], pa.int64()), "kb": pa.array(key[two], pa.int64())})
+
+    close = blocks.groupBy("band", "low", "high").applyInArrow(met, "ka long, kb long")
+    pairs = near.unionByName(close).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     size = keys.select("key", "size")
     fit = (pairs.join(checked, ["a", "b"], "left_anti")
            .join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")

@@ -128,6 +128,48 @@ def test_every_candidate_pair_of_two_groups_is_checked(spark):
     assert got == set(combinations(range(1, 7), 2)) - {(1, 2), (1, 4), (5, 6)}
 
 
+def test_sketches_leave_out_no_similar_pair():
+    rng = np.random.default_rng(8)
+    sets, cls = [], []
+    for k, size in enumerate([1, 3, 9, 100, 127, 128, 129, 140, 255, 256, 300, 1000, 70_000]):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in (0.01, 0.05, 0.08, 0.1, 0.11, 0.12, 0.15, 0.2, 0.3, 0.9):
+            gone = int(size * share)
+            new = rng.integers(0, 1 << 63, gone if size % 2 else 0, dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[gone:], new])))
+            cls.append(len(cls) if k else 0)
+    size, sketch, cls = np.array(list(map(len, sets))), [simhash.parity(x) for x in sets], np.array(cls)
+    alike = {(i, j) for i, j in combinations(range(len(sets)), 2) if cls[i] != cls[j] and simhash.similarity(sets[i], sets[j]) >= 0.8}
+    assert len(alike) > 100
+    found = [(min(p), max(p)) for p in zip(*(x.tolist() for x in simhash.may_be_similar(size, sketch, cls)))]
+    assert len(found) == len(set(found)) < 3 * len(alike) and alike <= set(found)
+    part = np.arange(len(sets)) % 2
+    across = {(min(p), max(p)) for p in zip(*(x.tolist() for x in simhash.may_be_similar(size, sketch, cls, part)))}
+    assert across == {(i, j) for i, j in found if part[i] != part[j]}
+    none = simhash.may_be_similar(np.array([4, 5, 5, 7]), [b""] * 4, np.arange(4))
+    assert set(zip(*(x.tolist() for x in none))) == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_a_band_of_unlike_texts_leaves_few_pairs(spark, monkeypatch):
+    """Edits of one text, each unlike the others (below 0.8), share a band; only the few alike ones are pairs."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(90):
+        words = [f"w{i}" for i in range(200)]
+        for at in rng.choice(200, 10, replace=False):
+            words[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, f"{rows[k][1]} more") for k in range(5)]
+    signed = simhash.signed(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    keys = {r.doc_id: r.key for r in signed.collect()}
+    monkeypatch.setattr(simhash, "BAND_MEMBERS", 20)
+    shared = signed.selectExpr("7L band", "key", f"{len(rows)}L n")
+    empty = spark.createDataFrame([], "a long, b long")
+    got = [tuple(r) for r in simhash.remaining(signed, shared, empty, empty.toDF("node", "root")).collect()]
+    wanted = {tuple(sorted((keys[k], keys[100 + k]))) for k in range(5)}
+    assert wanted <= set(got) and len(got) < 100
+
+
 def test_keep_one_keeps_one_of_each_group(rough):
     rows = rough.collect()
     kept = simhash.keep_one(rough)
