@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm.registry import query
-from policyspark.llm.words import LOWER, chunks, scratch, slots, table, worker_store
+from policyspark.llm.words import LOWER, block_hashes, blocks_of, chunks, cut_words, scratch, slots, table, worker_store
 
 END_ID = 1
 #: Words whose ids a worker remembers; it starts anew beyond that.
 REMEMBERED = 800_000
 #: Words of one call of the tokenizer.
 CALL_WORDS = 1000
+#: Marks that the tokenizer keeps apart, as one run, from a letter before them.
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_{}~"
 ORC_OPTIONS = {
     "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd",
@@ -43,9 +45,10 @@ class WordEncoder:
 
     The tokenizer splits at white space before anything else and never joins
     across it, so the ids of a text are those of its words in turn. It also
-    ignores case and keeps a run of final stops apart from letters before it;
+    ignores case and keeps a run of final marks apart from letters before it;
     both make words repeat more often. Texts that may hold the tokenizer's own
-    special strings are taken word by word as written.
+    special strings are taken word by word as written; of the others, each
+    distinct word of a chunk is looked up once.
     """
 
     def __init__(self, definition: str):
@@ -104,14 +107,14 @@ class WordEncoder:
         composed = {}
         plain = set()
         for word in words:
-            if word[-1] in b".,":
-                core = word.rstrip(b".,")
+            if word[-1] in MARKS:
+                core = word.rstrip(MARKS)
                 if core and 97 <= core[-1] <= 122 and b"|" not in word:
                     composed[word] = (core, word[len(core):])
                     plain.update(composed[word])
                     continue
             plain.add(word)
-        plain.difference_update(self.known)
+        plain = {w for w in plain if w not in self.known}
         special = [w for w in plain if b"|" in w]
         rest = [w for w in plain if b"|" not in w]
         self.known.update(self.encode_whole(rest))
@@ -121,13 +124,41 @@ class WordEncoder:
             self.known[word] = self.known[core] + self.known[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.translate(LOWER)).split() for t in texts]
-        words = set(chain.from_iterable(split))
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn(words.difference(self.known))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        if not any(b"<|" in t for t in texts):
+            return self.encode_distinct(texts)
+        return list(chain.from_iterable(self.encode_distinct([t]) if b"<|" not in t else [self.encode_words(t.split())] for t in texts))
+
+    def encode_words(self, words: list[bytes]) -> bytes:
+        self.learn(set(words).difference(self.known))
+        return b"".join(map(self.known.__getitem__, words))
+
+    def encode_distinct(self, texts: list[bytes]) -> list[bytes]:
+        """Each distinct word of the texts is looked up once; words are grouped by hash, and the groups compared byte by byte."""
+        buffer, starts, sizes, bounds = cut_words(texts, LOWER)
+        if not len(starts):
+            return [b""] * len(texts)
+        first, blocks = blocks_of(buffer, starts, sizes)
+        _, index, group = np.unique(block_hashes(first, blocks, sizes), return_index=True, return_inverse=True)
+        model = index[group]
+        counts = (sizes + 7) >> 3
+        same = np.array_equal(sizes, sizes[model]) and np.array_equal(
+            blocks, blocks[np.repeat(first[model] - first, counts) + np.arange(len(blocks))])
+        if not same:  # two words of one hash
+            return [self.encode_words(t.translate(LOWER).split()) for t in texts]
+        data = buffer.tobytes()
+        words = [data[a:b] for a, b in zip(starts[index].tolist(), (starts + sizes)[index].tolist())]
+        self.learn({w for w in words if w not in self.known})
+        ids = list(map(self.known.__getitem__, words))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        offsets = np.cumsum(lengths) - lengths
+        long = lengths[group]
+        ends = np.concatenate([[0], np.cumsum(long)])
+        at = np.repeat(offsets[group] - ends[:-1], long) + np.arange(ends[-1])
+        out = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        cuts = (ends[bounds] * 4).tolist()
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID

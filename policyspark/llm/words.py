@@ -147,21 +147,29 @@ def hashed_words(texts: list[bytes], clean: bytes | None = None) -> tuple[np.nda
 
     ``clean`` maps every byte before the words are cut at blanks.
     """
+    buffer, starts, sizes, bounds = cut_words(texts, clean)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    return block_hashes(*blocks_of(buffer, starts, sizes), sizes), bounds
+
+
+def cut_words(texts: list[bytes], clean: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, starts, sizes, bounds): the bytes of all texts, their words in them, and the bounds of each text in the words."""
     joined = b" ".join(texts) + b" "
     buffer = np.frombuffer(joined.translate(clean) if clean else joined, np.uint8)
     blank = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
     edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
     starts = edges[0::2]
     text_starts = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
-    bounds = np.searchsorted(starts, text_starts)
-    if not len(starts):
-        return np.zeros(0, np.uint64), bounds
-    sizes = edges[1::2] - starts
-    first, values = blocks_of(buffer, starts, sizes)
+    return buffer, starts, edges[1::2] - starts, np.searchsorted(starts, text_starts)
+
+
+def block_hashes(first: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words given as blocks."""
     # Short words are one block each; the blocks of longer ones are scrambled with their number before they are added.
     place = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
     sums = np.add.reduceat(mixed(mixed(values) + place.astype(np.uint64) * _STEP), first)
-    return mixed(sums + sizes.astype(np.uint64) * _TURN), bounds
+    return mixed(sums + sizes.astype(np.uint64) * _TURN)
 
 
 def blocks_of(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -342,6 +342,29 @@ def test_language_model_is_the_stated_mixture(spark, order, monkeypatch):
         assert got[i] == pytest.approx(total, abs=1e-9), (i, t)
 
 
+def test_words_that_differ_in_final_marks_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.tokenizer_file())
+    with open(tokens.tokenizer_file(), encoding="utf-8") as file:
+        definition = file.read()
+    texts = ["Alpha### alpha%%% alpha,", "", "it's 3%, é&&& alpha's*** a'll) x\u0338!", " \n", "<|endoftext|>alpha### b|** ((", "alpha###"]
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def encoded(encoder):
+        return [np.frombuffer(b, "<u4").tolist() for b in encoder.encode([t.encode() for t in texts])]
+
+    seen = []
+    encoder = tokens.WordEncoder(definition)
+    whole = encoder.encode_whole
+    monkeypatch.setattr(encoder, "encode_whole", lambda words: seen.extend(words) or whole(words))
+    assert encoded(encoder) == wanted
+    assert seen.count(b"alpha") == 1 and b"alpha###" not in seen
+    # Words of one hash are told apart by their bytes.
+    monkeypatch.setattr(tokens, "block_hashes", lambda first, values, sizes: np.zeros(len(sizes), np.uint64))
+    assert encoded(tokens.WordEncoder(definition)) == wanted
+
+
 def test_tokens_round_trip(spark, rough, clashing, tmp_path):
     from tokenizers import Tokenizer
 
