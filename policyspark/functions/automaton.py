@@ -20,10 +20,22 @@ SEGMENT = 512
 BREAK = b"\xff"
 
 
+def begins_as_it_ends(term: bytes) -> bool:
+    """Whether a shorter beginning of the term is also its end; takes time in proportion to the term."""
+    border = [0]  # of each beginning, the longest shorter beginning that ends it
+    for b in term[1:]:
+        size = border[-1]
+        while size and term[size] != b:
+            size = border[size - 1]
+        border.append(size + (term[size] == b))
+    return border[-1] > 0
+
+
 class Automaton:
     """All occurrences of some terms (distinct, not empty, as bytes)."""
 
     def __init__(self, terms: list[bytes]):
+        self.terms, self.overlaps = terms, None
         self.lengths = np.array([len(t) for t in terms], np.int64)
         self.longest = int(self.lengths.max())
         used = np.unique(np.frombuffer(b"".join(terms), np.uint8))
@@ -70,10 +82,9 @@ class Automaton:
 
     def overlapping(self) -> np.ndarray:
         """Of each term, whether two of its occurrences can overlap: it begins as it ends."""
-        out = np.zeros(len(self.lengths), bool)
-        ends = np.flatnonzero(self.term >= 0)
-        out[self.term[ends]] = self.fail[ends] > 0
-        return out
+        if self.overlaps is None:
+            self.overlaps = np.array([begins_as_it_ends(t) for t in self.terms], bool)
+        return self.overlaps
 
     def scan(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position of the last byte, state) wherever at least one term ends."""
@@ -120,17 +131,33 @@ class Automaton:
         return both // len(self.lengths), both % len(self.lengths)
 
     def counted(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, count) of non-overlapping occurrences, taken from the left."""
+        """(text, term, count) of non-overlapping occurrences, taken from the left.
+
+        Hits of one state in one text are counted together; only terms that can
+        overlap themselves need the places of their hits.
+        """
         position, state = self.scan(np.frombuffer(BREAK.join(texts), np.uint8))
-        place, term = self._ended(position, state.astype(np.int64))
-        end = position[place]
-        group = self._text_of(texts, end) * len(self.lengths) + term
-        again = self.overlapping()[term]
-        one, count = np.unique(group[~again], return_counts=True)
-        two, fewer = self._apart(group[again], end[again], self.lengths[term[again]])
+        apart, pairs = self.overlapping(), self._text_of(texts, position) * len(self.term) + state
+        placed = self._ends_one_of(apart)[state]
+        end, at = position[placed], pairs[placed]
+        pairs, seen = np.unique(pairs, return_counts=True)
+        place, term = self._ended(pairs, pairs % len(self.term))
+        once = ~apart[term]
+        one, of = np.unique(pairs[place[once]] // len(self.term) * len(self.lengths) + term[once], return_inverse=True)
+        count = np.bincount(of, seen[place[once]], len(one)).astype(np.int64)
+        place, term = self._ended(at, at % len(self.term))
+        again = apart[term]
+        place, term = place[again], term[again]
+        two, fewer = self._apart(at[place] // len(self.term) * len(self.lengths) + term, end[place], self.lengths[term])
         group, count = np.concatenate([one, two]), np.concatenate([count, fewer])
         return group // len(self.lengths), group % len(self.lengths), count
 
+    def _ends_one_of(self, wanted: np.ndarray) -> np.ndarray:
+        """Of each state, whether one of the wanted terms ends there."""
+        states = np.arange(len(self.term))
+        place, term = self._ended(states, states)
+        return np.bincount(place[wanted[term]], minlength=len(states)) > 0
+
     @staticmethod
     def _apart(group: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per group, how many occurrences are met going from the first to the next one that begins after it."""
