@@ -160,6 +160,8 @@ def train_classifier(train: DataFrame, text: str = "text", label: str = "label",
     ])
     # the counts are read for the document frequencies and in every iteration
     counted = cut_lineage(prepare.transform(rows).select("__tf", label, "weight"))
+    # a pass sends vectors over the buckets from every partition: there are as many as cores, however many rows
+    counted = counted.coalesce(max(1, counted.sparkSession.sparkContext.defaultParallelism))
     n = counted.count()
     inverse = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray()
     df = np.rint((n + 1) * np.exp(-inverse) - 1)
