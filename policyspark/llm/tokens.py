@@ -10,7 +10,7 @@ minimum, maximum and Bloom filter of the document id.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,6 +28,7 @@ REMEMBERED = 800_000
 CALL_WORDS = 1000
 #: Marks that the tokenizer keeps apart, as one run, from a letter before them.
 MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_{}~"
+IS_MARK = np.isin(np.arange(256), np.frombuffer(MARKS, np.uint8))
 ORC_OPTIONS = {
     "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd",
@@ -40,6 +41,23 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def marks_apart(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bounds: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as of :func:`cut_words`; a run of final marks after a small letter is a word of its own, but not in words with a bar."""
+    ends, mark = starts + sizes, IS_MARK[buffer]
+    marked = np.flatnonzero(mark[ends - 1])
+    others = np.flatnonzero(~mark)  # the buffer ends with a blank
+    cuts = others[np.searchsorted(others, ends[marked]) - 1] + 1
+    last = buffer[cuts - 1]
+    split = (cuts > starts[marked]) & (cuts < ends[marked]) & (last >= 97) & (last <= 122)
+    bars = np.flatnonzero(buffer == 124)
+    if len(bars):
+        split &= np.searchsorted(bars, starts[marked]) == np.searchsorted(bars, ends[marked])
+    marked, cuts = marked[split], cuts[split]
+    starts, ends = np.insert(starts, marked + 1, cuts), np.insert(ends, marked, cuts)
+    return starts, ends - starts, bounds + np.searchsorted(marked, bounds)
+
+
 class WordEncoder:
     """Encodes texts word by word and remembers the words.
 
@@ -47,8 +65,9 @@ class WordEncoder:
     across it, so the ids of a text are those of its words in turn. It also
     ignores case and keeps a run of final marks apart from letters before it;
     both make words repeat more often. Texts that may hold the tokenizer's own
-    special strings are taken word by word as written; of the others, each
-    distinct word of a chunk is looked up once.
+    special strings are taken word by word as written; of the others, final
+    marks are cut off as words of their own, and each distinct word of a chunk
+    is looked up once.
     """
 
     def __init__(self, definition: str):
@@ -103,7 +122,7 @@ class WordEncoder:
             out.update(zip(names, ids))
         return out
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: Iterable[bytes]) -> None:
         composed = {}
         plain = set()
         for word in words:
@@ -139,6 +158,7 @@ class WordEncoder:
         buffer, starts, sizes, bounds = cut_words(texts, LOWER)
         if not len(starts):
             return [b""] * len(texts)
+        starts, sizes, bounds = marks_apart(buffer, starts, sizes, bounds)
         first, blocks = blocks_of(buffer, starts, sizes)
         _, index, group = np.unique(block_hashes(first, blocks, sizes), return_index=True, return_inverse=True)
         model = index[group]
@@ -149,8 +169,11 @@ class WordEncoder:
             return [self.encode_words(t.translate(LOWER).split()) for t in texts]
         data = buffer.tobytes()
         words = [data[a:b] for a, b in zip(starts[index].tolist(), (starts + sizes)[index].tolist())]
-        self.learn({w for w in words if w not in self.known})
-        ids = list(map(self.known.__getitem__, words))
+        ids = list(map(self.known.get, words))
+        if new := [i for i, of in enumerate(ids) if of is None]:
+            self.learn([words[i] for i in new])
+            for i in new:
+                ids[i] = self.known[words[i]]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         offsets = np.cumsum(lengths) - lengths
         long = lengths[group]

@@ -365,6 +365,25 @@ def test_words_that_differ_in_final_marks_are_encoded_once(monkeypatch):
     assert encoded(tokens.WordEncoder(definition)) == wanted
 
 
+def test_token_encoder_looks_words_up_without_their_final_marks():
+    """Words that differ in final marks are one word and the marks (op3): the encoder remembers no word with them."""
+    from tokenizers import Tokenizer
+
+    from policyspark.llm.tokens import WordEncoder, tokenizer_file
+
+    texts = ["stone, stone. (stone) stone!? Stone... a.b. don't.", "", "... stone.", "é. 5. x|y. |. stone|. z", "  .\n", "stone", "q.",
+             "stone. <|x|> stone.", "a,b;c: \U0001f600. x\u00a0."]
+    definition = open(tokenizer_file(), encoding="utf-8").read()
+    whole = Tokenizer.from_file(tokenizer_file())
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = WordEncoder(definition)
+    assert encoder.encode([t.encode() for t in texts[:7]]) == want[:7]
+    assert not {b"stone,", b"stone.", b"stone!?", b"stone...", b"a.b.", b"q."} & set(encoder.known)
+    assert encoder.encode([t.encode() for t in texts]) == want
+    for t, ids in zip(texts, want):
+        assert WordEncoder(definition).encode([t.encode()]) == [ids]
+
+
 def test_tokens_round_trip(spark, rough, clashing, tmp_path):
     from tokenizers import Tokenizer
 
