@@ -10,7 +10,7 @@ from policyspark.catalog.inputs import joined, table
 from policyspark.functions import html as H
 from policyspark.functions import urls as U
 from policyspark.operators import crawl, harmonise
-from policyspark.session import cut_lineage
+from policyspark.session import cut_lineage, kept_table
 from policyspark.vocabulary import DIGITALIZATION_LEVELS
 
 LINK_WORDS = ["the", "ation", "de", "er", "on"]
@@ -278,7 +278,7 @@ def crawl_plain_pages(spark, sf_dir):
   FROM everything WHERE ord < 90""")
 def crawl_plain(spark, sf_dir):
     seeds, page_rows, edges = site_graph(spark, sf_dir)
-    docs = crawl.plain_crawl(seeds, cut_lineage(page_rows), cut_lineage(edges), max_pages=90)
+    docs = crawl.plain_crawl(seeds, kept_table(page_rows, "pages"), kept_table(edges, "edges"), max_pages=90)
     return docs.select("municipality_id", "document_id", "source_url", "referrer_url", "mime_type", "http_status", "depth")
 
 

@@ -10,7 +10,7 @@ from policyspark.functions.text import let
 from policyspark.operators.gate import plain_metrics
 from policyspark.operators.joins import without
 from policyspark.operators.sampling import split_summary, stratified_split
-from policyspark.session import cut_lineage, scratch_folder
+from policyspark.session import cut_lineage, kept_table
 
 
 def weak_pool_stats(pool: DataFrame, label: str = "rule_label") -> DataFrame:
@@ -71,13 +71,6 @@ def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> Dat
 FREQUENT_SAMPLE, FREQUENT_SHARE = 1000, 0.05
 
 
-def small_table(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the checkpoint folder: its size is known to the planner's size checks."""
-    path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
     """(key, term, tf) of the column ``texts``, counted inside the row: words and pairs of neighbouring words in lower case."""
     def words(t: Column) -> Column:
@@ -117,8 +110,8 @@ def tfidf_weights(rows: DataFrame, key: str, text: str, min_df: int = 2, max_df:
     n = F.lit(n_rows)
     sample = rows.select(key, F.array(F.coalesce(text, F.lit(""))).alias("texts")).orderBy(F.xxhash64(key)).limit(FREQUENT_SAMPLE)
     least = max(2, FREQUENT_SHARE * min(FREQUENT_SAMPLE, n_rows))
-    seen = small_table(term_counts(sample, key).groupBy("term").count().where(F.col("count") >= least).select("term"), "frequent")
-    frequencies = small_table(tf.join(seen, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    seen = kept_table(term_counts(sample, key).groupBy("term").count().where(F.col("count") >= least).select("term"), "frequent")
+    frequencies = kept_table(tf.join(seen, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     frequent = tf.join(frequencies, "term")
     others = tf.join(seen, "term", "left_anti").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
     kept = frequent.select(key, "term", "tf", "df").unionByName(others).where((F.col("df") >= min_df) & (F.col("df") <= n * max_df))

@@ -27,7 +27,7 @@ from policyspark.functions.urls import (
 )
 from policyspark.operators.joins import lookup
 from policyspark.operators.ordinals import last_per_key, top_per_key, with_running_totals
-from policyspark.session import cut_lineage, parallelism, scratch_folder
+from policyspark.session import cut_lineage, kept_table, parallelism, scratch_folder
 from policyspark.vocabulary import CRAWL_EXCLUDED_EXTENSIONS, SEED_EXCLUDED_EXTENSIONS, SEED_KEYWORDS
 
 
@@ -228,7 +228,8 @@ def plain_crawl(
     ``seeds``: (muni, url, position). The links of ``edges`` are resolved the
     way the caller wants (against the municipality's base URL in the classic
     run). Every visited url gets a raw document row with the
-    per-municipality number as document id.
+    per-municipality number as document id. Levels are kept as tables, so that
+    pages and links meet small ones without being shuffled.
     """
     empty = F.array().cast("array<string>")
     fetched = pages.select(
@@ -242,7 +243,10 @@ def plain_crawl(
     visited.add(frontier)
     levels = []
     for depth in range(max_depth + 1):
-        seen = _with_tally(lookup(frontier, fetched, ["url"]), tally)
+        # Every row takes a number, so those beyond the cap can be told before pages are looked up.
+        waiting = with_running_totals(_with_tally(frontier, tally), ["muni"], ["ord"], {"__before": F.lit(1).cast("long")})
+        chosen = kept_table(waiting.where(F.col("__before") + F.col("t_rows") < max_pages).drop("__before"), "chosen")
+        seen = lookup(chosen, fetched.join(chosen.select("url").distinct(), "url", "left_semi"), ["url"])
         stored = F.col("p_key").isNotNull()
         pdf = F.coalesce(stored & is_pdf("p_ct", "url", "crawl"), F.lit(False))
         step = cut_lineage(seen.withColumns({
@@ -253,14 +257,14 @@ def plain_crawl(
             "place": F.lit(1).cast("long"), "pdfs_before": F.col("is_pdf").cast("long")})
         step = step.withColumn("number", F.col("place") + F.col("t_rows")).where(F.col("number") < max_pages)
         keep_pdf = F.col("is_pdf") & (F.col("pdfs_before") + F.col("t_pdfs") < max_pdfs)
-        done = cut_lineage(step.select(
+        done = kept_table(step.select(
             "muni", compose_id(F.col("muni").cast("string"), F.col("number").cast("string")).alias("document_id"),
             "url", "referrer", F.col("p_ct").alias("mime_type"), F.col("p_status").alias("http_status"),
             F.when(F.col("is_html"), F.col("p_key")).alias("content_key"),
             F.when(keep_pdf, F.concat("p_key", F.lit(".pdf"))).alias("raw_path"),
             (timestamp if timestamp is not None else F.lit(None).cast("string")).alias("crawl_timestamp"),
             F.lit(False).alias("keyword_hit"), F.lit(depth).alias("depth"), "place", "allowed_domains", "is_pdf", "is_html",
-        ))
+        ), "level")
         levels.append(done.drop("place", "allowed_domains", "is_pdf", "is_html"))
         if depth == max_depth:
             break

@@ -52,6 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the checkpoint folder: computed once, read by column, its size known to the planner's size checks."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """How many slices a group is cut into when it has to be spread over tasks."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
