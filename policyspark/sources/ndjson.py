@@ -20,6 +20,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The path as plain file operations of tasks take it, where Hadoop's local file system owns it (a shared mount, on a cluster); else None."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(target).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
 def as_schema(schema: StructType | str) -> StructType:
     return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 

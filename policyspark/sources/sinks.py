@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from policyspark.sources.ndjson import path_exists
+from policyspark.sources.ndjson import local_folder, path_exists
 from policyspark.operators.export import analysis_csv_shape, labeling_csv_shape, measure_csv_shape
 
 
@@ -125,6 +128,63 @@ def read_content_store(spark: SparkSession, path: str) -> DataFrame:
     return once.select("municipality_id", "digest", "page.*").select(*rows.columns)
 
 
+def page_name(url: Column | str) -> Column:
+    """Name of a page in the paths that :func:`write_page_files` gives; null for a page without url."""
+    return F.sha2(url, 256)
+
+
+def write_page_files(pages: DataFrame, folder: str) -> None:
+    """Columns url and html as .htm files with ``page=<page_name>`` in their path, a line a page.
+
+    Rows of one url share a file where one task holds them; null and empty
+    pages are empty files. Where Hadoop's local file system has no native
+    library, Spark's writer starts about six processes and threads a file, so
+    tasks write there by themselves: a draft first, which a rename puts in its
+    place, so that repeated attempts of a task leave whole files.
+    """
+    target = local_folder(pages.sparkSession, folder)
+    named = pages.select(page_name("url").alias("page"), "html")
+    if target is None:
+        named.write.partitionBy("page").options(
+            sep="\u0001", quote="", escape="", escapeQuotes=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+            emptyValue="", extension="htm").csv(folder)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, attempt = context.partitionId(), context.taskAttemptId()
+        open_page, draft, file, n_files = None, "", None, 0
+
+        def close() -> int:
+            if file is None:
+                return 0
+            file.close()
+            os.replace(draft, f"{os.path.dirname(draft)}/page={open_page}-{part:05d}.htm")
+            return 1
+
+        try:
+            for batch in batches:
+                for page, html in zip(batch.column("page").to_pylist(), batch.column("html")):  # one page at a time leaves Arrow
+                    page = "__HIVE_DEFAULT_PARTITION__" if page is None else page
+                    if page != open_page:
+                        n_files += close()
+                        at = f"{target}/start={page[:2]}"
+                        os.makedirs(at, exist_ok=True)
+                        open_page, draft = page, f"{at}/.{page}-{attempt}"
+                        file = open(draft, "wb")
+                    if line := html.as_py():
+                        file.write(line + b"\n")
+            n_files += close()
+        finally:
+            if file is not None:
+                file.close()
+        yield pa.RecordBatch.from_pydict({"n_files": pa.array([n_files], pa.int64())})
+
+    os.makedirs(target)
+    sorted_pages = named.select("page", F.col("html").cast("binary").alias("html")).sortWithinPartitions("page")
+    sorted_pages.mapInArrow(write, "n_files long").write.format("noop").mode("overwrite").save()
+
+
 def write_operating_points(points: DataFrame, path: str) -> None:
     """The files table_metrics.csv and, next to it, table_metrics_rounded.csv, its text form."""
     from policyspark.operators.gate import two_decimals

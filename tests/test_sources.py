@@ -280,3 +280,59 @@ def test_only_pages_of_a_level_are_parsed(spark):
     parser = min(plan.find(w) for w in ("ArrowEvalPython", "MapInArrow", "MapInPandas", "BatchEvalPython") if w in plan)
     assert 0 <= parser < plan.find("Join")
     assert [r.anchor for r in links.collect()] == ["x"]
+
+
+def page_rows(files):
+    return sorted((r.raw_path, r.html) for r in files.collect())
+
+
+def test_page_files_are_dealt_out_and_found_as_spark_finds_them(spark, tmp_path, monkeypatch):
+    """Small files do not become a task per few of them; which files there are is what Spark's own scan says."""
+    from policyspark.session import parallelism
+
+    for i in range(400):
+        (tmp_path / f"m{i % 20}" / "deep").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"m{i % 20}" / "deep" / f"{i}.{('htm', 'html')[i % 2]}").write_text(f"page {i} ä")
+    for name in ("top.html", "_x=1.html", "_hidden.html", ".hidden.html", "up.HTML", "a.pdf", "sp ace%20ü.htm", "dir.html/in.htm", "_dir/in.htm", ".dir/in.htm", "gone._COPYING_/in.htm"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty.html").write_bytes(b"")
+    (tmp_path / "bad.html").write_bytes(b"\xff\xc3(\x00")
+    (tmp_path / "linked.html").symlink_to(tmp_path / "top.html")
+    files = tables.page_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() <= parallelism(spark)
+    monkeypatch.setattr(tables, "READ_BYTES", 40)  # several batches are passed on for one that came in
+    monkeypatch.setattr(tables, "LISTED_PATHS", 30)
+    got = page_rows(tables.page_files(spark, str(tmp_path)))
+    assert got == page_rows(files) == page_rows(tables.page_files(spark, tmp_path.as_uri() + "/"))
+    monkeypatch.setattr(tables, "local_folder", lambda spark, path: None)
+    assert got == page_rows(tables.page_files(spark, str(tmp_path))) and len(got) == 406
+    with pytest.raises(Exception, match="(?i)path"):
+        tables.page_files(spark, str(tmp_path / "none")).collect()
+
+
+def test_pages_are_written_as_files(spark, tmp_path, monkeypatch):
+    """A file a page, no folder a page; other file systems get the same lines from Spark's writer."""
+    rows = [(f"u{i}", f"<p>{i} ä") for i in range(300)] + [("twice", "a"), ("twice", "b"), (None, "x"), (None, "y"), ("none", None), ("empty", ""), ("spaces", "  s  ")]
+    pages = spark.createDataFrame(rows, "url string, html string").coalesce(1)
+    odd = spark.createDataFrame([("comment", "# x"), ("separator", "a\u0001b"), ("zero", "\u0000x")], "url string, html string")
+    sinks.write_page_files(pages.unionByName(odd), str(tmp_path / "own"))
+    lines = {r.html for r in tables.page_files(spark, str(tmp_path / "own")).collect()}
+    assert lines == {f"{h}\n" for u, h in rows[:300]} | {"a\nb\n", "x\ny\n", "  s  \n", "# x\n", "a\u0001b\n", "\u0000x\n"}
+    folders = [p for p in (tmp_path / "own").rglob("*") if p.is_dir()]
+    assert len(folders) <= 257 and not [p for p in (tmp_path / "own").rglob(".*")]
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_page_files(pages, str(tmp_path / "own"))
+    sinks.write_page_files(pages, str(tmp_path / "mine"))
+    monkeypatch.setattr(sinks, "local_folder", lambda spark, path: None)
+    sinks.write_page_files(pages, str(tmp_path / "sparks"))
+    name = F.regexp_extract("raw_path", "page=([0-9a-f]+)", 1).alias("raw_path")
+    assert page_rows(tables.page_files(spark, str(tmp_path / "mine")).select(name, "html")) == page_rows(
+        tables.page_files(spark, str(tmp_path / "sparks")).select(name, "html"))
+
+
+def test_a_failed_page_write_leaves_no_part_of_a_page(spark, tmp_path):
+    pages = spark.range(20).coalesce(1).selectExpr("concat('u', id) AS url", "if(id = 13, raise_error('lost'), concat('page ', id)) AS html")
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_page_files(pages, str(tmp_path / "p"))
+    assert all(html.startswith("page ") and html.endswith("\n") for _, html in page_rows(tables.page_files(spark, str(tmp_path / "p"))))
